@@ -3,7 +3,7 @@
 Each rule looks at a document's counts and votes good (1), votes poor (0) or abstains (null).
 Rules differ in accuracy: expectation-maximisation over how often each pattern of votes occurs
 (3 to the power of the number of rules patterns at most, counted over all documents) estimates
-each rule's accuracy on good and on poor documents and the share of good ones; a document is then
+how often each rule casts which vote on good and on poor documents, and the share of good ones; a document is then
 kept by its posterior probability of being good, not by passing every rule. Hard floors may fail
 a document before any vote.
 
@@ -75,6 +75,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": size(r"[\x20\x09-\x0D]+"),
         "n_symbols": size(r"[^#*$%&|<>]+"),
         "n_upper": size(r"[^A-Z]+"),
+        "n_letters": size(r"\P{L}+"),
+        "n_lone_marks": F.regexp_count(text, F.lit(r"(?<=^|\s)[#*$%&|<>](?=\s|$)")).cast("long"),
         "n_marks": size(r"[^!?]+"),
         "n_dup_lines": duplicate_lines(text),
         "n_lines": F.size(F.split(text, "\n")).cast("long"),
@@ -84,62 +86,66 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def rules() -> dict[str, Column]:
     """Votes by name: true for good, false for poor, null to abstain."""
-    n, c = F.col, F.col("word_chars")
+    n, c = F.col, F.greatest(F.col("word_chars"), F.lit(1))
+    words = F.greatest(F.col("n_words"), F.lit(1))
 
-    def vote(good: Column, poor: Column) -> Column:
-        return F.when(poor, F.lit(False)).when(good, F.lit(True))
+    def vote(poor: Column, good: Column | None = None) -> Column:
+        out = F.when(poor, F.lit(False))
+        return out if good is None else out.when(good, F.lit(True))
 
-    mean = c / F.greatest(n("n_words"), F.lit(1))
     return {
-        "length": vote((n("n_words") >= 80) & (n("n_words") <= 50_000), n("n_words") < 50),
-        "word_length": vote((mean >= 3.5) & (mean <= 9), (mean < 2.5) | (mean > 14)),
-        "symbols": vote(n("n_symbols") * 200 <= n("n_words"), n("n_symbols") * 20 > n("n_words")),
-        "repeats": vote(n("n_repeat_words") * 10 <= n("n_words"), n("n_repeat_words") * 10 > n("n_words") * 3),
-        "lines": vote(n("n_dup_lines") * 20 <= n("n_lines"), n("n_dup_lines") * 10 > n("n_lines") * 3),
-        "capitals": vote(n("n_upper") * 10 <= c, n("n_upper") * 10 > c * 3),
-        "marks": vote(n("n_marks") * 50 <= n("n_words"), n("n_marks") * 10 > n("n_words")),
+        "length": vote(n("n_words") < 50, n("n_words") >= 100),
+        "word_length": vote((c < 2.5 * words) | (c > 14 * words), (c >= 4 * words) & (c <= 9 * words)),
+        "symbols": vote(n("n_symbols") * 10 > words, n("n_symbols") == 0),
+        "letters": vote(n("n_letters") * 100 < c * 80, n("n_letters") * 100 >= c * 92),
+        "lone_marks": vote(n("n_lone_marks") * 10 > words),
+        "repeats": vote(n("n_repeat_words") * 10 > words * 3, n("n_repeat_words") == 0),
+        "lines": vote(n("n_dup_lines") * 10 > n("n_lines") * 3),
+        "capitals": vote(n("n_upper") * 10 > c * 3),
+        "marks": vote(n("n_marks") * 5 > words),
     }
 
 
-#: Share of good documents before any vote is seen, and each rule's accuracy, both as the start and as what few counts lean to.
-PRIOR, ACCURACY, WEIGHT = 0.8, 0.8, 20.0
+#: Share of good documents before any vote is seen, and how often a rule votes good and poor on good and on poor
+#: documents: the start, and what few counts lean to with the weight of so many documents of each kind.
+PRIOR, ON_GOOD, ON_POOR, WEIGHT = 0.8, (0.6, 0.02), (0.2, 0.5), 20.0
 
+#: For a rule: what a vote for good and a vote for poor add to the log odds of a good document.
+Weights = tuple[float, float]
 
-def estimate(patterns: list[tuple[tuple[bool | None, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents and, for each rule, how often it votes good on good and poor on poor ones.
 
-    Documents with equal votes count together. An accuracy stays at 0.5 or more, so the two classes keep their meaning.
+def estimate(patterns: list[tuple[tuple[bool | None, ...], int]], rounds: int = 100) -> tuple[float, list[Weights]]:
+    """Share of good documents and each rule's weights, by expectation-maximisation.
+
+    Documents with equal votes count together. Abstaining says nothing; a vote never counts for
+    its opposite, so the two classes keep their meaning.
     """
     k = len(patterns[0][0]) if patterns else 0
-    prior, acc = PRIOR, [(ACCURACY, ACCURACY)] * k
+    weigh = lambda good, poor: (max(math.log(good[0] / poor[0]), 0.0), min(math.log(good[1] / poor[1]), 0.0))
+    prior, weights = PRIOR, [weigh(ON_GOOD, ON_POOR)] * k
     for _ in range(rounds):
-        good = total = 0.0
-        right = [[ACCURACY * WEIGHT, ACCURACY * WEIGHT] for _ in range(k)]
-        voted = [[WEIGHT, WEIGHT] for _ in range(k)]
+        of = [0.0, 0.0]
+        cast = [[[x * WEIGHT for x in ON_GOOD], [x * WEIGHT for x in ON_POOR]] for _ in range(k)]
         for votes, n in patterns:
-            p = posterior(prior, acc, votes)
-            good, total = good + n * p, total + n
-            for j, v in enumerate(votes):
-                if v is not None:
-                    voted[j][0] += n * p
-                    voted[j][1] += n * (1 - p)
-                    right[j][0] += n * p * v
-                    right[j][1] += n * (1 - p) * (not v)
-        new = [tuple(min(max(r / v, 0.5), 0.999) for r, v in zip(right[j], voted[j], strict=True)) for j in range(k)]
-        share = min(max((good + PRIOR * WEIGHT) / (total + WEIGHT), 0.05), 0.95)
-        moved = max([abs(share - prior), *(abs(a - b) for x, y in zip(new, acc, strict=True) for a, b in zip(x, y, strict=True))])
-        prior, acc = share, new
+            p = posterior(prior, weights, votes)
+            for j, share in enumerate((n * p, n * (1 - p))):
+                of[j] += share
+                for i, v in enumerate(votes):
+                    if v is not None:
+                        cast[i][j][0 if v else 1] += share
+        rate = [[[x / (of[j] + WEIGHT) for x in cast[i][j]] for j in range(2)] for i in range(k)]
+        new = [weigh(*r) for r in rate]
+        share = min(max((of[0] + PRIOR * WEIGHT) / (sum(of) + WEIGHT), 0.05), 0.95)
+        moved = max([abs(share - prior), *(abs(a - b) for x, y in zip(new, weights, strict=True) for a, b in zip(x, y, strict=True))])
+        prior, weights = share, new
         if moved < 1e-6:
             break
-    return prior, acc
+    return prior, weights
 
 
-def posterior(prior: float, acc: list[tuple[float, float]], votes) -> float:
+def posterior(prior: float, weights: list[Weights], votes) -> float:
     """Probability of good given the votes, taken as independent."""
-    z = math.log(prior / (1 - prior))
-    for (on_good, on_poor), v in zip(acc, votes, strict=True):
-        if v is not None:
-            z += math.log(on_good / (1 - on_poor)) if v else math.log((1 - on_good) / on_poor)
+    z = math.log(prior / (1 - prior)) + sum(0.0 if v is None else w[0] if v else w[1] for w, v in zip(weights, votes, strict=True))
     return 1 / (1 + math.exp(-z))
 
 
@@ -149,8 +155,8 @@ def judge(docs: DataFrame, text_col: str = "text", least: float = 0.5, counts: D
     voted = (counts if counts is not None else measure(docs, text_col)).withColumns({f"_vote_{k}": v for k, v in votes.items()})
     names = [f"_vote_{k}" for k in votes]
     patterns = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
-    prior, acc = estimate(sorted([(tuple(r[n] for n in names), r["count"]) for r in patterns], key=repr))
-    terms = [F.when(F.col(n), F.lit(math.log(g / (1 - p)))).when(~F.col(n), F.lit(math.log((1 - g) / p))).otherwise(F.lit(0.0)) for n, (g, p) in zip(names, acc, strict=False)]
+    prior, weights = estimate(sorted([(tuple(r[n] for n in names), r["count"]) for r in patterns], key=repr))
+    terms = [F.when(F.col(n), F.lit(good)).when(~F.col(n), F.lit(poor)).otherwise(F.lit(0.0)) for n, (good, poor) in zip(names, weights, strict=False)]
     z = reduce(lambda a, b: a + b, terms, F.lit(math.log(prior / (1 - prior))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-z))})
