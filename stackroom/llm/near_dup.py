@@ -46,6 +46,8 @@ BANDS = REGISTERS // ROWS
 MARGIN = 0.35
 #: Star rounds before the pairs left across components are all verified.
 STARS = 2
+#: Ids that may be broadcast (16 bytes each).
+MOST_SENT = 200_000
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +157,21 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "r_a", "r_b").mapInPandas(keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only texts of sets in a pair are gathered, one for each set."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = reps.join(nodes, "node", "left_semi").select("doc_id")
-    sets = sets_of(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["f1"])
+def _narrow(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is wanted; the wanted ids are broadcast up to MOST_SENT of them, beyond that both sides are shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, on, "left_semi")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The full sets of the nodes, each from one of its texts; texts move once at most, for all rounds."""
+    wanted = cut(reps.join(nodes.distinct(), "node", "left_semi").select("doc_id"))
+    return cut(sets_of(_narrow(docs, wanted, "doc_id")).dropDuplicates(["f1"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
+    sets = _narrow(sets, wanted, "f1")
     rows = pairs.join(sets.toDF("a", "m_a"), "a").join(sets.toDF("b", "m_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +204,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     buckets = cut(banded.join(leaders, "key"))
 
     tried = cut(_likely(buckets.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), reps, percent))
-    links = cut(_verified(tried, reps, own, percent))
+    sets = _sets(own, reps, buckets.select("node"))
+    links = cut(_verified(tried, sets, percent))
     members = buckets.select("key", "node")
     for star in range(STARS + 1):
         left = _open(members, links)
@@ -206,7 +219,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = cut(_likely(pairs, reps, percent))
         tried = cut(tried.union(new))
-        links = cut(links.union(_verified(new, reps, own, percent)))
+        links = cut(links.union(_verified(new, sets, percent)))
 
     placed = reps.join(components(links), "node", "left").select("node", "f2", "n_shingles", "doc_id", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
