@@ -6,7 +6,9 @@ backward A* search uses those scores as exact heuristics, so complete paths come
 order of score: the first N are the N best. No piece reaches over the end of a word (checked when
 the model is read), so a text's lattice is a chain of its words' lattices: each distinct word is
 searched once per worker while its cache holds it, and the text's N best come from the words' by
-a second best-first search over the sums.
+a second best-first search over the sums. The forward pass also gives what a word's second path
+costs (the least loss of leaving the best path at one of its own ends), so only the N - 1 words
+with the least of these costs are searched for more than their best path.
 
 Characters without a piece become their UTF-8 bytes' pieces, at a cost below any piece's score.
 Decoding joins pieces and bytes and takes the first blank away; it gives back the text exactly,
@@ -21,8 +23,9 @@ columns are kept; those named like an output column are replaced.
 from __future__ import annotations
 
 import heapq
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -37,22 +40,33 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: How far a byte of a character without a piece lies below the lowest score of a piece.
 BYTE_COST = 10.0
-#: Words kept with their paths in one Python worker.
-CACHED = 150_000
+#: Words kept with their best paths in each of two generations of a Python worker's cache.
+CACHED = 200_000
 
 Path = tuple[float, tuple[int, ...]]
 
 
+def _cuts(pieces: Iterable[str]) -> str:
+    """A pattern for stretches of text that no piece reaches over.
+
+    Stretches end where a blank follows another character, if no piece has that, and line feeds
+    stand apart, if no piece has them.
+    """
+    if any(b == BLANK != a for n in pieces for a, b in zip(n, n[1:], strict=False)):
+        return ".+"
+    return f"{BLANK}*[^{BLANK}]+|{BLANK}+" if any("\n" in n for n in pieces) else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n"
+
+
 @dataclass
 class Pieces:
-    """Pieces with scores; whole: no piece has a blank behind another character."""
+    """Pieces with scores. cut: a pattern for stretches of text that no piece reaches over."""
 
     names: list[str]
     score: dict[str, tuple[int, float]]
     byte: list[int]
     floor: float
-    prefixes: set[str] = field(default_factory=set)
-    whole: bool = True
+    cut: str
+    _trie: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def of(names: list[str], scores: list[float], special: set[int]) -> Pieces:
@@ -61,8 +75,7 @@ class Pieces:
         usual = [s for i, s in enumerate(scores) if i not in special and s > -1e8]
         floor = min(usual, default=0.0) - 1
         score = {n: (i, max(s, floor)) for i, (n, s) in enumerate(zip(names, scores, strict=True)) if i not in special}
-        prefixes = {n[:k] for n in score for k in range(1, len(n))}
-        return Pieces(names, score, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], floor - BYTE_COST, prefixes, not any(re.search(f"[^{BLANK}]{BLANK}", n) for n in score))
+        return Pieces(names, score, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], floor - BYTE_COST, _cuts(score))
 
     @staticmethod
     def read(path: str = MODEL) -> Pieces:
@@ -72,64 +85,106 @@ class Pieces:
         ids = range(p.get_piece_size())
         return Pieces.of([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], {i for i in ids if p.is_control(i) or p.is_unknown(i) or p.is_unused(i)})
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_trie": {}}
+
+    def trie(self) -> dict:
+        """Nested by character; a piece's id and score stand under the empty string."""
+        if not self._trie:
+            for name, entry in self.score.items():
+                node = self._trie
+                for c in name:
+                    node = node.setdefault(c, {})
+                node[""] = entry
+        return self._trie
+
+    def _spelled(self, c: str) -> tuple[tuple[int, ...], float]:
+        raw = c.encode("utf-8", "replace")
+        return (tuple(self.byte[b] for b in raw) if self.byte else (0,)), self.floor * len(raw)
+
+    def viterbi(self, word: str) -> tuple[list[float], float, tuple[int, ...], float]:
+        """Best score up to each character, the whole word's best score and ids, and what its second path costs (infinite without one)."""
+        n = len(word)
+        low = -math.inf
+        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        root = self.trie()
+        for i in range(n):
+            so_far, node, single = best[i], root, False
+            for j in range(i, n):
+                node = node.get(word[j])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None:
+                    if j == i:
+                        single = True
+                    total = so_far + found[1]
+                    if total >= best[j + 1]:
+                        second[j + 1] = best[j + 1]
+                        best[j + 1], back[j + 1] = total, (i, found[0])
+                    elif total > second[j + 1]:
+                        second[j + 1] = total
+            if not single:
+                own, cost = self._spelled(word[i])
+                total = so_far + cost
+                if total >= best[i + 1]:
+                    second[i + 1] = best[i + 1]
+                    best[i + 1], back[i + 1] = total, (i, own)
+                elif total > second[i + 1]:
+                    second[i + 1] = total
+        ids: list[int] = []
+        gap, j = math.inf, n
+        while j:
+            gap = min(gap, best[j] - second[j])
+            j, own = back[j]
+            if isinstance(own, tuple):
+                ids += own[::-1]
+            else:
+                ids.append(own)
+        return best, best[n], tuple(ids[::-1]), gap
+
     def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end, the pieces that end there: where they begin, their ids, their score."""
+        """For each end, the pieces that end there, the longest first: where they begin, their ids, their score."""
         n = len(word)
         out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        score, prefixes = self.score, self.prefixes
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if found := score.get(part):
-                    out[j].append((i, (found[0],), found[1]))
-                    single |= j == i + 1
-                if part not in prefixes:
+            node, single = self.trie(), False
+            for j in range(i, n):
+                node = node.get(word[j])
+                if node is None:
                     break
+                if found := node.get(""):
+                    single |= j == i
+                    out[j + 1].append((i, (found[0],), found[1]))
             if not single:
-                raw = word[i].encode("utf-8", "replace")
-                ids = tuple(self.byte[b] for b in raw) if self.byte else (0,)
-                out[i + 1].append((i, ids, self.floor * len(raw)))
+                out[i + 1].append((i, *self._spelled(word[i])))
         return out
 
     def nbest(self, word: str, n: int) -> list[Path]:
-        """The n best segmentations with their scores, best first."""
+        """The n best segmentations with their scores, best first: A* from the end, guided by the forward scores."""
+        best, total, ids, gap = self.viterbi(word)
+        if n == 1 or gap == math.inf:
+            return [(total, ids)]
         arcs = self.arcs(word)
-        best = [0.0] * len(arcs)
-        back = [0] * len(arcs)
-        for j in range(1, len(arcs)):
-            top = None
-            for k, (i, _, s) in enumerate(arcs[j]):
-                total = best[i] + s
-                if top is None or total > top:
-                    top, back[j] = total, k
-            best[j] = top
-        if n == 1 or all(len(a) == 1 for a in arcs[1:]):
-            ids: tuple[int, ...] = ()
-            j = len(word)
-            while j:
-                i, own, _ = arcs[j][back[j]]
-                ids = own + ids
-                j = i
-            return [(best[-1], ids)]
-        # queue: estimate of the whole path, order of arrival, place, score behind the place, ids behind it
-        queue: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-best[-1], 0, len(word), 0.0, ())]
+        # queue: estimate of the whole path, the best path first, order of arrival, place, score behind the place, ids behind it
+        queue: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-total, 0, len(word), 0.0, ())]
         out: list[Path] = []
         arrived = 0
         while queue and len(out) < n:
-            _, _, j, behind, ids = heapq.heappop(queue)
+            _, _, j, behind, found = heapq.heappop(queue)
             if not j:
-                out.append((behind, ids))
+                out.append((behind, found))
                 continue
             for i, own, s in arcs[j]:
                 arrived += 1
-                heapq.heappush(queue, (-(best[i] + behind + s), arrived, i, behind + s, own + ids))
-        return out
+                heapq.heappush(queue, (-(best[i] + behind + s), arrived, i, behind + s, own + found))
+        # among equal paths, the first is the one that the forward pass found
+        return [(total, ids), *[p for p in out if p[1] != ids]][:n]
 
     def words(self, text: str) -> list[str]:
         """The text in its lattice's alphabet, cut where no piece reaches over."""
-        text = BLANK + text.replace(" ", BLANK)
-        return _WORD.findall(text) if self.whole else [text]
+        return re.findall(self.cut, BLANK + text.replace(" ", BLANK), re.S)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self._bytes().__getitem__, ids))
@@ -143,22 +198,19 @@ class Pieces:
         return self._raw
 
 
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-
-
-def combine(words: list[list[Path]], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
+def combine(total: float, gaps: list[float], paths_of, n: int) -> list[tuple[float, list[tuple[int, int]]]]:
     """The n best choices of one path for each word: the score, and which words don't take their best one (word, path).
 
-    Best first over the sums: words are ordered by what their second path costs, and a choice is
-    followed by taking the next path of its last word, by another word as well, or by another word instead.
+    gaps: what each word's second path costs; paths_of(k) gives word k's n best. Best first over
+    the sums: a choice is followed by taking the next path of its last word, by another word as
+    well, or by another word instead.
     """
-    total = sum(w[0][0] for w in words)
     out = [(total, [])]
-    if n == 1:
-        return out
-    loss = heapq.nsmallest(n, ((w[0][0] - w[1][0], k) for k, w in enumerate(words) if len(w) > 1))
+    loss = heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True)) if n > 1 else []
+    loss = [x for x in loss if x[0] < math.inf]
     if not loss:
         return out
+    words = {k: paths_of(k) for _, k in loss}
     queue = [(loss[0][0], ((0, 1),))]
     while queue and len(out) < n:
         lost, chosen = heapq.heappop(queue)
@@ -174,8 +226,36 @@ def combine(words: list[list[Path]], n: int) -> list[tuple[float, list[tuple[int
     return out
 
 
-_CACHE: dict[tuple[int, str], dict[str, list[Path]]] = {}
+class _Cache(dict):
+    """value(word), kept for the words of late: when one generation is full, the one before it goes."""
+
+    def __init__(self, value):
+        super().__init__()
+        self.value, self.old = value, {}
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.value(word)
+        self[word] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
+_CACHES: dict[tuple[int, str], tuple[_Cache, _Cache]] = {}
+
 
+def _caches(pieces: Pieces, n: int, mark: str) -> tuple[_Cache, _Cache]:
+    """The worker's caches of best paths (ids, score, gap) and of n best paths."""
+    if (n, mark) not in _CACHES:
+        _CACHES.clear()
+        one = _Cache(lambda w: (lambda v: (v[2], v[1], v[3]))(pieces.viterbi(w)))
+        _CACHES[n, mark] = one, _Cache(lambda w: pieces.nbest(w, n))
+    return _CACHES[n, mark]
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text", nbest: int = 4, path: str = MODEL, with_ids: bool = True) -> DataFrame:
@@ -196,24 +276,20 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        known = _CACHE.setdefault((nbest, mark), {})
+        one, several = _caches(p, nbest, mark)
         for b in slices(batches, text_col, 1 << 20):
             ids, rows, out = [], [0], []
-            if len(known) > CACHED:
-                known.clear()
+            one.turn()
+            several.turn()
             for text in b.column(text_col).to_pylist():
                 if not text:
                     got: list[int] = []
                     out.append((hashlib.sha256(b"").hexdigest(), 0, [0.0] if text == "" else [], "", True))
                 else:
-                    paths = []
-                    for w in p.words(text):
-                        found = known.get(w)
-                        if found is None:
-                            found = known[w] = p.nbest(w, nbest)
-                        paths.append(found)
-                    got = list(chain.from_iterable(x[0][1] for x in paths))
-                    best = combine(paths, nbest)
+                    words = p.words(text)
+                    own, scores, gaps = zip(*map(one.__getitem__, words), strict=True)
+                    got = list(chain.from_iterable(own))
+                    best = combine(sum(scores), gaps, lambda k, words=words: several[words[k]], nbest)
                     digest = hashlib.sha256(np.array(got, "<i4").tobytes()).hexdigest()
                     out.append((digest, len(got), [s for s, _ in best], ";".join(" ".join(f"{k}:{i}" for k, i in c) for _, c in best[1:]), p.decode(got) == text))
                 if with_ids:
