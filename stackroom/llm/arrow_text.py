@@ -22,11 +22,11 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def word_table(separators: bytes, lower: bool) -> np.ndarray:
-    """256 entries: 0 for a separator, else the byte (A-Z lower-cased if asked) plus nothing."""
+    """256 entries: a blank for a separator, else the byte itself (A-Z lower-cased if asked)."""
     t = np.arange(256, dtype=np.uint8)
     if lower:
         t[65:91] += 32
-    t[list(separators)] = 0
+    t[list(separators)] = 32
     return t
 
 
@@ -104,7 +104,7 @@ def tokenize(col: pa.Array, table: np.ndarray) -> Tokens:
         return Tokens(np.zeros(len(offsets), np.int64), none, none, np.zeros(0, np.uint64), offsets, data)
     mapped = table[data]
     is_word = np.zeros(n + 2, bool)
-    is_word[1:-1] = mapped != 0
+    is_word[1:-1] = mapped != 32
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = np.flatnonzero(is_word[1:-1] & (~is_word[:-2] | edge[:-1]))
@@ -128,7 +128,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def split_words(text: str | None, table: np.ndarray) -> list[bytes]:
     """The words of one text, as tokenize() finds them."""
-    return table[np.frombuffer((text or "").encode(), np.uint8)].tobytes().replace(b"\0", b" ").split(b" ") if text else []
+    return [w for w in table[np.frombuffer((text or "").encode(), np.uint8)].tobytes().split(b" ") if w] if text else []
 
 
 def shingles(tok: Tokens, width: int, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray]:

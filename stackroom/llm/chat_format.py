@@ -6,9 +6,9 @@ constants, `+`, `==`, `!=`, `and`, `or`, `not` and parentheses; statements are `
 `{% if %}/{% elif %}/{% else %}/{% endif %}`, `{% for message in messages %}/{% endfor %}` and
 `{% generation %}/{% endgeneration %}`. Nothing else parses: no calls, indexes or attributes.
 
-Whatever comes from a message is escaped when it is printed: a backslash goes before each
-backslash and before the first character of each control string, so a control string inside a
-text can't be taken for the template's own, and reading back is exact.
+Whatever comes from a message is escaped when it is printed: backslashes and the characters that
+control strings begin with are written as a backslash and a letter, so a text never holds a control
+string, and reading back is exact.
 
 The loop's body depends on one message only, so a corpus is rendered turn by turn where the turns
 lie: no conversation is gathered, however long it is. What a template has before or after the
@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEMPLATE = "{% for message in messages %}{{ '### ' + message.role + ': ' }}{% if message.role == 'assistant' %}{% generation %}{{ message.text }}{% endgeneration %}{% else %}{{ message.text }}{% endif %}{{ ' </turn>' + '\\n' }}{% endfor %}"
-#: Strings that steer reading; their first characters are escaped inside texts and roles.
+#: Strings that steer reading.
 CONTROL = ("### ", ": ", " </turn>\n")
-#: Escaped: the backslash, and what may begin a control string apart from its space.
+#: How the backslash and the characters that control strings begin with (after blanks) are written inside texts and roles.
+ESCAPES = {"\\": "\\\\", "#": "\\h", ":": "\\c", "<": "\\l"}
 _SPECIAL = re.compile(r"[\\#:<]")
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_ESCAPED = re.compile(r"\\([\\hcl])")
+_ORIGINAL = {v[1]: k for k, v in ESCAPES.items()}
 _TURN = re.compile(r"### ((?:[^\\#:<]|\\.)*): ((?:[^\\#:<]|\\.)*) </turn>\n", re.S)
 
 
 def escape(text: str) -> str:
-    return _SPECIAL.sub(r"\\\g<0>", text)
+    return _SPECIAL.sub(lambda m: ESCAPES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _ORIGINAL[m[1]], text)
 
 
 class TemplateError(ValueError):
@@ -57,7 +59,7 @@ class TemplateError(ValueError):
 _LEXER = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<op>==|!=|\+|\(|\))|(?P<name>[A-Za-z_][\w.]*))", re.S)
 _PART = re.compile(r"\{\{(.*?)\}\}|\{%\s*(.*?)\s*%\}", re.S)
 _FIELDS = {"message.role", "message.text", "message.turn"}
-_ESCAPES = {"n": "\n", "t": "\t"}
+_CONSTANT = {"n": "\n", "t": "\t"}
 
 
 def _expression(source: str) -> tuple:
@@ -109,7 +111,7 @@ def _expression(source: str) -> tuple:
         kind, value = found[pos]
         pos += 1
         if kind == "str":
-            return ("const", re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), value[1:-1], flags=re.S))
+            return ("const", re.sub(r"\\(.)", lambda m: _CONSTANT.get(m[1], m[1]), value[1:-1], flags=re.S))
         if kind == "name" and value in _FIELDS:
             return ("field", value.partition(".")[2])
         raise TemplateError(f"not allowed: {value!r}")
