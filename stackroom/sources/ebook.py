@@ -46,7 +46,8 @@ def epub(content: bytes) -> Iterator[Unit]:
 
 def _titles(archive: SafeArchive, package: str, manifest: dict) -> dict[str, str]:
     """Chapter titles from the navigation document, else from the older table of contents."""
-    nav = next((x for x in manifest.values() if "nav" in (x.get("properties") or "").split()), None) or next((x for x in manifest.values() if x.get("media-type") == "application/x-dtbncx+xml"), None)
+    navs = [x for x in manifest.values() if "nav" in (x.get("properties") or "").split()] + [x for x in manifest.values() if x.get("media-type") == "application/x-dtbncx+xml"]
+    nav = navs[0] if navs else None
     if nav is None:
         return {}
     part = resolve(package, nav.get("href"))

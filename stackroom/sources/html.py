@@ -109,7 +109,7 @@ def _entries(node: _Node) -> Iterator[tuple[int, str]]:
         if text := _text(node):
             yield 0, text
     else:
-        own = " ".join("".join(x for x in node.parts if isinstance(x, str)).split())
+        own = " ".join(" ".join(x for x in node.parts if isinstance(x, str)).split())
         if own:
             yield 0, own
         for x in node.parts:
