@@ -5,19 +5,30 @@ fingerprint and 64 HyperMinHash registers: of the hashes in a bucket the smalles
 leading-zero count (6 bits) and the 10 bits that follow. Documents with equal sets become one
 representative first, so that groups of copies cost one row from there on.
 
-Registers are banded three at a time. In each band's bucket every member is paired with the
-smallest member only, never with all; pairs whose Jaccard estimate (register agreement less the
-agreement expected by chance) is far below the threshold go, and the others are verified on their full
-sets. Verified links give components. Then buckets whose members are still in different components
-are looked at again with another leader, and at last all pairs across
-components that are left are verified: inside a component no further comparison can
-change the result, across components none is left out.
-
-Skew: copies are folded by a partial aggregation; leaders are minima (partial aggregation); the
-joins with leaders are plain shuffle joins, which Spark splits where one key is hot.
+Registers are banded three at a time. In each band's bucket every member is paired with one pivot
+only, the member that shares most buckets, never all with all; those pairs are verified on their
+full sets. What can still be linked although one of the two isn't linked with the pivot has much in
+common that the pivot lacks, or lacks much together, as this shows:
+
+  Let D be a set's difference with the pivot p, A what it has more and M what it lacks, and
+  t = (1 - T) / (1 + T) for the similarity T; x and y are linked if and only if
+  |D_x| + |D_y| - 2 |D_x & D_y| <= t (|x| + |y|). If x isn't linked with p, |D_x| > t (|x| + |p|).
+  If x and y share nothing of A, then |D_x & D_y| <= |M_y|, so a link needs
+  |p| - |y| >= |D_x| - t (|x| + |y|), and they share some of M. If they do share some of A, it is
+  at least (|A_x| + |A_y| - t (|x| + |y|)) / 2 of it.
+
+So members of a pivot's group are joined on what they have more (its rarest part, long enough to
+hold one of the shared ones) and, where the sizes allow, on what they lack; pairs whose sizes or
+whose Jaccard estimate (register agreement less the agreement expected by chance) are far below the
+threshold go, and the rest are verified on their full sets. No pair that shares a bucket and
+could connect two components is left out; what is joined are edits, not the texts that a group has
+in common.
+
+Skew: copies are folded by a partial aggregation; pivots are maxima (partial aggregation); the
+joins with pivots are plain shuffle joins, which Spark splits where one key is hot.
 
 Defined cases: null, empty and wordless texts have an empty set, no link, and are kept; a text of
-fewer words than a shingle is its whole sequence; repeated rows (same id) are one document and
+fewer words than a shingle is its whole sequence; a repeated row (same id)
 gets its text's result; a null id never names a component: it is linked through documents
 with an id and the same set, else its component is null and it is kept; an empty table gives no
 rows. Other columns are not looked at.
@@ -30,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackroom.llm.arrow_text import SPACED_LOWER, list_array, mix, shingles, slices, tokenize
@@ -44,8 +55,6 @@ ROWS = 3
 BANDS = REGISTERS // ROWS
 #: An estimate this far below the threshold is not verified: near eight standard deviations with 64 registers.
 MARGIN = 0.35
-#: Star rounds before the pairs left across components are all verified.
-STARS = 2
 #: Ids that may be broadcast (16 bytes each).
 MOST_SENT = 200_000
 
@@ -168,29 +177,70 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(sets_of(_narrow(docs, wanted, "doc_id")).dropDuplicates(["f1"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with n_a, n_b and both, the sizes of the full sets and of what they share."""
     wanted = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
     sets = _narrow(sets, wanted, "f1")
-    rows = pairs.join(sets.toDF("a", "m_a"), "a").join(sets.toDF("b", "m_b"), "b")
+    rows = pairs.join(sets.toDF("a", "m_a"), "a").join(sets.toDF("b", "m_b"), "b").select("a", "b", "m_a", "m_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            sizes = []
             for x, y in zip(batch.column("m_a"), batch.column("m_b"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                sizes.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array([v[k] for v in sizes], pa.int32()) for k in range(3))], names=["a", "b", "n_a", "n_b", "both"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(check, "a long, b long, n_a int, n_b int, both int")
 
 
-def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, node, component, low) of the buckets that hold more than one component; low: the bucket's smallest."""
-    placed = buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return cut(placed.join(ends.select("key", "low"), "key"))
+def _edits(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (p, kind, token, x) for what members have more than their pivot (kind 0) or lack (kind 1).
+
+    What a member lacks only matters if it is smaller than the pivot, or not linked with it and near enough.
+    """
+    rows = members.join(sets.toDF("x", "m_x"), "x").join(sets.toDF("p", "m_p"), "p").select("p", "x", "linked", "m_x", "m_p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("token", pa.int64()), ("x", pa.int64())])
+        for batch in batches:
+            for p, x, linked, mine, own in zip(batch.column("p").to_pylist(), batch.column("x").to_pylist(), batch.column("linked").to_pylist(), batch.column("m_x"), batch.column("m_p"), strict=True):
+                s, q = np.frombuffer(mine.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint64)
+                more, less = np.setdiff1d(s, q, assume_unique=True), np.setdiff1d(q, s, assume_unique=True)
+                smallest = -(-percent * len(s) // 100)
+                near = not linked and (100 + percent) * (len(q) - smallest - len(more) - len(less)) + (100 - percent) * (len(s) + smallest) >= 0
+                for kind, tokens in enumerate((more, less if len(s) < len(q) or near else less[:0])):
+                    n = len(tokens)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p)), pa.array(np.full(n, kind, np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.full(n, x))], schema=schema)
+
+    return rows.mapInArrow(run, "p long, kind int, token long, x long")
+
+
+def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one pivot's members in different components that may be linked, by the module's lemma."""
+    linked = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+    members = stars.select(F.col("b").alias("p"), F.col("a").alias("x"), "n_a", "n_b", "both", linked.alias("linked"))
+    members = members.join(found.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    groups = members.groupBy("p").agg(F.min("linked").alias("all_linked"), F.count("*").alias("n")).filter("not all_linked and n > 1").select("p")
+    members = cut(members.join(groups, "p", "left_semi"))
+    edits = _edits(members, sets, percent)
+    several = edits.groupBy("p", "kind", "token").agg(F.count("*").alias("df"), F.min("x").alias("low")).filter("df > 1")
+    shared = edits.join(several.drop("low"), ["p", "kind", "token"])
+    # the rarest part of what a member has more: tokens of its own come first, and of those a member holds the rest
+    more = F.col("n_a") - F.col("both")
+    w = Window.partitionBy("p", "kind", "x")
+    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)}).join(members, ["p", "x"])
+    needed = F.greatest(F.lit(1), F.ceil((more - (100 - percent) / (100 + percent) * F.col("n_a") * (1 + 100 / percent)) / 2 - 1e-6))
+    ranked = ranked.filter((F.col("kind") == 1) | (F.col("r") + more - F.col("n") <= more - needed + 1))
+    side = lambda k: ranked.select("p", "kind", "token", *[F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "n_b", "both", "linked", "component")])
+    n = lambda k: F.col(f"n_a{k}")
+    differ = lambda k: n(k) + F.col(f"n_b{k}") - 2 * F.col(f"both{k}")
+    # without anything more in common: the first isn't linked with the pivot, and the other is so much smaller than it
+    small = lambda j, k: F.col(f"linked{j}") | ((100 + percent) * (F.col(f"n_b{k}") - n(k) - differ(j)) + (100 - percent) * (n(j) + n(k)) >= 0)
+    fits = (F.col("component1") != F.col("component2")) & (F.col("x1") < F.col("x2")) & ~(F.col("linked1") & F.col("linked2")) & (100 * F.least(n(1), n(2)) >= percent * F.greatest(n(1), n(2)))
+    pairs = side(1).join(side(2), ["p", "kind", "token"]).filter(fits & ((F.col("kind") == 0) | small(1, 2) & small(2, 1)))
+    return pairs.select(F.col("x2").alias("a"), F.col("x1").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -200,28 +250,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     # nodes are sets, named by their fingerprint; any one of a set's documents stands for its text
     reps = cut(sketches.filter("n_shingles > 0").groupBy(F.col("f1").alias("node"), "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
     banded = reps.filter("doc_id is not null").select("node", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b <> most").select("key", "b")
-    buckets = cut(banded.join(leaders, "key"))
-
-    tried = cut(_likely(buckets.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), reps, percent))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(banded.join(sizes, "key"))
+    popular = buckets.groupBy("node").agg(F.sum("n").alias("popular"))
+    pivots = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select("key", F.col("b.node").alias("b"))
+    pairs = cut(buckets.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
     sets = _sets(own, reps, buckets.select("node"))
-    links = cut(_verified(tried, sets, percent))
-    members = buckets.select("key", "node")
-    for star in range(STARS + 1):
-        left = _open(members, links)
-        if not left.take(1):
-            break
-        if star < STARS:  # the smallest member outside the bucket's first component meets all of other components
-            second = left.filter("component <> low").groupBy("key").agg(F.min(F.struct("node", "component")).alias("s")).select("key", F.col("s.node").alias("other"), F.col("s.component").alias("c"))
-            pairs = left.join(second, "key").filter("component <> c")
-        else:  # every pair across components that is left
-            pairs = left.join(left.select("key", F.col("node").alias("other"), F.col("component").alias("c")), "key").filter("node < other and component <> c")
-        pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = cut(_likely(pairs, reps, percent))
-        tried = cut(tried.union(new))
-        links = cut(links.union(_verified(new, sets, percent)))
-
-    placed = reps.join(components(links), "node", "left").select("node", "f2", "n_shingles", "doc_id", F.coalesce("component", "node").alias("component"))
+    stars = cut(_compared(pairs, sets))
+    alike = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+    links = cut(stars.filter(alike).select("a", "b"))
+    found = components(links)
+    more = cut(_likely(_beside_pivots(stars, found, sets, percent), reps, percent))
+    if more.take(1):
+        found = components(links.union(_compared(more, sets).filter(alike).select("a", "b")))
+
+    placed = reps.join(found, "node", "left").select("node", "f2", "n_shingles", "doc_id", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(names, "component").select(F.col("node").alias("f1"), "f2", "n_shingles", "component_id")
     out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
