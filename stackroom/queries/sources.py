@@ -85,8 +85,8 @@ def correction_counts(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", n("a"), n("b"), n("c"))
 
 
-@query("""SELECT 'a' AS rule, sum(len(regexp_extract_all(text, '(?i)\\breleased\\s+under\\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'b', sum(len(regexp_extract_all(text, '\\bthe\\s+MIT\\b')))::BIGINT FROM documents
-  UNION ALL SELECT 'c', sum(len(regexp_extract_all(text, '(?i)\\bgnu\\s+general\\s+public\\s+license\\b')))::BIGINT FROM documents""")
+@query("""SELECT * FROM (SELECT 'a' AS rule, sum(len(regexp_extract_all(text, '(?i)\\breleased\\s+under\\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'b', sum(len(regexp_extract_all(text, '\\bthe\\s+MIT\\b')))::BIGINT FROM documents
+  UNION ALL SELECT 'c', sum(len(regexp_extract_all(text, '(?i)\\bgnu\\s+general\\s+public\\s+license\\b')))::BIGINT FROM documents) WHERE n > 0""")
 def rule_match_counts(spark: SparkSession, sf: str) -> DataFrame:
     return corrections.counts_by_rule(corrections.correct(table(spark, sf, "documents").select("doc_id", "text"), _RULES))
 
