@@ -5,17 +5,19 @@ fingerprint and 64 HyperMinHash registers: of the hashes in a bucket the smalles
 leading-zero count (6 bits) and the 10 bits that follow. Documents with equal sets become one
 representative first, so that groups of copies cost one row from there on.
 
-Registers are banded three at a time. In each band's bucket every member is paired with one pivot
-only, the member that shares most buckets, never all with all; those pairs are verified on their
-full sets. What can still be linked although one of the two isn't linked with the pivot has much in
+Registers are banded three at a time. The members of a band's bucket are paired with each other where
+they are FEW; in larger buckets every member is paired with one pivot only, the member that shares
+most buckets (and, in large groups, with the member nearest to it; the one of more links is the
+pivot from then on). Those pairs are verified on their full sets. What can still be linked although one of the two isn't linked with the pivot has much in
 common that the pivot lacks, or lacks much together, as this shows:
 
   Let D be a set's difference with the pivot p, A what it has more and M what it lacks, and
   t = (1 - T) / (1 + T) for the similarity T; x and y are linked if and only if
   |D_x| + |D_y| - 2 |D_x & D_y| <= t (|x| + |y|). If x isn't linked with p, |D_x| > t (|x| + |p|).
   If x and y share nothing of A, then |D_x & D_y| <= |M_y|, so a link needs
-  |p| - |y| >= |D_x| - t (|x| + |y|), and they share some of M. If they do share some of A, it is
-  at least (|A_x| + |A_y| - t (|x| + |y|)) / 2 of it.
+  |p| - |y| >= |D_x| - t (|x| + |y|), and they share some of M; if y isn't linked with p
+  either, the same holds for y, and both sum up to |A_x| + |A_y| <= t (|x| + |y|). If they do share
+  some of A, it is at least (|A_x| + |A_y| - t (|x| + |y|)) / 2 of it.
 
 So members of a pivot's group are joined on what they have more (its rarest part, long enough to
 hold one of the shared ones) and, where the sizes allow, on what they lack; pairs whose sizes or
@@ -55,6 +57,8 @@ ROWS = 3
 BANDS = REGISTERS // ROWS
 #: An estimate this far below the threshold is not verified: near eight standard deviations with 64 registers.
 MARGIN = 0.35
+#: Members of a bucket that are all paired with each other, and members of a group from which on a better pivot is looked for.
+FEW, LARGE = 8, 32
 #: Ids that may be broadcast (16 bytes each).
 MOST_SENT = 200_000
 
@@ -195,51 +199,68 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _edits(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (p, kind, token, x) for what members have more than their pivot (kind 0) or lack (kind 1).
+    """Rows (g, kind, token, x) for what a group's members have more than its pivot (kind 0) or lack (kind 1).
 
-    What a member lacks only matters if it is smaller than the pivot, or not linked with it and near enough.
+    What a member lacks only matters if it is linked with the pivot and smaller, or has little more
+    than the pivot, or is near enough to meet a linked one.
     """
-    rows = members.join(sets.toDF("x", "m_x"), "x").join(sets.toDF("p", "m_p"), "p").select("p", "x", "linked", "m_x", "m_p")
+    rows = members.join(sets.toDF("x", "m_x"), "x").join(sets.toDF("p", "m_p"), "p").select("g", "x", "linked", "m_x", "m_p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("token", pa.int64()), ("x", pa.int64())])
+        schema = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("token", pa.int64()), ("x", pa.int64())])
         for batch in batches:
-            for p, x, linked, mine, own in zip(batch.column("p").to_pylist(), batch.column("x").to_pylist(), batch.column("linked").to_pylist(), batch.column("m_x"), batch.column("m_p"), strict=True):
+            for g, x, linked, mine, own in zip(batch.column("g").to_pylist(), batch.column("x").to_pylist(), batch.column("linked").to_pylist(), batch.column("m_x"), batch.column("m_p"), strict=True):
                 s, q = np.frombuffer(mine.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint64)
                 more, less = np.setdiff1d(s, q, assume_unique=True), np.setdiff1d(q, s, assume_unique=True)
-                smallest = -(-percent * len(s) // 100)
-                near = not linked and (100 + percent) * (len(q) - smallest - len(more) - len(less)) + (100 - percent) * (len(s) + smallest) >= 0
-                for kind, tokens in enumerate((more, less if len(s) < len(q) or near else less[:0])):
+                if linked:
+                    lacks = len(s) < len(q)
+                else:
+                    smallest = -(-percent * max(len(s), len(q)) // 100)  # a linked one of a size that fits
+                    near = (100 + percent) * (len(q) - smallest - len(more) - len(less)) + (100 - percent) * (len(s) + smallest) >= 0
+                    lacks = near or percent * (100 + percent) * len(more) <= (100 - percent) * (100 + percent) * len(s) + 100
+                for kind, tokens in enumerate((more, less if lacks else less[:0])):
                     n = len(tokens)
                     if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p)), pa.array(np.full(n, kind, np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.full(n, x))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(np.full(n, kind, np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.full(n, x))], schema=schema)
 
-    return rows.mapInArrow(run, "p long, kind int, token long, x long")
+    return rows.mapInArrow(run, "g long, kind int, token long, x long")
+
+
+def _better_pivots(stars: DataFrame, sets: DataFrame, alike) -> tuple[DataFrame, DataFrame]:
+    """Stars (g, a, b, n_a, n_b, both) with the better pivot b of each group g, and all links found on the way."""
+    own = stars.withColumn("g", F.col("b"))
+    nearest = own.groupBy("g").agg(F.min(F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("d"), "a")).alias("m"), F.count("*").alias("n"), F.count_if(alike).alias("links"))
+    nearest = cut(nearest.filter(F.col("n") >= LARGE).select("g", F.col("m.a").alias("next"), "links"))
+    pairs = own.select("g", "a").union(nearest.select("g", F.col("g").alias("a"))).join(nearest, "g").filter("a <> next").select("g", "a", F.col("next").alias("b"), "links")
+    other = cut(pairs.join(_compared(pairs.select("a", "b").distinct(), sets), ["a", "b"]))
+    chosen = other.groupBy("g").agg(F.count_if(alike).alias("n"), F.max("links").alias("links")).filter("n > links").select("g")
+    best = own.join(chosen, "g", "left_anti").unionByName(other.drop("links").join(chosen, "g", "left_semi"))
+    return cut(best), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
 
 
 def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one pivot's members in different components that may be linked, by the module's lemma."""
+    """Pairs (a, b) of one group's members in different components that may be linked, by the module's lemma."""
     linked = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-    members = stars.select(F.col("b").alias("p"), F.col("a").alias("x"), "n_a", "n_b", "both", linked.alias("linked"))
+    members = stars.select("g", F.col("b").alias("p"), F.col("a").alias("x"), "n_a", "n_b", "both", linked.alias("linked"))
     members = members.join(found.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    groups = members.groupBy("p").agg(F.min("linked").alias("all_linked"), F.count("*").alias("n")).filter("not all_linked and n > 1").select("p")
-    members = cut(members.join(groups, "p", "left_semi"))
+    groups = members.groupBy("g").agg(F.min("linked").alias("all_linked"), F.count("*").alias("n")).filter("not all_linked and n > 1").select("g")
+    members = cut(members.join(groups, "g", "left_semi"))
     edits = _edits(members, sets, percent)
-    several = edits.groupBy("p", "kind", "token").agg(F.count("*").alias("df"), F.min("x").alias("low")).filter("df > 1")
-    shared = edits.join(several.drop("low"), ["p", "kind", "token"])
+    several = edits.groupBy("g", "kind", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = edits.join(several, ["g", "kind", "token"])
     # the rarest part of what a member has more: tokens of its own come first, and of those a member holds the rest
     more = F.col("n_a") - F.col("both")
-    w = Window.partitionBy("p", "kind", "x")
-    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)}).join(members, ["p", "x"])
+    w = Window.partitionBy("g", "kind", "x")
+    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)}).join(members, ["g", "x"])
     needed = F.greatest(F.lit(1), F.ceil((more - (100 - percent) / (100 + percent) * F.col("n_a") * (1 + 100 / percent)) / 2 - 1e-6))
     ranked = ranked.filter((F.col("kind") == 1) | (F.col("r") + more - F.col("n") <= more - needed + 1))
-    side = lambda k: ranked.select("p", "kind", "token", *[F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "n_b", "both", "linked", "component")])
+    side = lambda k: ranked.select("g", "kind", "token", *[F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "n_b", "both", "linked", "component")])
     n = lambda k: F.col(f"n_a{k}")
     differ = lambda k: n(k) + F.col(f"n_b{k}") - 2 * F.col(f"both{k}")
     # without anything more in common: the first isn't linked with the pivot, and the other is so much smaller than it
     small = lambda j, k: F.col(f"linked{j}") | ((100 + percent) * (F.col(f"n_b{k}") - n(k) - differ(j)) + (100 - percent) * (n(j) + n(k)) >= 0)
     fits = (F.col("component1") != F.col("component2")) & (F.col("x1") < F.col("x2")) & ~(F.col("linked1") & F.col("linked2")) & (100 * F.least(n(1), n(2)) >= percent * F.greatest(n(1), n(2)))
-    pairs = side(1).join(side(2), ["p", "kind", "token"]).filter(fits & ((F.col("kind") == 0) | small(1, 2) & small(2, 1)))
+    pairs = side(1).join(side(2), ["g", "kind", "token"]).filter(fits & ((F.col("kind") == 0) | small(1, 2) & small(2, 1)))
     return pairs.select(F.col("x2").alias("a"), F.col("x1").alias("b")).distinct()
 
 
@@ -252,13 +273,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     banded = reps.filter("doc_id is not null").select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = cut(banded.join(sizes, "key"))
-    popular = buckets.groupBy("node").agg(F.sum("n").alias("popular"))
-    pivots = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select("key", F.col("b.node").alias("b"))
-    pairs = cut(buckets.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    sets = _sets(own, reps, buckets.select("node"))
-    stars = cut(_compared(pairs, sets))
+    few, many = buckets.filter(F.col("n") <= FEW).select("key", "node"), buckets.filter(F.col("n") > FEW)
+    small = few.join(few.toDF("key", "b"), "key").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    small = cut(_likely(small, reps, percent))
+    popular = many.groupBy("node").agg(F.sum("n").alias("popular"))
+    pivots = many.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select("key", F.col("b.node").alias("b"))
+    pairs = cut(many.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    sets = _sets(own, reps, small.select(F.col("a").alias("node")).union(small.select("b")).union(pairs.select("a")).union(pairs.select("b")))
     alike = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-    links = cut(stars.filter(alike).select("a", "b"))
+    stars, links = _better_pivots(cut(_compared(pairs, sets)), sets, alike)
+    links = cut(links.union(_compared(small, sets).filter(alike).select("a", "b")))
     found = components(links)
     more = cut(_likely(_beside_pivots(stars, found, sets, percent), reps, percent))
     if more.take(1):
