@@ -19,32 +19,24 @@ PER_BRANCH, FUSED, RRF_K = 50, 30, 60
 def build_index(docs: DataFrame, analyze=plain_tokens, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """An index over documents; statistics are those of all documents, whatever a query's scope.
 
-    The postings are a plan: at scale they are written once, clustered by term (write_index), and
-    read back; a filter on terms reaches below the aggregation either way.
+    Nothing runs here. At scale postings are written once, clustered by term (write_index), and read back.
     """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col)).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
-    postings = each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return Index(postings, lengths, stats["n"], float(stats["average"] or 1.0))
+    return Index(tokens=docs.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col)).alias("tokens")))
 
 
 def write_index(index: Index, path: str, partitions: int) -> None:
     """Write postings sorted by term in range partitions, so that a query's terms read a few row groups."""
-    index.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings().repartitionByRange(partitions, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
 
 
 def read_index(spark, path: str) -> Index:
-    lengths = spark.read.parquet(f"{path}/documents")
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-    return Index(spark.read.parquet(f"{path}/postings"), lengths, stats["n"], float(stats["average"] or 1.0))
+    return Index(stored=spark.read.parquet(f"{path}/postings"), lengths=spark.read.parquet(f"{path}/documents"))
 
 
 def statistics(index: Index) -> DataFrame:
     """Document frequency of each term."""
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -74,7 +66,7 @@ def has_anchor(index: Index, tokens: list[str], scope: DataFrame | None = None)
     test = F.lit(False)
     for w in words:
         test = test | F.col("term").startswith(w)
-    rows = index.postings.filter(test)
+    rows = index.terms(test)
     rows = rows if scope is None else rows.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
     return rows.limit(1).agg((F.count("*") > 0).alias("anchored"))
 

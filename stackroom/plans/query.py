@@ -279,22 +279,55 @@ def expand(q: Query, glossary: Glossary) -> Query:
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf, dl, positions) and statistics (n_docs, average length)."""
+    """Places of terms: `tokens` (doc_id, tokens) as a plan over texts, or written `stored` postings with `lengths`.
 
-    postings: DataFrame
-    documents: DataFrame  #: doc_id, dl
+    Terms are chosen before places are gathered, so a query over texts moves its own terms only,
+    and over written postings it reads the row groups that hold them.
+    """
+
+    tokens: DataFrame | None = None
+    stored: DataFrame | None = None
+    lengths: DataFrame | None = None
+
+    @property
+    def documents(self) -> DataFrame:
+        """doc_id and its number of tokens dl."""
+        return self.lengths if self.lengths is not None else self.tokens.select("doc_id", F.size("tokens").alias("dl"))
+
+    def postings(self, test: Column | None = None) -> DataFrame:
+        """term, doc_id, dl, tf, positions of the terms that pass the test (all without one)."""
+        if self.stored is not None:
+            return self.stored if test is None else self.stored.filter(test)
+        each = self.tokens.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
+        each = each if test is None else each.filter(test)
+        return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+
+    def terms(self, test: Column) -> DataFrame:
+        """doc_id of the documents with a term that passes the test."""
+        if self.stored is not None:
+            return self.stored.filter(test).select("doc_id").distinct()
+        return self.tokens.select("doc_id", F.explode("tokens").alias("term")).filter(test).select("doc_id").distinct()
+
+    def statistics(self, words: list[str]) -> Statistics:
+        """Number of documents, their mean length, and in how many each word stands: over all documents, in one pass over texts."""
+        if self.stored is not None:
+            row = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+            found = self.stored.filter(F.col("term").isin(*words)).groupBy("term").agg(F.count("*").alias("df")).collect() if words else []
+            return Statistics(row["n"], float(row["average"] or 1.0), {r["term"]: r["df"] for r in found})
+        row = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"), *[F.count_if(F.array_contains("tokens", w)).alias(f"w{k}") for k, w in enumerate(words)]).first()
+        return Statistics(row["n"], float(row["average"] or 1.0), {w: row[f"w{k}"] for k, w in enumerate(words)})
+
+
+@dataclass
+class Statistics:
     n_docs: int
     average: float
+    df: dict[str, int]
 
     def weight(self, tf: Column, dl: Column, df: Column) -> Column:
         idf = F.log(1 + (self.n_docs - df + 0.5) / (df + 0.5))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.average))
 
-    def frequencies(self, words: list[str]) -> dict[str, int]:
-        """In how many documents each of a query's words stands (a row for each word)."""
-        rows = self.postings.filter(F.col("term").isin(*words)).groupBy("term").agg(F.count("*").alias("df")).collect() if words else []
-        return {r["term"]: r["df"] for r in rows}
-
 
 def compile(q: Query, index: Index) -> DataFrame:
     """(doc_id, score) of the matching documents."""
@@ -302,7 +335,7 @@ def compile(q: Query, index: Index) -> DataFrame:
     if clause_count(q) > MOST_CLAUSES:
         raise QueryTooLong(f"{clause_count(q)} clauses")
     words = sorted(_words(q))
-    return _plan(q, index, index.frequencies(words))
+    return _plan(q, index, index.statistics(words) if words else Statistics(0, 1.0, {}))
 
 
 def _words(q: Query) -> set[str]:
@@ -313,24 +346,24 @@ def _words(q: Query) -> set[str]:
     return {q.text} if isinstance(q, Term) else set(q.words) if isinstance(q, (Phrase, TermSet)) else set()
 
 
-def _terms(index: Index, words: list[str], df: dict[str, int]) -> DataFrame:
+def _terms(index: Index, words: list[str], stats: Statistics) -> DataFrame:
     """A row (doc_id, term, score) for each of these words in each document."""
-    rows = index.postings.filter(F.col("term").isin(*words))
-    n = F.coalesce(*[F.when(F.col("term") == w, F.lit(df.get(w, 0))) for w in words])
-    return rows.select("doc_id", "term", index.weight(F.col("tf"), F.col("dl"), n).alias("score"))
+    rows = index.postings(F.col("term").isin(*words))
+    n = F.coalesce(*[F.when(F.col("term") == w, F.lit(stats.df.get(w, 0))) for w in words])
+    return rows.select("doc_id", "term", stats.weight(F.col("tf"), F.col("dl"), n).alias("score"))
 
 
 def _constant(index: Index, test: Column) -> DataFrame:
-    return index.postings.filter(test).select("doc_id").distinct().select("doc_id", F.lit(1.0).alias("score"))
+    return index.terms(test).select("doc_id", F.lit(1.0).alias("score"))
 
 
-def _plan(q: Query, index: Index, df: dict[str, int]) -> DataFrame:
+def _plan(q: Query, index: Index, stats: Statistics) -> DataFrame:
     if isinstance(q, Term):
-        return _terms(index, [q.text], df).select("doc_id", "score")
+        return _terms(index, [q.text], stats).select("doc_id", "score")
     if isinstance(q, Boost):
-        return _plan(q.query, index, df).select("doc_id", (F.col("score") * q.by).alias("score"))
+        return _plan(q.query, index, stats).select("doc_id", (F.col("score") * q.by).alias("score"))
     if isinstance(q, Phrase):
-        return _phrase(q, index, df)
+        return _phrase(q, index, stats)
     if isinstance(q, Prefix):
         return _constant(index, F.col("term").startswith(q.text))
     if isinstance(q, Wildcard):
@@ -355,10 +388,10 @@ def _plan(q: Query, index: Index, df: dict[str, int]) -> DataFrame:
             if isinstance(c, Term):
                 terms.setdefault(c.text, []).append((kind, k))
             else:
-                parts.append(_plan(c, index, df).select("doc_id", F.lit(kind).alias("kind"), F.lit(k).alias("k"), "score"))
+                parts.append(_plan(c, index, stats).select("doc_id", F.lit(kind).alias("kind"), F.lit(k).alias("k"), "score"))
     if terms:
         uses = F.coalesce(*[F.when(F.col("term") == w, F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).alias("k")) for a, b in u])) for w, u in terms.items()])
-        rows = _terms(index, sorted(terms), df)
+        rows = _terms(index, sorted(terms), stats)
         parts.append(rows.select("doc_id", F.explode(uses).alias("u"), "score").select("doc_id", "u.kind", "u.k", "score"))
     every = reduce(DataFrame.unionByName, parts)
     n = lambda kind: F.size(F.collect_set(F.when(F.col("kind") == kind, F.col("k"))))
@@ -368,9 +401,9 @@ def _plan(q: Query, index: Index, df: dict[str, int]) -> DataFrame:
     return found.filter(ok if q.must or q.filters else ok & (F.col("s") > 0)).select("doc_id", "score")
 
 
-def _phrase(q: Phrase, index: Index, df: dict[str, int]) -> DataFrame:
+def _phrase(q: Phrase, index: Index, stats: Statistics) -> DataFrame:
     words = list(dict.fromkeys(q.words))
-    rows = index.postings.filter(F.col("term").isin(*words)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("p"), F.first("dl").alias("dl"))
+    rows = index.postings(F.col("term").isin(*words)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("p"), F.first("dl").alias("dl"))
     rows = rows.filter(F.size("p") == len(words))
     places = F.array(*[F.element_at("p", w) for w in q.words[1:]])
     end = lambda start: F.aggregate(places, start, lambda at, own: F.array_min(F.filter(own, lambda x: x > at)))
@@ -380,5 +413,5 @@ def _phrase(q: Phrase, index: Index, df: dict[str, int]) -> DataFrame:
         fits = lambda x: reduce(lambda a, b: a & b, [F.array_contains(F.element_at("p", w), x + k) for k, w in enumerate(q.words) if k])
     tf = F.size(F.filter(F.element_at("p", q.words[0]), fits))
     found = rows.withColumn("tf", tf).filter("tf > 0")
-    weights = [index.weight(F.col("tf"), F.col("dl"), F.lit(df.get(w, 0))) for w in q.words]
+    weights = [stats.weight(F.col("tf"), F.col("dl"), F.lit(stats.df.get(w, 0))) for w in q.words]
     return found.select("doc_id", reduce(lambda a, b: a + b, weights).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackroom.functions.text import plain_tokens
 from stackroom.operators import search as S
 from stackroom.plans.query import Bool, Boost, Fuzzy, Glossary, Phrase, Prefix, SynonymTerm, Synonyms, Term, Wildcard, expand
-from stackroom.session import table
+from stackroom.session import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +25,7 @@ def query(sql: str | None):
 
 
 def _index(spark: SparkSession, sf: str):
-    return S.build_index(table(spark, sf, "documents").select("doc_id", "text"))
+    return S.build_index(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 _TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t),

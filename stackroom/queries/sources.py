@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackroom.operators import chunking, corrections, evidence
 from stackroom.operators.search import build_index, keyword
 from stackroom.plans.query import Bool, Term
-from stackroom.session import table
+from stackroom.session import spread, table
 from stackroom.sources import html, ocr, text, units
 
 QUERIES: dict = {}
@@ -70,7 +70,7 @@ def ocr_word_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return chunking.chunk_units(d, ["doc_id"], "text").select("doc_id", "chunk", "start_offset", "end_offset", "token_count", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -117,4 +117,4 @@ def recent_conversations(spark: SparkSession, sf: str) -> DataFrame:
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from stackroom.operators.neardup import word_set_pairs
 
-    return word_set_pairs(table(spark, sf, "documents").filter(F.length("text") < 2000).select("doc_id", "lang", "text"), "lang")
+    return word_set_pairs(spread(table(spark, sf, "documents").filter(F.length("text") < 2000).select("doc_id", "lang", "text")), "lang")

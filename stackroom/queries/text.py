@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stackroom.functions import text as X
 from stackroom.queries.views import UNITS, units
-from stackroom.session import table
+from stackroom.session import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +53,7 @@ _SAMPLE = """SELECT *, length(s)::DOUBLE AS chars, length(regexp_replace(s, '[\\
 
 @query(f"SELECT doc_id, {_SCORE}::DOUBLE AS score FROM ({_SAMPLE % 'documents'})")
 def quality_score(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.quality_score(F.col("text")).alias("score"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.quality_score(F.col("text")).alias("score"))
 
 
 @query(f"WITH {UNITS}, s AS (SELECT *, {_SCORE}::DOUBLE AS score FROM ({_SAMPLE % 'units'})) SELECT doc_id, floor(sum(score * chars) / sum(CASE WHEN score IS NOT NULL THEN chars END) * 10 + 0.5) / 10.0 AS score FROM s GROUP BY 1")

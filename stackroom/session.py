@@ -41,3 +41,9 @@ def ascii_lower(c):
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(c, upper, upper.lower())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where a scan has fewer splits than twice the cores (a few small files); else as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * n else df.repartition(n)
