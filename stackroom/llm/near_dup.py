@@ -175,10 +175,10 @@ def _narrow(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, on, "left_semi")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """The full sets of the nodes, each from one of its texts; texts move once at most, for all rounds."""
-    wanted = cut(reps.join(nodes.distinct(), "node", "left_semi").select("doc_id"))
-    return cut(sets_of(_narrow(docs, wanted, "doc_id")).dropDuplicates(["f1"]))
+    wanted = cut(reps.join(nodes.distinct(), "node", "left_semi").select("doc_id"), parts)
+    return cut(sets_of(_narrow(docs, wanted, "doc_id")).dropDuplicates(["f1"]), parts)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,25 +226,25 @@ def _edits(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, kind int, token long, x long")
 
 
-def _better_pivots(stars: DataFrame, sets: DataFrame, alike) -> tuple[DataFrame, DataFrame]:
+def _better_pivots(stars: DataFrame, sets: DataFrame, alike, parts: int) -> tuple[DataFrame, DataFrame]:
     """Stars (g, a, b, n_a, n_b, both) with the better pivot b of each group g, and all links found on the way."""
     own = stars.withColumn("g", F.col("b"))
     nearest = own.groupBy("g").agg(F.min(F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("d"), "a")).alias("m"), F.count("*").alias("n"), F.count_if(alike).alias("links"))
-    nearest = cut(nearest.filter(F.col("n") >= LARGE).select("g", F.col("m.a").alias("next"), "links"))
+    nearest = cut(nearest.filter(F.col("n") >= LARGE).select("g", F.col("m.a").alias("next"), "links"), parts)
     pairs = own.select("g", "a").union(nearest.select("g", F.col("g").alias("a"))).join(nearest, "g").filter("a <> next").select("g", "a", F.col("next").alias("b"), "links")
-    other = cut(pairs.join(_compared(pairs.select("a", "b").distinct(), sets), ["a", "b"]))
+    other = cut(pairs.join(_compared(pairs.select("a", "b").distinct(), sets), ["a", "b"]), parts)
     chosen = other.groupBy("g").agg(F.count_if(alike).alias("n"), F.max("links").alias("links")).filter("n > links").select("g")
     best = own.join(chosen, "g", "left_anti").unionByName(other.drop("links").join(chosen, "g", "left_semi"))
-    return cut(best), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
+    return cut(best, parts), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
 
 
-def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of one group's members in different components that may be linked, by the module's lemma."""
     linked = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     members = stars.select("g", F.col("b").alias("p"), F.col("a").alias("x"), "n_a", "n_b", "both", linked.alias("linked"))
     members = members.join(found.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     groups = members.groupBy("g").agg(F.min("linked").alias("all_linked"), F.count("*").alias("n")).filter("not all_linked and n > 1").select("g")
-    members = cut(members.join(groups, "g", "left_semi"))
+    members = cut(members.join(groups, "g", "left_semi"), parts)
     edits = _edits(members, sets, percent)
     several = edits.groupBy("g", "kind", "token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = edits.join(several, ["g", "kind", "token"])
@@ -268,25 +268,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(sketch(own))
+    parts = max(8, -(-sketches.count() // 20_000))
     # nodes are sets, named by their fingerprint; any one of a set's documents stands for its text
-    reps = cut(sketches.filter("n_shingles > 0").groupBy(F.col("f1").alias("node"), "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
+    reps = cut(sketches.filter("n_shingles > 0").groupBy(F.col("f1").alias("node"), "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), parts)
     banded = reps.filter("doc_id is not null").select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(banded.join(sizes, "key"))
+    buckets = cut(banded.join(sizes, "key"), parts)
     few, many = buckets.filter(F.col("n") <= FEW).select("key", "node"), buckets.filter(F.col("n") > FEW)
     small = few.join(few.toDF("key", "b"), "key").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    small = cut(_likely(small, reps, percent))
+    small = cut(_likely(small, reps, percent), parts)
     popular = many.groupBy("node").agg(F.sum("n").alias("popular"))
     pivots = many.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select("key", F.col("b.node").alias("b"))
-    pairs = cut(many.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    sets = _sets(own, reps, small.select(F.col("a").alias("node")).union(small.select("b")).union(pairs.select("a")).union(pairs.select("b")))
+    pairs = cut(many.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), parts)
+    sets = _sets(own, reps, small.select(F.col("a").alias("node")).union(small.select("b")).union(pairs.select("a")).union(pairs.select("b")), parts)
     alike = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-    stars, links = _better_pivots(cut(_compared(pairs, sets)), sets, alike)
-    links = cut(links.union(_compared(small, sets).filter(alike).select("a", "b")))
-    found = components(links)
-    more = cut(_likely(_beside_pivots(stars, found, sets, percent), reps, percent))
+    stars, links = _better_pivots(cut(_compared(pairs, sets), parts), sets, alike, parts)
+    links = cut(links.union(_compared(small, sets).filter(alike).select("a", "b")), parts)
+    found = cut(components(links, parts=parts), parts)
+    more = cut(_likely(_beside_pivots(stars, found, sets, percent, parts), reps, percent), parts)
     if more.take(1):
-        found = components(links.union(_compared(more, sets).filter(alike).select("a", "b")))
+        found = components(links.union(_compared(more, sets).filter(alike).select("a", "b")), parts=parts)
 
     placed = reps.join(found, "node", "left").select("node", "f2", "n_shingles", "doc_id", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
