@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and cut its lineage.
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Compute df once into the shared checkpoint folder and cut its lineage; in so many parts at most.
 
     The folder comes from spark.checkpoint.dir; a folder of its own is set only where that is
     unset (local tests). Files there are replicated by the storage, so losing an executor does
@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stackroom-checkpoint-"))
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
 
 
 def ascii_lower(c):
