@@ -27,6 +27,8 @@ from stackroom.llm.arrow_text import mix, slices
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
+#: Bytes of text scored at once: each character has a row of doubles by language for a while.
+SLICE_BYTES = 1 << 18
 #: Added to each count.
 SMOOTHING = 0.5
 _BLOCK = 2048
@@ -83,7 +85,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             names, which = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             b = b.take(pa.array(np.argsort(which, kind="stable")))  # each language's texts side by side
             which = np.sort(which)
@@ -131,7 +133,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, text_col, 1 << 20):
+        for b in slices(batches, text_col, SLICE_BYTES):
             grams, starts, letters = _grams(b.column(text_col), m.orders, m.buckets)
             n_langs = len(m.languages)
             total = np.tile(m.prior, (b.num_rows, 1))

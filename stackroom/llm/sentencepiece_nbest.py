@@ -5,7 +5,7 @@ one stands before the text). A forward Viterbi pass finds the best score up to e
 backward A* search uses those scores as exact heuristics, so complete paths come off its queue in
 order of score: the first N are the N best. No piece reaches over the end of a word (checked when
 the model is read), so a text's lattice is a chain of its words' lattices: each distinct word is
-searched once per worker while its cache holds it, and the text's N best come from the words' by
+searched once per task while its cache holds it, and the text's N best come from the words' by
 a second best-first search over the sums. The forward pass also gives what a word's second path
 costs (the least loss of leaving the best path at one of its own ends), so only the N - 1 words
 with the least of these costs are searched for more than their best path.
@@ -40,8 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: How far a byte of a character without a piece lies below the lowest score of a piece.
 BYTE_COST = 10.0
-#: Words kept with their best paths in each of two generations of a Python worker's cache.
-CACHED = 200_000
+#: Words kept with their best paths in each of two generations of a task's cache (about 300 bytes each).
+CACHED = 80_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -246,16 +246,9 @@ class _Cache(dict):
             self.clear()
 
 
-_CACHES: dict[tuple[int, str], tuple[_Cache, _Cache]] = {}
-
-
-def _caches(pieces: Pieces, n: int, mark: str) -> tuple[_Cache, _Cache]:
-    """The worker's caches of best paths (ids, score, gap) and of n best paths."""
-    if (n, mark) not in _CACHES:
-        _CACHES.clear()
-        one = _Cache(lambda w: (lambda v: (v[2], v[1], v[3]))(pieces.viterbi(w)))
-        _CACHES[n, mark] = one, _Cache(lambda w: pieces.nbest(w, n))
-    return _CACHES[n, mark]
+def _caches(pieces: Pieces, n: int) -> tuple[_Cache, _Cache]:
+    """A task's caches of best paths (ids, score, gap) and of n best paths."""
+    return _Cache(lambda w: (lambda v: (v[2], v[1], v[3]))(pieces.viterbi(w))), _Cache(lambda w: pieces.nbest(w, n))
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text", nbest: int = 4, path: str = MODEL, with_ids: bool = True) -> DataFrame:
@@ -272,11 +265,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"
     names = dict(made)
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *(T.StructField(a, b) for a, b in made)])
-    mark = f"{path}:{len(pieces.names)}:{hash(tuple(pieces.names))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        one, several = _caches(p, nbest, mark)
+        one, several = _caches(p, nbest)
         for b in slices(batches, text_col, 1 << 20):
             ids, rows, out = [], [0], []
             one.turn()
