@@ -298,15 +298,15 @@ class Index:
         """term, doc_id, dl, tf, positions of the terms that pass the test (all without one)."""
         if self.stored is not None:
             return self.stored if test is None else self.stored.filter(test)
-        each = self.tokens.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
-        each = each if test is None else each.filter(test)
+        each = self.tokens.select("doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("position", "term"))
+        each = each.filter(F.col("term").isNotNull() if test is None else test)  # outer: else a filter on tokens is put below a repartition
         return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
     def terms(self, test: Column) -> DataFrame:
         """doc_id of the documents with a term that passes the test."""
         if self.stored is not None:
             return self.stored.filter(test).select("doc_id").distinct()
-        return self.tokens.select("doc_id", F.explode("tokens").alias("term")).filter(test).select("doc_id").distinct()
+        return self.tokens.select("doc_id", F.explode_outer("tokens").alias("term")).filter(test).select("doc_id").distinct()
 
     def statistics(self, words: list[str]) -> Statistics:
         """Number of documents, their mean length, and in how many each word stands: over all documents, in one pass over texts."""
