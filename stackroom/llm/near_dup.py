@@ -7,7 +7,7 @@ representative first, so that groups of copies cost one row from there on.
 
 Registers are banded three at a time. The members of a band's bucket are paired with each other where
 they are FEW; in larger buckets every member is paired with one pivot only, the member that shares
-most buckets (and, in large groups, with the member nearest to it; the one of more links is the
+most buckets (and, in large groups, with the members nearest to it; the one of most links is the
 pivot from then on). Those pairs are verified on their full sets. What can still be linked although one of the two isn't linked with the pivot has much in
 common that the pivot lacks, or lacks much together, as this shows:
 
@@ -59,6 +59,8 @@ BANDS = REGISTERS // ROWS
 MARGIN = 0.35
 #: Members of a bucket that are all paired with each other, and members of a group from which on a better pivot is looked for.
 FEW, LARGE = 8, 32
+#: Members compared with a large group, to find its best pivot.
+NEAREST = 8
 #: Ids that may be broadcast (16 bytes each).
 MOST_SENT = 200_000
 
@@ -227,15 +229,24 @@ def _edits(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _better_pivots(stars: DataFrame, sets: DataFrame, alike, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Stars (g, a, b, n_a, n_b, both) with the better pivot b of each group g, and all links found on the way."""
-    own = stars.withColumn("g", F.col("b"))
-    nearest = own.groupBy("g").agg(F.min(F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("d"), "a")).alias("m"), F.count("*").alias("n"), F.count_if(alike).alias("links"))
-    nearest = cut(nearest.filter(F.col("n") >= LARGE).select("g", F.col("m.a").alias("next"), "links"), parts)
-    pairs = own.select("g", "a").union(nearest.select("g", F.col("g").alias("a"))).join(nearest, "g").filter("a <> next").select("g", "a", F.col("next").alias("b"), "links")
+    """Stars (g, a, b, n_a, n_b, both) with the best pivot b of each group g, and all links found on the way.
+
+    In large groups the members nearest to the pivot (NEAREST of them at most) are compared with
+    all; the one of most links takes its place. A group's text without edits has most links, and
+    then what members have more is their own edits.
+    """
+    own = stars.withColumns({"g": F.col("b"), "d": F.col("n_a") + F.col("n_b") - 2 * F.col("both")})
+    groups = own.groupBy("g").agg(F.min("d").alias("least"), F.count("*").alias("n"), F.count_if(alike).alias("links")).filter(F.col("n") >= LARGE)
+    groups = cut(groups, parts)
+    near = own.join(groups, "g").filter(F.col("d") <= F.col("least") + WIDTH)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "a"))).filter(F.col("r") <= NEAREST).select("g", F.col("a").alias("next"))
+    near = cut(near, parts)
+    pairs = own.select("g", "a").union(groups.select("g", F.col("g").alias("a"))).join(near, "g").filter("a <> next").select("g", "a", F.col("next").alias("b"))
     other = cut(pairs.join(_compared(pairs.select("a", "b").distinct(), sets), ["a", "b"]), parts)
-    chosen = other.groupBy("g").agg(F.count_if(alike).alias("n"), F.max("links").alias("links")).filter("n > links").select("g")
-    best = own.join(chosen, "g", "left_anti").unionByName(other.drop("links").join(chosen, "g", "left_semi"))
-    return cut(best, parts), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
+    best = other.groupBy("g", "b").agg(F.count_if(alike).alias("m")).groupBy("g").agg(F.max(F.struct("m", "b")).alias("x"))
+    best = best.join(groups, "g").filter("x.m > links").select("g", F.col("x.b").alias("b"))
+    kept = own.drop("d").join(best.select("g"), "g", "left_anti").unionByName(other.join(best, ["g", "b"], "left_semi"))
+    return cut(kept, parts), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
 
 
 def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
