@@ -309,8 +309,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 
 def keep_first(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, columns as they were, of which one of each component stays; repeated rows of one id become one."""
-    found = link(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    once = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return once.unionByName(kept.filter(F.col(id_col).isNull()))
+    """The documents, columns as they were, of which one of each component stays; repeated rows of one id become one.
+
+    Rows without an id all stay, as they can't be told apart. Texts only move where very many ids
+    go, or for rows whose id is repeated.
+    """
+    found = link(docs, id_col, text_col, percent).filter("doc_id is not null")
+    state = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    gone, twice = state.filter("not kept").select("_id"), state.filter("kept and n > 1").select("_id")
+    on = docs[id_col].cast("long") == F.col("_id")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    kept = docs.join(sent(gone), on, "left_anti")
+    if not twice.take(1):
+        return kept
+    twice = sent(twice)
+    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates([id_col]))
