@@ -114,3 +114,33 @@ def test_captions(spark):
     assert I.context(picture, lines, I.caption(picture, lines)).startswith("Above text") and len(I.context(picture, [("word " * 400, (0, 0, 1, 0.1))])) <= 600
     df = spark.createDataFrame([(1, 0, list(picture), [(t, list(b)) for t, b in lines])], "doc_id long, page int, picture array<double>, lines array<struct<text:string,box:array<double>>>")
     assert I.captions(df).first()["caption"] == "Figure 2: A cat sits here"
+
+
+def test_alignment():
+    from stackroom.operators import geometry as G
+
+    box = lambda k: (float(k), 0.0, k + 1.0, 1.0)
+    words = ["The", "qu1ck", "brown", "f", "ox", "jumpsover", "the", "the", "dog", "noise"]
+    got = G.align("The quick brown fox jumps over the lazy dog.", [(w, box(k)) for k, w in enumerate(words)])
+    assert [p.kind for p in got] == ["exact", "near", "exact", "cut", "run", "run", "exact", "none", "exact"]
+    assert got[3].box == (3.0, 0.0, 5.0, 1.0) and got[4].box == got[5].box == box(5) and got[7].box is None
+    assert G.align("", []) == [] and [p.kind for p in G.align("a b", [])] == ["none", "none"]
+    assert [p.kind for p in G.align("aaaa bbbb aaaa bbbb", [("aaaa", box(0)), ("bbbb", box(1)), ("aaaa", box(2)), ("bbbb", box(3))], budget=3)] == ["none"] * 4
+    assert G.one_edit("hello", "helo") and G.one_edit("hello", "hallo") and not G.one_edit("abc", "abd") and not G.one_edit("hello", "hlleo")
+
+
+def test_alignment_is_whole_for_equal_words():
+    from stackroom.operators import geometry as G
+
+    rng = random.Random(2)
+    for _ in range(30):
+        words = [rng.choice("alpha beta gamma delta eps".split()) + str(rng.randrange(30)) for _ in range(40)]
+        got = G.align(" ".join(words), [(w, (float(k), 0.0, 0.0, 0.0)) for k, w in enumerate(words)])
+        assert [p.box[0] for p in got] == list(map(float, range(40)))
+
+
+def test_alignment_job(spark):
+    from stackroom.operators import geometry as G
+
+    df = spark.createDataFrame([(1, "one two", [("one", [0.0, 0.0, 1.0, 1.0])]), (2, None, None)], "page_id int, text string, words array<struct<text:string,box:array<double>>>")
+    assert [(r["page_id"], r["kind"], r["right"]) for r in G.align_pages(df).collect()] == [(1, "exact", 1.0), (1, "none", None)]
