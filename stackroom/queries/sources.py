@@ -118,3 +118,42 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from stackroom.operators.neardup import word_set_pairs
 
     return word_set_pairs(spread(table(spark, sf, "documents").filter(F.length("text") < 2000).select("doc_id", "lang", "text")), "lang")
+
+
+@query("""WITH i AS (SELECT l_suppkey % 20 AS doc_id, l_orderkey % 40 AS page, l_linenumber AS ordinal, CAST(l_partkey % 300 AS VARCHAR) AS sha256, (l_quantity * 10)::INTEGER AS width, (l_partkey % 500)::INTEGER AS height, l_orderkey AS o FROM lineitem WHERE l_orderkey % 7 = 0),
+  p AS (SELECT doc_id, sha256, count(DISTINCT page) AS pages FROM i GROUP BY 1, 2),
+  r AS (SELECT CASE WHEN least(width, height) < 96 THEN 'TOO_SMALL' WHEN o % 3 <> 0 AND (o % 20 + 1) / 20.0 * 0.1 < 0.01 THEN 'TOO_SMALL' WHEN o % 11 = 0 THEN 'MASK' WHEN o % 13 = 0 THEN 'UNIFORM' WHEN pages > 3 THEN 'REPEATED' END AS reason FROM i JOIN p USING (doc_id, sha256))
+  SELECT coalesce(reason, 'KEPT') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def image_filter(spark: SparkSession, sf: str) -> DataFrame:
+    from stackroom.operators.images import skipped
+
+    o = F.col("l_orderkey")
+    box = F.when(o % 3 != 0, F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), ((o % 20 + 1) / 20.0).alias("right"), F.lit(0.1).alias("bottom")))
+    pictures = table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select(
+        (F.col("l_suppkey") % 20).alias("doc_id"), (o % 40).alias("page"), F.col("l_linenumber").alias("ordinal"), (F.col("l_partkey") % 300).cast("string").alias("sha256"), F.round(F.col("l_quantity") * 10).cast("int").alias("width"),
+        (F.col("l_partkey") % 500).cast("int").alias("height"), box.alias("box"), (o % 11 == 0).alias("is_mask"), (o % 13 == 0).alias("is_uniform"),
+    )
+    return skipped(pictures).groupBy(F.coalesce("reason", F.lit("KEPT")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS question, arg_max(text, turn) FILTER (role = 'assistant') AS answer, count(*) AS n_messages, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS output FROM conversations GROUP BY 1),
+  e AS (SELECT user_id AS conv_id, count(*) AS calls, coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0)::BIGINT AS tokens FROM events WHERE event_type = 'click' GROUP BY 1)
+  SELECT conv_id, question, answer, n_messages, output, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens FROM h LEFT JOIN e USING (conv_id) WHERE question IS NOT NULL ORDER BY conv_id DESC LIMIT 50""")
+def ask_history(spark: SparkSession, sf: str) -> DataFrame:
+    said = lambda who: F.when(F.col("role") == who, F.col("turn"))
+    talks = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.min_by("text", said("user")).alias("question"), F.max_by("text", said("assistant")).alias("answer"), F.count("*").alias("n_messages"), F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("output")
+    )
+    used = table(spark, sf, "events").filter("event_type = 'click'").groupBy(F.col("user_id").alias("conv_id")).agg(F.count("*").alias("calls"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    newest = talks.filter("question IS NOT NULL").orderBy(F.col("conv_id").desc()).limit(50)
+    return newest.join(used, "conv_id", "left").select("conv_id", "question", "answer", "n_messages", "output", zero("calls"), zero("tokens"))
+
+
+@query(None)
+def page_structure(spark: SparkSession, sf: str) -> DataFrame:
+    from stackroom.operators.structure import structured
+
+    markdown = F.concat(F.lit("# Item "), F.col("item_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n- point\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"))
+    made = structured(table(spark, sf, "benchmark").select("item_id", markdown.alias("markdown")), keys=("item_id",))
+    return made.select("item_id", F.explode("blocks").alias("b")).select("item_id", "b.kind", "b.start", "b.end", "b.level")
