@@ -7,8 +7,7 @@ representative first, so that groups of copies cost one row from there on.
 
 Registers are banded three at a time. The members of a band's bucket are paired with each other where
 they are FEW; in larger buckets every member is paired with one pivot only, the member that shares
-most buckets (and, in large groups, with the members nearest to it; the one of most links is the
-pivot from then on). Those pairs are verified on their full sets. What can still be linked although one of the two isn't linked with the pivot has much in
+most buckets (in large groups another may take its place, if it is nearer to the others). Those pairs are verified on their full sets. What can still be linked although one of the two isn't linked with the pivot has much in
 common that the pivot lacks, or lacks much together, as this shows:
 
   Let D be a set's difference with the pivot p, A what it has more and M what it lacks, and
@@ -59,7 +58,7 @@ BANDS = REGISTERS // ROWS
 MARGIN = 0.35
 #: Members of a bucket that are all paired with each other, and members of a group from which on a better pivot is looked for.
 FEW, LARGE = 8, 32
-#: Members compared with a large group, to find its best pivot.
+#: Members that may become a large group's pivot.
 NEAREST = 8
 #: Ids that may be broadcast (16 bytes each).
 MOST_SENT = 200_000
@@ -231,21 +230,25 @@ def _edits(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _better_pivots(stars: DataFrame, sets: DataFrame, alike, parts: int) -> tuple[DataFrame, DataFrame]:
     """Stars (g, a, b, n_a, n_b, both) with the best pivot b of each group g, and all links found on the way.
 
-    In large groups the members nearest to the pivot (NEAREST of them at most) are compared with
-    all; the one of most links takes its place. A group's text without edits has most links, and
-    then what members have more is their own edits.
+    In large groups the members nearest to the pivot (NEAREST of them at most) are measured by their
+    distance to some of the group's members; if another than the pivot is nearest to them, it is
+    compared with all and takes the pivot's place. A group's text without edits is nearest to all,
+    and then what members have more is their own edits. The choice only bears on the work to do.
     """
     own = stars.withColumns({"g": F.col("b"), "d": F.col("n_a") + F.col("n_b") - 2 * F.col("both")})
-    groups = own.groupBy("g").agg(F.min("d").alias("least"), F.count("*").alias("n"), F.count_if(alike).alias("links")).filter(F.col("n") >= LARGE)
-    groups = cut(groups, parts)
-    near = own.join(groups, "g").filter(F.col("d") <= F.col("least") + WIDTH)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "a"))).filter(F.col("r") <= NEAREST).select("g", F.col("a").alias("next"))
-    near = cut(near, parts)
-    pairs = own.select("g", "a").union(groups.select("g", F.col("g").alias("a"))).join(near, "g").filter("a <> next").select("g", "a", F.col("next").alias("b"))
+    groups = cut(own.groupBy("g").agg(F.min("d").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= LARGE), parts)
+    members = own.select("g", "a", "d").join(groups, "g")
+    near = members.filter(F.col("d") <= F.col("least") + WIDTH)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "a"))).filter(F.col("r") <= NEAREST).select("g", F.col("a").alias("b"))
+    some = members.filter(F.pmod(F.xxhash64("a", "g"), F.col("n")) < LARGE).select("g", "a")
+    asked = cut(some.join(near.union(groups.select("g", "g")), "g").select("g", "a", "b"), parts)
+    apart = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n_a") + F.col("n_b") - 2 * F.col("both"))
+    measured = asked.join(_compared(asked.select("a", "b").filter("a <> b").distinct(), sets), ["a", "b"], "left").groupBy("g", "b").agg(F.sum(apart).alias("d"))
+    best = measured.groupBy("g").agg(F.min(F.struct("d", F.when(F.col("b") == F.col("g"), 0).otherwise(1), "b")).alias("x")).select("g", F.col("x.b").alias("b")).filter("b <> g")
+    best = cut(best, parts)
+    pairs = own.select("g", "a").union(best.select("g", "g")).join(best, "g").filter("a <> b").select("g", "a", "b")
     other = cut(pairs.join(_compared(pairs.select("a", "b").distinct(), sets), ["a", "b"]), parts)
-    best = other.groupBy("g", "b").agg(F.count_if(alike).alias("m")).groupBy("g").agg(F.max(F.struct("m", "b")).alias("x"))
-    best = best.join(groups, "g").filter("x.m > links").select("g", F.col("x.b").alias("b"))
-    kept = own.drop("d").join(best.select("g"), "g", "left_anti").unionByName(other.join(best, ["g", "b"], "left_semi"))
+    kept = own.drop("d").join(best.select("g"), "g", "left_anti").unionByName(other)
     return cut(kept, parts), stars.filter(alike).select("a", "b").union(other.filter(alike).select("a", "b")).distinct()
 
 
