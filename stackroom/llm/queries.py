@@ -75,5 +75,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_url_filter, op4_sentencepiece, op5_quality_rules, op6_near_dup, op7_decontam, op8_chat_format, op9_quality_classifier, op10_language_id)}
 
-#: None of the results can be said in SQL as a whole: each has parts that are learned, searched or digested in order. They are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWERED = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+_ALNUM_WORDS = f"coalesce(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+_SPACED_WORDS = f"coalesce(regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+'), [])"
+
+#: Other results are learned or searched, and can't be said in SQL as a whole; all are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_near_dup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
+  i AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM i), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r AS (SELECT doc_id, doc_id AS m FROM w UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id)
+  SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(m) AS component_id, r.doc_id = min(m) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op7_decontam": f"""WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM_WORDS} AS w FROM benchmark),
+  bk AS (SELECT item, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0), bi AS (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bk), bw AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM bi),
+  dk AS (SELECT doc_id, w, k FROM d, (SELECT DISTINCT k FROM bk) WHERE len(w) >= k), di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dk), dw AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g FROM di),
+  m AS (SELECT doc_id, k, i, item FROM dw JOIN bw USING (k, g)), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1),
+  t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_chat_format": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\\\#:<]', '', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+}
