@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -41,7 +41,7 @@ BLANK = "▁"
 #: How far a byte of a character without a piece lies below the lowest score of a piece.
 BYTE_COST = 10.0
 #: Words kept with their best paths in each of two generations of a task's cache (about 300 bytes each).
-CACHED = 80_000
+CACHED = 200_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -67,6 +67,7 @@ class Pieces:
     floor: float
     cut: str
     _trie: dict = field(default_factory=dict, repr=False)
+    _ends: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def of(names: list[str], scores: list[float], special: set[int]) -> Pieces:
@@ -86,7 +87,7 @@ class Pieces:
         return Pieces.of([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], {i for i in ids if p.is_control(i) or p.is_unknown(i) or p.is_unused(i)})
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_trie": {}}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_trie": {}, "_ends": {}}
 
     def trie(self) -> dict:
         """Nested by character; a piece's id and score stand under the empty string."""
@@ -144,6 +145,64 @@ class Pieces:
                 ids.append(own)
         return best, best[n], tuple(ids[::-1]), gap
 
+    def best_paths(self, words: list[str]) -> Iterator[tuple[tuple[int, ...], float, float]]:
+        """viterbi()'s ids, score and gap of many words; what a word's beginning shares with the word before it is kept, so they come sorted."""
+        if not self._ends:
+            for name, entry in self.score.items():
+                node = self._ends
+                for c in reversed(name):
+                    node = node.setdefault(c, {})
+                node[""] = entry
+        low, root = -math.inf, self._ends
+        best, second, back, own = [0.0], [low], [0], [None]
+        before = ""
+        for word in words:
+            k, n = 0, len(word)
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del best[k + 1 :], second[k + 1 :], back[k + 1 :], own[k + 1 :]
+            for j in range(k + 1, n + 1):
+                node, top, next_, frm, piece, single = root, low, low, 0, None, False
+                for i in range(j - 1, -1, -1):
+                    node = node.get(word[i])
+                    if node is None:
+                        break
+                    found = node.get("")
+                    if found is not None:
+                        single = single or i == j - 1
+                        total = best[i] + found[1]
+                        if total > top:
+                            next_, top, frm, piece = top, total, i, found[0]
+                        elif total > next_:
+                            next_ = total
+                if not single:
+                    ids, cost = self._spelled(word[j - 1])
+                    total = best[j - 1] + cost
+                    if total >= top:
+                        next_, top, frm, piece = top, total, j - 1, ids
+                    elif total > next_:
+                        next_ = total
+                best.append(top)
+                second.append(next_)
+                back.append(frm)
+                own.append(piece)
+            path: list[int] = []
+            gap, j = math.inf, n
+            while j:
+                d = best[j] - second[j]
+                if d < gap:
+                    gap = d
+                piece = own[j]
+                if isinstance(piece, tuple):
+                    path += piece[::-1]
+                else:
+                    path.append(piece)
+                j = back[j]
+            before = word
+            yield tuple(path[::-1]), best[n], gap
+
     def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the pieces that end there, the longest first: where they begin, their ids, their score."""
         n = len(word)
@@ -240,6 +299,14 @@ class _Cache(dict):
         self[word] = found
         return found
 
+    def fill(self, words: Iterable[str], values: Callable[[list[str]], Iterable]) -> None:
+        """Work out the words that aren't kept, all at once and in order."""
+        new = set(words).difference(self)
+        known = new & self.old.keys()
+        self.update((w, self.old[w]) for w in known)
+        new = sorted(new - known)
+        self.update(zip(new, values(new), strict=True))
+
     def turn(self) -> None:
         if len(self) > CACHED:
             self.old = dict(self)
@@ -273,12 +340,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"
             ids, rows, out = [], [0], []
             one.turn()
             several.turn()
-            for text in b.column(text_col).to_pylist():
+            texts = b.column(text_col).to_pylist()
+            split = [p.words(t) if t else [] for t in texts]
+            one.fill(chain.from_iterable(split), p.best_paths)
+            for text, words in zip(texts, split, strict=True):
                 if not text:
                     got: list[int] = []
                     out.append((hashlib.sha256(b"").hexdigest(), 0, [0.0] if text == "" else [], "", True))
                 else:
-                    words = p.words(text)
                     own, scores, gaps = zip(*map(one.__getitem__, words), strict=True)
                     got = list(chain.from_iterable(own))
                     best = combine(sum(scores), gaps, lambda k, words=words: several[words[k]], nbest)

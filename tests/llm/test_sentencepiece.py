@@ -38,6 +38,13 @@ def test_nbest_against_all_paths():
         assert gap == float("inf") if len(want) == 1 else abs(gap - (want[0] - want[1])) < 1e-9
 
 
+def test_many_words_at_once_are_those_one_by_one(model):
+    rng = random.Random(5)
+    for p in (tiny(), model):
+        words = sorted({"▁" * rng.randrange(2) + "".join(rng.choice("abc▁éht\n") for _ in range(rng.randrange(1, 12))) for _ in range(400)})
+        assert list(p.best_paths(words)) == [(v[2], v[1], v[3]) for v in map(p.viterbi, words)]
+
+
 def test_whole_texts_combine_words_exactly():
     p = tiny()
     for text in ("ab cab", "abc abc b", "a"):
