@@ -22,6 +22,7 @@ columns are kept; those named like an output column are replaced.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -41,7 +42,7 @@ BLANK = "▁"
 #: How far a byte of a character without a piece lies below the lowest score of a piece.
 BYTE_COST = 10.0
 #: Words kept with their best paths in each of two generations of a task's cache (about 300 bytes each).
-CACHED = 200_000
+CACHED = 80_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -164,26 +165,27 @@ class Pieces:
                 k += 1
             del best[k + 1 :], second[k + 1 :], back[k + 1 :], own[k + 1 :]
             for j in range(k + 1, n + 1):
-                node, top, next_, frm, piece, single = root, low, low, 0, None, False
-                for i in range(j - 1, -1, -1):
+                i = frm = j - 1
+                node = root.get(word[i])
+                found = None if node is None else node.get("")
+                next_ = low
+                if found is None:
+                    piece, cost = self._spelled(word[i])
+                    top = best[i] + cost
+                else:
+                    top, piece = best[i] + found[1], found[0]
+                while node is not None and i:
+                    i -= 1
                     node = node.get(word[i])
                     if node is None:
                         break
                     found = node.get("")
                     if found is not None:
-                        single = single or i == j - 1
                         total = best[i] + found[1]
                         if total > top:
                             next_, top, frm, piece = top, total, i, found[0]
                         elif total > next_:
                             next_ = total
-                if not single:
-                    ids, cost = self._spelled(word[j - 1])
-                    total = best[j - 1] + cost
-                    if total >= top:
-                        next_, top, frm, piece = top, total, j - 1, ids
-                    elif total > next_:
-                        next_ = total
                 best.append(top)
                 second.append(next_)
                 back.append(frm)
@@ -265,8 +267,11 @@ def combine(total: float, gaps: list[float], paths_of, n: int) -> list[tuple[flo
     well, or by another word instead.
     """
     out = [(total, [])]
-    loss = heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True)) if n > 1 else []
-    loss = [x for x in loss if x[0] < math.inf]
+    left, loss = list(gaps), []
+    while len(loss) < n - 1 and (least := min(left, default=math.inf)) < math.inf:
+        k = left.index(least)
+        loss.append((least, k))
+        left[k] = math.inf
     if not loss:
         return out
     words = {k: paths_of(k) for _, k in loss}
@@ -336,32 +341,36 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         one, several = _caches(p, nbest)
-        for b in slices(batches, text_col, 1 << 20):
-            ids, rows, out = [], [0], []
-            one.turn()
-            several.turn()
-            texts = b.column(text_col).to_pylist()
-            split = [p.words(t) if t else [] for t in texts]
-            one.fill(chain.from_iterable(split), p.best_paths)
-            for text, words in zip(texts, split, strict=True):
-                if not text:
-                    got: list[int] = []
-                    out.append((hashlib.sha256(b"").hexdigest(), 0, [0.0] if text == "" else [], "", True))
-                else:
-                    own, scores, gaps = zip(*map(one.__getitem__, words), strict=True)
-                    got = list(chain.from_iterable(own))
-                    best = combine(sum(scores), gaps, lambda k, words=words: several[words[k]], nbest)
-                    digest = hashlib.sha256(np.array(got, "<i4").tobytes()).hexdigest()
-                    out.append((digest, len(got), [s for s, _ in best], ";".join(" ".join(f"{k}:{i}" for k, i in c) for _, c in best[1:]), p.decode(got) == text))
+        gc.disable()  # the caches' many tuples hold no cycles; looking for some takes an eighth of the time
+        try:
+            for b in slices(batches, text_col, 1 << 20):
+                ids, rows, out = [], [0], []
+                one.turn()
+                several.turn()
+                texts = b.column(text_col).to_pylist()
+                split = [p.words(t) if t else [] for t in texts]
+                one.fill(chain.from_iterable(split), p.best_paths)
+                for text, words in zip(texts, split, strict=True):
+                    if not text:
+                        got: list[int] = []
+                        out.append((hashlib.sha256(b"").hexdigest(), 0, [0.0] if text == "" else [], "", True))
+                    else:
+                        own, scores, gaps = zip(*map(one.__getitem__, words), strict=True)
+                        got = list(chain.from_iterable(own))
+                        best = combine(sum(scores), gaps, lambda k, words=words: several[words[k]], nbest)
+                        digest = hashlib.sha256(np.array(got, "<i4").tobytes()).hexdigest()
+                        out.append((digest, len(got), [s for s, _ in best], ";".join(" ".join(f"{k}:{i}" for k, i in c) for _, c in best[1:]), p.decode(got) == text))
+                    if with_ids:
+                        ids.append(np.array(got, np.int32))
+                        rows.append(rows[-1] + len(got))
+                scores = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])])
+                columns = [b.column(f.name) for f in kept]
                 if with_ids:
-                    ids.append(np.array(got, np.int32))
-                    rows.append(rows[-1] + len(got))
-            scores = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])])
-            columns = [b.column(f.name) for f in kept]
-            if with_ids:
-                columns.append(list_array(pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array(rows)))
-            columns += [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), list_array(pa.array([y for x in out for y in x[2]], pa.float64()), scores), pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    columns.append(list_array(pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array(rows)))
+                columns += [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), list_array(pa.array([y for x in out for y in x[2]], pa.float64()), scores), pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            gc.enable()
 
     return docs.select(*[f.name for f in kept], *([text_col] if text_col in names else [])).mapInArrow(run, schema)
 
