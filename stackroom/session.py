@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows beyond this size go to Python in another batch: 10,000 long texts at once are more than a task should hold.
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it isn't installed but run from a checkout."""
+    """Let Python workers import this package when it isn't installed but run from a checkout; bound what they get at once, where the session doesn't."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

@@ -4,7 +4,9 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stackroom.queries import catalog, search, sources, text
 
@@ -62,3 +64,16 @@ def test_nothing_else_needs_the_removable_parts():
 def test_filters_reach_the_scan(spark):
     plan = catalog.inner_equi_join(spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    from stackroom.session import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("long "), 2000).alias("text")).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 3000
+    assert len(rows) > 3
+    assert max(r.size for r in rows) < 2 * BATCH_BYTES
