@@ -93,20 +93,20 @@ def registers(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out.reshape(-1, REGISTERS)
 
 
-def band_keys(regs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(regs: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands that have a register, and each text's first (with the count at the end).
 
-    A set of fewer than six shingles can only be linked with an equal one: no band.
+    A set so small that one shingle more is below the threshold can only be linked with an equal one: no band.
     """
     used = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         key = mix(key + used[:, :, k] * np.uint64(0xC2B2AE3D27D4EB4F))
-    keep = used.any(axis=2) & (sizes >= 6)[:, None]
+    keep = used.any(axis=2) & (100 * sizes >= percent * (sizes + 1))[:, None]
     return key[keep].view(np.int64), np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), registers (binary), bands (array of keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             size = np.diff(rows)
             f = [_fingerprint(values, rows, salt) for salt in _SALTS]
             regs = registers(values, rows)
-            keys, at = band_keys(regs, size)
+            keys, at = band_keys(regs, size, percent)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(f[0]), pa.array(f[1]), pa.array([r.tobytes() for r in regs], pa.binary()), list_array(pa.array(keys), at)], names=["doc_id", "n_shingles", "f1", "f2", "registers", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -281,7 +281,7 @@ def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(sketch(own))
+    sketches = cut(sketch(own, percent=percent))
     parts = max(8, -(-sketches.count() // 20_000))
     # nodes are sets, named by their fingerprint; any one of a set's documents stands for its text
     reps = cut(sketches.filter("n_shingles > 0").groupBy(F.col("f1").alias("node"), "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), parts)

@@ -61,6 +61,15 @@ def test_random_edits_against_brute_force(spark):
     check(spark, rows, 80)
 
 
+def test_smallest_linked_sets_against_brute_force(spark):
+    rows = []
+    for seed in range(24):
+        base = prose(700 + seed, 8 + seed % 3)
+        rows += [(10 * seed + 1, " ".join(base)), (10 * seed + 2, " ".join([*base, "added"])), (10 * seed + 3, " ".join(["before", *base]))]
+    check(spark, rows, 80)
+    check(spark, rows)
+
+
 def test_hard_texts_chains_and_copies(spark):
     words_ = prose(50, 160)
     chain = [(100 + k, " ".join(words_[k * 3 : k * 3 + 100])) for k in range(12)]  # each is like the next only
