@@ -41,8 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: How far a byte of a character without a piece lies below the lowest score of a piece.
 BYTE_COST = 10.0
-#: Words kept with their best paths in each of two generations of a task's cache (about 300 bytes each).
-CACHED = 80_000
+#: Words kept with their best paths in each of two generations of a task's cache (about 300 bytes each), and their characters.
+CACHED, CACHED_CHARS = 80_000, 1_000_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -100,6 +100,16 @@ class Pieces:
                 node[""] = entry
         return self._trie
 
+    def _reversed(self) -> dict:
+        """As trie(), from each piece's last character to its first."""
+        if not self._ends:
+            for name, entry in self.score.items():
+                node = self._ends
+                for c in reversed(name):
+                    node = node.setdefault(c, {})
+                node[""] = entry
+        return self._ends
+
     def _spelled(self, c: str) -> tuple[tuple[int, ...], float]:
         raw = c.encode("utf-8", "replace")
         return (tuple(self.byte[b] for b in raw) if self.byte else (0,)), self.floor * len(raw)
@@ -148,13 +158,7 @@ class Pieces:
 
     def best_paths(self, words: list[str]) -> Iterator[tuple[tuple[int, ...], float, float]]:
         """viterbi()'s ids, score and gap of many words; what a word's beginning shares with the word before it is kept, so they come sorted."""
-        if not self._ends:
-            for name, entry in self.score.items():
-                node = self._ends
-                for c in reversed(name):
-                    node = node.setdefault(c, {})
-                node[""] = entry
-        low, root = -math.inf, self._ends
+        low, root = -math.inf, self._reversed()
         best, second, back, own = [0.0], [low], [0], [None]
         before = ""
         for word in words:
@@ -205,41 +209,64 @@ class Pieces:
             before = word
             yield tuple(path[::-1]), best[n], gap
 
-    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end, the pieces that end there, the longest first: where they begin, their ids, their score."""
-        n = len(word)
-        out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            node, single = self.trie(), False
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                if found := node.get(""):
-                    single |= j == i
-                    out[j + 1].append((i, (found[0],), found[1]))
-            if not single:
-                out[i + 1].append((i, *self._spelled(word[i])))
-        return out
+    def ending(self, word: str, j: int) -> list[tuple[int, tuple[int, ...] | int, float]]:
+        """The pieces that end at j, the longest first: where they begin, their ids, their score."""
+        out: list[tuple[int, tuple[int, ...] | int, float]] = []
+        node, i = self._reversed(), j
+        while i and (node := node.get(word[i - 1])) is not None:
+            i -= 1
+            if found := node.get(""):
+                out.append((i, *found))
+        if not out or out[0][0] != j - 1:
+            out.insert(0, (j - 1, *self._spelled(word[j - 1])))
+        return out[::-1]
 
     def nbest(self, word: str, n: int) -> list[Path]:
-        """The n best segmentations with their scores, best first: A* from the end, guided by the forward scores."""
+        """The n best segmentations with their scores, best first: A* from the end, guided by the forward scores.
+
+        A path is a chain of back-pointers, spelled out once it is complete. A place's arcs come in
+        order of the estimate, and an arc is only queued once the one before it was taken, so that
+        a step adds two entries of fixed size, whatever the word's length.
+        """
         best, total, ids, gap = self.viterbi(word)
         if n == 1 or gap == math.inf:
             return [(total, ids)]
-        arcs = self.arcs(word)
-        # queue: estimate of the whole path, the best path first, order of arrival, place, score behind the place, ids behind it
-        queue: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-total, 0, len(word), 0.0, ())]
+        # steps taken: the step behind (nearer to the end), the piece, where it begins, the score from there to the end
+        behind, piece, begin, score = [-1], [-1], [len(word)], [0.0]
+        queue: list[tuple[float, int, int, list, int]] = []
         out: list[Path] = []
         arrived = 0
+
+        def offer(step: int, arcs: list, k: int) -> None:
+            """Queue a step's k-th arc by the estimate of the best whole path over it, ties by arrival."""
+            nonlocal arrived
+            if k < len(arcs):
+                arrived += 1
+                heapq.heappush(queue, (-(best[arcs[k][0]] + score[step] + arcs[k][2]), arrived, step, arcs, k))
+
+        def ordered(j: int) -> list:
+            arcs = self.ending(word, j)
+            return arcs if len(arcs) == 1 else sorted(arcs, key=lambda a: -(best[a[0]] + a[2]))
+
+        offer(0, ordered(len(word)), 0)
         while queue and len(out) < n:
-            _, _, j, behind, found = heapq.heappop(queue)
-            if not j:
-                out.append((behind, found))
+            _, _, step, arcs, k = heapq.heappop(queue)
+            i, own, s = arcs[k]
+            offer(step, arcs, k + 1)
+            behind.append(step)
+            piece.append(own)
+            begin.append(i)
+            score.append(score[step] + s)
+            last = len(behind) - 1
+            if i:
+                offer(last, ordered(i), 0)
                 continue
-            for i, own, s in arcs[j]:
-                arrived += 1
-                heapq.heappush(queue, (-(best[i] + behind + s), arrived, i, behind + s, own + found))
+            path: list[int] = []
+            at = last
+            while at:
+                path += piece[at] if isinstance(piece[at], tuple) else (piece[at],)
+                at = behind[at]
+            out.append((score[last], tuple(path)))
         # among equal paths, the first is the one that the forward pass found
         return [(total, ids), *[p for p in out if p[1] != ids]][:n]
 
@@ -295,27 +322,30 @@ class _Cache(dict):
 
     def __init__(self, value):
         super().__init__()
-        self.value, self.old = value, {}
+        self.value, self.old, self.chars = value, {}, 0
 
     def __missing__(self, word: str):
         found = self.old.get(word)
         if found is None:
             found = self.value(word)
         self[word] = found
+        self.chars += len(word)
         return found
 
     def fill(self, words: Iterable[str], values: Callable[[list[str]], Iterable]) -> None:
         """Work out the words that aren't kept, all at once and in order."""
         new = set(words).difference(self)
+        self.chars += sum(map(len, new))
         known = new & self.old.keys()
         self.update((w, self.old[w]) for w in known)
         new = sorted(new - known)
         self.update(zip(new, values(new), strict=True))
 
     def turn(self) -> None:
-        if len(self) > CACHED:
-            self.old = dict(self)
+        if len(self) > CACHED or self.chars > CACHED_CHARS:
+            self.old = dict(self) if self.chars <= 2 * CACHED_CHARS else {}
             self.clear()
+            self.chars = 0
 
 
 def _caches(pieces: Pieces, n: int) -> tuple[_Cache, _Cache]:

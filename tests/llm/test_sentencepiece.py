@@ -15,16 +15,19 @@ def tiny():
 
 
 def brute(p, word, n):
-    arcs, out = p.arcs(word), []
+    out = []
 
-    def back(j, score, ids):
+    def back(j, score):
         if not j:
-            out.append((score, ids))
-        for i, own, s in arcs[j]:
-            back(i, score + s, own + ids)
+            out.append(score)
+        for i in range(j):
+            if word[i:j] in p.score:
+                back(i, score + p.score[word[i:j]][1])
+        if j and word[j - 1] not in p.score:
+            back(j - 1, score + p.floor * len(word[j - 1].encode()))
 
-    back(len(word), 0.0, ())
-    return sorted((s for s, _ in out), reverse=True)[:n]
+    back(len(word), 0.0)
+    return sorted(out, reverse=True)[:n]
 
 
 def test_nbest_against_all_paths():
@@ -38,6 +41,29 @@ def test_nbest_against_all_paths():
         assert gap == float("inf") if len(want) == 1 else abs(gap - (want[0] - want[1])) < 1e-9
 
 
+def test_paths_spell_their_word_in_order():
+    p, rng = tiny(), random.Random(3)
+    for _ in range(50):
+        word = "".join(rng.choice("abcé▁") for _ in range(rng.randrange(1, 12)))
+        for score, ids in p.nbest(word, 4):
+            assert p.decode(ids) == word.replace("▁", " ")[1:]
+            named = sum(p.score[p.names[i]][1] for i in ids if p.names[i] in p.score)
+            assert abs(score - named - p.floor * sum(i in p.byte for i in ids)) < 1e-6
+
+
+def test_a_long_word_takes_memory_in_proportion(model):
+    import tracemalloc
+
+    word = "▁" + "".join(prose(4, 3_000))
+    peaks = []
+    for n in (len(word) // 2, len(word)):
+        tracemalloc.start()
+        assert len(model.nbest(word[:n], 4)) == 4
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2.5 * peaks[0] and peaks[1] < 2_000 * len(word)
+
+
 def test_many_words_at_once_are_those_one_by_one(model):
     rng = random.Random(5)
     for p in (tiny(), model):
