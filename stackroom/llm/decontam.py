@@ -6,9 +6,11 @@ each word; a run of `window` words or more (or a whole item that is shorter) mar
 hit. Only stretches whose neighbouring words are also neighbours in some item are streamed, as a
 run of two words or more holds no other pair; one-word items switch that filter off.
 
-Items are small beside the corpus, but not bounded: automata hold at most `most_words` item
-words; with more items than that, several automata pass over the documents one after another and
-their hits are united.
+Items are small beside the corpus, but not bounded: an automaton holds at most `most_words` item
+words (a longer item is dealt to several in parts that overlap by a window less one word). With
+more words than that, automata are built, sent and dropped one at a time: each passes over the
+texts and its hits are written by the text's digest, and the hits of all are joined with the
+documents in the end. So the driver and each task hold one automaton, whatever the number of items.
 
 Defined cases: null and empty texts have no words and no hits; items without words are ignored;
 repeated items count once by item_id; an empty items table hits nothing; rows are independent.
@@ -17,19 +19,24 @@ Other columns are kept; those named like an output column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.llm.arrow_text import ALNUM_LOWER, list_array, slices, split_words, tokenize, word_hashes
+from stackroom.llm.arrow_text import ALNUM_LOWER, Tokens, list_array, slices, split_words, tokenize, word_hashes
+from stackroom.session import cut
 
 WINDOW = 10
 #: Item words in one automaton (about 2 states of some 200 bytes for each).
 MOST_WORDS = 500_000
+#: Columns that find_overlaps makes.
+MADE = ["n_words", "spans", "items", "clean_text"]
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -163,18 +170,22 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def automata(items: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", most_words: int = MOST_WORDS) -> list[Automaton]:
-    """One automaton, or more if the items have more than most_words words."""
+def shards(items: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", most_words: int = MOST_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words in groups of most_words at most, streamed; one empty group if there are none."""
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & F.col("item").isNotNull()).distinct()
-    held, size, out = [], 0, []
+    most_words = max(most_words, window)
+    held, size, none = [], 0, True
     for r in rows.sort("item", "text").toLocalIterator():
-        ws = [w for w in split_words(r["text"], ALNUM_LOWER) if w]
-        if held and size + len(ws) > most_words:
-            out.append(Automaton(held, window))
-            held, size = [], 0
-        held.append((r["item"], ws))
-        size += len(ws)
-    return [*out, Automaton(held, window)]
+        ws = split_words(r["text"], ALNUM_LOWER)
+        for k in range(0, max(len(ws) - window + 1, 1), most_words - window + 1):
+            part = ws[k : k + most_words]
+            if held and size + len(part) > most_words:
+                yield held
+                held, size, none = [], 0, False
+            held.append((r["item"], part))
+            size += len(part)
+    if held or none:
+        yield held
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
@@ -182,36 +193,71 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
 
     clean_text is the text without the bytes from each hit span's first word to its last.
     """
-    out = docs
-    for k, automaton in enumerate(automata(items, window, item_col, item_text_col, most_words)):
-        out = _scan(out, automaton, text_col, k > 0)
-    return out
+    groups = shards(items, window, item_col, item_text_col, most_words)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+        kept = [c for c in docs.columns if c not in MADE]
+        return _marked(docs.select(*dict.fromkeys([*kept, text_col])), kept, text_col, lambda b, tok: _find(sent.value, tok))
+    texts = docs.select(F.col(text_col).alias("text"))
+    hits = reduce(DataFrame.unionByName, (_hits(texts, Automaton(g, window)) for g in chain([first, second], groups)))
+    hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), _digest(text_col).alias("key")).join(hits, "key", "left")
+
+    def known(b: pa.RecordBatch, tok: Tokens) -> tuple[dict, dict]:
+        held = [(i, s, m) for i, (s, m) in enumerate(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)) if s]
+        return {i: [(x["start"], x["end"]) for x in s] for i, s, _ in held}, {i: set(m) for i, _, m in held}
+
+    marked = _marked(rows, ["row"], "text", known)
+    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in MADE], *MADE)
+
+
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.col(text_col), 256)
+
+
+def _find(a: Automaton, tok: Tokens) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
+    """Hit spans and the items whose windows occur, by text."""
+    ids = a.numbers(tok.hash)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set[str]] = {}
+    for begin, end in a.stretches(ids, tok.rows) if len(ids) else ():
+        found, names = a.scan(ids[begin:end].tolist())
+        if found:
+            i = int(np.searchsorted(tok.rows, begin, side="right")) - 1
+            first = begin - int(tok.rows[i])
+            spans.setdefault(i, []).extend((x + first, y + first) for x, y in found)
+            items.setdefault(i, set()).update(names)
+    return spans, items
+
+
+def _hits(texts: DataFrame, automaton: Automaton) -> DataFrame:
+    """key, spans, items of each distinct text that one automaton hits, written; the automaton is given up afterwards."""
+    sent = texts.sparkSession.sparkContext.broadcast(automaton)
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            spans, items = _find(sent.value, tokenize(b.column("text"), ALNUM_LOWER))
+            if spans:
+                hit = sorted(spans)
+                pairs = pa.array([[{"start": x, "end": y} for x, y in merged(spans[i])] for i in hit], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(hit)), pairs, pa.array([sorted(items[i]) for i in hit], pa.list_(pa.string()))], names=schema.names)
+
+    found = cut(texts.select("text", _digest("text").alias("key")).mapInArrow(run, schema).dropDuplicates(["key"]))
+    sent.destroy()
+    return found
 
 
-def _scan(docs: DataFrame, automaton: Automaton, text_col: str, again: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-    made = ["n_words", "spans", "items", "clean_text"]
-    kept = [f for f in docs.schema.fields if f.name not in made]
+def _marked(docs: DataFrame, columns: list[str], text_col: str, find: Callable[[pa.RecordBatch, Tokens], tuple[dict, dict]]) -> DataFrame:
+    """The columns with n_words, spans, items and clean_text, by what find() says of each batch."""
+    kept = [docs.schema[c] for c in columns]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("clean_text", T.StringType())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = sent.value
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             tok = tokenize(b.column(text_col), ALNUM_LOWER)
-            ids = a.numbers(tok.hash)
-            spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
-            if again:
-                for i, (s, m) in enumerate(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)):
-                    if s:
-                        spans[i], items[i] = [(x["start"], x["end"]) for x in s], set(m)
-            for begin, end in a.stretches(ids, tok.rows) if len(ids) else ():
-                found, names = a.scan(ids[begin:end].tolist())
-                if found:
-                    i = int(np.searchsorted(tok.rows, begin, side="right")) - 1
-                    first = begin - int(tok.rows[i])
-                    spans.setdefault(i, []).extend((x + first, y + first) for x, y in found)
-                    items.setdefault(i, set()).update(names)
+            spans, items = find(b, tok)
             texts = b.column(text_col)
             clean = None
             if spans:
@@ -232,7 +278,7 @@ def _scan(docs: DataFrame, automaton: Automaton, text_col: str, again: bool) ->
                 names=schema.names,
             )
 
-    return docs.select(*[f.name for f in kept], *(made[:3] if again else [])).mapInArrow(scan, schema)
+    return docs.mapInArrow(mark, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

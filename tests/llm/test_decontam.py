@@ -46,6 +46,15 @@ def test_random_words_against_brute_force(spark):
     check(spark, texts, items, 4, most_words=10)
 
 
+def test_items_longer_than_an_automaton(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for k, n in enumerate((0, 3, 9, 10, 11, 60, 400))]
+    long = items[-1][1].split()
+    texts = [" ".join([f"w{rng.randrange(40)}" for _ in range(5)] + long[k : k + n]) for k, n in ((0, 400), (20, 10), (33, 9), (37, 25), (390, 10))] * 2 + [None, "", "w1"]
+    for most in (10, 11, 37, 10**6):
+        check(spark, texts, items, most_words=most)
+
+
 def test_hard_texts_and_no_items(spark):
     texts = [t for _, t in HARD]
     check(spark, texts, [(1, "no id"), (2, "one two three four five six seven eight nine ten eleven")])
