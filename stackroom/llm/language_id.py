@@ -2,8 +2,11 @@
 
 Counts are taken over every training text: each task adds up its own counts by language and
 emits them in blocks of buckets, so that what is shuffled is bounded by languages x buckets x
-tasks, and blocks are summed in parallel. The log-probability matrix (languages x buckets, of
-checked size) is broadcast; scoring gathers each n-gram's column and adds up by text in numpy.
+tasks, and blocks are summed in parallel, in two steps, so that no task gets a block from all
+tasks. The log-probability matrix (languages x buckets, of checked size) is broadcast; scoring
+gathers each n-gram's column and adds up by text in numpy. With more languages than a matrix may
+hold, one matrix after another is sent and dropped; each pass keeps a text's best language so far
+and the sum of all probabilities.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows whose language
 is null are not learned from; with no training rows every text is `und`; ties go to the
@@ -19,11 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackroom.llm.arrow_text import mix, slices
+from stackroom.session import cut
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -32,8 +37,10 @@ SLICE_BYTES = 1 << 18
 #: Added to each count.
 SMOOTHING = 0.5
 _BLOCK = 2048
-#: Languages x buckets may not be larger than this to be broadcast (128 MB of float32).
+#: Languages x buckets of one matrix that is broadcast (128 MB of float32).
 MOST_CELLS = 1 << 25
+#: Groups of tasks whose counts are summed before those of all are.
+_GROUPS = 256
 
 
 def _grams(col: pa.Array, orders: tuple[int, ...], buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -77,8 +84,32 @@ class Model:
     buckets: int
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
-    """Learn from every row with a language for which `where` holds."""
+@dataclass
+class Sharded:
+    """Models of some of the languages each, one at a time, in the order of their languages."""
+
+    counts: DataFrame
+    languages: list[list[str]]
+    priors: list[np.ndarray]
+    orders: tuple[int, ...]
+    buckets: int
+
+    def models(self) -> Iterator[Model]:
+        for names, prior in zip(self.languages, self.priors, strict=True):
+            yield Model(names, _matrix(self.counts, names, self.buckets), prior, self.orders, self.buckets)
+
+
+def _matrix(counts: DataFrame, languages: list[str], buckets: int) -> np.ndarray:
+    """log_p of these languages: so many cells come to the driver, whatever the corpus."""
+    total = np.full((buckets, len(languages)), SMOOTHING)
+    size, at = min(_BLOCK, buckets), {x: j for j, x in enumerate(languages)}
+    for r in counts.filter(F.col("lang").between(languages[0], languages[-1])).toLocalIterator() if languages else ():
+        total[r["block"] * size : (r["block"] + 1) * size, at[r["lang"]]] += np.frombuffer(r["counts"], "<i8")
+    return np.log(total / total.sum(axis=0)).astype(np.float32)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, most_cells: int = MOST_CELLS) -> Model | Sharded:
+    """Learn from every row with a language for which `where` holds; Sharded when one matrix of most_cells can't hold all languages."""
     rows = docs.filter(where) if where is not None else docs
     rows = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -100,33 +131,45 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
         for name, own in total.items():
             size = min(_BLOCK, buckets)
             k = buckets // size
-            yield pa.RecordBatch.from_pydict({"lang": [name] * k, "block": list(range(k)), "n": [seen[name]] * k, "counts": [own[i * size : (i + 1) * size].astype("<i8").tobytes() for i in range(k)]}, schema=pa.schema([("lang", pa.string()), ("block", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())]))
+            group = TaskContext.get().partitionId() % _GROUPS
+            yield pa.RecordBatch.from_pydict({"lang": [name] * k, "block": list(range(k)), "task": [group] * k, "n": [seen[name]] * k, "counts": [own[i * size : (i + 1) * size].astype("<i8").tobytes() for i in range(k)]}, schema=pa.schema([("lang", pa.string()), ("block", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())]))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "block": [pdf["block"].iloc[0]], "n": [pdf["n"].sum()], "counts": [total.astype("<i8").tobytes()]})
-
-    schema = "lang string, block int, n long, counts binary"
-    found = rows.mapInArrow(count, schema).groupBy("lang", "block").applyInPandas(add, schema)
-    parts = found.collect()  # languages x buckets cells, whatever the corpus
-    languages = sorted({r["lang"] for r in parts})
-    if len(languages) * buckets > MOST_CELLS:
-        raise ValueError(f"{len(languages)} languages x {buckets} buckets are too many cells to broadcast")
-    counts = np.zeros((buckets, len(languages)))
-    n = np.zeros(len(languages))
-    size = min(_BLOCK, buckets)
-    for r in parts:
-        j = languages.index(r["lang"])
-        counts[r["block"] * size : (r["block"] + 1) * size, j] = np.frombuffer(r["counts"], "<i8")
-        n[j] = r["n"]
-    counts += SMOOTHING
-    log_p = np.log(counts / counts.sum(axis=0)) if languages else counts
-    prior = np.log((n + 1) / (n + 1).sum()) if languages else n
-    return Model(languages, log_p.astype(np.float32), prior, orders, buckets)
-
+        return pdf.iloc[:1].assign(n=pdf["n"].sum(), counts=[total.astype("<i8").tobytes()])
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    schema = "lang string, block int, task int, n long, counts binary"
+    found = rows.mapInArrow(count, schema).groupBy("lang", "block", "task").applyInPandas(add, schema).groupBy("lang", "block").applyInPandas(add, schema)
+    found = cut(found)
+    seen = sorted((r["lang"], r["n"]) for r in found.filter("block = 0").select("lang", "n").toLocalIterator())
+    languages, n = [x for x, _ in seen], np.array([x for _, x in seen], float)
+    prior = np.log((n + 1) / (n + 1).sum()) if languages else n
+    each = max(1, most_cells // buckets)
+    if len(languages) <= each:
+        return Model(languages, _matrix(found, languages, buckets), prior, orders, buckets)
+    parts = range(0, len(languages), each)
+    return Sharded(found, [languages[k : k + each] for k in parts], [prior[k : k + each] for k in parts], orders, buckets)
+
+
+def _totals(m: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's log score by language, and whether it has a letter."""
+    grams, starts, letters = _grams(col, m.orders, m.buckets)
+    n_langs = len(m.languages)
+    total = np.tile(m.prior, (len(col), 1))
+    if n_langs and len(grams[0]):
+        sums = np.zeros((len(grams[0]) + 1, n_langs))
+        each = np.zeros((len(grams[0]), n_langs))
+        for n, g in zip(m.orders, grams, strict=True):
+            each += m.log_p[g] * _inside(starts, n, len(g))[:, None]
+        np.cumsum(each, axis=0, out=sums[1:])
+        total = total + (sums[starts[1:]] - sums[starts[:-1]])
+    return total, letters
+
+
+def predict(docs: DataFrame, model: Model | Sharded, text_col: str = "text") -> DataFrame:
     """All columns with lang_pred and score (the posterior probability of lang_pred)."""
+    if isinstance(model, Sharded):
+        return _predict_sharded(docs, model, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -134,17 +177,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in slices(batches, text_col, SLICE_BYTES):
-            grams, starts, letters = _grams(b.column(text_col), m.orders, m.buckets)
-            n_langs = len(m.languages)
-            total = np.tile(m.prior, (b.num_rows, 1))
-            if n_langs and len(grams[0]):
-                sums = np.zeros((len(grams[0]) + 1, n_langs))
-                each = np.zeros((len(grams[0]), n_langs))
-                for n, g in zip(m.orders, grams, strict=True):
-                    each += m.log_p[g] * _inside(starts, n, len(g))[:, None]
-                np.cumsum(each, axis=0, out=sums[1:])
-                total = total + (sums[starts[1:]] - sums[starts[:-1]])
-            if n_langs:
+            total, letters = _totals(m, b.column(text_col))
+            if m.languages:
                 best = total.argmax(axis=1)
                 p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             else:
@@ -156,6 +190,29 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.select(*[f.name for f in kept]).mapInArrow(score, schema)
 
 
+def _predict_sharded(docs: DataFrame, model: Sharded, text_col: str) -> DataFrame:
+    """One pass for each matrix; rows are written in between, so that a task and the driver hold one matrix."""
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"), F.lit("und").alias("best"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("sum"))
+    schema = rows.schema
+    for m in model.models():
+        sent = docs.sparkSession.sparkContext.broadcast(m)
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for b in slices(batches, "text", SLICE_BYTES):
+                total, letters = _totals(m, b.column("text"))
+                own, before = total.max(axis=1), b.column("top").to_numpy()
+                best = [m.languages[k] if new else old for k, new, old in zip(total.argmax(axis=1).tolist(), (letters & (own > before)).tolist(), b.column("best").to_pylist(), strict=True)]
+                sums = np.logaddexp(b.column("sum").to_numpy(), own + np.log(np.exp(total - own[:, None]).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(best, pa.string()), pa.array(np.maximum(own, before)), pa.array(sums)], names=schema.names)
+
+        rows = cut(rows.mapInArrow(score, schema))
+        sent.destroy()
+    p = F.when(F.col("best") == "und", F.lit(0.0)).otherwise(F.least(F.exp(F.col("top") - F.col("sum")), F.lit(1.0)))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.col("best").alias("lang_pred"), p.alias("score"))
+
+
 def identify(docs: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on the rows for which `where` holds, predict all rows."""
     return predict(docs, train(docs, text_col, lang_col, where), text_col)

@@ -41,6 +41,20 @@ def test_counts_are_exact(spark):
     assert m.languages == ["x", "y"] and np.isclose(high[0], (2 + L.SMOOTHING) / (4 + L.SMOOTHING * 4096), rtol=1e-4) and np.isclose(high[1], high[0])
 
 
+def test_more_languages_than_a_matrix_holds(spark):
+    from tests.llm.fixtures import prose
+
+    rows = [(100 + k, " ".join(prose(k % 23, 40)), f"x{k % 23:02}") for k in range(92)]
+    d = docs(spark, rows + [r for r in HARD if r[0] != 7])
+    whole, parts = L.train(d, buckets=4096), L.train(d, buckets=4096, most_cells=4096 * 5)
+    assert isinstance(parts, L.Sharded) and [len(x) for x in parts.languages] == [5, 5, 5, 5, 4] and whole.languages == sum(parts.languages, [])
+    key = lambda r: (r["doc_id"] or 0, r["text"] or "")
+    one, many = (sorted(L.predict(d.withColumn("score", F.lit("mine")), m).collect(), key=key) for m in (whole, parts))
+    assert len(one) == len(many) == 102 and one[0].asDict().keys() == many[0].asDict().keys()
+    for a, b in zip(one, many, strict=True):
+        assert key(a) == key(b) and a["lang_pred"] == b["lang_pred"] and abs(a["score"] - b["score"]) < 1e-6
+
+
 def test_nothing_to_learn_from(spark):
     empty = docs(spark, [(1, "text here", None)])
     assert [r["lang_pred"] for r in L.identify(empty).collect()] == ["und"]
