@@ -1,6 +1,10 @@
-from itertools import combinations
+import random
+from itertools import combinations, product
+
+from pyspark.sql import functions as F
 
 from stackroom.llm import url_filter as U
+from stackroom.session import cut
 
 URLS = [
     None, "", "no scheme", "http://", "HTTP://Ex.Example.NET/en/x?q=1#f", "https://example.net/en", "https://example.net/en/", "http://a.example.com/de/1", "http://example.com/fr/", "http://x.org/fr/9", "http://org/fr/", "http://badorg/fr/", "http://net/", "http://x.net", "http://x.net?y/", "http://x.net#/", "ftp://a://b/c",
@@ -22,7 +26,7 @@ def brute(url):
 
 def test_fixed_rules_against_brute_force(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)) + [(4, URLS[4])], "page_id long, url string")
-    none = spark.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
+    none = spark.createDataFrame([], "rule_tokens array<array<string>>, confidence double, support double")
     got = U.judge(pages, none).collect()
     assert len(got) == len(URLS) + 1
     for r in got:
@@ -30,28 +34,77 @@ def test_fixed_rules_against_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, U.RULES.get(rule, "allow")), URLS[r["page_id"]]
 
 
-def test_mined_rules_are_those_of_counting_all_combinations(spark):
-    urls = [(f"http://{'casino' if k % 4 == 0 else 'news'}.example.info/{'promo' if k % 3 == 0 else 'text'}/{k}", k % 4 == 0 and k % 3 == 0 or k % 97 == 0) for k in range(600)]
+def mined_by_counting(rows, support, most=3, least=4):
+    """Rules by counting all combinations of the urls' tokens."""
+    base, combos = sum(r["bad"] for r in rows) / len(rows), {}
+    for r in rows:
+        for n in range(1, most + 1):
+            for c in combinations(sorted(r["t"]), n):
+                own = combos.setdefault(c, [0, 0])
+                own[0] += 1
+                own[1] += r["bad"]
+    want = {}
+    for c, (m, bad) in combos.items():
+        if bad < least or bad / len(rows) < support:
+            continue
+        p, z = bad / m, 1.96
+        low = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+        if p / base >= 1.5 and low >= 0.5:
+            want[c] = p
+    return {c: p for c, p in want.items() if not any(d in want and want[d] >= p for n in range(1, len(c)) for d in combinations(c, n))}
+
+
+def check_mined(spark, urls, support):
     labelled = spark.createDataFrame(urls, "url string, bad boolean")
     rows = labelled.select("bad", U.tokens(labelled["url"]).alias("t")).collect()
-    got = {tuple(r["rule_tokens"]) for r in U.mine(labelled, support=0.02).collect()}
-    tokens = sorted({t for r in rows for t in r["t"]})
-    want, base = {}, sum(r["bad"] for r in rows) / len(rows)
-    for n in (1, 2, 3, 4, 5):
-        for c in combinations(tokens, n):
-            own = [r["bad"] for r in rows if set(c) <= set(r["t"])]
-            if own and sum(own) / len(rows) >= 0.02:
-                p, m, z = sum(own) / len(own), len(own), 1.96
-                low = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
-                if p >= 0.5 and p / base >= 1.5 and low >= 0.5:
-                    want[c] = p
-    want = {c for c, p in want.items() if not any(set(d) < set(c) and q >= p for d, q in want.items())}
+    want = mined_by_counting(rows, support)
+    mined = U.mine(labelled, support=support)
+    got = {tuple(sorted(c)): r["confidence"] for r in mined.collect() for c in product(*r["rule_tokens"])}
     assert got == want and got
-    judged = {r["url"]: r for r in U.judge(labelled.selectExpr("url", "url AS page_id"), U.mine(labelled, support=0.02)).withColumnRenamed("page_id", "url").collect()}
-    for url, _ in urls:
-        t = set(next(r["t"] for r, u in zip(rows, urls, strict=True) if u[0] == url))
-        n = sum(set(c) <= t for c in want)
-        assert judged[url]["n_mined"] == n and judged[url]["verdict"] == ("block" if n else "allow")
+    judged = {r["url"]: r for r in U.judge(labelled.selectExpr("url", "url AS page_id"), mined, rules={}).withColumnRenamed("page_id", "url").collect()}
+    for r, (url, _) in zip(rows, urls, strict=True):
+        assert judged[url]["verdict"] == ("block" if any(set(c) <= set(r["t"]) for c in want) else "allow")
+
+
+def test_mined_rules_are_those_of_counting_all_combinations(spark):
+    check_mined(spark, [(f"http://{'casino' if k % 4 == 0 else 'news'}.example.info/{'promo' if k % 3 == 0 else 'text'}/{k}", k % 4 == 0 and k % 3 == 0 or k % 97 == 0) for k in range(600)], 0.02)
+
+
+def test_long_urls_lose_no_rules(spark):
+    """Urls of many segments that others share in part go to FP-growth in parts."""
+    rng = random.Random(3)
+    urls = []
+    for k in range(60):
+        bad = k % 3 == 0
+        segments = [f"s{chr(97 + j)}" for j in range(22) if rng.random() < (0.8 if bad and j < 8 else 0.4)]
+        urls.append((f"http://h{chr(97 + k % 5)}.example.info/" + "/".join(segments), bad))
+    check_mined(spark, urls, 0.02)
+
+
+def test_templates_of_many_segments_end_soon(spark):
+    template = "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    urls = [(f"http://host.example.info/{template}/{k}", True) for k in range(20)] + [(f"http://other.example.info/text/{k}", False) for k in range(60)]
+    labelled = spark.createDataFrame(urls, "url string, bad boolean")
+    rules = U.mine(labelled).collect()
+    assert len(rules) == 1 and len(rules[0]["rule_tokens"][0]) == 61
+    part = spark.createDataFrame([(1, f"http://new.example.org/{template.split('/')[7]}"), (2, "http://other.example.info/text/9")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in U.judge(part, U.mine(labelled), rules={}).collect()} == {1: "block", 2: "allow"}
+
+
+def test_mined_verdicts_on_the_given_tables(spark):
+    """Rules from three quarters of the urls under fixed rules judge the rest as those do, mostly; and other urls get verdicts."""
+    from stackroom.session import table
+
+    sf = "/root/testdata/sf0.01"
+    pages, labels = table(spark, sf, "pages"), table(spark, sf, "labels")
+    seen = F.crc32(F.col("url").cast("binary")) % 4 != 0
+    mined = cut(U.mine(U.labelled_pages(pages.filter(seen), labels)))
+    unseen = pages.filter(~seen)
+    by_rules = {r["page_id"]: r for r in U.judge(unseen, mined).filter("rule is not null").collect()}
+    blocked = [r["page_id"] for r in U.judge(unseen, mined, rules={}).filter("n_mined > 0").collect() if r["page_id"] in by_rules]
+    right = sum(by_rules[k]["verdict"] == "block" for k in blocked)
+    assert len(blocked) >= 5 and right >= 0.75 * len(blocked)
+    assert U.judge(pages, mined).filter("rule is null and n_mined > 0").count() > 0
 
 
 def test_nothing_to_mine(spark):
@@ -61,7 +114,7 @@ def test_nothing_to_mine(spark):
     assert U.mine(one).count() == 0
 
 
-def test_labels_come_by_the_number_in_the_url(spark):
-    pages = spark.createDataFrame([(1, "http://a.b/en/7.html"), (2, "http://a.b/en/8?x=1"), (3, None), (4, "http://a.b/99999999999999999999")], "page_id long, url string")
+def test_labels_come_from_rules_and_by_the_number_in_the_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/en/7.html"), (2, "http://a.b/en/8?x=1"), (3, None), (4, "http://a.b/99999999999999999999"), (5, "http://x.net/7"), (6, "http://x.org/fr/8")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (8, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    assert {(r["url"], r["bad"]) for r in U.labelled_pages(pages, labels).collect()} == {("http://a.b/en/7.html", False), ("http://a.b/en/8?x=1", True)}
+    assert {(r["url"], r["bad"]) for r in U.labelled_pages(pages, labels).collect()} == {("http://a.b/en/7.html", False), ("http://a.b/en/8?x=1", True), ("http://x.net/7", True), ("http://x.org/fr/8", False)}
