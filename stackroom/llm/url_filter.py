@@ -120,7 +120,10 @@ def _candidates(rows: DataFrame, least: int, most_tokens: int) -> DataFrame:
     rows = rows.filter(~wide).select("items", "n").union(parts.select("part", "n")).withColumn("n", F.least("n", F.lit(least)))
     rows = rows.select("items", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024))).alias("k"))  # as often as it counts, in arrays of bounded size
     rows = cut(rows.select("items", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("k") * 1024, F.lit(1024)))).alias("i")).select("items"))
-    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(rows.count(), 1)).fit(rows).freqItemsets
+    n = rows.count()
+    if not n:
+        return rows.select(F.col("items").alias("rule"))
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets
     return found.filter(F.size("items") <= most_tokens).select(F.array_sort("items").alias("rule"))
 
 
