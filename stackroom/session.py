@@ -29,19 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster is refused, as
+    data would end up on one machine's disk.
+    """
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known:
+        return known
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stackroom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Compute df once into the shared checkpoint folder and cut its lineage; in so many parts at most.
 
-    The folder comes from spark.checkpoint.dir; a folder of its own is set only where that is
-    unset (local tests). Files there are replicated by the storage, so losing an executor does
-    not lose the rows.
+    Files there are replicated by the storage, so losing an executor does not lose the rows.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stackroom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return (df.coalesce(parts) if parts else df).checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files: Spark deletes them once the driver's garbage collector finds that nothing refers to them, which by itself may not run for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c):
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
