@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.session import cut
 
 
+_OTHER = 0x5DEECE66D
+
+
+def apart(key: str, name: str = "k") -> Column:
+    """A long key in other words: a join on it shuffles both sides by themselves, also where one was aggregated by the key, and only then does Spark split a hot key. The same turns it back."""
+    return F.col(key).bitwiseXOR(F.lit(_OTHER)).alias(name)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int = 64) -> DataFrame:
     """A row (node, component) for each node of an edge; component is the smallest node reachable.
 
