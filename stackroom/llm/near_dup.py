@@ -25,8 +25,9 @@ threshold go, and the rest are verified on their full sets. No pair that shares
 could connect two components is left out; what is joined are edits, not the texts that a group has
 in common.
 
-Skew: copies are folded by a partial aggregation; pivots are maxima (partial aggregation); the
-joins with pivots are plain shuffle joins, which Spark splits where one key is hot.
+Skew: copies are folded by a partial aggregation; pivots are maxima (partial aggregation); both
+sides of the joins with bands' sizes and with pivots are shuffled by themselves, so that Spark can
+split a hot key.
 
 Defined cases: null, empty and wordless texts have an empty set, no link, and are kept; a text of
 fewer words than a shingle is its whole sequence; a repeated row (same id)
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackroom.llm.arrow_text import SPACED_LOWER, list_array, mix, shingles, slices, tokenize
-from stackroom.llm.components import components
+from stackroom.llm.components import apart, components
 from stackroom.session import cut
 
 WIDTH = 5
@@ -60,6 +61,8 @@ MARGIN = 0.35
 FEW, LARGE = 8, 32
 #: Members that may become a large group's pivot.
 NEAREST = 8
+#: Bytes of sets in one part.
+SET_BYTES = 16 << 20
 #: Ids that may be broadcast (16 bytes each).
 MOST_SENT = 200_000
 
@@ -282,19 +285,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(sketch(own, percent=percent))
-    parts = max(8, -(-sketches.count() // 20_000))
+    size = sketches.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    parts = max(8, -(-size["rows"] // 20_000))
     # nodes are sets, named by their fingerprint; any one of a set's documents stands for its text
     reps = cut(sketches.filter("n_shingles > 0").groupBy(F.col("f1").alias("node"), "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), parts)
     banded = reps.filter("doc_id is not null").select("node", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(banded.join(sizes, "key"), parts)
+    buckets = cut(banded.select("node", apart("key")).join(sizes.select(apart("key"), "n"), "k").select("node", apart("k", "key"), "n"), parts)
     few, many = buckets.filter(F.col("n") <= FEW).select("key", "node"), buckets.filter(F.col("n") > FEW)
     small = few.join(few.toDF("key", "b"), "key").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
     small = cut(_likely(small, reps, percent), parts)
     popular = many.groupBy("node").agg(F.sum("n").alias("popular"))
-    pivots = many.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select("key", F.col("b.node").alias("b"))
-    pairs = cut(many.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), parts)
-    sets = _sets(own, reps, small.select(F.col("a").alias("node")).union(small.select("b")).union(pairs.select("a")).union(pairs.select("b")), parts)
+    pivots = many.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node")).alias("b")).select(apart("key"), F.col("b.node").alias("b"))
+    pairs = cut(many.select("node", apart("key")).join(pivots, "k").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), parts)
+    sets = _sets(own, reps, small.select(F.col("a").alias("node")).union(small.select("b")).union(pairs.select("a")).union(pairs.select("b")), max(parts, 8 * size["shingles"] // SET_BYTES + 1))
     alike = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     stars, links = _better_pivots(cut(_compared(pairs, sets), parts), sets, alike, parts)
     links = cut(links.union(_compared(small, sets).filter(alike).select("a", "b")), parts)
