@@ -6,7 +6,8 @@ kinds, word lengths, repetition, hashed words), a hidden layer encodes it, gated
 probability of label 1. Only document labels are needed. All passages of a text are read.
 
 The network is fitted with Adam on at most MOST_LABELLED labelled documents, those whose ids hash
-lowest; their passage vectors are made by Spark and are all that the driver sees. Scoring is one
+lowest, or fewer when their passage vectors come to MOST_BYTES; these vectors are made by Spark and
+are all that the driver sees. Scoring is one
 pass without a shuffle.
 
 Defined cases: null and empty texts are one passage of zeros and get the score that gives; a
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from stackroom.llm.arrow_text import SPACED_LOWER, slices, tokenize
 
 PASSAGE = 64
-#: Documents with a label to fit on, at most.
-MOST_LABELLED = 4000
+#: Documents with a label to fit on, at most, and bytes of their passage vectors (the last document may go over it).
+MOST_LABELLED, MOST_BYTES = 4000, 64 << 20
 HASHED = 64
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 200, 0.02, 1e-4, 7
 #: Kinds of characters whose share of a passage's bytes is a feature.
@@ -146,8 +147,8 @@ def fit(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> Model:
     return Model(mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, most: int = MOST_LABELLED) -> Model:
-    """Learn from labelled documents for whose label rows `where` holds, `most` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Model:
+    """Learn from labelled documents for whose label rows `where` holds, `most` of them and most_bytes of vectors at most."""
     marks = labels.filter(where) if where is not None else labels
     marks = marks.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(most)
@@ -160,7 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array(made, pa.binary())], names=["_id", "y", "x"])
 
     schema = T.StructType([rows.schema["_id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    got = sorted(((r["_id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(vectors, schema).dropDuplicates(["_id"]).toLocalIterator()), key=lambda r: r[0])
+    got, held = [], 0
+    for r in rows.mapInArrow(vectors, schema).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
+        got.append((r["_id"], r["y"], bytes(r["x"])))
+        held += len(got[-1][2])
+        if held >= most_bytes:
+            break
+    got.sort(key=lambda r: r[0])
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, WIDTH) for r in got]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     return fit(np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32), first, np.array([r[1] for r in got], np.float32))
