@@ -70,8 +70,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns with the counts that rules look at."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
+    found = free("_found", docs)
     counted = docs.withColumns({
-        "_found": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
+        found: let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
         "word_chars": size(r"[\x20\x09-\x0D]+"),
         "n_symbols": size(r"[^#*$%&|<>]+"),
         "n_upper": size(r"[^A-Z]+"),
@@ -81,7 +82,14 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": duplicate_lines(text),
         "n_lines": F.size(F.split(text, "\n")).cast("long"),
     })
-    return counted.withColumns({"n_words": F.col("_found")["n_words"], "n_repeat_words": F.col("_found")["n_repeat_words"]}).drop("_found")
+    return counted.withColumns({"n_words": F.col(found)["n_words"], "n_repeat_words": F.col(found)["n_repeat_words"]}).drop(found)
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """The name, longer where the table has a column that begins with it."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
 
 
 def rules() -> dict[str, Column]:
@@ -152,8 +160,10 @@ def posterior(prior: float, weights: list[Weights], votes) -> float:
 def judge(docs: DataFrame, text_col: str = "text", least: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
     """All columns with the counts, base_failed, posterior and kept."""
     votes = rules()
-    voted = (counts if counts is not None else measure(docs, text_col)).withColumns({f"_vote_{k}": v for k, v in votes.items()})
-    names = [f"_vote_{k}" for k in votes]
+    counted = counts if counts is not None else measure(docs, text_col)
+    mark = free("_vote", counted)
+    names = [f"{mark}_{k}" for k in votes]
+    voted = counted.withColumns(dict(zip(names, votes.values(), strict=True)))
     patterns = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
     prior, weights = estimate(sorted([(tuple(r[n] for n in names), r["count"]) for r in patterns], key=repr))
     terms = [F.when(F.col(n), F.lit(good)).when(~F.col(n), F.lit(poor)).otherwise(F.lit(0.0)) for n, (good, poor) in zip(names, weights, strict=False)]
