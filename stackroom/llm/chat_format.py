@@ -336,15 +336,20 @@ def format_turns(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     return own.mapInPandas(render, schema)
 
 
-def read_turns(text: str) -> list[tuple[str, str]]:
-    """Role and text of each turn of a text made by the template above."""
+def read_whole_turns(text: str) -> tuple[list[tuple[str, str]], str]:
+    """Role and text of the turns that a text made by the template above begins with, and what follows the last whole one."""
     out, at = [], 0
-    while at < len(text):
-        m = _TURN.match(text, at)
-        if not m:
-            raise ValueError(f"no turn at character {at}")
+    while at < len(text) and (m := _TURN.match(text, at)):
         out.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
+    return out, text[at:]
+
+
+def read_turns(text: str) -> list[tuple[str, str]]:
+    """Role and text of each turn of a whole text made by the template above."""
+    out, rest = read_whole_turns(text)
+    if rest:
+        raise ValueError(f"no turn at character {len(text) - len(rest)}")
     return out
 
 
@@ -352,7 +357,8 @@ def digest(pieces: DataFrame) -> DataFrame:
     """A row for each conversation, read back from its pieces: counts and digests of turns and of the text under the loss mask.
 
     A digest is made front to back, so a conversation's pieces pass through one task, but sorted and
-    streamed: the task holds one piece and the running digests.
+    streamed: the task holds a piece, the running digests and what isn't a whole turn yet. Turns are
+    read from the joined text, whatever piece they were rendered in; text that is no turn is refused.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     order = ["conv_id", "phase", "turn", "role", "text"]
@@ -363,6 +369,7 @@ def digest(pieces: DataFrame) -> DataFrame:
         held = None
 
         def row() -> tuple:
+            read_turns(held["rest"])
             return held["id"], held["n"], held["turns"].hexdigest(), held["chars"], held["loss"].hexdigest(), held["all"]
 
         for pdf in batches:
@@ -371,8 +378,9 @@ def digest(pieces: DataFrame) -> DataFrame:
                 if held is None or held["id"] != conv:
                     if held is not None:
                         done.append(row())
-                    held = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "all": 0}
-                for role, text in read_turns(piece):
+                    held = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "all": 0, "rest": ""}
+                turns, held["rest"] = read_whole_turns(held["rest"] + piece)
+                for role, text in turns:
                     held["n"] += 1
                     held["turns"].update(f"{role}\n{text}\n".encode())
                 for a, b in spans:

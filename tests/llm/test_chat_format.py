@@ -61,6 +61,18 @@ def test_digests_against_brute_force(spark):
     assert C.digest(C.format_turns(df.limit(0))).count() == 0
 
 
+def test_turns_are_read_from_the_joined_text(spark):
+    """Pieces may be cut anywhere; what is no turn in the end is refused."""
+    whole = C.Template.compile(C.TEMPLATE).render([{"role": "user", "text": NASTY, "turn": "0"}, {"role": "assistant", "text": NASTY, "turn": "1"}])[0]
+    cuts = [(1, k, whole[a : a + 7]) for k, a in enumerate(range(0, len(whole), 7))]
+    pieces = spark.createDataFrame([(c, 1, k, "", "", t, []) for c, k, t in cuts], "conv_id long, phase int, turn long, role string, text string, piece string, spans array<array<int>>")
+    r = C.digest(pieces).first()
+    assert r["n_turns"] == 2 and r["formatted_chars"] == len(whole) and r["turns_sha256"] == hashlib.sha256(f"user\n{NASTY}\nassistant\n{NASTY}\n".encode()).hexdigest()
+    assert C.read_whole_turns(whole + "### us") == (C.read_turns(whole), "### us")
+    with pytest.raises(ValueError):
+        C.read_turns(whole[:-1])
+
+
 def test_pieces_around_the_loop(spark):
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "bot", "a"), (2, 0, "user", "r")], "conv_id long, turn long, role string, text string")
     got = C.format_turns(df, "<s>{% for message in messages %}[{{ message.text }}]{% endfor %}</s>").orderBy("conv_id", "phase", "turn").collect()
