@@ -33,7 +33,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode(_docs(spark, sf_dir), with_ids=False).drop("text")
+    return sentencepiece_nbest.encode(_docs(spark, sf_dir)).drop("text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
