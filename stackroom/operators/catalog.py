@@ -238,3 +238,44 @@ def prune_to_fit(turns: DataFrame, budget: int, keep_first: int = 2) -> DataFram
     head = F.sum(F.when(F.col("turn") < keep_first, F.col("size")).otherwise(0)).over(Window.partitionBy("conv_id"))
     tail = F.sum(F.when(F.col("turn") >= keep_first, F.col("size")).otherwise(0)).over(w)
     return turns.withColumns({"head": head, "tail": tail}).filter((F.col("turn") < keep_first) | (F.col("head") + F.col("tail") <= budget)).drop("head", "tail")
+
+
+#: Failure codes that a missing tool causes.
+TOOL_CODES = ["NEEDS_TOOL", "NEEDS_TESSERACT", "NEEDS_SURYA", "NEEDS_LLAMA_CPP", "NEEDS_SURYA_MODEL", "SURYA_START_FAILED"]
+
+
+def failure_status(code: Column) -> Column:
+    """The state of a document that failed with this code: waiting for a tool, or failed."""
+    return F.when(code.isin(*TOOL_CODES), "NEEDS_TOOL").otherwise("FAILED")
+
+
+def page_census(pages: DataFrame, selected: str | list[int] = "automatic", reads_images: bool = True) -> DataFrame:
+    """doc_id, document_pages and pages_to_read of a rescan. pages: doc_id, page (from 0), published (its text or null), policy (whether its text can't be trusted).
+
+    Automatically a page is read that the policy says, or that has no published text; `all` reads
+    every page, a list just those. Without a reader of images none is read.
+    """
+    wanted = F.lit(True) if selected == "all" else F.col("page").isin(*selected) if isinstance(selected, list) else F.col("published").isNull() | F.coalesce("policy", F.lit(True))
+    return pages.groupBy("doc_id").agg(F.count("*").alias("document_pages"), F.count_if(wanted & F.lit(reads_images)).alias("pages_to_read"))
+
+
+#: Units to each side of one that is read, and hits of one search.
+MOST_AROUND, MOST_HITS = 5, 10
+
+
+def units_around(units: DataFrame, asked: DataFrame, before: int = MOST_AROUND, after: int = MOST_AROUND) -> DataFrame:
+    """For each unit asked for (doc_id, ordinal): it and its neighbours, with at (their place from it); up to MOST_AROUND to each side.
+
+    Places are counted over the units that are there, not by their numbers.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    placed = units.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("place", F.row_number().over(w))
+    centre = placed.join(asked.select("doc_id", "ordinal").distinct(), ["doc_id", "ordinal"]).select("doc_id", F.col("ordinal").alias("asked"), F.explode(F.sequence(F.col("place") - min(before, MOST_AROUND), F.col("place") + min(after, MOST_AROUND))).alias("place"), F.col("place").alias("centre"))
+    return centre.join(placed, ["doc_id", "place"]).withColumn("at", F.col("place") - F.col("centre")).drop("place", "centre")
+
+
+def structure_listing(units: DataFrame, text: str = "text", chars: int = 80) -> DataFrame:
+    """doc_id, n_units, first and last ordinal, and the units' beginnings that are headings (ordinal, label), in order."""
+    title = F.regexp_extract(F.col(text), r"^\s*#{1,6}\s+(.*)$", 1)
+    found = F.collect_list(F.when(title != "", F.struct(F.col("ordinal").alias("ordinal"), F.substring(title, 1, chars).alias("label"))))
+    return units.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.sort_array(found).alias("headings"))

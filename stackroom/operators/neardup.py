@@ -1,4 +1,4 @@
-"""Pairs of texts with nearly equal word sets, exactly, by prefix filtering."""
+"""Texts with nearly equal word sets, exactly, by prefix filtering."""
 
 from __future__ import annotations
 
@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackroom.functions.text import near_dup_words
+from stackroom.session import cut
 
 
 def word_set_pairs(docs: DataFrame, scope: str, least: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b) of one scope whose shared words are `least` of the larger set, a < b.
+    """(a, b, kind): kind `equal` for a text b whose word set is that of a, the smallest key with it in its scope; kind `near` for two of these with `least` of the larger set in common, a < b.
 
-    Sets that similar share one of their rarest words: with words in order of document frequency,
-    one of the first n - ceil(least * n) + 1 of each. Only those words are joined on, so frequent
-    words never meet; candidates are verified on the whole sets.
+    Copies are folded first, so n equal texts give n - 1 rows and are compared once. Sets that
+    similar share one of their rarest words: with words in order of document frequency, one of the
+    first n - ceil(least * n) + 1 of each. Only those words are joined on, so frequent words never
+    meet; candidates are verified on the whole sets. Words are 64-bit hashes from the start.
+    Texts without words, and rows without a key or scope, are in no row.
     """
-    sets = docs.select(key, scope, near_dup_words(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    words = sets.select(key, scope, F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    w = Window.partitionBy(key).orderBy("df", "word")
-    prefix = words.join(counts, "word").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, scope, "word", "n")
-    other = prefix.toDF("b", scope, "word", "m")
-    near = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
-    pairs = prefix.toDF("a", scope, "word", "n").join(other, [scope, "word"]).filter(near).select("a", "b").distinct()
-    own = sets.select(key, "words")
-    full = pairs.join(own.toDF("a", "wa"), "a").join(own.toDF("b", "wb"), "b")
-    return full.filter(F.size(F.array_intersect("wa", "wb")) >= least * F.greatest(F.size("wa"), F.size("wb"))).select("a", "b")
+    words = F.array_sort(F.transform(near_dup_words(F.col(text)), lambda w: F.xxhash64(w)))
+    sets = docs.filter(F.col(key).isNotNull() & F.col(scope).isNotNull()).select(F.col(key).alias("b"), F.col(scope).alias("scope"), words.alias("words")).filter(F.size("words") > 0)
+    sets = cut(sets.select("b", "scope", "words", F.xxhash64("words").alias("f"), F.xxhash64(F.lit(1), F.reverse("words")).alias("g")))
+    own = cut(sets.groupBy("scope", "f", "g").agg(F.min("b").alias("a"), F.first("words").alias("words")))
+    equal = sets.select("b", "scope", "f", "g").join(own.select("a", "scope", "f", "g"), ["scope", "f", "g"]).filter("a <> b").select("a", "b", F.lit("equal").alias("kind"))
+
+    each = own.select("a", "scope", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("a").orderBy("df", "word")
+    prefix = each.join(counts, "word").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("a", "scope", "word", "n")
+    fits = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    pairs = prefix.join(prefix.toDF("b", "scope", "word", "m"), ["scope", "word"]).filter(fits).select("a", "b").distinct()
+    full = pairs.join(own.select("a", F.col("words").alias("wa")), "a").join(own.select(F.col("a").alias("b"), F.col("words").alias("wb")), "b")
+    near = full.filter(F.size(F.array_intersect("wa", "wb")) >= least * F.greatest(F.size("wa"), F.size("wb")))
+    return equal.unionByName(near.select("a", "b", F.lit("near").alias("kind")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stackroom.functions.text import carries_meaning, plain_tokens, searchable
 from stackroom.plans.query import Index, Query, compile
+from stackroom.session import cut, shared_folder
 
 PER_BRANCH, FUSED, RRF_K = 50, 30, 60
 
@@ -25,13 +28,32 @@ def build_index(docs: DataFrame, analyze=plain_tokens, id_col: str = "doc_id", t
 
 
 def write_index(index: Index, path: str, partitions: int) -> None:
-    """Write postings sorted by term in range partitions, so that a query's terms read a few row groups."""
-    index.postings().repartitionByRange(partitions, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Write postings, and terms with their frequencies, sorted by term in range partitions, so that a query's terms read a few row groups; and documents with their lengths, and the totals."""
+    by_term = lambda rows, *more: rows.repartitionByRange(partitions, "term").sortWithinPartitions("term", *more)
+    by_term(index.postings(), "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = index.documents.sparkSession.read.parquet(f"{path}/postings")
+    by_term(statistics(Index(stored=stored))).write.mode("overwrite").parquet(f"{path}/terms")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    index.documents.sparkSession.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark, path: str) -> Index:
-    return Index(stored=spark.read.parquet(f"{path}/postings"), lengths=spark.read.parquet(f"{path}/documents"))
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(stored=read("postings"), lengths=read("documents"), vocabulary=read("terms"), totals=read("totals").first())
+
+
+_WRITTEN: dict[tuple[str, str], Index] = {}
+
+
+def index_of(docs: DataFrame, name: str, analyze=plain_tokens) -> Index:
+    """The written index of these documents: built once in a session under this name, in the shared folder, and read from then on."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        write_index(build_index(docs, analyze), path, max(8, spark.sparkContext.defaultParallelism))
+        _WRITTEN[key] = read_index(spark, path)
+    return _WRITTEN[key]
 
 
 def statistics(index: Index) -> DataFrame:
@@ -83,34 +105,59 @@ def nearest(vectors: DataFrame, query: list[float], k: int = PER_BRANCH, key: st
     return top(rows.select(key, ((1 + dot(F.col(column), F.array(*map(F.lit, query)))) / 2).alias("score")), k, key)
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
-    """Exact top k for many queries (query_id, vector): blocks of queries are multiplied with each batch of vectors.
+#: Bytes of query vectors and of their best rows that a task of nearest_many holds.
+QUERY_BYTES = 64 << 20
+
 
-    Each task keeps k rows for each query of a block, so what is shuffled is tasks x queries x k rows.
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 1024, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Exact top k for many queries (query_id, vector), with rank: blocks of queries are multiplied with each batch of vectors.
+
+    Queries are streamed to the driver once, in groups of most_bytes at most with their best rows;
+    each group is one scan of the vectors, and its result is written before the next group is sent.
+    Each task keeps k rows for each query, so what is shuffled is tasks x queries x k rows.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    out = None
-    for b in range(-(-n // block)):
-        part = queries.orderBy("query_id").offset(b * block).limit(block).collect()
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), np.array([r["vector"] for r in part], np.float32)))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            best = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
-            for pdf in batches:
-                s = q @ np.stack(pdf[column]).astype(np.float32).T
-                scores = np.concatenate([best[0], s], axis=1)
-                keys = np.concatenate([best[1], np.broadcast_to(pdf[key].to_numpy(), s.shape)], axis=1)
+    groups, held, size = [], [], 0
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+
+    def ask() -> None:
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in held], np.int64), np.array([r["vector"] for r in held], np.float32)))
+        found = vectors.select(key, column).mapInPandas(_best_of(sent, k, key, column, block), f"query_id long, {key} long, score double")
+        groups.append(cut(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)))
+        sent.destroy()
+
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        own = 4 * len(r["vector"]) + 16 * k
+        if held and size + own > most_bytes:
+            ask()
+            held, size = [], 0
+        held.append(r)
+        size += own
+    if held:
+        ask()
+    return reduce(DataFrame.unionByName, groups) if groups else vectors.limit(0).select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+
+def _best_of(sent, k: int, key: str, column: str, block: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        best, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own, matrix = pdf[key].to_numpy(), np.stack(pdf[column]).astype(np.float32).T
+            parts = []
+            for at in range(0, len(ids), block):
+                here = slice(at, at + block)
+                s = q[here] @ matrix
+                scores = np.concatenate([best[here], s], axis=1)
+                keys = np.concatenate([names[here], np.broadcast_to(own, s.shape)], axis=1)
                 order = np.lexsort((keys, -scores), axis=1)[:, :k]
-                best = [np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)]
-            if best[0].size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), key: best[1].ravel(), "score": best[0].ravel().astype(float)})
+                parts.append((np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)))
+            best, names = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if best.size:
+            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), key: names.ravel(), "score": best.ravel().astype(float)})
 
-        found = vectors.select(key, column).mapInPandas(search, f"query_id long, {key} long, score double")
-        out = found if out is None else out.union(found)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return search
 
 
 def fuse(a: DataFrame, b: DataFrame, key: str = "doc_id", k: int = RRF_K, most: int = FUSED) -> DataFrame:

@@ -16,7 +16,11 @@ from stackroom.sources.units import search_form
 
 @dataclass(frozen=True)
 class Piece:
-    """A block before it has a place: its kind, text, and for a table its rows of (text, header)."""
+    """A block before it has a place: its kind, text, and for a table its rows of (text, header).
+
+    `kind` is one of heading, paragraph, list_item, table, formula, code, caption, footnote, figure,
+    page_header and page_footer.
+    """
 
     kind: str
     text: str = ""
@@ -44,118 +48,176 @@ class Block:
     rows: tuple[tuple[Cell, ...], ...] = field(default=())
 
 
-# reading Markdown
+# reading Markdown: rules in order of precedence; each says which pieces begin at a line and which line is next, or None
+
+
+def _bare(line: str) -> str | None:
+    """The line without its indentation, unless it is indented so far that no mark counts."""
+    rest = line.lstrip(" ")
+    return rest if len(line) - len(rest) < 4 else None
+
 
-_MARKS = {"<!-- page-header -->": ("page_header", "<!-- /page-header -->"), "<!-- page-footer -->": ("page_footer", "<!-- /page-footer -->")}
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,}).*")
-_ITEM = re.compile(r" {0,3}(?:[-*+][ \t]+(?P<bullet>.*)|(?P<number>\d{1,9}[.)][ \t]+.*))")
-_RULE = re.compile(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*")
-_FORMULA = re.compile(r"\s*\$([^$]+)\$\s*")
-_INLINE = [re.compile(r"\*\*(.+?)\*\*"), re.compile(r"(?<!\w)_{1,2}(?=\S)(.+?)(?<=\S)_{1,2}(?!\w)"), re.compile(r"`([^`]+)`")]
+def _lead(text: str, mark: str) -> int:
+    """How often a character stands at the beginning."""
+    return len(text) - len(text.lstrip(mark))
+
+
+def _without(text: str, mark: str, between_words: bool = False, one_line: bool = True) -> str:
+    """The text without pairs of a mark; with between_words, a mark inside a word is none."""
+    out, at = "", 0
+    while (s := text.find(mark, at)) >= 0 and (e := text.find(mark, s + len(mark) + 1)) >= 0:
+        inner, end = text[s + len(mark) : e], e + len(mark)
+        fits = not (one_line and "\n" in inner)
+        if between_words:
+            outer = text[s - 1 : s] + text[end : end + 1]
+            fits = fits and inner == inner.strip() and not any(c.isalnum() or c == "_" for c in outer)
+        out += text[at:s] + (inner if fits else mark)
+        at = end if fits else s + len(mark)
+    return out + text[at:]
 
 
 def _plain(text: str) -> str:
-    for pattern in _INLINE:
-        text = pattern.sub(r"\1", text)
+    for mark in ("**", "__", "_", "`"):
+        text = _without(text, mark, mark.startswith("_"), mark != "`")
     return text
 
 
 def _cells(line: str) -> list[str]:
-    body = line.strip().removeprefix("|")
-    body = body[:-1] if body.endswith("|") and not body.endswith("\\|") else body
-    return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", body)]
+    """Cells between pipes; a backslash before a pipe makes it part of its cell."""
+    line = line.strip()
+    cells, own = [], ""
+    for k, c in enumerate(line):
+        if c != "|":
+            own += c
+        elif own.endswith("\\"):
+            own = own[:-1] + "|"
+        elif k:  # one at the very beginning is an edge
+            cells.append(own.strip())
+            own = ""
+    return cells if own == "" and cells else [*cells, own.strip()]
+
+
+def _is_rule(cell: str) -> bool:
+    return cell.count("-") > 0 and set(cell.removeprefix(":").removesuffix(":")) == {"-"}
+
+
+def _some(kind: str, text: str, **more) -> list[Piece]:
+    return [Piece(kind, text, **more)] if text.strip() else []
+
+
+def _region(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    """A marked page header or footer: paragraphs of its own kind, then what follows its end on the line."""
+    bare = lines[i].strip()
+    for name in ("page-header", "page-footer"):
+        begin, stop = f"<!-- {name} -->", f"<!-- /{name} -->"
+        if bare == stop:
+            return [], i + 1
+        if not bare.startswith(begin):
+            continue
+        first = bare[len(begin) :]
+        for k in range(i, len(lines)):
+            inner, found, after = (first if k == i else lines[k]).partition(stop)
+            if found:
+                body = [inner] if k == i else [first, *lines[i + 1 : k], inner]
+                parts, own = [], []
+                for line in [*body, ""]:
+                    if line.strip():
+                        own.append(line)
+                    else:
+                        parts += _some(name.replace("-", "_"), _plain("\n".join(own).strip()))
+                        own = []
+                return parts + _some("paragraph", _plain(after.strip())), k + 1
+        return _some("paragraph", _plain(first.strip())), i + 1
+    return None
+
+
+def _fenced(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    bare = _bare(lines[i])
+    mark = bare[:1] if bare else ""
+    if mark not in ("`", "~") or (n := _lead(bare, mark)) < 3:
+        return None
+    end = i + 1
+    while end < len(lines) and not (len(lines[end].strip()) >= n and set(lines[end].strip()) == {mark}):
+        end += 1
+    return [Piece("code", "\n".join(lines[i + 1 : end]))], end + 1
 
 
-def read_markdown(markdown: str) -> list[Piece]:
-    """Blocks in order: fences, headings, formulas, pipe tables, list items, marked page headers and footers, paragraphs."""
-    lines = markdown.split("\n")
-    out: list[Piece] = []
-    held: list[str] = []
-    i = 0
-
-    def close(kind: str = "paragraph") -> None:
-        text = "\n".join(held).strip()
-        if text:
-            out.append(Piece(kind, _plain(text)))
-        held.clear()
-
-    def table_at(k: int) -> bool:
-        return k + 1 < len(lines) and "|" in lines[k] and bool(_RULE.fullmatch(lines[k + 1])) and len(_cells(lines[k])) == len(_cells(lines[k + 1]))
-
-    def formula_end(k: int) -> int | None:
-        first = lines[k].strip()
-        if len(first) >= 4 and first.endswith("$$"):
-            return k
-        for j in range(k + 1, len(lines)):
-            if not lines[j].strip():
-                return None
-            if lines[j].strip().endswith("$$"):
-                return j
+def _heading(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    bare = _bare(lines[i]) or ""
+    level = _lead(bare, "#")
+    if not 1 <= level <= 6 or bare[level:].strip(" \t") and bare[level] not in " \t":
+        return None
+    text = bare[level:].strip(" \t")
+    ended = text.rstrip("#")
+    if ended != text and ended[-1:] in (" ", "\t"):
+        text = ended.rstrip(" \t")
+    return _some("heading", _plain(text), level=level), i + 1
+
+
+def _formula(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    bare = lines[i].strip()
+    if bare.startswith("$$"):
+        for k in range(i, len(lines)):
+            own = lines[k].strip()
+            if not own:
+                break
+            if own.endswith("$$") and (k > i or len(own) > 3):
+                latex = "\n".join(x.strip() for x in lines[i : k + 1])[2:-2].strip()
+                return [Piece("formula", latex, latex=latex)], k + 1
+        return None
+    if len(bare) > 2 and bare[0] == bare[-1] == "$" and "$" not in bare[1:-1]:
+        latex = bare[1:-1].strip()
+        return [Piece("formula", latex, latex=latex)], i + 1
+    return None
+
+
+def _table(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    """A line of cells over a line of as many rules, and the lines with pipes that follow."""
+    if "|" not in lines[i] or i + 1 == len(lines):
         return None
+    head, rules = _cells(lines[i]), _cells(lines[i + 1])
+    if len(head) != len(rules) or not all(map(_is_rule, rules)):
+        return None
+    end = i + 2
+    while end < len(lines) and "|" in lines[end]:
+        end += 1
+    rows = [head, *map(_cells, lines[i + 2 : end])]
+    return [Piece("table", rows=tuple(tuple((_plain(c), k == 0) for c in row) for k, row in enumerate(rows)))], end
+
+
+def _item(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    """A bullet's text; a numbered item keeps its number."""
+    bare = _bare(lines[i]) or ""
+    mark = bare.split(None, 1)[0] if bare else ""
+    if bare[len(mark) : len(mark) + 1] not in (" ", "\t"):
+        return None
+    text = bare[len(mark) :].strip()
+    if mark in ("-", "*", "+"):
+        return _some("list_item", _plain(text)), i + 1
+    if mark[-1:] in (".", ")") and len(mark) <= 10 and mark[:-1].isascii() and mark[:-1].isdigit():
+        return _some("list_item", _plain(f"{mark} {text}".strip())), i + 1
+    return None
+
+
+def _blank(lines: list[str], i: int) -> tuple[list[Piece], int] | None:
+    return None if lines[i].strip() else ([], i + 1)
 
+
+_RULES = (_blank, _region, _fenced, _heading, _formula, _table, _item)
+
+
+def read_markdown(markdown: str) -> list[Piece]:
+    """Blocks in order: fences, headings, formulas, pipe tables, list items, marked page headers and footers, paragraphs."""
+    lines, out, prose, i = markdown.split("\n"), [], [], 0
     while i < len(lines):
-        line = lines[i]
-        bare = line.strip()
-        mark = next((m for m in _MARKS if bare.startswith(m)), None)
-        if not bare or bare in ("<!-- /page-header -->", "<!-- /page-footer -->"):
-            close()
-            i += 1
-        elif mark:
-            close()
-            kind, stop = _MARKS[mark]
-            rest = bare[len(mark) :]
-            last = next((k for k in range(i, len(lines)) if stop in (rest if k == i else lines[k])), None)
-            if last is None:
-                held.append(rest)
-                close()
-                i += 1
-                continue
-            inner, _, after = "\n".join([rest, *lines[i + 1 : last + 1]]).partition(stop)
-            for part in re.split(r"\n\s*\n", inner):
-                held.append(part)
-                close(kind)
-            held.append(after)
-            close()
-            i = last + 1
-        elif m := _FENCE.fullmatch(line):
-            close()
-            fence = m[1]
-            end = next((k for k in range(i + 1, len(lines)) if len(lines[k].strip()) >= len(fence) and set(lines[k].strip()) == {fence[0]}), len(lines))
-            out.append(Piece("code", "\n".join(lines[i + 1 : end])))
-            i = end + 1
-        elif m := _HEADING.fullmatch(line):
-            close()
-            text = _plain(re.sub(r"[ \t]+#+$", "", m[2] or "").strip())
-            out += [Piece("heading", text, len(m[1]))] if text else []
-            i += 1
-        elif bare.startswith("$$") and (end := formula_end(i)) is not None:
-            close()
-            latex = "\n".join(x.strip() for x in lines[i : end + 1]).removeprefix("$$").removesuffix("$$").strip()
-            out.append(Piece("formula", latex, latex=latex))
-            i = end + 1
-        elif m := _FORMULA.fullmatch(line):
-            close()
-            out.append(Piece("formula", m[1].strip(), latex=m[1].strip()))
-            i += 1
-        elif table_at(i):
-            close()
-            rows = [tuple((_plain(c), True) for c in _cells(line))]
-            i += 2
-            while i < len(lines) and lines[i].strip() and "|" in lines[i]:
-                rows.append(tuple((_plain(c), False) for c in _cells(lines[i])))
-                i += 1
-            out.append(Piece("table", rows=tuple(rows)))
-        elif m := _ITEM.fullmatch(line):
-            close()
-            text = _plain((m["bullet"] or m["number"] or "").strip())
-            out += [Piece("list_item", text)] if text else []
+        found = next((x for rule in _RULES if (x := rule(lines, i)) is not None), None)
+        if found is None:
+            prose.append(lines[i])
             i += 1
-        else:
-            held.append(line)
-            i += 1
-    close()
-    return out
+            continue
+        out += _some("paragraph", _plain("\n".join(prose).strip())) + found[0]
+        prose, i = [], found[1]
+    return out + _some("paragraph", _plain("\n".join(prose).strip()))
 
 
 # placing blocks

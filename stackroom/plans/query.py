@@ -1,6 +1,6 @@
 """Keyword queries as small trees, their synonym expansion, and their DataFrame plans over an index.
 
-Queries are built from these classes (there is no query language of text). compile() turns a tree
+Queries are built from these classes, or read from what a person types (plans/strings.py). compile() turns a tree
 into a lazy plan of (doc_id, score): all terms of a boolean are one filtered scan of the postings,
 and clauses meet in one aggregation by document, so no clause is joined with another.
 """
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -279,7 +279,7 @@ def expand(q: Query, glossary: Glossary) -> Query:
 
 @dataclass
 class Index:
-    """Places of terms: `tokens` (doc_id, tokens) as a plan over texts, or written `stored` postings with `lengths`.
+    """Places of terms: `tokens` (doc_id, tokens) as a plan over texts, or written `stored` postings with `lengths`, the `vocabulary` (term, df) and the `totals` (n, average).
 
     Terms are chosen before places are gathered, so a query over texts moves its own terms only,
     and over written postings it reads the row groups that hold them.
@@ -288,6 +288,8 @@ class Index:
     tokens: DataFrame | None = None
     stored: DataFrame | None = None
     lengths: DataFrame | None = None
+    vocabulary: DataFrame | None = None
+    totals: Row | None = None
 
     @property
     def documents(self) -> DataFrame:
@@ -311,8 +313,9 @@ class Index:
     def statistics(self, words: list[str]) -> Statistics:
         """Number of documents, their mean length, and in how many each word stands: over all documents, in one pass over texts."""
         if self.stored is not None:
-            row = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-            found = self.stored.filter(F.col("term").isin(*words)).groupBy("term").agg(F.count("*").alias("df")).collect() if words else []
+            row = self.totals or self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+            found = self.vocabulary if self.vocabulary is not None else self.stored.groupBy("term").agg(F.count("*").alias("df"))
+            found = found.filter(F.col("term").isin(*words)).collect() if words else []
             return Statistics(row["n"], float(row["average"] or 1.0), {r["term"]: r["df"] for r in found})
         row = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"), *[F.count_if(F.array_contains("tokens", w)).alias(f"w{k}") for k, w in enumerate(words)]).first()
         return Statistics(row["n"], float(row["average"] or 1.0), {w: row[f"w{k}"] for k, w in enumerate(words)})

@@ -161,10 +161,10 @@ def left_join_residual(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.count("*").alias("n_all"), F.count("l_linenumber").alias("n_first"))
 
 
-@query(f"WITH {UNITS}, {EXTRACTED} SELECT u.doc_id, u.ordinal, e.method FROM units u LEFT JOIN extracted e ON u.doc_id = e.doc_id AND u.ordinal = e.ordinal AND e.state = 'DONE' WHERE u.ordinal < 12")
+@query(f"WITH {UNITS}, {EXTRACTED} SELECT u.doc_id, u.ordinal, e.method FROM units u LEFT JOIN extracted e ON u.doc_id = e.doc_id AND u.ordinal = e.ordinal AND e.state = 'DONE'")
 def composite_left_join(spark: SparkSession, sf: str) -> DataFrame:
     done = extracted(spark, sf).filter("state = 'DONE'").select("doc_id", "ordinal", "method")
-    return units(spark, sf).filter("ordinal < 12").select("doc_id", "ordinal").join(done, ["doc_id", "ordinal"], "left")
+    return units(spark, sf).select("doc_id", "ordinal").join(done, ["doc_id", "ordinal"], "left")
 
 
 @query("""SELECT o_custkey, p.only_priority FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN
@@ -240,10 +240,10 @@ def neighbour_units(spark: SparkSession, sf: str) -> DataFrame:
     return C.neighbours(units(spark, sf).filter("ordinal % 5 <> 4").select("doc_id", "ordinal"), "doc_id", "ordinal")
 
 
-@query(f"WITH {UNITS} SELECT doc_id, ordinal, string_agg(ordinal, ',' ORDER BY ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM units WHERE ordinal < 10")
+@query(f"WITH {UNITS} SELECT doc_id, ordinal, string_agg(ordinal, ',' ORDER BY ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM units")
 def adjacent_units(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(-2, 2)
-    return units(spark, sf).filter("ordinal < 10").select("doc_id", "ordinal", F.concat_ws(",", F.collect_list(F.col("ordinal").cast("string")).over(w)).alias("around"))
+    return units(spark, sf).select("doc_id", "ordinal", F.concat_ws(",", F.collect_list(F.col("ordinal").cast("string")).over(w)).alias("around"))
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_suppkey % 5 = o.o_custkey % 5
@@ -337,10 +337,10 @@ def mean_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double") / F.count("l_discount"), 4).alias("mean_confidence"))
 
 
-@query("""SELECT user_id, arg_min(event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 9 END * 10 + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS worst FROM events WHERE event_id % 7 = 0 GROUP BY 1""")
+@query("""SELECT user_id, arg_min(event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 9 END * 10 + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS worst FROM events GROUP BY 1""")
 def most_important_warning(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(9)
-    return table(spark, sf, "events").filter("event_id % 7 = 0").groupBy("user_id").agg(F.min_by("event_type", F.struct(rank, "event_type")).alias("worst"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct(rank, "event_type")).alias("worst"))
 
 
 @query(f"WITH {DOCS} SELECT CASE WHEN status IN ('QUEUED', 'DETECTING') THEN 'BUSY' WHEN media_type <> 'text/html' THEN 'NO_IMAGES' ELSE 'ELIGIBLE' END AS outcome, count(*) AS n FROM docs GROUP BY 1")
@@ -413,10 +413,10 @@ def orphan_paths_union(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(table(spark, sf, "part").filter("p_size < 20").select(F.col("p_partkey").alias("k")), "k", "left_anti")
 
 
-@query(f"WITH {UNITS}, {EXTRACTED} SELECT doc_id, ordinal FROM units WHERE ordinal < 15 AND (doc_id, ordinal) NOT IN (SELECT (doc_id, ordinal) FROM extracted WHERE state = 'DONE' AND method = 'TEXT')")
+@query(f"WITH {UNITS}, {EXTRACTED} SELECT doc_id, ordinal FROM units WHERE (doc_id, ordinal) NOT IN (SELECT (doc_id, ordinal) FROM extracted WHERE state = 'DONE' AND method = 'TEXT')")
 def committed_keys(spark: SparkSession, sf: str) -> DataFrame:
     done = extracted(spark, sf).filter("state = 'DONE' AND method = 'TEXT'").select("doc_id", "ordinal")
-    return units(spark, sf).filter("ordinal < 15").select("doc_id", "ordinal").join(done, ["doc_id", "ordinal"], "left_anti")
+    return units(spark, sf).select("doc_id", "ordinal").join(done, ["doc_id", "ordinal"], "left_anti")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.functions.text import plain_tokens
+from stackroom.functions.text import folded_tokens, plain_tokens
 from stackroom.operators import search as S
-from stackroom.plans.query import Bool, Boost, Fuzzy, Glossary, Phrase, Prefix, SynonymTerm, Synonyms, Term, Wildcard, expand
+from stackroom.plans import strings as Q
+from stackroom.plans.query import Bool, Boost, Fuzzy, Glossary, Phrase, Prefix, SynonymTerm, Synonyms, Term, Wildcard, clause_count, expand
 from stackroom.session import spread, table
 
 QUERIES: dict = {}
@@ -25,7 +29,8 @@ def query(sql: str | None):
 
 
 def _index(spark: SparkSession, sf: str):
-    return S.build_index(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    """The written index of the documents: built by the first query of a session."""
+    return S.index_of(spread(table(spark, sf, "documents").select("doc_id", "text")), sf)
 
 
 _TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t),
@@ -77,9 +82,50 @@ def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     return S.keyword(_index(spark, sf), Fuzzy("licence", 1), 50)
 
 
+@query(f"WITH {_TOKENS} SELECT doc_id, round(sum(CASE WHEN term IN ('license', 'version') THEN score WHEN term = 'the' THEN score * 2 WHEN term IN ('general', 'public') THEN 0 END) + max(CASE WHEN starts_with(term, 'apach') THEN 1.0 ELSE 0.0 END), 6) AS score FROM s "
+       "WHERE term IN ('license', 'version', 'gnu', 'the') OR starts_with(term, 'apach') GROUP BY 1 HAVING count_if(term = 'license') > 0 AND count_if(term = 'gnu') = 0 ORDER BY 2 DESC, 1 LIMIT 30")
+def query_string_search(spark: SparkSession, sf: str) -> DataFrame:
+    return S.keyword(_index(spark, sf), Q.parse("+license version the^2 -gnu apach*"), 30)
+
+
+@query(None)
+def query_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """What is typed, as trees: unclosed quotes, numbers with colons, questions, operators."""
+    typed = ["SFS 2010:800", "what is an apache license?", 'the "public license"~2 -gnu', "mit AND (apache OR bsd)^2", '"never closed', "lic?nse apac* licence~1", "/ap.+e/ [a TO b]"]
+    index = _index(spark, sf)
+    found = [S.keyword(index, Q.parse(t), 5).select(F.lit(t).alias("typed"), "doc_id", "score") for t in typed]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+'))::BIGINT AS n_tokens FROM documents WHERE len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')) > 1000")
+def query_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that are too long to be a query."""
+    n = F.size(plain_tokens(F.col("text"))).cast("long")
+    return table(spark, sf, "documents").select("doc_id", n.alias("n_tokens")).filter(F.col("n_tokens") > Q.MOST_TOKENS)
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '\\p{M}', '', 'g'), '[\\p{L}\\p{N}]+')) AS term FROM documents)
+  SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1""")
+def folded_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The analyzer's terms: case folded, without accents."""
+    return S.statistics(S.build_index(table(spark, sf, "documents").select("doc_id", "text"), folded_tokens)).select("term", "df")
+
+
+@query("SELECT item_id, 2 * len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+'))::BIGINT + 1 AS clauses FROM benchmark")
+def clause_counting(spark: SparkSession, sf: str) -> DataFrame:
+    """The clauses of a query made of a text's words, the same as a phrase, and a prefix."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        words = texts.map(Q.plain_analyzer).map(tuple)
+        return words.map(lambda w: clause_count(Bool(should=(*map(Term, w), Boost(Phrase(w), 2.0)), must_not=(Prefix("x"),))))
+
+    return table(spark, sf, "benchmark").select("item_id", count("text").alias("clauses"))
+
+
 @query(f"WITH {_TOKENS}, g AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1) SELECT * FROM g WHERE df > 3")
 def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return S.statistics(_index(spark, sf)).filter("df > 3")
+    return S.statistics(S.build_index(table(spark, sf, "documents").select("doc_id", "text"))).filter("df > 3")
 
 
 @query("SELECT count(*) > 0 AS anchored FROM documents WHERE lang = 'en' AND len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+'), lambda x: starts_with(x, 'apac') OR starts_with(x, 'zzzz'))) > 0")
@@ -144,7 +190,7 @@ def synonym_search(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc_id, round(CASE WHEN source = 'src0' THEN coalesce(mit, 0) + coalesce(apache, 0) ELSE mit END, 6) AS score FROM k WHERE source = 'src0' OR mit IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 50""")
 def cross_collection_search(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return S.keyword_by_collection(d.select("doc_id", F.col("source").alias("collection")), S.build_index(d.select("doc_id", "text")), Term("mit"), {"src0": Bool(should=(Term("mit"), Term("apache")))})
+    return S.keyword_by_collection(d.select("doc_id", F.col("source").alias("collection")), _index(spark, sf), Term("mit"), {"src0": Bool(should=(Term("mit"), Term("apache")))})
 
 
 @query(f"""WITH {_TOKENS}, n AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), h AS (SELECT doc_id, i - 1 AS first, CASE WHEN w[i] = 'public' AND w[i + 1] = 'license' THEN 2 ELSE 1 END AS n FROM n

@@ -33,10 +33,13 @@ def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     return text.markdown_sections(d).select("doc_id", "section", "first_line", "last_line", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n FROM documents WHERE text <> '') SELECT doc_id, ceil(n / 200)::BIGINT AS n_units, n::BIGINT AS last_line FROM l
-  WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE length(text) >= 65536)""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS a, length(text) AS size FROM (SELECT doc_id, repeat(text || chr(10), (doc_id % 13 + 1)::INTEGER) AS text FROM documents)), x AS (SELECT doc_id, size, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM d),
+  l AS (SELECT doc_id, n, least(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n), size) AS upto, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS before, size FROM x),
+  m AS (SELECT doc_id, n, upto, before, max(n) OVER (PARTITION BY doc_id) AS last FROM l WHERE before < size),
+  u AS (SELECT doc_id, 1::BIGINT AS k, 1::BIGINT AS first FROM d UNION ALL SELECT u.doc_id, any_value(u.k) + 1, min(e.n) + 1 FROM u JOIN m s ON s.doc_id = u.doc_id AND s.n = u.first JOIN m e ON e.doc_id = u.doc_id AND e.n >= u.first AND (e.n = u.first + 199 OR e.upto - s.before >= 65536 OR e.n = e.last) GROUP BY u.doc_id, u.first HAVING min(e.n) < any_value(e.last))
+  SELECT u.doc_id, max(k)::BIGINT AS n_units, any_value(z.last)::BIGINT AS last_line FROM u JOIN (SELECT doc_id, max(n) AS last FROM m GROUP BY 1) z USING (doc_id) GROUP BY 1""")
 def plain_text_units(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter(F.length("text") < 65536)
+    d = table(spark, sf, "documents").select("doc_id", F.expr("repeat(concat(text, '\n'), cast(doc_id % 13 + 1 AS int))").alias("text"))
     return text.plain_units(d).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.max("locator.last").cast("long").alias("last_line"))
 
 
@@ -57,14 +60,14 @@ def csv_units(spark: SparkSession, sf: str) -> DataFrame:
     return text.csv_units(files, "content", ("file",)).groupBy("file").agg((3 * F.col("file") + 1).alias("dummy"), F.count("*").alias("n_units"))
 
 
-@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_linenumber // 3 + 1 AS line, l_linenumber AS word, l_partkey % 97 AS conf, 'w' || l_partkey AS text, l_suppkey AS x, l_orderkey AS o FROM lineitem WHERE l_orderkey < 500),
+@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_linenumber // 3 + 1 AS line, l_linenumber AS word, l_partkey % 97 AS conf, 'w' || l_partkey AS text, l_suppkey AS x, l_orderkey AS o FROM lineitem),
   g AS (SELECT page, line, string_agg(text, ' ' ORDER BY word, x, text) AS t, sum(conf) AS c, count(*) AS n FROM w GROUP BY 1, 2) SELECT page, string_agg(t, chr(10) ORDER BY line) AS text, round(sum(c) / sum(n) / 100, 6) AS confidence FROM g GROUP BY 1""")
 def ocr_word_table(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").filter("l_orderkey < 500")
+    lines = table(spark, sf, "lineitem")
     s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     fields = [F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), s(F.floor(F.col("l_linenumber") / 3) + 1), s("l_linenumber"), s("l_suppkey"), F.lit("0"), F.lit("10"), F.lit("10"), s(F.col("l_partkey") % 97), F.concat(F.lit("w"), s("l_partkey"))]
     raw = lines.select((F.col("l_orderkey") % 500).alias("page"), F.concat_ws("\t", *fields).alias("value"))
-    extra = raw.limit(5).select("page", F.concat(F.lit("4"), F.substring("value", 2, 1000)).alias("value"))
+    extra = raw.select("page", F.concat(F.lit("4"), F.substring("value", 2, 1000)).alias("value"))
     return ocr.reading(ocr.read_words(raw.union(extra))).select("page", "text", F.round("confidence", 6).alias("confidence"))
 
 
@@ -112,15 +115,16 @@ def recent_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return g.filter("n_turns > 2").orderBy(F.col("chars").desc(), "conv_id").limit(50)
 
 
-@query("""WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents WHERE length(text) < 2000)
-  SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) >= 0.9 * greatest(len(a.w), len(b.w))""")
+@query("""WITH w AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM documents), s AS (SELECT doc_id, lang, w, min(doc_id) OVER (PARTITION BY lang, w) AS r FROM w WHERE len(w) > 0),
+  r AS (SELECT * FROM s WHERE doc_id = r) SELECT r AS a, doc_id AS b, 'equal' AS kind FROM s WHERE doc_id <> r UNION ALL
+  SELECT a.doc_id AS a, b.doc_id AS b, 'near' AS kind FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.9 * greatest(len(a.w), len(b.w)) WHERE len(list_intersect(a.w, b.w)) >= 0.9 * greatest(len(a.w), len(b.w))""")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from stackroom.operators.neardup import word_set_pairs
 
-    return word_set_pairs(spread(table(spark, sf, "documents").filter(F.length("text") < 2000).select("doc_id", "lang", "text")), "lang")
+    return word_set_pairs(spread(table(spark, sf, "documents").select("doc_id", "lang", "text")), "lang")
 
 
-@query("""WITH i AS (SELECT l_suppkey % 20 AS doc_id, l_orderkey % 40 AS page, l_linenumber AS ordinal, CAST(l_partkey % 300 AS VARCHAR) AS sha256, (l_quantity * 10)::INTEGER AS width, (l_partkey % 500)::INTEGER AS height, l_orderkey AS o FROM lineitem WHERE l_orderkey % 7 = 0),
+@query("""WITH i AS (SELECT l_suppkey % 20 AS doc_id, l_orderkey % 40 AS page, l_linenumber AS ordinal, CAST(l_partkey % 300 AS VARCHAR) AS sha256, (l_quantity * 10)::INTEGER AS width, (l_partkey % 500)::INTEGER AS height, l_orderkey AS o FROM lineitem),
   p AS (SELECT doc_id, sha256, count(DISTINCT page) AS pages FROM i GROUP BY 1, 2),
   r AS (SELECT CASE WHEN least(width, height) < 96 THEN 'TOO_SMALL' WHEN o % 3 <> 0 AND (o % 20 + 1) / 20.0 * 0.1 < 0.01 THEN 'TOO_SMALL' WHEN o % 11 = 0 THEN 'MASK' WHEN o % 13 = 0 THEN 'UNIFORM' WHEN pages > 3 THEN 'REPEATED' END AS reason FROM i JOIN p USING (doc_id, sha256))
   SELECT coalesce(reason, 'KEPT') AS reason, count(*) AS n FROM r GROUP BY 1""")
@@ -129,7 +133,7 @@ def image_filter(spark: SparkSession, sf: str) -> DataFrame:
 
     o = F.col("l_orderkey")
     box = F.when(o % 3 != 0, F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), ((o % 20 + 1) / 20.0).alias("right"), F.lit(0.1).alias("bottom")))
-    pictures = table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select(
+    pictures = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 20).alias("doc_id"), (o % 40).alias("page"), F.col("l_linenumber").alias("ordinal"), (F.col("l_partkey") % 300).cast("string").alias("sha256"), F.round(F.col("l_quantity") * 10).cast("int").alias("width"),
         (F.col("l_partkey") % 500).cast("int").alias("height"), box.alias("box"), (o % 11 == 0).alias("is_mask"), (o % 13 == 0).alias("is_uniform"),
     )
@@ -148,12 +152,3 @@ def ask_history(spark: SparkSession, sf: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     newest = talks.filter("question IS NOT NULL").orderBy(F.col("conv_id").desc()).limit(50)
     return newest.join(used, "conv_id", "left").select("conv_id", "question", "answer", "n_messages", "output", zero("calls"), zero("tokens"))
-
-
-@query(None)
-def page_structure(spark: SparkSession, sf: str) -> DataFrame:
-    from stackroom.operators.structure import structured
-
-    markdown = F.concat(F.lit("# Item "), F.col("item_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n- point\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"))
-    made = structured(table(spark, sf, "benchmark").select("item_id", markdown.alias("markdown")), keys=("item_id",))
-    return made.select("item_id", F.explode("blocks").alias("b")).select("item_id", "b.kind", "b.start", "b.end", "b.level")

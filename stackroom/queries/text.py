@@ -39,9 +39,9 @@ def searchable_filter(spark: SparkSession, sf: str) -> DataFrame:
     return units(spark, sf).filter(X.searchable(F.col("text"))).select("doc_id", "ordinal")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents WHERE doc_id % 5 = 0) SELECT doc_id, count_if(regexp_matches(w, '[\\p{L}\\p{Nd}]\\p{M}*[\\p{L}\\p{Nd}]') OR regexp_matches(w, '[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]')) AS n_meaning, count(*) AS n FROM w GROUP BY 1""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) SELECT doc_id, count_if(regexp_matches(w, '[\\p{L}\\p{Nd}]\\p{M}*[\\p{L}\\p{Nd}]') OR regexp_matches(w, '[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]')) AS n_meaning, count(*) AS n FROM w GROUP BY 1""")
 def meaning_filter(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").filter("doc_id % 5 = 0").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     return words.groupBy("doc_id").agg(F.count_if(X.carries_meaning(F.col("w"))).alias("n_meaning"), F.count("*").alias("n"))
 
 

@@ -8,11 +8,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stackroom.queries import catalog, search, sources, text
+from stackroom.queries import catalog, files, pages, search, sources, text
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(m, n) for m in (search, text, sources, catalog) for n in m.QUERIES]
+CASES = [(m, n) for m in (search, text, sources, pages, files, catalog) for n in m.QUERIES]
 #: Without rows at the smallest size.
 EMPTY = {"repeated_hash_filter"}
 

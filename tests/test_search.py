@@ -151,5 +151,10 @@ def test_word_set_pairs_against_all_pairs(spark):
         rows += [(2 * k, "s", " ".join(base)), (2 * k + 1, "s", " ".join(base[1:] + ["the"]))]
     sets = [(i, set(t.split())) for i, _, t in rows]
     want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len(x & y) >= 0.9 * max(len(x), len(y))}
+    rows += [(None, "s", "w1 w2"), (200, None, "w1 w2")]
     got = word_set_pairs(spark.createDataFrame(rows, "doc_id int, source string, text string"), "source").collect()
-    assert {(r["a"], r["b"]) for r in got} == want
+    same = {a: {b for b, y in sets if x == y} for a, x in sets}
+    assert {(r["a"], r["b"]) for r in got if r["kind"] == "equal"} == {(min(same[b]), b) for b, x in sets if x and min(same[b]) < b}
+    near = {(r["a"], r["b"]) for r in got if r["kind"] == "near"}
+    assert all(a == min(same[a]) and b == min(same[b]) and dict(sets)[a] != dict(sets)[b] for a, b in near)
+    assert {tuple(sorted((x, y))) for a, b in near for x in same[a] for y in same[b]} | {(x, y) for s in same.values() for x in s for y in s if x < y and dict(sets)[x]} == want
