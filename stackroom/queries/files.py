@@ -109,17 +109,17 @@ def _digest(found: DataFrame) -> DataFrame:
 
 @query(f"WITH {_LINES} SELECT item_id, count(*) AS n_units, md5(string_agg('Part ' || k || ' ' || line, '|' ORDER BY k)) AS digest FROM l GROUP BY 1")
 def word_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _digest(office.office_units(_made(_lines(spark, sf), made_word), "word"))
+    return _digest(office.office_units(_made(_lines(spark, sf), made_word), "docx"))
 
 
 @query(f"WITH {_LINES} SELECT item_id, 1::BIGINT AS n_units, md5('header ' || string_agg(line, ' ' ORDER BY k)) AS digest FROM l GROUP BY 1")
 def spreadsheet_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _digest(office.office_units(_made(_lines(spark, sf), made_sheet), "spreadsheet"))
+    return _digest(office.office_units(_made(_lines(spark, sf), made_sheet), "xlsx"))
 
 
 @query(f"WITH {_LINES} SELECT item_id, count(*) AS n_units, md5(string_agg(line, '|' ORDER BY k)) AS digest FROM l GROUP BY 1")
 def slide_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _digest(office.office_units(_made(_lines(spark, sf), made_slides), "slides"))
+    return _digest(office.office_units(_made(_lines(spark, sf), made_slides), "pptx"))
 
 
 @query(f"WITH {_LINES} SELECT item_id, count(*) AS n_units, md5(string_agg(line, '|' ORDER BY k)) AS digest FROM l GROUP BY 1")
@@ -194,9 +194,9 @@ def _drained(stream: DataFrame, root: str, write, mode: str) -> None:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events by type and hour, kept up by a stream of files."""
-    stream, root = _stream(spark, table(spark, sf, "events").select("event_type", "ts", "value"), 4)
+    stream, root = _stream(spark, table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
     _drained(flows.windowed_counts(stream, late="3650 days"), root, lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"), "complete")
-    return spark.read.parquet(f"{root}/out").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{root}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT source AS collection, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY 1, 2")
@@ -223,4 +223,4 @@ def stream_replaced_partitions(spark: SparkSession, sf: str) -> DataFrame:
         write(batch, number)
 
     _drained(stream, root, twice, "append")
-    return spark.read.parquet(f"{root}/out").groupBy(F.col("bucket").cast("long").alias("bucket"), ).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return spark.read.parquet(f"{root}/out").groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))

@@ -55,7 +55,7 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: Spark deletes them once the driver's garbage collector finds that nothing refers to them, which by itself may not run for long."""
+    """Let go of finished steps' shuffle files: Spark deletes them once the driver's garbage collector finds that nothing refers to them, which by itself may not run for long. Those of the very last job stay until another has run."""
     spark.sparkContext._jvm.System.gc()
 
 
