@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.llm import chat_format, decontam, language_id, license_scan, near_dup, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filter
+from stackroom.llm import chat_format, decontam, fill_in_middle, fingerprint, importance, language_id, license_scan, near_dup, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filter
 from stackroom.session import cut, table
 
 
@@ -73,7 +73,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_url_filter, op4_sentencepiece, op5_quality_rules, op6_near_dup, op7_decontam, op8_chat_format, op9_quality_classifier, op10_language_id)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.restore(fill_in_middle.arrange(_docs(spark, sf_dir)))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_url_filter, op4_sentencepiece, op5_quality_rules, op6_near_dup, op7_decontam, op8_chat_format, op9_quality_classifier, op10_language_id, op11_fill_in_middle, op12_importance, op13_fingerprint)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWERED = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
@@ -99,4 +114,23 @@ ORACLE_SQL: dict[str, str] = {
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(15 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\\\#:<]', '', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS d FROM documents),
+  h AS (SELECT doc_id, t, n, [('0x' || d[8 * k - 7 : 8 * k])::BIGINT FOR k IN [1, 2, 3, 4]] AS h FROM d),
+  c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_importance": f"""WITH RECURSIVE steps AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+  bytes AS (SELECT list(c ORDER BY i) AS by_byte FROM steps WHERE k = 8),
+  d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS w FROM d), g AS (SELECT unnest({_ALNUM_WORDS}) AS w FROM benchmark),
+  v AS (SELECT DISTINCT w FROM (SELECT w FROM f UNION ALL SELECT w FROM g)),
+  crc AS (SELECT w, xor(list_reduce([4294967295::BIGINT] || [('0x' || substr(hex(encode(w)), 2 * k - 1, 2))::BIGINT FOR k IN range(1, octet_length(encode(w)) + 1)], lambda a, x: xor(a >> 8, by_byte[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS b FROM v, bytes),
+  s AS (SELECT b, count(*) AS s FROM f JOIN crc USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN crc USING (w) GROUP BY b), a AS (SELECT (SELECT sum(s) FROM s)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all),
+  gain AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (b), a),
+  w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN crc USING (w) JOIN gain USING (b) GROUP BY doc_id),
+  x AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT::DOUBLE AS h FROM d LEFT JOIN w USING (doc_id)),
+  y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+  SELECT y.*, CASE WHEN r <= floor(10 * n / 100) THEN r END AS rank FROM y LEFT JOIN r USING (doc_id)""",
 }
