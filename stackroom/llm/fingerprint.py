@@ -28,8 +28,8 @@ from stackroom.session import ascii_lower, cut
 
 SAMPLES = 64
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of equal numbers of ids.
-RANGES = 16
+#: Ranges of equal numbers of ids, and buckets for each shuffle partition.
+RANGES, EACH = 16, 4
 #: First rows of buckets that may be broadcast (some 30 bytes each).
 MOST_SENT = 200_000
 
@@ -48,13 +48,29 @@ def _samples(term: Column, n: Column, samples: int) -> Column:
     return F.array(*[one(j) for j in range(samples)])
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+
+
 def sign(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """bucket, row, fingerprint for rows (bucket, row, text); (bucket, row) must tell rows apart, and buckets be of bounded size."""
-    words = rows.select("bucket", "row", F.explode_outer(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = words.select("bucket", "row", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")).groupBy("bucket", "row", "term").agg(F.count("*").alias("n"))
+    words = rows.select("bucket", "row", F.explode(F.concat(F.array(F.lit(None).cast("string")), _words(F.coalesce("text", F.lit(""))))).alias("word"))
+    counted = words.groupBy("bucket", "row", _term()).agg(F.count("*").alias("n"))
+    return _signed(counted, samples)
+
+
+def _term() -> Column:
+    """A word's hash; null for the head that stands before each text's words, so that no text is lost."""
+    return F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")
+
+
+def _signed(counted: DataFrame, samples: int, rows_of=None) -> DataFrame:
+    """bucket, row, fingerprint from counts (bucket, row, term, n); rows_of turns a row's number into those of several rows that have the term as often."""
     shared = counted.groupBy("bucket", "term", "n").agg(F.collect_list("row").alias("rows"))
     # a lambda function beside the samples keeps them out of the stage's one method, which would be too long to be compiled
     values = shared.select("bucket", F.transform("rows", lambda r: r).alias("rows"), F.when(F.col("term").isNotNull(), _samples(F.col("term"), F.col("n"), samples)).alias("v")).select("bucket", "v", F.explode("rows").alias("row"))
+    if rows_of:
+        values = values.select("bucket", "v", F.explode(rows_of(F.col("row"))).alias("row"))
     least = values.groupBy("bucket", "row").agg(*[F.min(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(samples)])
     digits = lambda x: F.lpad(F.hex(F.xxhash64(x).bitwiseAND(0xFFFF)), 4, "0")
     return least.select("bucket", "row", F.when(F.col("s0").isNull(), "").otherwise(F.array_join(F.transform(F.array(*[f"s{j}" for j in range(samples)]), digits), "")).alias("fingerprint"))
@@ -75,12 +91,13 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
     names = [c for c in docs.columns if c.lower() != "fingerprint"]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), key.alias("row"))
     texts = docs.select(key.alias("row"), text.alias("text")).groupBy("row").agg(F.first("text").alias("text"))
-    found = sign(texts.withColumn("bucket", F.pmod(F.col("row.a"), F.lit(_parts(docs)))).repartition("bucket"), samples)
+    found = sign(texts.withColumn("bucket", F.pmod(F.col("row.a"), F.lit(_parts(docs)))).repartition(_parts(docs), "bucket"), samples)
     return own.join(found, "row", "left").select("own.*", "fingerprint")
 
 
 def _parts(df: DataFrame) -> int:
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Buckets, and partitions for them: several for each shuffle partition, as a bucket's words take more room than its texts."""
+    return max(16, EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +127,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = F.broadcast(firsts) if firsts.count() <= MOST_SENT else firsts
     guests = own.join(firsts, (F.col("bucket") == F.col("f_bucket")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
     both = own.withColumn("guest", F.lit(0)).unionByName(guests.select(F.col("to").alias("bucket"), "doc_id", "h", "text", F.lit(1).alias("guest")))
-    both = both.repartitionById(len(lows) * cells, F.col("bucket").cast("int"))  # a partition for each bucket
+    both = both.repartitionByRange(len(lows) * cells, "bucket")  # about a partition for each bucket
     w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_last(), "h")
     return both.withColumns({"row": F.row_number().over(w).cast("long"), "next_text": F.lead("text").over(w)}).select("bucket", "row", "doc_id", "text", F.when(F.col("guest") == 0, F.col("next_text")).alias("next_text"), "guest")
 
@@ -125,11 +142,26 @@ def edited(text: Column, next_text: Column) -> Column:
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows = neighbours(docs, id_col, text_col)
-    changed = F.when(F.col("guest") == 0, edited(F.col("text"), F.col("next_text")))
-    # a row's own text at an even place, its edited text at the next one
-    texts = rows.select("bucket", F.inline(F.array(F.struct((F.col("row") * 2).alias("row"), "text"), F.struct((F.col("row") * 2 + 1).alias("row"), changed.alias("text")))))
+    text = F.col("text")
+    changed = F.when(F.col("guest") == 0, edited(text, F.col("next_text")))
+    # the words that both texts begin with are counted once: an edited text has all of the text's first half but the last one, and what follows them
+    n = F.char_length(text)
+    head = F.substring(text, F.lit(1), n - F.floor(n / 2).cast("int"))
+    same = F.greatest(F.size(_words(head)) - 1, F.lit(0))
+    last = F.regexp_extract(head, rf"{WORD}[\x20\x09-\x0D]*$", 0)
+    rest = F.substring(changed, F.char_length(head) - F.char_length(last) + 1, F.lit((1 << 31) - 1))
+    texts = rows.select("bucket", "row", same.alias("same"), _words(text).alias("own"), _words(F.coalesce(rest, F.lit(""))).alias("rest"))
+    words = texts.select("bucket", "row", "same", F.size("own").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "own", "rest")).alias("at", "word"))
+    of = lambda test: F.sum(F.when(test, 1).otherwise(0)).alias
+    at = F.col("at")
+    counted = words.groupBy("bucket", "row", _term()).agg(of(at <= F.col("n"))("a"), of((at <= F.col("same")) | (at > F.col("n")))("b"))
+    entry = lambda n, mark: F.struct(F.col(n).alias("n"), (F.col("row") * 4 + mark).alias("row"))
+    entries = F.when(F.col("a") == F.col("b"), F.array(entry("a", 3))).when(F.col("b") == 0, F.array(entry("a", 1))).when(F.col("a") == 0, F.array(entry("b", 2))).otherwise(F.array(entry("a", 1), entry("b", 2)))
+    # a row's own text has an even number, its edited text the next one
+    first = lambda row: F.floor(row / 4) * 2
+    rows_of = lambda row: F.when(row % 4 == 3, F.array(first(row), first(row) + 1)).otherwise(F.array(first(row) + F.when(row % 4 == 2, 1).otherwise(0)))
     w = Window.partitionBy("bucket").orderBy("row")
-    signed = sign(texts, samples).select("bucket", "row", "fingerprint", F.lead("fingerprint", 1).over(w).alias("edited_fingerprint"), F.lead("fingerprint", 2).over(w).alias("next_fingerprint"))
+    signed = _signed(counted.select("bucket", "term", F.inline(entries)), samples, rows_of).select("bucket", "row", "fingerprint", F.lead("fingerprint", 1).over(w).alias("edited_fingerprint"), F.lead("fingerprint", 2).over(w).alias("next_fingerprint"))
     signed = signed.filter("row % 2 = 0").withColumn("row", (F.col("row") / 2).cast("long"))
     own = rows.filter("guest = 0").select("bucket", "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(changed, 256).alias("edited_sha256"))
     near = {f"near_{k}": likeness(F.col("fingerprint"), F.col(f"{k}_fingerprint")) for k in ("edited", "next")}

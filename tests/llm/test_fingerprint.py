@@ -84,6 +84,23 @@ def test_neighbours(spark, rows):
         assert 0 <= r["near_edited"] <= 1 and (not want[r["doc_id"]][2] or r["near_next"] == 1)
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    """Whatever stands at the cut: a word's middle, white space, nothing but white space, no word at all."""
+    rows = [(k, t) for k, t in enumerate(["ab cd", "ab  cd ", "a", "", "  \n x", "xx yy zz \t", "one two one two", "abcdef", " ", "é\u2028 \U0001F600 ü", *[" ".join(prose(k, k)) for k in range(30)], "same same", "same same"])]
+    texts = {}
+    for k, (i, text) in enumerate(rows):
+        half = len(text) // 2
+        texts[i] = text[: len(text) - half] + rows[(k + 1) % len(rows)][1][:half]
+    want = {r["doc_id"]: r["fingerprint"] for r in G.fingerprints(docs(spark, list(texts.items()))).collect()}
+    own = {r["doc_id"]: r["fingerprint"] for r in G.fingerprints(docs(spark, rows)).collect()}
+    got = G.compare(docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["edited_fingerprint"] for r in got} == want and {r["doc_id"]: r["fingerprint"] for r in got} == own
+    for r in got:
+        after = own[(r["doc_id"] + 1) % len(rows)]
+        same = [r["fingerprint"][j : j + 4] == after[j : j + 4] for j in range(0, 256, 4)] if after and r["fingerprint"] else [after == r["fingerprint"]]
+        assert r["near_next"] == sum(same) / len(same)
+
+
 def test_hard_cases_repeated_and_null_ids(spark):
     got = G.compare(docs(spark, HARD)).collect()
     assert len(got) == len(HARD)
