@@ -23,7 +23,8 @@ hold one of the shared ones) and, where the sizes allow, on what they lack; pair
 whose Jaccard estimate (register agreement less the agreement expected by chance) are far below the
 threshold go, and the rest are verified on their full sets. No pair that shares a bucket and
 could connect two components is left out; what is joined are edits, not the texts that a group has
-in common.
+in common. Most of a large group's members are linked with its pivot or with each other, so only what
+is not of a token's most frequent component is paired, with all others: the work grows with a group's size, not its square.
 
 Skew: copies are folded by a partial aggregation; pivots are maxima (partial aggregation); both
 sides of the joins with bands' sizes and with pivots are shuffled by themselves, so that Spark can
@@ -256,29 +257,42 @@ def _better_pivots(stars: DataFrame, sets: DataFrame, alike, parts: int) -> tupl
 
 
 def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of one group's members in different components that may be linked, by the module's lemma."""
+    """Pairs (a, b) of one group's members in different components that may be linked, by the module's lemma.
+
+    Of the members that hold an edit, those of the most frequent component (nearly all of a large
+    group) are not paired with each other, and an edit that one component alone holds, or linked members alone, pairs nobody.
+    """
     linked = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     members = stars.select("g", F.col("b").alias("p"), F.col("a").alias("x"), "n_a", "n_b", "both", linked.alias("linked"))
     members = members.join(found.toDF("x", "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     groups = members.groupBy("g").agg(F.min("linked").alias("all_linked"), F.count("*").alias("n")).filter("not all_linked and n > 1").select("g")
-    members = cut(members.join(groups, "g", "left_semi"), parts)
-    edits = _edits(members, sets, percent)
-    several = edits.groupBy("g", "kind", "token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = edits.join(several, ["g", "kind", "token"])
-    # the rarest part of what a member has more: tokens of its own come first, and of those a member holds the rest
-    more = F.col("n_a") - F.col("both")
+    more, less = F.col("n_a") - F.col("both"), F.col("n_b") - F.col("both")
+    # all by 100 + percent: x and y, with nothing more in common, can only be linked if spare(y) >= far(x) for an x that isn't linked with the pivot
+    spare, far = (100 + percent) * (F.col("n_b") - F.col("n_a")) + (100 - percent) * F.col("n_a"), (100 + percent) * (more + less) - (100 - percent) * F.col("n_a")
+    members = cut(members.join(groups, "g", "left_semi").withColumns({"spare": spare, "far": far}), parts)
+    reach = members.groupBy("g").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest"), F.max("spare").alias("most"))
+    edits = _edits(members, sets, percent).join(members.join(reach, "g").drop("p"), ["g", "x"])
+    edits = edits.filter((F.col("kind") == 0) | F.when(F.col("linked"), F.col("spare") >= F.col("nearest")).otherwise(F.col("far") <= F.col("most")))
+    key = ["g", "kind", "token"]
+    several = edits.groupBy(*key).agg(F.count("*").alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("linked").alias("all_linked")).filter("c1 <> c2 and not all_linked")
+    shared = edits.join(several.select(*key, "df"), key)
+    # the rarest part of a member's edits: those of no use come first, and of the others a member holds the rest
+    t, largest = (100 - percent) / (100 + percent), F.col("n_a") * (1 + 100 / percent)
+    same_more = more - t * largest
+    same_less = F.when(F.col("linked"), more + less + t * (F.col("n_b") - F.col("n_a"))).otherwise(more + less - t * largest)
+    needed = F.greatest(F.lit(1), F.ceil(F.when(F.col("kind") == 0, same_more).otherwise(same_less) / 2 - 1e-6))
     w = Window.partitionBy("g", "kind", "x")
-    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)}).join(members, ["g", "x"])
-    needed = F.greatest(F.lit(1), F.ceil((more - (100 - percent) / (100 + percent) * F.col("n_a") * (1 + 100 / percent)) / 2 - 1e-6))
-    ranked = ranked.filter((F.col("kind") == 1) | (F.col("r") + more - F.col("n") <= more - needed + 1))
-    side = lambda k: ranked.select("g", "kind", "token", *[F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "n_b", "both", "linked", "component")])
+    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)})
+    ranked = cut(ranked.filter(F.col("r") <= F.col("n") - needed + 1).select(*key, "x", "n_a", "linked", "component", "spare", "far"), parts)
+    each = ranked.groupBy(*key, "component").agg(F.count("*").alias("k"))
+    main = each.groupBy(*key).agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("several")).filter("several > 1")
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "linked", "component", "spare", "far")]
     n = lambda k: F.col(f"n_a{k}")
-    differ = lambda k: n(k) + F.col(f"n_b{k}") - 2 * F.col(f"both{k}")
-    # without anything more in common: the first isn't linked with the pivot, and the other is so much smaller than it
-    small = lambda j, k: F.col(f"linked{j}") | ((100 + percent) * (F.col(f"n_b{k}") - n(k) - differ(j)) + (100 - percent) * (n(j) + n(k)) >= 0)
-    fits = (F.col("component1") != F.col("component2")) & (F.col("x1") < F.col("x2")) & ~(F.col("linked1") & F.col("linked2")) & (100 * F.least(n(1), n(2)) >= percent * F.greatest(n(1), n(2)))
-    pairs = side(1).join(side(2), ["g", "kind", "token"]).filter(fits & ((F.col("kind") == 0) | small(1, 2) & small(2, 1)))
-    return pairs.select(F.col("x2").alias("a"), F.col("x1").alias("b")).distinct()
+    near = lambda j, k: F.col(f"linked{j}") | (F.col(f"spare{k}") >= F.col(f"far{j}"))
+    fits = (F.col("component1") != F.col("component2")) & ~(F.col("linked1") & F.col("linked2")) & (100 * F.least(n(1), n(2)) >= percent * F.greatest(n(1), n(2)))
+    few = ranked.join(main, key).filter(F.col("component") != F.col("main"))
+    pairs = few.select(*key, *side(1)).join(ranked.select(*key, *side(2)), key).filter(fits & ((F.col("kind") == 0) | near(1, 2) & near(2, 1)))
+    return pairs.select(F.greatest("x1", "x2").alias("a"), F.least("x1", "x2").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

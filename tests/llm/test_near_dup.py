@@ -85,6 +85,39 @@ def test_no_pairs_within_a_large_group(spark):
     assert got == {(0, True), (0, False)}
 
 
+def outsiders(n, base=None):
+    """n near copies of a text (its tail cut, one word changed), and texts of which half is like it or each other."""
+    base = base or prose(9, 400)
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        w = base[: 400 - rng.randrange(25)]
+        w[rng.randrange(len(w))] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(6):  # the last two are alike
+        w = base[:200] + prose(60 + min(k, 4), 180)
+        w[7] = f"out{k}"
+        rows.append((n + k, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_with_outsiders_against_brute_force(spark):
+    check(spark, outsiders(120), 80)
+    base = prose(77, 120)
+    families = [(1000 * f + k, " ".join((base[:80] + prose(800 + f, 40))[: 120 - k % 3] + [f"end{k}"])) for f in range(3) for k in range(30)]
+    check(spark, families, 80)
+    check(spark, families + outsiders(40), 85)
+
+
+def test_pairs_beside_pivots_grow_with_the_group_only(spark, monkeypatch):
+    """Four times the members give about four times the pairs to look at, not sixteen times."""
+    seen, likely = [], N._likely
+    monkeypatch.setattr(N, "_likely", lambda pairs, *a: seen.append(pairs.count()) or likely(pairs, *a))
+    for n in (150, 600):
+        N.link(docs(spark, outsiders(n)), percent=80)
+    assert seen[3] <= 6 * max(seen[1], n)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     for shared in (200, 600, 900):
