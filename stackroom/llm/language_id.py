@@ -2,9 +2,12 @@
 
 Counts are taken over every training text: each task adds up its own counts by language and
 emits them in blocks of buckets, so that what is shuffled is bounded by languages x buckets x
-tasks, and blocks are summed in parallel, in two steps, so that no task gets a block from all
-tasks. The log-probability matrix (languages x buckets, of checked size) is broadcast; scoring
-gathers each n-gram's column and adds up by text in numpy. With more languages than a matrix may
+tasks (one that meets very many languages emits what it has from time to time), and blocks are summed in
+parallel, in two steps, so that no task gets a block from all
+tasks. The log-probability matrix (languages x buckets, of checked size) is broadcast. A text is
+scored by its sparse counts: its distinct buckets' rows of the matrix, times their counts, are added
+up in numpy, CELLS numbers at a time. Texts are looked at PIECE characters at a time, so that a task holds a long
+text and its lower-cased form, and little else. With more languages than a matrix may
 hold, one matrix after another is sent and dropped; each pass keeps a text's best language so far
 and the sum of all probabilities.
 
@@ -32,8 +35,10 @@ from stackroom.session import cut
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-#: Bytes of text scored at once: each character has a row of doubles by language for a while.
-SLICE_BYTES = 1 << 18
+#: Bytes of text handled at once (one text at least), and characters whose n-grams are.
+SLICE_BYTES, PIECE = 1 << 18, 1 << 18
+#: Numbers held at once for entries x languages and for texts x languages, and for a task's counts before they are emitted.
+CELLS, MOST_COUNTS = 1 << 20, 1 << 23
 #: Added to each count.
 SMOOTHING = 0.5
 _BLOCK = 2048
@@ -43,34 +48,56 @@ MOST_CELLS = 1 << 25
 _GROUPS = 256
 
 
-def _grams(col: pa.Array, orders: tuple[int, ...], buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Bucket of each n-gram at each character (by order), each text's first character, whether it has a letter.
+def _letters(texts: list[str]) -> np.ndarray:
+    return np.array([any(map(str.isalpha, t)) for t in texts], bool)
 
-    Letters are lower-cased beforehand; characters are code points, all non-letters count as one.
+
+def _entries(texts: list[str], orders: tuple[int, ...], buckets: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts' sparse counts, some texts at a time: text, bucket and how many of the text's n-grams fall into it.
+
+    Texts are lower-cased; characters are code points, all ASCII characters but letters count as one.
     """
-    texts = [(t or "").lower() for t in col.to_pylist()]
+    some: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        if len(text) > piece:  # alone, and its pieces' counts as one
+            total = np.zeros(buckets, np.int64)
+            for at in range(0, len(text), piece):
+                _, bucket, n = _counted([text[at : at + piece + max(orders) - 1]], orders, buckets, piece)
+                total[bucket] += n
+            bucket = np.flatnonzero(total)
+            yield np.full(len(bucket), i), bucket, total[bucket]
+            continue
+        if held + len(text) > piece:
+            text_, bucket, n = _counted([texts[j] for j in some], orders, buckets)
+            yield np.array(some, np.int64)[text_], bucket, n
+            some, held = [], 0
+        some.append(i)
+        held += len(text)
+    if some:
+        text_, bucket, n = _counted([texts[j] for j in some], orders, buckets)
+        yield np.array(some, np.int64)[text_], bucket, n
+
+
+def _counted(texts: list[str], orders: tuple[int, ...], buckets: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of these texts' n-grams; of those only that begin within the first `most` characters."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    rows = np.concatenate([[0], np.cumsum(sizes)])
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
     ascii_other = (code < 128) & ~((code >= 97) & (code <= 122))
     code = np.where(ascii_other, np.uint64(32), code)
-    out = []
+    text = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # characters to the end of the text
+    keys = []
     for n in orders:
         h = np.full(len(code), n, np.uint64)
         for k in range(n):
             h[: len(code) - k] = h[: len(code) - k] * np.uint64(0x100000001B3) + code[k:]
-        out.append((mix(h) & np.uint64(buckets - 1)).astype(np.int32))
-    return out, rows, letters
-
-
-def _inside(rows: np.ndarray, order: int, total: int) -> np.ndarray:
-    """Which characters begin an n-gram that ends within their text."""
-    keep = np.ones(total, bool)
-    counts = np.diff(rows)
-    for k in range(1, order):
-        keep[rows[1:][counts >= k] - k] = False
-    return keep
+        begins = left >= n
+        if most is not None:
+            begins[most:] = False
+        keys.append(text[begins] * buckets + (mix(h[begins]) & np.uint64(buckets - 1)).astype(np.int64))
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    return key // buckets, key % buckets, count
 
 
 @dataclass
@@ -116,18 +143,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for b in slices(batches, "text", SLICE_BYTES):
-            names, which = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            b = b.take(pa.array(np.argsort(which, kind="stable")))  # each language's texts side by side
-            which = np.sort(which)
-            grams, starts, letters = _grams(b.column("text"), orders, buckets)
-            bounds = np.searchsorted(which, np.arange(len(names) + 1))
-            for j, name in enumerate(names.tolist()):
-                own = total.setdefault(name, np.zeros(buckets, np.int64))
-                seen[name] = seen.get(name, 0) + int(letters[bounds[j] : bounds[j + 1]].sum())
-                here = slice(*starts[bounds[j : j + 2]])
-                for n, g in zip(orders, grams, strict=True):
-                    own += np.bincount(g[here][_inside(starts, n, len(g))[here]], minlength=buckets)
+        most = max(1, MOST_COUNTS // buckets)
+        for whole in slices(batches, "text", SLICE_BYTES):
+            for k in range(0, whole.num_rows, most):  # so many languages at most
+                b = whole.slice(k, most)
+                texts = _lower(b.column("text"))
+                names, which = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+                for name, n in zip(names.tolist(), np.bincount(which, _letters(texts), len(names)).tolist(), strict=True):
+                    total.setdefault(name, np.zeros(buckets, np.int64))
+                    seen[name] = seen.get(name, 0) + int(n)
+                for text, bucket, n in _entries(texts, orders, buckets):
+                    order = np.argsort(which[text], kind="stable")
+                    bounds = np.searchsorted(which[text][order], np.arange(len(names) + 1))
+                    for j in np.flatnonzero(np.diff(bounds)).tolist():
+                        own = order[bounds[j] : bounds[j + 1]]
+                        total[names[j]] += np.bincount(bucket[own], n[own], buckets).astype(np.int64)
+                if len(total) * buckets > MOST_COUNTS:
+                    yield from emitted(total, seen)
+                    total, seen = {}, {}
+        yield from emitted(total, seen)
+
+    def emitted(total: dict[str, np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
         for name, own in total.items():
             size = min(_BLOCK, buckets)
             k = buckets // size
@@ -151,19 +187,32 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     return Sharded(found, [languages[k : k + each] for k in parts], [prior[k : k + each] for k in parts], orders, buckets)
 
 
-def _totals(m: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's log score by language, and whether it has a letter."""
-    grams, starts, letters = _grams(col, m.orders, m.buckets)
-    n_langs = len(m.languages)
-    total = np.tile(m.prior, (len(col), 1))
-    if n_langs and len(grams[0]):
-        sums = np.zeros((len(grams[0]) + 1, n_langs))
-        each = np.zeros((len(grams[0]), n_langs))
-        for n, g in zip(m.orders, grams, strict=True):
-            each += m.log_p[g] * _inside(starts, n, len(g))[:, None]
-        np.cumsum(each, axis=0, out=sums[1:])
-        total = total + (sums[starts[1:]] - sums[starts[:-1]])
-    return total, letters
+def _lower(col: pa.Array) -> list[str]:
+    return [(t or "").lower() for t in col.to_pylist()]
+
+
+def _totals(m: Model, texts: list[str]) -> np.ndarray:
+    """Each text's log score by language: its buckets' rows of the matrix, times their counts."""
+    total = np.tile(m.prior, (len(texts), 1))
+    if not m.languages:
+        return total
+    most = max(1, CELLS // len(m.languages))
+    for text, bucket, count in _entries(texts, m.orders, m.buckets):
+        for k in range(0, len(text), most):
+            own = text[k : k + most]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            total[own[first]] += np.add.reduceat(m.log_p[bucket[k : k + most]] * count[k : k + most, None].astype(np.float64), first, axis=0)
+    return total
+
+
+def _scored(batches: Iterator[pa.RecordBatch], m: Model, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of bounded bytes and of bounded texts x languages, with texts' scores by language and whether they have a letter."""
+    most = max(1, CELLS // max(1, len(m.languages)))
+    for b in slices(batches, column, SLICE_BYTES):
+        for k in range(0, b.num_rows, most):
+            part = b.slice(k, most)
+            texts = _lower(part.column(column))
+            yield part, _totals(m, texts), _letters(texts)
 
 
 def predict(docs: DataFrame, model: Model | Sharded, text_col: str = "text") -> DataFrame:
@@ -176,8 +225,7 @@ def predict(docs: DataFrame, model: Model | Sharded, text_col: str = "text") ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, text_col, SLICE_BYTES):
-            total, letters = _totals(m, b.column(text_col))
+        for b, total, letters in _scored(batches, m, text_col):
             if m.languages:
                 best = total.argmax(axis=1)
                 p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -200,8 +248,7 @@ def _predict_sharded(docs: DataFrame, model: Sharded, text_col: str) -> DataFram
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = sent.value
-            for b in slices(batches, "text", SLICE_BYTES):
-                total, letters = _totals(m, b.column("text"))
+            for b, total, letters in _scored(batches, m, "text"):
                 own, before = total.max(axis=1), b.column("top").to_numpy()
                 best = [m.languages[k] if new else old for k, new, old in zip(total.argmax(axis=1).tolist(), (letters & (own > before)).tolist(), b.column("best").to_pylist(), strict=True)]
                 sums = np.logaddexp(b.column("sum").to_numpy(), own + np.log(np.exp(total - own[:, None]).sum(axis=1)))

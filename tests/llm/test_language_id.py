@@ -41,6 +41,68 @@ def test_counts_are_exact(spark):
     assert m.languages == ["x", "y"] and np.isclose(high[0], (2 + L.SMOOTHING) / (4 + L.SMOOTHING * 4096), rtol=1e-4) and np.isclose(high[1], high[0])
 
 
+def plain_counts(text, orders, buckets):
+    """An n-gram at a time, as the module's docstring has them."""
+    import numpy as np
+
+    from stackroom.llm.arrow_text import mix
+
+    code = [ord(c) if ord(c) >= 128 or "a" <= c <= "z" else 32 for c in text]
+    out = {}
+    for n in orders:
+        for i in range(len(code) - n + 1):
+            h = n
+            for c in code[i : i + n]:
+                h = (h * 0x100000001B3 + c) % (1 << 64)
+            key = int(mix(np.array([h], np.uint64))[0]) % buckets
+            out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_sparse_counts_and_scores_against_brute_force(spark):
+    import numpy as np
+
+    texts = ["", "a", "ab", "wo rt\n straße \U0001F600", "x" * 50, "the night " * 30, "é" * 7]
+    for piece in (3, 8, 64, 1 << 18):
+        got = {}
+        for text, bucket, n in L._entries(texts, (1, 2, 3), 512, piece):
+            for t, k, x in zip(text.tolist(), bucket.tolist(), n.tolist(), strict=True):
+                assert (t, k) not in got
+                got[t, k] = x
+        assert got == {(i, k): n for i, t in enumerate(texts) for k, n in plain_counts(t, (1, 2, 3), 512).items()}
+    rng = np.random.default_rng(3)
+    m = L.Model(["a", "b", "c"], rng.normal(size=(512, 3)).astype(np.float32), rng.normal(size=3), (1, 2, 3), 512)
+    want = [m.prior + sum((n * m.log_p[k].astype(float) for k, n in plain_counts(t, m.orders, 512).items()), np.zeros(3)) for t in texts]
+    assert np.allclose(L._totals(m, texts), want)
+
+
+def test_many_language_values_in_one_task(spark, monkeypatch):
+    """Counts that go out from time to time add up to the same."""
+    d = docs(spark, [(k, f"some text {k % 7} und mehr", f"l{k % 40:02}") for k in range(400)]).coalesce(1)
+    whole = L.train(d, buckets=1024)
+    monkeypatch.setattr(L, "MOST_COUNTS", 1024 * 3)
+    parts = L.train(d, buckets=1024)
+    assert whole.languages == parts.languages and (whole.log_p == parts.log_p).all() and (whole.prior == parts.prior).all()
+
+
+def test_a_very_long_text_and_many_languages_take_bounded_memory():
+    """20 million characters and 2,048 languages, in a process of its own: less than 1 GB with the matrix of 128 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from stackroom.llm import language_id as L
+m = L.Model([f"l{k:04}" for k in range(2048)], np.zeros((L.BUCKETS, 2048), np.float32) - 9, np.zeros(2048), L.ORDERS, L.BUCKETS)
+texts = ["the night and the house " * 833_334] + ["word"] * 3000
+n = sum(len(t) for b, t, l in L._scored(iter([pa.RecordBatch.from_pydict({"text": texts})]), m, "text"))
+assert n == 3001
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert int(out) < 1000
+
+
 def test_more_languages_than_a_matrix_holds(spark):
     from tests.llm.fixtures import prose
 
