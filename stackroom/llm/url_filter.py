@@ -15,8 +15,8 @@ parts overlap, what FP-growth finds are candidates, which are counted exactly af
 token sets are one row with a number; FP-growth gets each as often as the least count at most,
 which changes no combination's being frequent.
 
-A list of fixed rules (host and path prefix) comes first; the longest that fits decides. Urls that
-they judge are labelled urls, too.
+A list of fixed rules (host and path prefix) comes first; the longest that fits decides. What they
+decide is never learned from: labels are those of the pages' documents.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, no rule and no
 tokens, and is allowed; no labelled urls, or none mined, means that all others are allowed; ties
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stackroom.session import ascii_lower, cut
 
 #: Verdict by host and path prefix.
-RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "allow", "org/fr/": "allow"}
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 #: Share of labelled urls that must hold the combination and be bad, and their least number (three can't reach a lower bound of one half).
 SUPPORT, LEAST_COUNT = 0.002, 4
@@ -162,16 +162,12 @@ def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col:
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("n_mined", F.lit(0).cast("long")).alias("n_mined"))
 
 
-def labelled_pages(pages: DataFrame, labels: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """Urls with a label (url, bad), from two sources: those that a fixed rule judges, else those of a labelled document.
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Urls with a label (url, bad): those whose document has one; toxic or poor documents are bad.
 
-    The number in a page's url is its document's id; toxic or poor ones are bad.
+    The first path segment that is a number, with or without an ending, is the id of the document that the page shows.
     """
-    rules = RULES if rules is None else rules
     number = F.regexp_extract(F.coalesce("url", F.lit("")), r"/(\d{1,18})(?:[/.?#]|$)", 1)
-    rule = fixed_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
-    own = pages.select("url", rule.alias("rule"), F.when(number != "", number.cast("long")).alias("doc_id"))
+    own = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).filter("doc_id is not null")
     marks = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    known = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v == "block")) for r, v in rules.items()]) if rules else F.lit(None).cast("boolean")
-    fixed = own.filter("rule is not null").select("url", known.alias("bad"))
-    return fixed.unionByName(own.filter("rule is null").join(marks, "doc_id").select("url", "bad"))
+    return own.join(marks, "doc_id").select("url", "bad")
