@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackroom.operators.search import keyword
+from stackroom.operators.segments import Segments
+from stackroom.plans.query import Bool, Term
 from stackroom.session import shared_folder, table
 from stackroom.sources import ebook, files, office, units
 from stackroom.streaming import flows
@@ -224,3 +227,32 @@ def stream_replaced_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
     _drained(stream, root, twice, "append")
     return spark.read.parquet(f"{root}/out").groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("""WITH d AS (SELECT 0 AS batch, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT b, doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 1 THEN ' apache license version' ELSE '' END FROM documents, range(1, 4) r(b) WHERE b = 1 OR doc_id % 7 <> 2
+  UNION ALL SELECT 3, doc_id, left(coalesce(text, ''), 500) FROM documents WHERE doc_id % 14 = 2),
+  t AS (SELECT batch, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM d), st AS (SELECT batch, count(*) AS n, avg(len(w)) AS av FROM t GROUP BY 1),
+  tf AS (SELECT batch, doc_id, len(w) AS dl, term, count(*) AS tf FROM t, unnest(w) u(term) WHERE term IN ('license', 'apache', 'the') GROUP BY ALL), df AS (SELECT batch, term, count(*) AS df FROM tf GROUP BY 1, 2),
+  s AS (SELECT batch, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN df USING (batch, term) JOIN st USING (batch) GROUP BY 1, 2)
+  SELECT batch, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY batch ORDER BY score DESC, doc_id) <= 30""")
+def index_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """An index kept up by a stream: documents come in, are replaced, deleted and come again; after each batch it is asked."""
+    own, text = table(spark, sf, "documents"), F.coalesce("text", F.lit(""))
+    change = lambda rows, text, deleted=False: rows.select("doc_id", text.alias("text"), F.lit(deleted).alias("deleted"))
+    longer = change(own.filter("doc_id % 10 = 1"), F.concat(text, F.lit(" apache license version")))
+    batches = [
+        change(own.filter("doc_id % 4 <> 3"), text), change(own.filter("doc_id % 4 = 3 and doc_id % 10 <> 1"), text).unionByName(longer),
+        change(own.filter("doc_id % 7 = 2"), F.lit(None).cast("string"), True), change(own.filter("doc_id % 14 = 2"), F.substring(text, 1, 500)),
+    ]
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    segments = Segments(spark, f"{root}/index")
+    keep, asked = flows.keep_index(segments), Bool(should=(Term("license"), Term("apache"), Term("the")))
+
+    def write(batch: DataFrame, number: int) -> None:
+        keep(batch, number)
+        keyword(segments.index(), asked, 30).select(F.lit(number).alias("batch"), "doc_id", "score").write.mode("overwrite").parquet(f"{root}/out/{number}")
+
+    for k, rows in enumerate(batches):  # the stream stops and goes on again
+        rows.write.parquet(f"{root}/in/part={k}")
+        _drained(flows.watch_folder(spark, f"{root}/in/*", "doc_id long, text string, deleted boolean", per_trigger=1_000_000), root, write, "append")
+    return spark.read.parquet(*[f"{root}/out/{k}" for k in range(len(batches))])

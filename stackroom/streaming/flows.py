@@ -24,6 +24,15 @@ def replace_into(table_path: str, transform: Callable[[DataFrame], DataFrame], k
     return write
 
 
+def keep_index(segments) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that takes changes of documents into an index of segments, each batch once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        segments.apply(batch, number)
+
+    return write
+
+
 def resume(units: DataFrame, checkpoints: DataFrame, fingerprint: str, retry_failed: bool = False) -> DataFrame:
     """Units (doc_id, ordinal) not yet done under this fingerprint; or only those that failed."""
     own = checkpoints.filter(F.col("fingerprint") == fingerprint)
