@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
-A text is its words (A-Z lower-cased) with their counts. Each of SAMPLES samples picks one word of a
+A text is its words (lower-cased) with their counts. Each of SAMPLES samples picks one word of a
 text in proportion to its count, and alike for texts that share it: for a word k with count S, hashes
 of (k, sample) give r and c from a gamma distribution of shape 2 and b from a uniform one;
 t = floor(ln S / r + b), and the sample is the word with the smallest ln c - r (t + 1 - b). That number
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.session import ascii_lower, cut
+from stackroom.session import cut
 
 SAMPLES = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +49,7 @@ def _samples(term: Column, n: Column, samples: int) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def sign(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -60,20 +60,21 @@ def sign(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def _term() -> Column:
-    """A word's hash; null for the head that stands before each text's words, so that no text is lost."""
-    return F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")
+    """A lower-cased word's hash (short ASCII words are lower-cased much sooner than whole texts); null for the head that stands before each text's words, so that no text is lost."""
+    return F.when(F.col("word").isNotNull(), F.xxhash64(F.lower("word"))).alias("term")
 
 
 def _signed(counted: DataFrame, samples: int, rows_of=None) -> DataFrame:
-    """bucket, row, fingerprint from counts (bucket, row, term, n); rows_of turns a row's number into those of several rows that have the term as often."""
+    """bucket, row, fingerprint from counts (bucket, row, term, n); rows_of turns a row's number into those of the rows whose texts hold all its words."""
     shared = counted.groupBy("bucket", "term", "n").agg(F.collect_list("row").alias("rows"))
     # a lambda function beside the samples keeps them out of the stage's one method, which would be too long to be compiled
     values = shared.select("bucket", F.transform("rows", lambda r: r).alias("rows"), F.when(F.col("term").isNotNull(), _samples(F.col("term"), F.col("n"), samples)).alias("v")).select("bucket", "v", F.explode("rows").alias("row"))
+    names = [f"s{j}" for j in range(samples)]
+    least = values.groupBy("bucket", "row").agg(*[F.min(F.get("v", F.lit(j))).alias(s) for j, s in enumerate(names)])
     if rows_of:
-        values = values.select("bucket", "v", F.explode(rows_of(F.col("row"))).alias("row"))
-    least = values.groupBy("bucket", "row").agg(*[F.min(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(samples)])
+        least = least.select("bucket", F.explode(rows_of(F.col("row"))).alias("row"), *names).groupBy("bucket", "row").agg(*[F.min(s).alias(s) for s in names])
     digits = lambda x: F.lpad(F.hex(F.xxhash64(x).bitwiseAND(0xFFFF)), 4, "0")
-    return least.select("bucket", "row", F.when(F.col("s0").isNull(), "").otherwise(F.array_join(F.transform(F.array(*[f"s{j}" for j in range(samples)]), digits), "")).alias("fingerprint"))
+    return least.select("bucket", "row", F.when(F.col("s0").isNull(), "").otherwise(F.array_join(F.transform(F.array(*names), digits), "")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
