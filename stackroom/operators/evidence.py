@@ -4,79 +4,39 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_EVIDENCE, RESULT_BYTES, MARGIN = 12, 2048, 1024
-_WORDS = re.compile(r"[\W_]+")
-
-
-def words_of(text: str) -> frozenset[str]:
-    return frozenset(w for w in _WORDS.split(text.lower()) if w)
-
+from stackroom.functions.text import is_near_duplicate, near_dup_words
 
-def near_duplicate(a: frozenset[str], b: frozenset[str], least: float = 0.9) -> bool:
-    return bool(a and b) and len(a & b) >= least * max(len(a), len(b))
-
-
-def choose(hits: list[tuple[str, str]], budget: int, most: int = MOST_EVIDENCE) -> list[int]:
-    """Places of the hits (document, text) that become evidence, in the order they are taken.
-
-    Blank ones and near copies of earlier ones go; a document that isn't there yet comes before a
-    second hit of one that is; what is left over fills up. Sizes are UTF-8 bytes.
-    """
-    unique: list[int] = []
-    seen: list[frozenset[str]] = []
-    for i, (_, text) in enumerate(hits):
-        own = words_of(text)
-        if text.strip() and not any(near_duplicate(own, w) for w in seen):
-            unique.append(i)
-            seen.append(own)
-    taken: list[int] = []
-    documents: set[str] = set()
-    used = 0
-
-    def fits(i: int) -> bool:
-        nonlocal used
-        size = len(hits[i][1].encode())
-        if used + size > budget:
-            return False
-        used += size
-        return True
-
-    for i in unique:
-        if len(taken) == most:
-            break
-        if hits[i][0] in documents and any(hits[j][0] not in documents and j not in taken for j in unique):
-            continue
-        if fits(i):
-            taken.append(i)
-            documents.add(hits[i][0])
-    for i in unique:
-        if len(taken) == most:
-            break
-        if i not in taken and fits(i):
-            taken.append(i)
-    return taken
+MOST_EVIDENCE, RESULT_BYTES, MARGIN = 12, 2048, 1024
 
 
-def pack_context(hits: DataFrame, budget: int, query: str = "query_id", most: int = MOST_EVIDENCE, per_query: int = 30) -> DataFrame:
-    """(query, evidence, doc_id, rank) for ranked hits (query, rank, doc_id, text); a query's group has its fused hits only.
+def pack_context(hits: DataFrame, budget: int, query: str = "query_id", document: str = "doc_id", most: int = MOST_EVIDENCE, per_query: int = 30, base: int = 0, each: int = 0) -> DataFrame:
+    """(query, evidence, document, rank): the ranked hits (query, rank, document, text) that become evidence S1, S2 ... of a request.
 
-    The rank filter keeps each group at per_query rows, so a group never grows with the corpus.
+    Blank hits and those like an earlier kept one go. A document's first hit comes before all
+    second hits, each by rank; so many are taken as fit: the request has `base` bytes, and a hit its
+    UTF-8 bytes and `each` more; one that doesn't fit makes way for the next. A query's array has per_query hits at most.
     """
-    schema = f"{query} long, evidence string, doc_id long, rank int"
+    hit = F.struct("rank", F.col(document).alias("document"), near_dup_words(F.coalesce("text", F.lit(""))).alias("words"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", " ")) == "").alias("blank"))
+    lists = hits.filter(F.col("rank") <= per_query).groupBy(query).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    none = F.filter("hits", lambda _: F.lit(False))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        taken = choose(list(zip(pdf["doc_id"].astype(str), pdf["text"].fillna(""), strict=True)), budget, most)
-        rows = pdf.iloc[taken]
-        return pd.DataFrame({query: rows[query], "evidence": [f"S{k + 1}" for k in range(len(taken))], "doc_id": rows["doc_id"], "rank": rows["rank"]})
-
-    return hits.filter(F.col("rank") <= per_query).select(query, "rank", "doc_id", "text").groupBy(query).applyInPandas(run, schema)
+    lists = lists.withColumn("kept", F.aggregate("hits", none, lambda kept, h: F.when(h["blank"] | F.exists(kept, lambda k: is_near_duplicate(k["words"], h["words"])), kept).otherwise(F.concat(kept, F.array(h)))))
+    again = lambda h, i: F.exists(F.slice("kept", F.lit(1), i), lambda k: k["document"].eqNullSafe(h["document"]))
+    lists = lists.withColumn("kept", F.array_sort(F.transform("kept", lambda h, i: F.struct(again(h, i).alias("again"), h["rank"].alias("rank"), h["document"].alias("document"), (h["bytes"] + each).alias("bytes")))))
+    total = lambda taken: F.aggregate(taken, F.lit(base).cast("long"), lambda n, x: n + x["bytes"])
+    fits = lambda taken, h: (F.size(taken) < most) & (total(taken) + h["bytes"] <= budget)
+    taken = F.aggregate("kept", F.filter("kept", lambda _: F.lit(False)), lambda taken, h: F.when(fits(taken, h), F.concat(taken, F.array(h))).otherwise(taken))
+    each_taken = lists.select(query, F.posexplode(taken).alias("place", "x"))
+    return each_taken.select(query, F.concat(F.lit("S"), F.col("place") + 1).alias("evidence"), F.col("x.document").alias(document), F.col("x.rank").alias("rank"))
 
 
 def byte_prefix(text: str, most: int) -> str:
@@ -89,29 +49,32 @@ def byte_prefix(text: str, most: int) -> str:
     return cut[:at] if at > 0 else cut
 
 
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _shortened(item: dict, room: int) -> dict | None:
+    """The item with its text cut at a blank so that its JSON takes `room` bytes; None if nothing of the text is left."""
+    rest = room - len(_json({**item, "text": "", "truncated": True}).encode())
+    ends = accumulate(len(_json(c).encode()) - 2 for c in item["text"])  # bytes of the text up to each character, escaped
+    raw = len(item["text"][: bisect_right(list(ends), rest)].encode())
+    text = byte_prefix(item["text"], raw) if rest > 0 else ""
+    return {**item, "text": text, "truncated": True} if text.strip() else None
+
+
 def bounded(items: list[dict], drop, most: int = RESULT_BYTES) -> list[dict]:
-    """Items whose JSON fits: the largest text is shortened as far as needed, and items are dropped where that isn't enough."""
-    items = [dict(i) for i in items]
-    size = lambda: len(json.dumps(items, ensure_ascii=False, separators=(",", ":")).encode())
-    while items and size() > most:
-        largest = max(items, key=lambda i: len(i["text"].encode()))
-        full = largest["text"]
-        low, high = 0, len(full.encode())
-        while low < high:
-            middle = (low + high + 1) // 2
-            largest["text"] = byte_prefix(full, middle)
-            low, high = (middle, high) if size() <= most else (low, middle - 1)
-        largest["text"] = byte_prefix(full, low)
-        if size() <= most and largest["text"].strip():
-            largest["truncated"] = True
-            if size() <= most:
-                break
-        largest["text"] = full
-        largest.pop("truncated", None)
-        if len(items) == 1:
-            return []
-        items.pop(drop(items))
-    return items
+    """Items whose JSON fits: the largest text gives up the bytes that are too many; where it can't, items are dropped first."""
+    for left in range(len(items), 0, -1):
+        over = len(_json(items).encode()) - most
+        if over <= 0:
+            return items
+        k = max(range(left), key=lambda i: len(items[i]["text"].encode()))
+        short = _shortened(items[k], len(_json(items[k]).encode()) - over)
+        if short:
+            return [*items[:k], short, *items[k + 1 :]]
+        gone = drop(items)
+        items = [x for i, x in enumerate(items) if i != gone % left]
+    return []
 
 
 def canonical_json(raw: str) -> str:
@@ -140,45 +103,71 @@ def evidence_ids(payload: str) -> list[str]:
     return out
 
 
-def text_diff(before: str, after: str, most_cells: int = 2_500_000) -> list[tuple[str, str]] | None:
-    """(same, removed or added; text) by a longest common subsequence of words and gaps; of lines where words are too many; else None."""
-    for cut in (re.compile(r"\s+|\S+"), re.compile(r"[^\n]*\n|[^\n]+")):
-        a, b = cut.findall(before), cut.findall(after)
-        head = 0
-        while head < min(len(a), len(b)) and a[head] == b[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-            tail += 1
+def _split(a: list, b: list) -> tuple[int, int]:
+    """A point on a shortest way from (0, 0) to the ends of a and b, half of its edits before it: ways from both ends meet.
+
+    a and b aren't empty, and neither begin nor end alike.
+    """
+    n, m = len(a), len(b)
+    ahead, back = {1: 0}, {1: 0}  # how far a way with so many edits gets on each diagonal
+    for edits in range((n + m + 1) // 2 + 1):
+        for way, mine, other in ((1, ahead, back), (-1, back, ahead)):
+            for k in range(-edits, edits + 1, 2):
+                down = k == -edits or k != edits and mine[k - 1] < mine[k + 1]
+                x = mine[k + 1] if down else mine[k - 1] + 1
+                while x < n and x - k < m and (a[x] == b[x - k] if way == 1 else a[n - 1 - x] == b[m - 1 - x + k]):
+                    x += 1
+                mine[k] = x
+                facing = n - m - k
+                if (n - m) % 2 == (way == 1) and abs(facing) <= edits - (way == 1) and facing in other and x + other[facing] >= n:
+                    return (x, x - k) if way == 1 else (n - x, m - x + k)
+    raise AssertionError("two ways always meet")
+
+
+def _edits(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
+    """same, removed and added tokens of a shortest edit, in memory of the tokens' number."""
+    todo: list[tuple[str, list[str], list[str]]] = [("edit", a, b)]
+    while todo:
+        kind, a, b = todo.pop()
+        if kind == "same":
+            yield from (("same", x) for x in a)
+            continue
+        head = len(commonprefix([a, b]))
+        tail = len(commonprefix([a[head:][::-1], b[head:][::-1]]))
         x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-        if len(x) * len(y) <= most_cells:
+        yield from (("same", t) for t in a[:head])
+        if tail:
+            todo.append(("same", a[-tail:], []))
+        if x and y:
+            i, j = _split(x, y)
+            todo += [("edit", x[i:], y[j:]), ("edit", x[:i], y[:j])]
+        else:
+            yield from [("removed", t) for t in x] + [("added", t) for t in y]
+
+
+def text_diff(before: str, after: str, most_cells: int = 2_500_000) -> list[tuple[str, str]] | None:
+    """(same, removed or added; text): a shortest edit of words and gaps, or of lines where the changed parts are too long for words; None where also for lines.
+
+    Of a change the removed text comes first; changes with only white space between them are one.
+    """
+    for tokens in (re.compile(r"\s+|\S+"), re.compile(r"[^\n]*\n|[^\n]+")):
+        a, b = tokens.findall(before), tokens.findall(after)
+        head = len(commonprefix([a, b]))
+        tail = len(commonprefix([a[head:][::-1], b[head:][::-1]]))
+        if (len(a) - head - tail) * (len(b) - head - tail) <= most_cells:
             break
     else:
         return None
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    parts = [("same", t) for t in a[:head]]
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            parts.append(("same", x[i]))
-            i, j = i + 1, j + 1
-        elif i < len(x) and (j == len(y) or table[i + 1][j] >= table[i][j + 1]):
-            parts.append(("removed", x[i]))
-            i += 1
-        else:
-            parts.append(("added", y[j]))
-            j += 1
-    parts += [("same", t) for t in a[len(a) - tail :]] if tail else []
+    runs = [(same, list(own)) for same, own in groupby(_edits(a, b), key=lambda part: part[0] == "same")]
+    gap = [same and 0 < i < len(runs) - 1 and not any(t.strip() for _, t in own) for i, (same, own) in enumerate(runs)]
     out: list[tuple[str, str]] = []
-    for kind, text in parts:
-        if out and out[-1][0] == kind:
-            out[-1] = (kind, out[-1][1] + text)
+    for changed, some in groupby(range(len(runs)), key=lambda i: gap[i] or not runs[i][0]):
+        parts = [p for i in some for p in runs[i][1]]
+        if changed:
+            texts = [(kind, "".join(t for k, t in parts if k in ("same", kind))) for kind in ("removed", "added")]
+            out += [(kind, t) for kind, t in texts if t]
         else:
-            out.append((kind, text))
+            out.append(("same", "".join(t for _, t in parts)))
     return out
 
 

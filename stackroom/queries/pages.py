@@ -129,23 +129,19 @@ def payload_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.mapped(table(spark, sf, "events").select("event_id", payload.alias("p")), "p", lambda p: ",".join(evidence.evidence_ids(p)), "string", "ids").select("event_id", "ids")
 
 
-@query("""SELECT item_id, md5(text) AS before, md5('Now ' || regexp_replace(text, 'e', 'E')) AS after, TRUE AS kinds FROM benchmark""")
+@query("""WITH p AS (SELECT item_id, text, strpos(text, 'e') AS p FROM benchmark), s AS (SELECT *, CASE WHEN p > 0 THEN regexp_extract(left(text, p), '^(.*\\s)?\\S*$', 1, 's') END AS head FROM p), w AS (SELECT *, regexp_extract(substr(text, length(head) + 1), '^\\S+') AS word FROM s),
+  x AS (SELECT *, regexp_replace(word, 'e', 'E') AS new, substr(text, length(head) + length(word) + 1) AS rest FROM w)
+  SELECT item_id, CASE WHEN p = 0 THEN 'added:Now |same:' || text WHEN head = '' THEN 'removed:' || word || '|added:Now ' || new ELSE 'added:Now |same:' || head || '|removed:' || word || '|added:' || new END || CASE WHEN p > 0 AND rest <> '' THEN '|same:' || rest ELSE '' END AS parts FROM x""")
 def text_differences(spark: SparkSession, sf: str) -> DataFrame:
-    """A difference gives back both texts: what is the same with what was removed, and with what was added."""
+    """What is the same, removed and added between a text and another with a word before it and its first e in capitals."""
     b = table(spark, sf, "benchmark").select("item_id", "text", F.concat(F.lit("Now "), F.regexp_replace("text", "^([^e]*)e", "$1E")).alias("new"))
-    schema = "item_id long, before string, after string, kinds boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for item, old, new in zip(pdf["item_id"], pdf["text"], pdf["new"], strict=True):
-                parts = evidence.text_diff(old, new)
-                pick = lambda kind, parts=parts: "".join(t for k, t in parts if k in ("same", kind))
-                rows.append((item, pick("removed"), pick("added"), all(x[0] != y[0] for x, y in zip(parts, parts[1:], strict=False))))
-            yield pd.DataFrame(rows, columns=["item_id", "before", "after", "kinds"])
-
-    found = b.mapInPandas(run, schema)
-    return found.select("item_id", F.md5(F.col("before").cast("binary")).alias("before"), F.md5(F.col("after").cast("binary")).alias("after"), "kinds")
+            found = [evidence.text_diff(old, new) for old, new in zip(pdf["text"], pdf["new"], strict=True)]
+            yield pd.DataFrame({"item_id": pdf["item_id"], "parts": ["|".join(f"{k}:{t}" for k, t in parts) for parts in found]})
+
+    return b.mapInPandas(run, "item_id long, parts string")
 
 
 @query("SELECT conv_id, TRUE AS fits, TRUE AS in_order, least(sum(length(text)), 1)::BIGINT AS some FROM conversations WHERE text IS NOT NULL GROUP BY 1")

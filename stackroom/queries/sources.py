@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackroom.operators import chunking, corrections, evidence
-from stackroom.operators.search import build_index, keyword
+from stackroom.operators.search import keyword
 from stackroom.plans.query import Bool, Term
+from stackroom.queries.search import _index as written_index
 from stackroom.session import spread, table
 from stackroom.sources import html, ocr, text, units
 
@@ -100,13 +101,30 @@ def correction_preview(spark: SparkSession, sf: str) -> DataFrame:
     return corrections.preview(done)[1]
 
 
-@query(None)
+#: Hits with their place, and what is kept of them one after the other: first those not like an earlier one, then those that fit.
+_PACKED = """WITH RECURSIVE t AS (SELECT doc_id, source, text, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t),
+  tf AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM t, unnest(w) u(term) WHERE term IN ('license', 'apache', 'version') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY 1),
+  h AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, source, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM s JOIN t USING (doc_id) ORDER BY 1 LIMIT 30),
+  k AS (SELECT 0::BIGINT AS step, [{'rank': 0::BIGINT, 'source': NULL::VARCHAR, 'bytes': 0::BIGINT, 'w': NULL::VARCHAR[]}] AS kept
+    UNION ALL SELECT h.rank, CASE WHEN trim(text) = '' OR len(list_filter(kept, lambda x: x.w IS NOT NULL AND len(list_intersect(x.w, h.w)) >= 0.9 * greatest(len(x.w), len(h.w)))) > 0 THEN kept
+      ELSE list_append(kept, {'rank': h.rank, 'source': h.source, 'bytes': octet_length(encode(text))::BIGINT, 'w': h.w}) END FROM k JOIN h ON h.rank = k.step + 1),
+  f AS (SELECT x.rank AS rank, x.source AS source, x.bytes AS bytes FROM (SELECT unnest(kept[2:]) AS x FROM (SELECT kept FROM k ORDER BY step DESC LIMIT 1))),
+  o AS (SELECT *, row_number() OVER (ORDER BY again, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) > 1 AS again FROM f)),
+  p AS (SELECT 0::BIGINT AS step, 1000::BIGINT AS used, []::BIGINT[] AS taken UNION ALL SELECT o.place, CASE WHEN len(taken) < 12 AND used + bytes + 40 <= 20000 THEN used + bytes + 40 ELSE used END,
+    CASE WHEN len(taken) < 12 AND used + bytes + 40 <= 20000 THEN list_append(taken, o.rank) ELSE taken END FROM p JOIN o ON o.place = p.step + 1),
+  z AS (SELECT taken FROM p ORDER BY step DESC LIMIT 1), y AS (SELECT unnest(range(1, len(taken) + 1)) AS i, taken FROM z)
+  SELECT 'S' || i AS evidence, source, taken[i] AS rank FROM y JOIN h ON h.rank = taken[i]"""
+
+
+@query(_PACKED)
 def pack_context(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    hits = keyword(build_index(d), Bool(should=tuple(map(Term, ("license", "apache", "version")))), 30)
+    """The hits of a question that go into a request of 20,000 bytes, of which 1,000 are taken and 40 go with each hit; those of sources not there yet first."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    hits = keyword(written_index(spark, sf), Bool(should=tuple(map(Term, ("license", "apache", "version")))), 30)
     w = Window.partitionBy().orderBy(F.col("score").desc(), "doc_id")
-    ranked = hits.withColumns({"rank": F.row_number().over(w), "query_id": F.lit(1).cast("long")})
-    return evidence.pack_context(ranked.join(d, "doc_id").select("query_id", "rank", "doc_id", "text"), 20_000)
+    ranked = hits.withColumns({"rank": F.row_number().over(w).cast("long"), "query_id": F.lit(1).cast("long")})
+    return evidence.pack_context(ranked.join(d, "doc_id").select("query_id", "rank", "source", "text"), 20_000, document="source", base=1000, each=40).drop("query_id")
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS n_turns, min(CASE WHEN role = 'user' THEN turn END) AS first_user, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1 HAVING count(*) > 2 ORDER BY 4 DESC, 1 LIMIT 50")

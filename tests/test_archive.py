@@ -231,15 +231,30 @@ def test_correction_jobs(spark):
 # evidence
 
 
-def test_choice_of_evidence():
-    hits = [("a", "one two three"), ("a", "one two three"), ("a", "four five"), ("b", " "), ("b", "six seven"), ("c", "x" * 100)]
-    assert E.choose(hits, 1000, 3) == [0, 4, 5] and E.choose(hits, 1000) == [0, 4, 5, 2] and E.choose(hits, 40) == [0, 4, 2] and E.choose(hits, 5) == []
+def test_choice_of_evidence(spark):
+    hits = [("a", "one two three"), ("a", "one TWO, three"), ("a", "four five"), ("b", " \n"), ("b", "six seven"), ("c", "x" * 100), ("d", None)]
+    df = spark.createDataFrame([(q, k, d, t) for q in (1, 2) for k, (d, t) in enumerate(hits)], "query_id int, rank int, doc_id string, text string")
+
+    def taken(budget, most=12, **more):
+        rows = sorted((r["query_id"], int(r["evidence"][1:]), r["rank"]) for r in E.pack_context(df, budget, most=most, **more).collect())
+        found = {q: [k for x, n, k in rows if x == q] for q in (1, 2)}
+        assert found[1] == found[2] and [n for x, n, _ in rows if x == 1] == list(range(1, len(found[1]) + 1))
+        return found[1]
+
+    assert taken(1000, 3) == [0, 4, 5] and taken(1000) == [0, 4, 5, 2] and taken(40) == [0, 4, 2] and taken(5) == []
+    assert taken(60, base=20) == [0, 4, 2] and taken(60, base=20, each=10) == [0] and taken(1000, per_query=1) == [0]
 
 
 def test_bounded_results():
     items = [{"id": k, "text": ("word " * 200).strip()} for k in range(3)]
     out = E.bounded(items, lambda x: len(x) - 1, 1500)
     assert len(json.dumps(out, ensure_ascii=False, separators=(",", ":")).encode()) <= 1500 and out[0]["id"] == 0
+    assert out[-1]["text"].split() == ["word"] * len(out[-1]["text"].split()) and sum("truncated" in x for x in out) == 1
+    assert E.bounded(items, lambda x: 0, 100_000) == items and E.bounded([{"text": "word"}], lambda x: 0, 5) == [] and E.bounded([], lambda x: 0) == []
+    hard = [{"text": "\\\"\n" * 50 + " end " + "å" * 300, "x": "\t"}, {"text": "b b b"}]
+    for most in range(20, 900, 37):
+        kept = E.bounded(hard, lambda x: len(x) - 1, most)
+        assert len(E._json(kept).encode()) <= most or kept == []
     assert E.byte_prefix("åäö ab", 7) == "åäö" and E.byte_prefix("åäö", 3) == "å" and E.byte_prefix("x", 5) == "x"
 
 
@@ -253,7 +268,27 @@ def test_small_functions(spark):
     assert [r["c"] for r in df.collect()] == ['{"a":2,"b":1}', None]
 
 
+def longest_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_edits_are_shortest():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        parts = list(E._edits(a, b))
+        assert [t for k, t in parts if k != "added"] == a and [t for k, t in parts if k != "removed"] == b
+        assert sum(k == "same" for k, _ in parts) == longest_common(a, b)
+
+
 def test_diff_restores_both_texts():
+    assert E.text_diff("a b c d", "a x y d") == [("same", "a "), ("removed", "b c"), ("added", "x y"), ("same", " d")]  # changes beside a blank are one
+    assert E.text_diff("x\ny z\n", "x\nY z\n", 3) == [("same", "x\ny z\n".replace("y z\n", "")), ("removed", "y"), ("added", "Y"), ("same", " z\n")]
+    assert E.text_diff("a b\nc d\n", "a x\nc y\n", 4) == [("removed", "a b\nc d\n"), ("added", "a x\nc y\n")]  # by lines
     rng = random.Random(3)
     for _ in range(100):
         a, b = (" ".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
