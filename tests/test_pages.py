@@ -108,12 +108,25 @@ def test_picture_identity(spark):
 
 def test_captions(spark):
     picture = (0.1, 0.3, 0.6, 0.6)
-    lines = [("Above text", (0.1, 0.26, 0.6, 0.29)), ("Figure 2: A cat", (0.1, 0.61, 0.6, 0.63)), ("sits here", (0.1, 0.64, 0.6, 0.66)), ("Far away body", (0.1, 0.8, 0.6, 0.82)), ("Other column", (0.7, 0.61, 0.9, 0.63))]
-    assert [t for t, _ in I.caption(picture, lines)] == ["Figure 2: A cat", "sits here"]
-    assert [t for t, _ in I.caption(picture, [("Fig. 1 above", (0.1, 0.26, 0.6, 0.29)), ("plain below", (0.1, 0.61, 0.6, 0.63))])] == ["Fig. 1 above"]
-    assert I.context(picture, lines, I.caption(picture, lines)).startswith("Above text") and len(I.context(picture, [("word " * 400, (0, 0, 1, 0.1))])) <= 600
-    df = spark.createDataFrame([(1, 0, list(picture), [(t, list(b)) for t, b in lines])], "doc_id long, page int, picture array<double>, lines array<struct<text:string,box:array<double>>>")
-    assert I.captions(df).first()["caption"] == "Figure 2: A cat sits here"
+    at = lambda text, top, left=0.1, right=0.6: (text, [left, top, right, top + 0.02])
+    pages = {  # lines of a page in any order, and what of them is the caption
+        "two lines below": ([at("Above text", 0.26), at("sits here", 0.64), at("Figure 2: A cat", 0.61), at("Far away body", 0.8), at("Other column", 0.61, 0.7, 0.9)], "Figure 2: A cat sits here"),
+        "a label above": ([at("Fig. 1 above", 0.27), at("plain below", 0.61)], "Fig. 1 above"),
+        "nothing near": ([at("far", 0.7), at("far above", 0.1)], None),
+        "three lines at most": ([at(f"line {k}", 0.61 + 0.03 * k) for k in range(5)], "line 0 line 1 line 2"),
+        "a gap ends it": ([at("first", 0.61), at("second", 0.67)], "first"),
+        "above ends with its label": ([at("body before", 0.21), at("Table 3 - sizes", 0.24), at("in cm", 0.27)], "Table 3 - sizes in cm"),
+        "words that only begin like labels": ([at("Figurative text", 0.27), at("Tables turn", 0.61)], "Tables turn"),
+        "below first, unless above has the label": ([at("BILD 7", 0.27), at("Foto: x", 0.61)], "Foto: x"),
+        "narrow overlap": ([at("beside", 0.61, 0.5, 0.9)], None),
+        "long lines and blanks": ([at("x" * 401, 0.61), at(" \n", 0.62), at("after", 0.62)], "after"),
+        "no lines": ([], None),
+    }
+    rows = [(k, 0, list(picture), lines) for k, (lines, _) in enumerate(pages.values())]
+    df = spark.createDataFrame(rows, "doc_id long, page int, picture array<double>, lines array<struct<text:string,box:array<double>>>")
+    got = {r["doc_id"]: r for r in I.captions(df).collect()}
+    assert {name: got[k]["caption"] for k, name in enumerate(pages)} == {name: want for name, (_, want) in pages.items()}
+    assert "Above text" in got[0]["context"] and "Figure 2" not in got[0]["context"] and len(I.context(picture, [("word " * 400, (0, 0, 1, 0.1))])) <= 600
 
 
 def test_alignment():
