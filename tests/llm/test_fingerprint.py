@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stackroom.llm import fingerprint as G
-from tests.llm.fixtures import HARD, SPACED, docs, prose
+from tests.llm.fixtures import ALNUM, HARD, docs, prose
 
 
 def signed(x):
@@ -40,7 +40,7 @@ def jaccard(a, b):
 def test_fingerprints_against_brute_force(spark):
     """Words' numbers, but for their last bits, are those of the formula; a fingerprint names the smallest of its text's words."""
     rows = [(1, "a b b c c c"), (2, "A b B  c\nc c"), (3, "one"), (4, " ".join(prose(2, 60) * 3)), *[(10 + k, t) for k, (_, t) in enumerate(HARD) if k != 6]]
-    counts = {i: Counter(SPACED.findall((t or "").lower())) for i, t in rows}
+    counts = {i: Counter(ALNUM.findall((t or "").lower())) for i, t in rows}
     pairs = sorted({p for c in counts.values() for p in c.items()})
     v = G._samples(F.xxhash64("word"), F.col("n"), G.SAMPLES)
     found = {(r["word"], r["n"]): r["v"] for r in spark.createDataFrame(pairs, "word string, n long").select("word", "n", v.alias("v")).collect()}
