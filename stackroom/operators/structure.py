@@ -27,6 +27,8 @@ class Piece:
     level: int | None = None
     latex: str | None = None
     rows: tuple[tuple[tuple[str, bool], ...], ...] = ()
+    spans: tuple[tuple[int, int, int, int], ...] = ()
+    box: tuple[float, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,7 @@ class Cell:
 
 @dataclass(frozen=True)
 class Block:
-    """A block's range in the page's search text; a table's rows are ranges of cells."""
+    """A block's range in the page's search text (empty for a figure without words); a table's rows are ranges of cells."""
 
     kind: str
     start: int
@@ -46,6 +48,8 @@ class Block:
     level: int | None = None
     latex: str | None = None
     rows: tuple[tuple[Cell, ...], ...] = field(default=())
+    spans: tuple[tuple[int, int, int, int], ...] = ()
+    box: tuple[float, ...] | None = None
 
 
 # reading Markdown: rules in order of precedence; each says which pieces begin at a line and which line is next, or None
@@ -230,6 +234,8 @@ def place(pieces: list[Piece]) -> tuple[str, list[Block]]:
         grid = [[(search_form(c), h) for c, h in row] for row in p.rows] if p.kind == "table" and p.rows else None
         own = "\n".join("\t".join(c for c, _ in row) for row in grid) if grid else search_form(p.text)
         if not own.strip():
+            if p.kind == "figure" and p.box:
+                blocks.append(Block(p.kind, len(text), len(text), box=p.box))
             continue
         text += "\n" if text else ""
         start = len(text)
@@ -242,7 +248,7 @@ def place(pieces: list[Piece]) -> tuple[str, list[Block]]:
                 at += len(c) + 1
             rows.append(tuple(cells))
         text += own
-        blocks.append(Block(p.kind, start, len(text), min(max(p.level, 1), 6) if p.level and p.kind == "heading" else None, p.latex if p.kind == "formula" else None, tuple(rows)))
+        blocks.append(Block(p.kind, start, len(text), min(max(p.level, 1), 6) if p.level and p.kind == "heading" else None, p.latex if p.kind == "formula" else None, tuple(rows), p.spans, p.box))
     return text, blocks
 
 

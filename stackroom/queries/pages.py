@@ -229,6 +229,20 @@ def layout_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("item_id", F.array_join(own, "|").alias("blocks"), "degraded")
 
 
+@query(f"""WITH {_ITEMS}, c AS (SELECT item_id, w, len(string_split(t, ' ')) AS n FROM i), x AS (SELECT item_id, 1 + item_id % 3 AS k, n, w FROM c)
+  SELECT item_id, 'table:' || w || chr(9) || 'b' || chr(10) || 'c' || chr(10) || 'd' || '|figure:' AS blocks, '0,0,' || k || ',1 0,1,1,2 ' || CASE k WHEN 1 THEN '1,0,1,1 2,0,1,1' WHEN 2 THEN '1,1,1,1 2,0,1,1' ELSE '1,1,1,1 2,1,1,1' END AS spans, n / 100.0 AS right_edge FROM x""")
+def layout_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that take several rows or columns push later ones aside; a picture without words keeps its box."""
+    box = lambda html, label, order, right: F.struct(html.alias("html"), F.lit(label).alias("label"), F.lit(order).alias("reading_order"), F.array(F.lit(0.0), F.lit(0.0), right, F.lit(1.0)).alias("box"))
+    k = (1 + F.col("item_id") % 3).cast("string")
+    table_ = F.concat(F.lit('<table><tr><th rowspan="'), k, F.lit('">'), "w", F.lit('</th><td colspan="2">b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr></table>'))
+    right = F.size(F.split("t", " ")) / 100.0
+    made = layout.layout_structured(_pages(spark, sf).select("item_id", F.array(box(table_, "Table", 1, F.lit(0.5)), box(F.lit(""), "Picture", 2, right)).alias("layout")), keys=("item_id",))
+    own = F.transform("blocks", lambda b: F.concat(b["kind"], F.lit(":"), F.substring(F.col("search_text"), b["start"] + 1, b["end"] - b["start"])))
+    spans = F.transform(F.col("blocks")[0]["spans"], lambda s: F.concat_ws(",", s["row"], s["column"], s["rows"], s["columns"]))
+    return made.select("item_id", F.array_join(own, "|").alias("blocks"), F.array_join(spans, " ").alias("spans"), F.col("blocks")[1]["box"][2].alias("right_edge"))
+
+
 @query(f"WITH {_ITEMS} SELECT item_id AS doc_id, 'Figure ' || item_id || ': ' || w AS caption, 'Body ' || w AS context FROM i")
 def picture_captions(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled line under a picture is its caption, the rest of the page its context."""

@@ -64,7 +64,20 @@ def test_layout_blocks():
 def test_layout_job(spark):
     d = spark.createDataFrame([(1, [("<h1>A</h1>", "SectionHeader", 1), ("b", "Text", 2)]), (2, None)], "page_id int, layout array<struct<html:string,label:string,reading_order:int>>")
     got = {r["page_id"]: (r["search_text"], [tuple(b) for b in r["blocks"]], r["degraded"]) for r in L.layout_structured(d).collect()}
-    assert got == {1: ("A\nb", [("heading", 0, 1, 1), ("paragraph", 2, 3, None)], False), 2: ("", [], False)}
+    assert got == {1: ("A\nb", [("heading", 0, 1, 1, None, None), ("paragraph", 2, 3, None, None, None)], False), 2: ("", [], False)}
+
+
+def test_spans_boxes_and_figures_without_words(spark):
+    assert L.grid([[(2, 1), (1, 2)], [(1, 1), (1, 1)], [(1, 3)]]) == [(0, 0, 2, 1), (0, 1, 1, 2), (1, 1, 1, 1), (1, 2, 1, 1), (2, 0, 1, 3)]
+    assert L.grid([[(3, 1), (1, 1), (2, 1)], [(1, 1), (1, 1)]]) == [(0, 0, 3, 1), (0, 1, 1, 1), (0, 2, 2, 1), (1, 1, 1, 1), (1, 3, 1, 1)]
+    html = '<table><tr><th rowspan="2">a</th><td colspan=" 2 ">b</td></tr><tr><td rowspan="x">c</td><td colspan="0">d</td></tr></table>'
+    boxes = [(html, "Table", 1, [0.1, 0.1, 0.9, 0.4]), ("", "Picture", 2, [0.0, 0.5, 1.0, 0.9]), ("", "Picture", 3, None), ("<div>pre <b>bold</b> <p>one</p><section><table><tr><td>x</td></tr></table>in</section> post</div>", "Form", 4, None)]
+    d = spark.createDataFrame([(1, boxes)], "page_id int, layout array<struct<html:string,label:string,reading_order:int,box:array<double>>>")
+    r = L.layout_structured(d).first()
+    table, figure = r["blocks"][0], r["blocks"][1]
+    assert [tuple(x) for x in table["spans"]] == [(0, 0, 2, 1), (0, 1, 1, 2), (1, 1, 1, 1), (1, 2, 1, 1)] and table["box"] == [0.1, 0.1, 0.9, 0.4]
+    assert figure["kind"] == "figure" and figure["start"] == figure["end"] and figure["box"] == [0.0, 0.5, 1.0, 0.9]
+    assert r["search_text"] == "a\tb\nc\td\npre\nbold\none\nx\nin\npost" and [b["kind"] for b in r["blocks"]] == ["table", "figure", "paragraph", "paragraph", "paragraph", "table", "paragraph", "paragraph"]
 
 
 def test_many_queries_in_groups_of_bounded_size(spark):
