@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stackroom.functions.text import carries_meaning, plain_tokens, searchable
 from stackroom.plans.query import Index, Query, compile
-from stackroom.session import cut, shared_folder
+from stackroom.session import cut, delete, shared_folder, state_of
 
 PER_BRANCH, FUSED, RRF_K = 50, 30, 60
 
@@ -27,14 +27,22 @@ def build_index(docs: DataFrame, analyze=plain_tokens, id_col: str = "doc_id", t
     return Index(tokens=docs.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col)).alias("tokens")))
 
 
-def write_index(index: Index, path: str, partitions: int) -> None:
-    """Write postings, and terms with their frequencies, sorted by term in range partitions, so that a query's terms read a few row groups; and documents with their lengths, and the totals."""
+#: Words of a partition of written postings.
+PARTITION_WORDS = 4_000_000
+
+
+def write_index(index: Index, path: str, partitions: int | None = None) -> None:
+    """Write documents with their lengths, and the totals; postings, and terms with their frequencies, sorted by term in range partitions (by the number of words, if not said), so that a query's terms read a few row groups."""
+    spark = index.documents.sparkSession
+    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    totals = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    if partitions is None:
+        r = spark.read.parquet(f"{path}/totals").first()
+        partitions = max(8, spark.sparkContext.defaultParallelism, round(r["n"] * (r["average"] or 0) / PARTITION_WORDS))
     by_term = lambda rows, *more: rows.repartitionByRange(partitions, "term").sortWithinPartitions("term", *more)
     by_term(index.postings(), "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = index.documents.sparkSession.read.parquet(f"{path}/postings")
-    by_term(statistics(Index(stored=stored))).write.mode("overwrite").parquet(f"{path}/terms")
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    index.documents.sparkSession.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.mode("overwrite").parquet(f"{path}/totals")
+    by_term(statistics(Index(stored=spark.read.parquet(f"{path}/postings")))).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_index(spark, path: str) -> Index:
@@ -42,18 +50,24 @@ def read_index(spark, path: str) -> Index:
     return Index(stored=read("postings"), lengths=read("documents"), vocabulary=read("terms"), totals=read("totals").first())
 
 
-_WRITTEN: dict[tuple[str, str], Index] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, str, Index]] = {}
 
 
 def index_of(docs: DataFrame, name: str, analyze=plain_tokens) -> Index:
-    """The written index of these documents: built once in a session under this name, in the shared folder, and read from then on."""
+    """The written index of these documents by this analyzer, in the shared folder: built once in a session under this name, and read from then on.
+
+    When the documents' files have changed since, it is built anew and the old one deleted.
+    """
     spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, f"{analyze.__module__}.{analyze.__qualname__}")
+    state = state_of(docs)
+    if key in _WRITTEN and _WRITTEN[key][0] != state:
+        delete(spark, _WRITTEN.pop(key)[1])
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        write_index(build_index(docs, analyze), path, max(8, spark.sparkContext.defaultParallelism))
-        _WRITTEN[key] = read_index(spark, path)
-    return _WRITTEN[key]
+        write_index(build_index(docs, analyze), path)
+        _WRITTEN[key] = state, path, read_index(spark, path)
+    return _WRITTEN[key][2]
 
 
 def statistics(index: Index) -> DataFrame:

@@ -207,7 +207,9 @@ def _as_query(t: SynonymTerm) -> Query:
 def expand(q: Query, glossary: Glossary) -> Query:
     """The query with synonyms: optional terms gain alternatives, required ones become a required choice, phrases gain variants.
 
-    All alternatives of a place come, or none when they would go over the budget; phrase variants come one by one.
+    Alternatives are a group's terms but the words that are there; a prefix term is always one, as it stands for
+    other words, too. All of a place come, or none when they would go over the budget; phrase variants come one
+    by one, MOST_VARIANTS beside the phrase at most, until one doesn't fit. What is excluded stays as it is, but for groups within it.
     """
     added = 0
 
@@ -232,11 +234,11 @@ def expand(q: Query, glossary: Glossary) -> Query:
                 continue
             words = [c.text for c in clauses[i:j]]
             at = 0
-            for first, end, term, group in glossary.hits(words):
+            for first, end, _term, group in glossary.hits(words):
                 out += [Term(w) for w in words[at:first]]
                 own = [Term(w) for w in words[first:end]]
-                others = [_as_query(t) for t in group.terms if t.tokens != term.tokens]
-                if not room(others):
+                others = [_as_query(t) for t in group.terms if t.prefix or list(t.tokens) != words[first:end]]
+                if not others or not room(others):
                     out += own
                 elif required:
                     out.append(Bool(should=(own[0] if len(own) == 1 else Bool(must=tuple(own)), *others)))
@@ -249,7 +251,8 @@ def expand(q: Query, glossary: Glossary) -> Query:
 
     def walk(node: Query) -> Query:
         if isinstance(node, Bool):
-            return replace(node, must=run(node.must, True), should=run(node.should, False), must_not=node.must_not)
+            excluded = tuple(walk(c) if isinstance(c, Bool) else c for c in node.must_not)
+            return replace(node, must=run(node.must, True), should=run(node.should, False), must_not=excluded)
         if isinstance(node, Term):
             return Bool(should=run((node,), False)) if glossary.hits([node.text]) else node
         if isinstance(node, Phrase):
@@ -263,11 +266,10 @@ def expand(q: Query, glossary: Glossary) -> Query:
             choices += [[(w,)] for w in node.words[at:]]
             variants: list[Query] = []
             for k, words in enumerate(product(*choices)):
-                if k == MOST_VARIANTS:
-                    break
                 v = Phrase(tuple(w for part in words for w in part), node.slop)
-                if k == 0 or room([v]):
-                    variants.append(v)
+                if k > MOST_VARIANTS or k and not room([v]):
+                    break
+                variants.append(v)
             return variants[0] if len(variants) == 1 else Bool(should=tuple(variants))
         return node
 
@@ -277,6 +279,10 @@ def expand(q: Query, glossary: Glossary) -> Query:
 # plans
 
 
+#: Terms that a prefix, pattern or misspelling may stand for and still be sought by name; beyond, postings are joined with the vocabulary.
+MOST_EXPANDED = 1024
+
+
 @dataclass
 class Index:
     """Places of terms: `tokens` (doc_id, tokens) as a plan over texts, or written `stored` postings with `lengths`, the `vocabulary` (term, df) and the `totals` (n, average).
@@ -305,7 +311,12 @@ class Index:
         return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
     def terms(self, test: Column) -> DataFrame:
-        """doc_id of the documents with a term that passes the test."""
+        """doc_id of the documents with a term that passes the test: of a written index the vocabulary is asked first, and only those terms' postings are read."""
+        if self.vocabulary is not None:
+            found = self.vocabulary.filter(test).select("term")
+            some = [r["term"] for r in found.limit(MOST_EXPANDED + 1).collect()]
+            rows = self.stored.filter(F.col("term").isin(*some)) if len(some) <= MOST_EXPANDED else self.stored.join(found, "term", "left_semi")
+            return rows.select("doc_id").distinct()
         if self.stored is not None:
             return self.stored.filter(test).select("doc_id").distinct()
         return self.tokens.select("doc_id", F.explode_outer("tokens").alias("term")).filter(test).select("doc_id").distinct()

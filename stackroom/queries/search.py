@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from stackroom.functions.text import folded_tokens, plain_tokens
 from stackroom.operators import search as S
+from stackroom.operators import vectors as V
 from stackroom.plans import strings as Q
 from stackroom.plans.query import Bool, Boost, Fuzzy, Glossary, Phrase, Prefix, SynonymTerm, Synonyms, Term, Wildcard, clause_count, expand
-from stackroom.session import spread, table
+from stackroom.session import shared_folder, spread, state_of, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -157,6 +159,33 @@ def vector_topk_many(spark: SparkSession, sf: str) -> DataFrame:
     return S.nearest_many(v, queries, 5).select("query_id", "vec_id")
 
 
+def _lists(spark: SparkSession, sf: str) -> V.Lists:
+    """The inverted lists of the vectors: written by the first query of a session."""
+    v = table(spark, sf, "embeddings")
+    key = (spark.sparkContext.applicationId, state_of(v))
+    if key not in _LISTS:
+        _LISTS[key] = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+        V.write_lists(v, _LISTS[key])
+    return V.read_lists(spark, _LISTS[key])
+
+
+_LISTS: dict[tuple[str, str], str] = {}
+
+
+@query(f"SELECT vec_id, round({_SIMILARITY}, 6) AS score FROM embeddings WHERE label IN (1, 2) ORDER BY 2 DESC, 1 LIMIT 30")
+def vector_lists_small_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """A scope that is small is searched exactly, whatever lists its vectors are in."""
+    lists = _lists(spark, sf)
+    return V.approximate(lists, _VECTOR, 30, scope=lists.vectors.filter("label IN (1, 2)").select("vec_id"))
+
+
+@query(None)
+def vector_lists_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the exact 30 nearest of every hundredth vector the inverted lists give."""
+    queries = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return V.recall(_lists(spark, sf), queries, 30)
+
+
 _HYBRID = f"""WITH {_TOKENS}, kw AS (SELECT doc_id, round(sum(score), 6) AS score FROM s WHERE term IN ('the', 'license', 'version') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
   vc AS (SELECT vec_id AS doc_id, round({_SIMILARITY}, 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50),
   a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM kw), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rb FROM vc)
@@ -177,12 +206,13 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return S.search(_index(spark, sf), Bool(should=tuple(map(Term, words))), list(words), table(spark, sf, "embeddings"), _VECTOR)
 
 
-_GLOSSARY = Glossary([Synonyms((SynonymTerm(("license",)), SynonymTerm(("public", "license")), SynonymTerm(("mit",)))), Synonyms((SynonymTerm(("apa",), True), SynonymTerm(("gnu",))))])
+_GLOSSARY = Glossary([Synonyms((SynonymTerm(("license",)), SynonymTerm(("public", "license")), SynonymTerm(("mit",)))), Synonyms((SynonymTerm(("theain",), True), SynonymTerm(("gnu",))))])
 
 
-@query(f"""WITH {_TOKENS} SELECT doc_id, count(*) > 0 AS found FROM p WHERE term IN ('license', 'mit', 'gnu') OR starts_with(term, 'apa') GROUP BY 1""")
+@query(f"""WITH {_TOKENS} SELECT doc_id, count(*) > 0 AS found FROM p WHERE term IN ('license', 'mit', 'gnu') OR starts_with(term, 'theain') GROUP BY 1""")
 def synonym_search(spark: SparkSession, sf: str) -> DataFrame:
-    q = expand(Bool(should=(Term("license"), Term("apache"))), _GLOSSARY)
+    """Documents with a word or one of its synonyms: a word found by a prefix brings all words with that prefix."""
+    q = expand(Bool(should=(Term("license"), Term("theaing"))), _GLOSSARY)
     return S.compile(q, _index(spark, sf)).select("doc_id", F.lit(True).alias("found"))
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
+from itertools import groupby
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +82,24 @@ def spread(df: DataFrame) -> DataFrame:
     """The same rows over all cores, where a scan has fewer splits than twice the cores (a few small files); else as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * n else df.repartition(n)
+
+
+def state_of(df: DataFrame) -> str:
+    """What df reads, as it is now: its files' names, sizes and times; for a plan without files, the plan."""
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    if not files:
+        return f"plan {df.semanticHash()}"
+    digest = hashlib.sha256()
+    for folder, own in groupby(files, key=lambda f: f.rpartition("/")[0]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        known = {s.getPath().getName(): s for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+        for f in own:
+            s = known.get(unquote(f.rpartition("/")[2]))
+            digest.update(f"{f} {s.getLen() if s else None} {s.getModificationTime() if s else None}\n".encode())
+    return digest.hexdigest()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -71,6 +71,11 @@ def test_expansion():
     assert Q.expand(B(must=(T("motor"), T("vehicle"))), GLOSSARY).must[0].should[0] == B(must=(T("motor"), T("vehicle")))
     assert Q.expand(B(must_not=(T("car"),)), GLOSSARY) == B(must_not=(T("car"),))
     assert Q.expand(P(("big", "car")), GLOSSARY).should == tuple(P(a + b) for a in (("big",), ("large",)) for b in (("car",), ("motor", "vehicle"), ("auto",)))
+    # a word found by a prefix brings the prefix itself; groups within what is excluded are expanded, its own words aren't
+    assert Q.expand(T("automobile"), GLOSSARY) == B(should=(T("automobile"), T("car"), P(("motor", "vehicle")), Q.Prefix("auto")))
+    assert Q.expand(B(should=(T("x"),), must_not=(T("car"), B(should=(T("big"),)))), GLOSSARY).must_not == (T("car"), B(should=(T("big"), T("large"))))
+    long = Q.expand(P(("big", "car", "big", "car", "big")), GLOSSARY).should
+    assert len(long) == Q.MOST_VARIANTS + 1 and long[0] == P(("big", "car", "big", "car", "big"))
     many = B(should=tuple(T("car") for _ in range(200)))
     assert Q.clause_count(Q.expand(many, GLOSSARY)) <= 200 + Q.MOST_ADDED
 
@@ -158,3 +163,54 @@ def test_word_set_pairs_against_all_pairs(spark):
     near = {(r["a"], r["b"]) for r in got if r["kind"] == "near"}
     assert all(a == min(same[a]) and b == min(same[b]) and dict(sets)[a] != dict(sets)[b] for a, b in near)
     assert {tuple(sorted((x, y))) for a, b in near for x in same[a] for y in same[b]} | {(x, y) for s in same.values() for x in s for y in s if x < y and dict(sets)[x]} == want
+
+
+def test_a_written_index_follows_its_documents_and_analyzer(spark, tmp_path):
+    from stackroom.functions.text import folded_tokens
+
+    write = lambda rows: spark.createDataFrame(rows, "doc_id int, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "d"))
+    read = lambda: spark.read.parquet(str(tmp_path / "d"))
+    write([(1, "Café"), (2, "cafe")])
+    plain, folded = S.index_of(read(), "follows"), S.index_of(read(), "follows", folded_tokens)
+    assert found(T("cafe"), plain).keys() == {2} and found(T("cafe"), folded).keys() == {1, 2}
+    assert S.index_of(read(), "follows") is plain and S.index_of(read(), "follows", folded_tokens) is folded
+    write([(3, "cafe au lait"), (4, "no")])
+    assert found(T("cafe"), S.index_of(read(), "follows")).keys() == {3}
+
+
+def test_patterns_ask_the_vocabulary_first(spark, tmp_path, monkeypatch):
+    S.write_index(S.build_index(spark.createDataFrame(DOCS[:4], "doc_id int, text string")), str(tmp_path / "i"))
+    own = S.read_index(spark, str(tmp_path / "i"))
+    for most in (1024, 1):  # beyond the bound the vocabulary is joined
+        monkeypatch.setattr(Q, "MOST_EXPANDED", most)
+        assert found(Q.Prefix("p"), own).keys() == {1, 4} and found(Q.Fuzzy("appel", 2), own).keys() == {1, 2, 4} and found(Q.Wildcard("*z*"), own) == {}
+    monkeypatch.setattr(Q, "MOST_EXPANDED", 1024)
+    plan = Q.compile(Q.Wildcard("t?r*"), own)._jdf.queryExecution().toString()
+    assert "RLIKE" not in plan and "term,tart" in plan.replace(" ", "")
+
+
+@pytest.mark.parametrize("clusters", [0, 12])
+def test_inverted_lists(spark, tmp_path, clusters):
+    import numpy as np
+
+    from stackroom.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(max(clusters, 1), 16)) * (3 if clusters else 0)
+    points = [(k, (middle[k % max(clusters, 1)] + rng.normal(size=16)).tolist()) for k in range(1500)] + [(5000, None), (5001, [1.0]), (5002, [0.0] * 16)]
+    v = spark.createDataFrame(points, "vec_id long, embedding array<float>")
+    V.write_lists(v, str(tmp_path), lists=24)
+    own = V.read_lists(spark, str(tmp_path))
+    assert own.vectors.count() == 1502 and 1 <= own.probes <= 24
+    queries = v.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    r = V.recall(own, queries, 30).agg(F.sum("found"), F.sum("wanted")).first()
+    assert r[0] >= 0.9 * r[1] and r[1] == 15 * 30 and (not clusters or own.probes <= 12)
+    q = points[7][1]
+    ids = lambda df: [(x["vec_id"], x["score"]) for x in df.collect()]
+    scope = v.filter("vec_id % 3 = 0").select("vec_id")
+    assert ids(V.approximate(own, q, 10, scope=scope)) == ids(S.nearest(v, q, 10, scope=scope))  # small: exact
+    assert "list IN" not in V.approximate(own, q, 10, scope=scope)._jdf.queryExecution().toString()
+    every = V.approximate(own, q, 10, probes=1)
+    assert len(ids(every)) == 10 and "PartitionFilters: [" in every._jdf.queryExecution().toString()
+    assert ids(V.approximate(own, q, 10, probes=24)) == ids(S.nearest(v.filter("vec_id < 5000"), q, 10))
+    assert len(ids(V.approximate(own, q, 400, probes=1))) == 400  # goes on until there are enough
