@@ -5,6 +5,8 @@ Offsets and lengths are in code points. Null in gives null out unless said other
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,38 @@ def folded_tokens(text: Column) -> Column:
     return F.when(text.isNotNull(), F.regexp_extract_all(F.regexp_replace(flat, r"\p{M}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
+#: Fixed values of word breaking: what joins letters, what joins digits, and scripts written without blanks.
+_JOINS = r".\u2018\u2019\u2024\uFE52\uFF07\uFF0E'"
+JOIN_LETTERS = rf"[:\u00B7\u0387\u055F\u05F4\u2027\uFE13\uFE55\uFF1A{_JOINS}]"
+JOIN_DIGITS = rf"[,;\u037E\u0589\u060C\u060D\u066C\u07F8\u2044\uFE10\uFE14\uFE50\uFE54\uFF0C\uFF1B{_JOINS}]"
+_SINGLE, _KANA, _RUNS = r"\p{IsHan}\p{IsHiragana}", r"\p{IsKatakana}\u30FC", r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_MORE = r"(?:\p{M}|(?!\u200B)\p{Cf})*"
+_LETTER = rf"(?![{_SINGLE}{_KANA}{_RUNS}])[\p{{L}}\p{{Nl}}]{_MORE}"
+#: A word by the standard's word breaks: letters, digits and connectors in a row, also over one mark that joins letters or digits; an ideograph by itself; katakana and scripts without blanks as runs.
+WORD_BREAKS = (
+    rf"[{_SINGLE}]{_MORE}|(?:[{_KANA}]{_MORE})+|(?:[{_RUNS}]{_MORE})+|(?:{_LETTER}(?:{JOIN_LETTERS}{_MORE}{_LETTER})*|\p{{Nd}}{_MORE}(?:{JOIN_DIGITS}{_MORE}\p{{Nd}}{_MORE})*|\p{{Pc}}{_MORE})+"
+)
+#: Letters with a stroke, which have no decomposition, and what they fold to.
+STROKES = {"đ": "d", "ħ": "h", "ł": "l", "ø": "o", "ŧ": "t", "ƀ": "b", "ɨ": "i", "ƶ": "z", "ɇ": "e", "ǥ": "g", "ɉ": "j", "ɍ": "r", "ɏ": "y", "ʉ": "u", "ı": "i"}
+
+
+def native_digits() -> dict[str, str]:
+    """Decimal digits of all scripts with their ASCII ones."""
+    each = ((chr(c), unicodedata.decimal(chr(c), None)) for c in range(0x80, 0x20000))
+    return {c: str(d) for c, d in each if d is not None}
+
+
+def standard_tokens(text: Column) -> Column:
+    """Analyzer tokens: words by the standard's word breaks, then folded: case, compatibility forms, accents, strokes and digits of all scripts."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(WORD_BREAKS), F.lit(0)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    joined = F.array_join(words, "\x1f")  # folded all at once
+    cased = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), joined, F.lit(True))
+    flat = F.regexp_replace(F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), cased, F.lit(True)), r"\p{M}", "")
+    plain = STROKES | native_digits()
+    folded = F.lower(F.translate(flat, "".join(plain), "".join(plain.values())))
+    return F.when(text.isNotNull(), F.filter(F.split(folded, "\x1f"), lambda w: w != ""))
+
+
 def searchable(text: Column) -> Column:
     """A letter or digit is there, and the text isn't the lone artefact of a doubled encoding."""
     return F.coalesce(text.rlike(r"[\p{L}\p{Nd}]") & (F.regexp_replace(text, r"\s", "") != "Â"), F.lit(False))

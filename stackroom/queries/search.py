@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.functions.text import folded_tokens, plain_tokens
+from stackroom.functions.text import folded_tokens, plain_tokens, standard_tokens
 from stackroom.operators import search as S
 from stackroom.operators import vectors as V
 from stackroom.plans import strings as Q
@@ -40,6 +40,20 @@ _TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}
   s AS (SELECT tf.doc_id, tf.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM tf JOIN df USING (term), st)"""
 
 
+_M = r"[\p{M}\p{Cf}]*"
+_BREAKS = rf"(?:[\p{{L}}\p{{Nl}}]{_M}(?:[:·.‘’'']{_M}[\p{{L}}\p{{Nl}}]{_M})*|\p{{Nd}}{_M}(?:[,;.‘’'']{_M}\p{{Nd}}{_M})*|\p{{Pc}}{_M})+"
+#: The same with the analyzer's tokens.
+_STANDARD = _TOKENS.replace(
+    "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')",
+    f"list_filter(list_transform(regexp_extract_all(text, '{_BREAKS}'), lambda x: regexp_replace(strip_accents(replace(lower(x), 'ß', 'ss')), '\\p{{M}}', '', 'g')), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))",
+)
+
+
+def _standard_index(spark: SparkSession, sf: str):
+    """The same by the analyzer's tokens: words by the standard's word breaks, folded."""
+    return S.index_of(spread(table(spark, sf, "documents").select("doc_id", "text")), sf, standard_tokens)
+
+
 @query(f"WITH {_TOKENS} SELECT doc_id, round(score, 6) AS score FROM s WHERE term = 'license' ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_term_topk(spark: SparkSession, sf: str) -> DataFrame:
     return S.keyword(_index(spark, sf), Term("license"), 10)
@@ -84,18 +98,18 @@ def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     return S.keyword(_index(spark, sf), Fuzzy("licence", 1), 50)
 
 
-@query(f"WITH {_TOKENS} SELECT doc_id, round(sum(CASE WHEN term IN ('license', 'version') THEN score WHEN term = 'the' THEN score * 2 WHEN term IN ('general', 'public') THEN 0 END) + max(CASE WHEN starts_with(term, 'apach') THEN 1.0 ELSE 0.0 END), 6) AS score FROM s "
+@query(f"WITH {_STANDARD} SELECT doc_id, round(sum(CASE WHEN term IN ('license', 'version') THEN score WHEN term = 'the' THEN score * 2 WHEN term IN ('general', 'public') THEN 0 END) + max(CASE WHEN starts_with(term, 'apach') THEN 1.0 ELSE 0.0 END), 6) AS score FROM s "
        "WHERE term IN ('license', 'version', 'gnu', 'the') OR starts_with(term, 'apach') GROUP BY 1 HAVING count_if(term = 'license') > 0 AND count_if(term = 'gnu') = 0 ORDER BY 2 DESC, 1 LIMIT 30")
 def query_string_search(spark: SparkSession, sf: str) -> DataFrame:
-    return S.keyword(_index(spark, sf), Q.parse("+license version the^2 -gnu apach*"), 30)
+    return S.keyword(_standard_index(spark, sf), Q.parse("+LICENSE vérsion the^2 -GNU apach*", Q.standard_analyzer), 30)
 
 
 @query(None)
 def query_strings(spark: SparkSession, sf: str) -> DataFrame:
     """What is typed, as trees: unclosed quotes, numbers with colons, questions, operators."""
     typed = ["SFS 2010:800", "what is an apache license?", 'the "public license"~2 -gnu', "mit AND (apache OR bsd)^2", '"never closed', "lic?nse apac* licence~1", "/ap.+e/ [a TO b]"]
-    index = _index(spark, sf)
-    found = [S.keyword(index, Q.parse(t), 5).select(F.lit(t).alias("typed"), "doc_id", "score") for t in typed]
+    index = _standard_index(spark, sf)
+    found = [S.keyword(index, Q.parse(t, Q.standard_analyzer), 5).select(F.lit(t).alias("typed"), "doc_id", "score") for t in typed]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -113,6 +127,19 @@ def folded_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return S.statistics(S.build_index(table(spark, sf, "documents").select("doc_id", "text"), folded_tokens)).select("term", "df")
 
 
+@query(f"WITH {_STANDARD} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1")
+def standard_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by the standard's word breaks, folded, with how many documents have them and how often."""
+    return S.statistics(S.build_index(table(spark, sf, "documents").select("doc_id", "text"), standard_tokens))
+
+
+@query(f"WITH {_STANDARD} SELECT doc_id, round(score, 6) AS score FROM s WHERE term = 'que' ORDER BY 2 DESC, 1 LIMIT 30")
+def folded_term_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A word is found with and without its accents, whatever the case."""
+    q = Bool(should=tuple(Term(w) for t in ("QUÉ",) for w in Q.standard_analyzer(t)))
+    return S.keyword(_standard_index(spark, sf), q, 30)
+
+
 @query("SELECT item_id, 2 * len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+'))::BIGINT + 1 AS clauses FROM benchmark")
 def clause_counting(spark: SparkSession, sf: str) -> DataFrame:
     """The clauses of a query made of a text's words, the same as a phrase, and a prefix."""

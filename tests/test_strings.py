@@ -47,6 +47,42 @@ def test_analyzers_are_those_of_the_index(spark):
     assert [(list(a), list(b)) for a, b in rows] == [(P.plain_analyzer(t), P.folded_analyzer(t)) for t in texts]
 
 
+def test_standard_words_on_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    from stackroom.functions.text import standard_tokens
+
+    texts = {
+        "can't stop: 3.14, 1,000 and example.com": ["can't", "stop", "3.14", "1,000", "and", "example.com"],
+        "Café CAFÉ cafe\u0301 Åäö øl Łódź straße İstanbul ﬁne": ["cafe", "cafe", "cafe", "aao", "ol", "lodz", "strasse", "istanbul", "fine"],
+        "x_y __ _z a:b 1:2 a.1 1.a 5,a wi-fi": ["x_y", "_z", "a:b", "1", "2", "a", "1", "1", "a", "5", "a", "wi", "fi"],
+        "漢字かな カタカナ テスト한국어 ไทย abc漢": ["漢", "字", "か", "な", "カタカナ", "テスト", "한국어", "ไทย", "abc", "漢"],
+        "١٢٣ ９ ① ½ 😀 Ⅷ": ["123", "9", "viii"],
+        "a\u200bb so\u00adft it’s SFS 2010:800 §": ["a", "b", "soft", "it’s", "sfs", "2010", "800"],
+        "": [], "!!! --- \n": [], "a..b 'quoted' end.": ["a", "b", "quoted", "end"],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", standard_tokens(F.col("t")).alias("w")).collect()
+    import unicodedata
+
+    plain = lambda words: [unicodedata.normalize("NFKC", w) for w in words]
+    for r in rows:
+        if r["t"] is None:
+            assert r["w"] is None
+        else:
+            assert list(r["w"]) == P.standard_analyzer(r["t"]), r["t"]
+            assert [w.replace("\u00ad", "") for w in plain(r["w"])] == texts[r["t"]], r["t"]
+
+
+def test_queries_find_folded_words(spark):
+    from stackroom.functions.text import standard_tokens
+    from stackroom.operators import search as S
+
+    d = spark.createDataFrame([(1, "Ett Café i Łódź"), (2, "cafeteria"), (3, "can't see example.com"), (4, "version 1,000")], "doc_id int, text string")
+    index = S.build_index(d, standard_tokens)
+    ask = lambda q: {r["doc_id"] for r in S.compile(P.parse(q, P.standard_analyzer), index).collect()}
+    assert ask("CAFE") == {1} and ask("cafe*") == {1, 2} and ask("lodz") == {1} and ask('"CAN\'T see"') == {3} and ask("example.com") == {3} and ask("example") == set() and ask("1,000") == {4}
+
+
 def test_layout_blocks():
     boxes = [
         ("<h3>Head <b>x</b></h3>", "SectionHeader", 2), ("<p>a</p><ul><li>one<ul><li>in</li></ul></li><li>two</ul>", "ListGroup", 1), ("pre <table><caption>Cap</caption><tr><th>h<td>1<td>2</tr></table> post", "Table", 3),
