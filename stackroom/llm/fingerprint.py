@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
-A text is its words (letters and digits, lower-cased) with their counts. Each of SAMPLES samples picks one word of a
+A text is its words (lower-cased) with their counts. Each of SAMPLES samples picks one word of a
 text in proportion to its count, and alike for texts that share it: for a word k with count S, hashes
 of (k, sample) give r and c from a gamma distribution of shape 2 and b from a uniform one;
 t = floor(ln S / r + b), and the sample is the word with the smallest ln c - r (t + 1 - b). That number
@@ -13,7 +13,7 @@ equal (word, count) pairs of a bucket get their samples worked out once, and min
 bucket, without another shuffle. Buckets hold a bounded share of the rows: of copies, one stands for
 all in fingerprints(); neighbours() cuts the order of ids at quantiles, and each of those ranges evenly.
 
-Defined cases: null and empty texts, and others without a word, have the fingerprint "", like one another's (1) and unlike
+Defined cases: null and empty texts, and those of white space, have the fingerprint "", like one another's (1) and unlike
 any other's (0); equal texts have equal fingerprints; a null id comes after all others, in the order of a hash of the text, as
 do rows that share an id among themselves; the last row's neighbour is the first, a single row's is itself; an
 empty table gives no rows. Other columns are not looked at.
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from stackroom.session import cut
 
 SAMPLES = 64
-#: A word is a run of letters, digits and anything beyond ASCII.
-_OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{_OTHER}]+"
+#: A word is a run of anything but ASCII white space (Java's own class for it is the quickest).
+WORD, GAP = r"\S+", r"\s"
 #: Ranges of equal numbers of ids, and buckets for each shuffle partition.
 RANGES, EACH = 16, 2
 #: First rows of buckets that may be broadcast (some 30 bytes each).
@@ -151,7 +150,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     n = F.char_length(text)
     head = F.substring(text, F.lit(1), n - F.floor(n / 2).cast("int"))
     same = F.greatest(F.size(_words(head)) - 1, F.lit(0))
-    last = F.regexp_extract(head, f"{WORD}[{_OTHER}]*$", 0)
+    last = F.regexp_extract(head, f"{WORD}{GAP}*$", 0)
     rest = F.substring(changed, F.char_length(head) - F.char_length(last) + 1, F.lit((1 << 31) - 1))
     texts = rows.select("bucket", "row", same.alias("same"), _words(text).alias("own"), _words(F.coalesce(rest, F.lit(""))).alias("rest"))
     words = texts.select("bucket", "row", "same", F.size("own").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "own", "rest")).alias("at", "word"))
