@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackroom.functions.text import extension, like_pattern
+from stackroom.operators.images import FIRST_ORDINAL as FIRST_PICTURE
+from stackroom.session import cut
 
 #: A document's states.
 STATUSES = ["QUEUED", "DETECTING", "EXTRACTING", "OCR", "CORRECTING", "CHUNKING", "EMBEDDING", "INDEXING", "COMPLETE", "COMPLETE_WITH_WARNINGS", "NEEDS_REVIEW", "NEEDS_TOOL", "FAILED"]
@@ -143,6 +146,42 @@ def page_changes(pages: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
+def page_change_kinds(pages: DataFrame, parents: DataFrame, reviews: DataFrame, revisions: DataFrame) -> DataFrame:
+    """For each document's revision how many pages are unchanged, added, changed (automatic, manual or unknown), restored and not published.
+
+    pages and parents: doc_id, unit_id, ordinal, sha, approved; parents are the pages of the revision that was there
+    before. revisions: doc_id, parent, restores. reviews: doc_id, unit_id, ordinal, baseline, candidate, disposition, seq: a
+    decision on a candidate text, taken against a baseline revision. Who changed a page says the latest
+    decision against the parent whose candidate is the page's text: APPROVE was automatic, anything else a person; decisions on
+    other texts only mean a person, too, and none at all that it isn't known. Pictures are no pages.
+    """
+    page = ["doc_id", "unit_id", "ordinal"]
+    text = F.col("ordinal") < FIRST_PICTURE
+    before = parents.filter(F.col("approved") & text).select(*page, F.col("sha").alias("before")).dropDuplicates(page)
+    against = reviews.join(revisions.select("doc_id", F.col("parent").alias("baseline")), ["doc_id", "baseline"])
+    latest = against.groupBy(*page, F.col("candidate").alias("sha")).agg(F.max_by("disposition", "seq").alias("fitting"))
+    some = against.select(*page, F.lit(True).alias("decided")).distinct()
+    own = pages.filter(text).join(revisions.select("doc_id", "restores"), "doc_id", "left").join(before, page, "left").join(latest, [*page, "sha"], "left").join(some, page, "left")
+    kind = (
+        F.when(~F.coalesce("approved", F.lit(False)), "not_published").when(F.col("before").isNull(), "added").when(F.col("before") == F.col("sha"), "unchanged").when(F.coalesce("restores", F.lit(False)), "restored")
+        .when(F.col("fitting") == "APPROVE", "automatic").when(F.col("decided"), "manual").otherwise("unknown")
+    )
+    kinds = ("unchanged", "added", "automatic", "manual", "unknown", "restored", "not_published")
+    return own.withColumn("kind", kind).groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+
+
+def places(rows: DataFrame, *order) -> DataFrame:
+    """All columns with place: 1, 2, 3 ... by this order, without one task that sees all rows.
+
+    Rows are dealt out by ranges and sorted there; a row's place is that within its range and the number of rows in the ranges before.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    mine = cut(parts.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    counts = {r["_part"]: r["count"] for r in mine.groupBy("_part").count().collect()}  # a row for each range
+    starts = list(accumulate((counts.get(k, 0) for k in range(max(counts, default=0) + 1)), initial=0))
+    return mine.withColumn("place", F.get(F.array(*map(F.lit, starts)), F.col("_part")) + F.col("_at") + 1).drop("_part", "_at")
+
+
 def stale_documents(docs: DataFrame, chunks: DataFrame, index: DataFrame, fingerprint: str) -> DataFrame:
     """Documents whose rows must be rebuilt: chunked by other rules, or with another number of rows than chunks."""
     expected = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))

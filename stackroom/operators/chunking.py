@@ -23,6 +23,8 @@ OVERHEAD = PREFIX + SPECIAL
 Spans = list[tuple[int, int]]
 Tokenizer = Callable[[str], Spans]
 _TOKEN = re.compile(r"\S+")
+#: A structured page's running parts, as they are called here.
+_PAGE_PARTS = {"page_header": "header", "page_footer": "footer"}
 
 
 def whitespace_tokens(text: str) -> Spans:
@@ -160,8 +162,12 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
     return [Chunk(n, *x) for n, x in enumerate(kept)], dropped
 
 
-def chunk_units(units: DataFrame, keys: list[str], text_col: str = "search_text", table_col: str | None = None, budget: int = BUDGET, overlap: int = OVERLAP, tokenize: Tokenizer = whitespace_tokens) -> DataFrame:
-    """keys, chunk, text, start_offset, end_offset, token_count; where table_col holds, the first line is repeated as a header."""
+def chunk_units(units: DataFrame, keys: list[str], text_col: str = "search_text", table_col: str | None = None, budget: int = BUDGET, overlap: int = OVERLAP, tokenize: Tokenizer = whitespace_tokens, blocks_col: str | None = None) -> DataFrame:
+    """keys, chunk, text, start_offset, end_offset, token_count; where table_col holds, the first line is repeated as a header.
+
+    blocks_col: an array of (kind, start, end, rows) with ranges in the text; chunks end at blocks and rows where
+    they can, and a chunk that begins within a table has the table's first row before it.
+    """
     schema = T.StructType([
         *(units.schema[k] for k in keys), T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType()), T.StructField("token_count", T.IntegerType()),
     ])
@@ -175,14 +181,16 @@ def chunk_units(units: DataFrame, keys: list[str], text_col: str = "search_text"
                     continue
                 first = text.find("\n")
                 header = text[: first + 1] if table_col and getattr(row, table_col) and first > 0 else None
+                given = getattr(row, blocks_col) if blocks_col else None
+                blocks = None if given is None else [Block(b["start"], b["end"], _PAGE_PARTS.get(b["kind"], b["kind"]), tuple((r["start"], r["end"]) for r in (b["rows"] if b["rows"] is not None else ()))) for b in given]
                 own = [getattr(row, k) for k in keys]
-                out += [(*own, c.ordinal, c.text, c.start, c.end, c.tokens) for c in chunk_text(text, header, None, budget, overlap, tokenize)[0]]
+                out += [(*own, c.ordinal, c.text, c.start, c.end, c.tokens) for c in chunk_text(text, header, blocks, budget, overlap, tokenize)[0]]
                 if len(out) > 2000:
                     yield pd.DataFrame(out, columns=schema.names)
                     out = []
             yield pd.DataFrame(out, columns=schema.names)
 
-    return units.select(*dict.fromkeys([*keys, text_col, *([table_col] if table_col else [])])).mapInPandas(run, schema)
+    return units.select(*dict.fromkeys([*keys, text_col, *([table_col] if table_col else []), *([blocks_col] if blocks_col else [])])).mapInPandas(run, schema)
 
 
 def plan_batches(lengths: list[int], most: int = 8192) -> list[tuple[int, int]]:

@@ -339,13 +339,18 @@ def _render_table(b: Block, text: str, first: int, last: int) -> str | None:
 SCHEMA = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("level", T.IntegerType())]))
 
 
-def structured(pages: DataFrame, content: str = "markdown", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keys, search_text and blocks (kind, start, end, level) of pages in Markdown."""
-    schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("search_text", T.StringType()), T.StructField("blocks", SCHEMA)])
+_RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+WITH_ROWS = T.ArrayType(T.StructType([*SCHEMA.elementType.fields, T.StructField("rows", T.ArrayType(_RANGE))]))
+
+
+def structured(pages: DataFrame, content: str = "markdown", keys: tuple[str, ...] = ("page_id",), rows: bool = False) -> DataFrame:
+    """keys, search_text and blocks (kind, start, end, level; with rows, a table's rows as ranges, too) of pages in Markdown."""
+    schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("search_text", T.StringType()), T.StructField("blocks", WITH_ROWS if rows else SCHEMA)])
+    ranges = lambda b: ([(r[0].start, r[-1].end) for r in b.rows if r],) if rows else ()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [place(read_markdown(m or "")) for m in pdf[content]]
-            yield pdf[list(keys)].assign(search_text=[t for t, _ in made], blocks=[[(b.kind, b.start, b.end, b.level) for b in bs] for _, bs in made])
+            yield pdf[list(keys)].assign(search_text=[t for t, _ in made], blocks=[[(b.kind, b.start, b.end, b.level, *ranges(b)) for b in bs] for _, bs in made])
 
     return pages.select(*keys, content).mapInPandas(run, schema)

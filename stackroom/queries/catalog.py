@@ -97,8 +97,8 @@ def visible_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT doc_id, status, row_number() OVER (ORDER BY created_at, doc_id) AS place FROM docs WHERE status IN ('COMPLETE_WITH_WARNINGS', 'NEEDS_TOOL', 'FAILED') ORDER BY created_at, doc_id")
 def retry_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    rows = docs(spark, sf).filter(F.col("status").isin(*C.RETRY_STATUSES))
-    return rows.select("doc_id", "status", F.row_number().over(Window.partitionBy().orderBy("created_at", "doc_id")).cast("long").alias("place")).orderBy("place")
+    rows = docs(spark, sf).filter(F.col("status").isin(*C.RETRY_STATUSES)).select("doc_id", "status", "created_at")
+    return C.places(rows, "created_at", "doc_id").select("doc_id", "status", "place").orderBy("place")
 
 
 @query("""SELECT event_id, CASE WHEN lower(trim(name)) IN ('password', 'token', 'authorization', 'api_key', 'apikey', 'secret', 'cookie') THEN '[redacted]' ELSE v END AS shown
@@ -322,6 +322,31 @@ def revision_page_changes(spark: SparkSession, sf: str) -> DataFrame:
     return C.page_changes(pages, parents)
 
 
+#: Documents as pages of readings of twenty pages each: what was before, and what was decided on it.
+_KINDS = """p AS (SELECT doc_id // 20 AS doc, doc_id AS unit, (doc_id % 20)::INTEGER + CASE WHEN doc_id % 19 = 0 THEN 1000000000 ELSE 0 END AS ordinal, sha256(coalesce(text, '')) AS sha, doc_id % 11 <> 0 AS approved FROM documents),
+  b AS (SELECT unit, CASE WHEN unit % 3 = 0 THEN sha256('x') ELSE sha END AS before FROM p WHERE unit % 5 <> 0 AND unit % 13 <> 0),
+  r AS (SELECT unit, CASE WHEN unit % 9 = 0 THEN 'other' ELSE sha END AS candidate, CASE WHEN unit % 4 = 0 THEN 'APPROVE' ELSE 'PROPOSE' END AS disposition, 1 AS seq, CASE WHEN unit % 7 = 0 THEN 'r0' ELSE 'r1' END AS baseline FROM p WHERE unit % 2 = 0
+    UNION ALL SELECT unit, sha, 'PROPOSE', 2, 'r1' FROM p WHERE unit % 24 = 0),
+  d AS (SELECT unit, arg_max(disposition, seq) FILTER (candidate = sha) AS fitting FROM r JOIN p USING (unit) WHERE baseline = 'r1' GROUP BY 1),
+  k AS (SELECT doc, CASE WHEN NOT approved THEN 'not_published' WHEN before IS NULL THEN 'added' WHEN before = sha THEN 'unchanged' WHEN doc % 4 = 3 THEN 'restored' WHEN fitting = 'APPROVE' THEN 'automatic' WHEN d.unit IS NOT NULL THEN 'manual' ELSE 'unknown' END AS kind
+    FROM p LEFT JOIN b USING (unit) LEFT JOIN d USING (unit) WHERE ordinal < 1000000000)"""
+
+
+@query(f"""WITH {_KINDS} SELECT doc AS doc_id, count_if(kind = 'unchanged') AS unchanged, count_if(kind = 'added') AS added, count_if(kind = 'automatic') AS automatic, count_if(kind = 'manual') AS manual, count_if(kind = 'unknown') AS unknown, count_if(kind = 'restored') AS restored,
+  count_if(kind = 'not_published') AS not_published FROM k GROUP BY 1""")
+def page_change_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each page between a revision and the one before: who changed it is read from the decisions taken against that one."""
+    unit, text = F.col("unit_id"), F.coalesce("text", F.lit(""))
+    every = lambda n: unit % n == 0
+    pages = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("doc_id"), F.col("doc_id").alias("unit_id"), F.sha2(text, 256).alias("sha"))
+    pages = pages.withColumns({"ordinal": (unit % 20 + F.when(every(19), 1_000_000_000).otherwise(0)).cast("int"), "approved": ~every(11)})
+    parents = pages.withColumns({"sha": F.when(every(3), F.sha2(F.lit("x"), 256)).otherwise(F.col("sha")), "approved": ~every(13)}).filter(~every(5))
+    first = pages.filter(every(2)).select("doc_id", "unit_id", "ordinal", F.when(every(7), "r0").otherwise("r1").alias("baseline"), F.when(every(9), "other").otherwise(F.col("sha")).alias("candidate"), F.when(every(4), "APPROVE").otherwise("PROPOSE").alias("disposition"), F.lit(1).alias("seq"))
+    later = pages.filter(every(24)).select("doc_id", "unit_id", "ordinal", F.lit("r1").alias("baseline"), F.col("sha").alias("candidate"), F.lit("PROPOSE").alias("disposition"), F.lit(2).alias("seq"))
+    revisions = pages.select("doc_id").distinct().select("doc_id", F.lit("r1").alias("parent"), (F.col("doc_id") % 4 == 3).alias("restores"))
+    return C.page_change_kinds(pages, parents, first.unionByName(later), revisions)
+
+
 @query("SELECT l_partkey, count(DISTINCT l_orderkey) AS pages FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 30")
 def repeated_hash_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("pages")).filter("pages > 30")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,17 +69,24 @@ def normalized_filters(spark: SparkSession, sf: str) -> DataFrame:
     return C.find_documents(docs(spark, sf), f).select("doc_id", "filename")
 
 
-@query("SELECT unnest(['apache|public license|mit*', 'refused', 'refused', 'refused', 'refused']) AS terms, unnest(range(5)) AS k")
+@query("""WITH w AS (SELECT p_partkey, p_partkey % 6 AS k, regexp_extract_all(lower(p_name), '[\\p{L}\\p{M}\\p{N}]+') AS w, array_to_string(regexp_extract_all(lower(p_brand), '[\\p{L}\\p{M}\\p{N}]+'), ' ') AS b FROM part)
+  SELECT p_partkey, CASE k WHEN 1 THEN array_to_string(w, ' ') || '|' || b WHEN 4 THEN array_to_string(w, ' ') || '|' || b || '|mit*' ELSE 'refused' END AS terms FROM w""")
 def synonym_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Which lists of terms are synonyms: two terms at least that differ, prefixes of three characters or more."""
-    lists = [["Apache", " public   LICENSE", "mit*", "APACHE"], ["one", "ONE"], ["ab*", "abc"], ["two words*", "x y"], ["only"]]
-    out = []
-    for k, own in enumerate(lists):
+    """Which lists of terms are synonyms: two terms at least that differ, prefixes of one word with three characters or more."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 6
+    lists = [
+        F.array(name, F.upper(name)), F.array(name, F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.upper(name)), F.array(name, F.concat(F.substring("p_brand", 1, 2), F.lit("*"))), F.array("p_brand", F.concat(F.lit("x "), name, F.lit("*"))),
+        F.array(name, "p_brand", F.lit("mit*")), F.array(name),
+    ]
+    own = reduce(lambda a, k: a.when(kind == k, lists[k]), range(1, 6), F.when(kind == 0, lists[0]))
+
+    def make(r):
         try:
-            out.append((k, "|".join(" ".join(t.tokens) + "*" * t.prefix for t in Synonyms.of(own, plain_analyzer).terms)))
+            return [(r.p_partkey, "|".join(" ".join(t.tokens) + "*" * t.prefix for t in Synonyms.of(list(r.terms), plain_analyzer).terms))]
         except ValueError:
-            out.append((k, "refused"))
-    return spark.createDataFrame(out, "k long, terms string")
+            return [(r.p_partkey, "refused")]
+
+    return _each(table(spark, sf, "part").select("p_partkey", own.alias("terms")), "p_partkey long, terms string", make)
 
 
 @query(f"WITH {UNITS}, {EXTRACTED} SELECT doc_id, ordinal, kind FROM (SELECT doc_id, ordinal, 'open' AS kind FROM extracted WHERE state <> 'DONE' OR doc_id % 3 <> 1 UNION ALL SELECT doc_id, ordinal, 'retry' FROM extracted WHERE state = 'FAILED' AND doc_id % 3 = 1)")
@@ -273,15 +281,30 @@ def chunk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("doc_id", F.col("x")[0]["s"].alias("first_start"), F.array_max(F.transform("x", lambda c: c["e"])).alias("last_end"), F.forall(gaps, lambda g: F.coalesce(g, F.lit(True))).alias("covered"), F.forall("x", lambda c: c["n"] <= chunking.BUDGET).alias("within"))
 
 
-@query("SELECT p_brand, TRUE AS headed, TRUE AS within, count(*) AS n_rows FROM part GROUP BY 1")
+@query("SELECT p_partkey // 200 AS lot, TRUE AS headed, TRUE AS within, count(*) AS n_rows FROM part GROUP BY 1")
 def chunk_tables(spark: SparkSession, sf: str) -> DataFrame:
     """A table's chunks each begin with its header and hold whole rows; every row is in one."""
     line = F.concat_ws("\t", F.col("p_partkey").cast("string"), F.regexp_replace("p_name", r"\s+", " "))
-    tables = table(spark, sf, "part").groupBy("p_brand").agg(F.concat(F.lit("id\tname\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("search_text"), F.lit(True).alias("is_table"))
-    found = chunking.chunk_units(tables, ["p_brand"], table_col="is_table", budget=64, overlap=0)
+    tables = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 200).alias("lot")).agg(F.concat(F.lit("id\tname\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("search_text"), F.lit(True).alias("is_table"))
+    found = chunking.chunk_units(tables, ["lot"], table_col="is_table", budget=64, overlap=0)
     rows = F.explode(F.filter(F.split("text", "\n"), lambda r: (r != "") & (r != "id\tname")))
-    checked = found.groupBy("p_brand").agg(F.min(F.col("text").startswith("id\tname\n")).alias("headed"), F.min(F.col("token_count") <= 64).alias("within"))
-    return checked.join(found.select("p_brand", rows.alias("row")).groupBy("p_brand").agg(F.count_distinct("row").alias("n_rows")), "p_brand")
+    checked = found.groupBy("lot").agg(F.min(F.col("text").startswith("id\tname\n")).alias("headed"), F.min(F.col("token_count") <= 64).alias("within"))
+    return checked.join(found.select("lot", rows.alias("row")).groupBy("lot").agg(F.count_distinct("row").alias("n_rows")), "lot")
+
+
+@query("""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[A-Za-z]')) SELECT doc_id, 1 + greatest(0, ceil((n - 28) / 29.0))::BIGINT AS n_chunks, n AS n_rows, greatest(least(n, 28), least(n - 28, 29)) AS most_rows,
+  TRUE AS headed FROM w""")
+def chunk_structured(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a heading and a long table: chunks end with rows, and those that begin within the table repeat its first row."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    row = F.transform(words, lambda w, k: F.concat(F.lit("| "), k + 1, F.lit(" | "), w, F.lit(" |")))
+    page = F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n\n| place | word |\n| --- | --- |\n"), F.array_join(row, "\n"))
+    pages = structure.structured(table(spark, sf, "documents").filter(F.size(words) > 0).select("doc_id", page.alias("markdown")), keys=("doc_id",), rows=True)
+    found = chunking.chunk_units(pages, ["doc_id"], "search_text", blocks_col="blocks", budget=64, overlap=0)
+    rows = F.filter(F.split("text", "\n"), lambda r: r.rlike(r"^\d+\t[A-Za-z]+$"))
+    head = F.when(F.col("chunk") == 0, F.col("text").startswith("Page ")).otherwise(F.col("text").startswith("place\tword\n"))
+    n = F.size(rows).cast("long")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(n).alias("n_rows"), F.max(n).alias("most_rows"), F.min(head).alias("headed"))
 
 
 @query("SELECT conv_id, string_agg(role || '=' || regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '|' ORDER BY turn) AS events FROM conversations WHERE text IS NOT NULL GROUP BY 1")
@@ -299,15 +322,15 @@ def synonym_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.mapped(_pages(spark, sf).select("item_id", "w"), "w", lambda w: evidence.synonym_block([[w, w.lower() + "\tx"]]), "string", "block").select("item_id", "block")
 
 
-@query("SELECT lang, TRUE AS within, TRUE AS in_order, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+@query("SELECT lang, doc_id // 500 AS lot, TRUE AS within, TRUE AS in_order, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2")
 def passage_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Passages go to a model in runs whose padded size stays within its budget; a longer one goes alone."""
-    lengths = table(spark, sf, "documents").filter("lang IS NOT NULL").groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.size(X.plain_tokens(F.col("text"))).alias("n")))), lambda x: x["n"]).alias("lengths"))
+    lengths = table(spark, sf, "documents").filter("lang IS NOT NULL").groupBy("lang", F.floor(F.col("doc_id") / 500).alias("lot")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.size(X.plain_tokens(F.col("text"))).alias("n")))), lambda x: x["n"]).alias("lengths"))
 
     def make(r):
         own = [int(n) for n in r.lengths]
         runs = chunking.plan_batches(own)
         fits = all((b - a) * max(own[a:b]) <= 8192 or b - a == 1 for a, b in runs)
-        return [(r.lang, fits, [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]], runs[-1][1])]
+        return [(r.lang, r.lot, fits, [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]], runs[-1][1])]
 
-    return _each(lengths, "lang string, within boolean, in_order boolean, n long", make)
+    return _each(lengths, "lang string, lot long, within boolean, in_order boolean, n long", make)

@@ -54,20 +54,20 @@ def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     return html.html_units(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "ordinal", F.col("locator.name").alias("heading"), "search_text")
 
 
-@query("""SELECT part AS file, (3 * part + k + 1)::BIGINT AS dummy, n::BIGINT AS n_units FROM (SELECT p_partkey % 7 AS part, 0 AS k, ceil(count(*) / 200) AS n FROM part GROUP BY 1)""")
+@query("""SELECT part AS file, (3 * part + k + 1)::BIGINT AS dummy, n::BIGINT AS n_units FROM (SELECT p_partkey // 500 AS part, 0 AS k, ceil(count(*) / 200) AS n FROM part GROUP BY 1)""")
 def csv_units(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), "p_brand")
-    files = table(spark, sf, "part").groupBy((F.col("p_partkey") % 7).alias("file")).agg(F.concat(F.lit("id,name,brand\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")).alias("content"))
+    files = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.concat(F.lit("id,name,brand\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")).alias("content"))
     return text.csv_units(files, "content", ("file",)).groupBy("file").agg((3 * F.col("file") + 1).alias("dummy"), F.count("*").alias("n_units"))
 
 
-@query("""WITH w AS (SELECT l_orderkey % 500 AS page, l_linenumber // 3 + 1 AS line, l_linenumber AS word, l_partkey % 97 AS conf, 'w' || l_partkey AS text, l_suppkey AS x, l_orderkey AS o FROM lineitem),
+@query("""WITH w AS (SELECT l_orderkey // 32 AS page, l_linenumber // 3 + 1 AS line, l_linenumber AS word, l_partkey % 97 AS conf, 'w' || l_partkey AS text, l_suppkey AS x, l_orderkey AS o FROM lineitem),
   g AS (SELECT page, line, string_agg(text, ' ' ORDER BY word, x, text) AS t, sum(conf) AS c, count(*) AS n FROM w GROUP BY 1, 2) SELECT page, string_agg(t, chr(10) ORDER BY line) AS text, round(sum(c) / sum(n) / 100, 6) AS confidence FROM g GROUP BY 1""")
 def ocr_word_table(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     fields = [F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), s(F.floor(F.col("l_linenumber") / 3) + 1), s("l_linenumber"), s("l_suppkey"), F.lit("0"), F.lit("10"), F.lit("10"), s(F.col("l_partkey") % 97), F.concat(F.lit("w"), s("l_partkey"))]
-    raw = lines.select((F.col("l_orderkey") % 500).alias("page"), F.concat_ws("\t", *fields).alias("value"))
+    raw = lines.select(F.floor(F.col("l_orderkey") / 32).alias("page"), F.concat_ws("\t", *fields).alias("value"))
     extra = raw.select("page", F.concat(F.lit("4"), F.substring("value", 2, 1000)).alias("value"))
     return ocr.reading(ocr.read_words(raw.union(extra))).select("page", "text", F.round("confidence", 6).alias("confidence"))
 

@@ -101,10 +101,10 @@ def citation_validation(spark: SparkSession, sf: str) -> DataFrame:
     return cited.select("o_orderkey", text(F.array_intersect("cited", supplied)).alias("valid"), text(F.array_except("cited", supplied)).alias("invalid"))
 
 
-@query("""SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM (SELECT p_partkey % 40 AS part, lower(p_name) || chr(9) || p_brand || chr(9) || CASE WHEN p_size > 25 THEN 'exact' ELSE 'any' END AS line FROM part) GROUP BY 1""")
+@query("""SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM (SELECT p_partkey // 50 AS part, lower(p_name) || chr(9) || p_brand || chr(9) || CASE WHEN p_size > 25 THEN 'exact' ELSE 'any' END AS line FROM part) GROUP BY 1""")
 def rule_list_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws("\t", F.lower("p_name"), "p_brand", F.when(F.col("p_size") > 25, "exact").otherwise("any"))
-    return table(spark, sf, "part").groupBy((F.col("p_partkey") % 40).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    return table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
 
 
 @query("SELECT doc_id, sha256('source=' || source || chr(10) || 'language=' || lang || chr(10) || 'ocr=' || coalesce(CASE WHEN doc_id % 2 = 0 THEN 'auto' END, '') || chr(10) || 'version=4') AS fingerprint FROM documents")
