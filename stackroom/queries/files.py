@@ -256,3 +256,25 @@ def index_upkeep(spark: SparkSession, sf: str) -> DataFrame:
         rows.write.parquet(f"{root}/in/part={k}")
         _drained(flows.watch_folder(spark, f"{root}/in/*", "doc_id long, text string, deleted boolean", per_trigger=1_000_000), root, write, "append")
     return spark.read.parquet(*[f"{root}/out/{k}" for k in range(len(batches))])
+
+
+@query("""WITH e AS (SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'success' ELSE 'check' END AS kind, user_id % 40 AS username, user_id % 7 AS address FROM events),
+  c AS (SELECT * FROM e WHERE kind = 'check'), o AS (SELECT c.id, max((s.ts, s.id)) AS cleared FROM c JOIN e s ON s.kind = 'success' AND s.username = c.username AND (s.ts, s.id) < (c.ts, c.id) GROUP BY 1),
+  u AS (SELECT c.id, c.ts, min(f.ts) AS first FROM c JOIN e f ON f.kind = 'failure' AND f.username = c.username AND (f.ts, f.id) < (c.ts, c.id) AND f.ts > c.ts - INTERVAL 12 HOUR LEFT JOIN o ON o.id = c.id WHERE o.cleared IS NULL OR (f.ts, f.id) > o.cleared GROUP BY 1, 2 HAVING count(*) >= 2),
+  a AS (SELECT c.id, c.ts, min(f.ts) AS first FROM c JOIN e f ON f.kind = 'failure' AND f.address = c.address AND (f.ts, f.id) < (c.ts, c.id) AND f.ts > c.ts - INTERVAL 12 HOUR GROUP BY 1, 2 HAVING count(*) >= 5),
+  w AS (SELECT id, greatest(1, ceil(floor(epoch_us(first + INTERVAL 12 HOUR - ts) / 1000.0) / 1000.0))::BIGINT AS wait FROM (SELECT * FROM u UNION ALL SELECT * FROM a))
+  SELECT c.id, max(wait) AS wait, max(wait) IS NOT NULL AS refused FROM c LEFT JOIN w USING (id) GROUP BY 1""")
+def stream_sign_in_waits(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts refused for their user's or their address's failures in the last twelve hours, and how long they wait; state goes on from batch to batch."""
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "success").otherwise("check")
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "User").otherwise("uSER"), (F.col("user_id") % 40).cast("string"))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), name.alias("username"), (F.col("user_id") % 7).cast("string").alias("address"))
+    bounds = [None, *rows.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.66])).first()[0], None]
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):  # the stream stops and goes on again
+        at = F.unix_micros("ts")
+        own = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        own.write.parquet(f"{root}/in/part={k}")
+        stream = flows.watch_folder(spark, f"{root}/in/*", "id long, ts timestamp, kind string, username string, address string", per_trigger=1_000_000)
+        _drained(flows.sign_in_waits(stream, 720, 2, 5), root, lambda batch, n: flows.longest_waits(batch).write.mode("overwrite").parquet(f"{root}/out/batch={n}"), "append")
+    return spark.read.parquet(f"{root}/out").select("id", "wait", "refused")

@@ -73,3 +73,44 @@ def limited(attempts: DataFrame, minutes: int = 15, most: int = 10) -> DataFrame
         yield pd.DataFrame(out, columns=["who", "ts", "ok", "refused"])
 
     return attempts.groupBy("who").applyInPandasWithState(judge, "who string, ts timestamp, ok boolean, refused boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def sign_in_waits(events: DataFrame, minutes: int = 15, per_user: int = 10, per_address: int = 50, late: str = "1 hour") -> DataFrame:
+    """For each check a row (id, wait) for its user and one for its address: the seconds to wait, null where it is admitted.
+
+    events: id, ts, kind (check, failure or success), username, address. A failure counts for the user, whatever the case,
+    and for the address, as long as it is in the window; a success clears the user's failures and leaves the address's. A key at its
+    limit waits until its oldest failure leaves the window. State is a key's failures in the window, and goes once they have left it;
+    events may come so much later than others.
+    """
+    span, limits = minutes * 60_000_000, {"user": per_user, "address": per_address}
+    keys = F.explode(F.array(F.struct(F.lit("user").alias("of"), F.lower("username").alias("key")), F.struct(F.lit("address").alias("of"), F.col("address").alias("key")))).alias("k")
+    each = events.withWatermark("ts", late).select("id", "ts", "kind", keys).select("id", "ts", "kind", "k.of", "k.key")
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for id_, ts, kind in zip(rows["id"], rows["ts"], rows["kind"], strict=True):
+            now = ts.value // 1000
+            times = [t for t in times if t > now - span]
+            if kind == "failure":
+                times.append(now)
+            elif kind == "success":
+                times = [] if key[0] == "user" else times
+            else:
+                full = len(times) >= limits[key[0]]
+                out.append((id_, max(1, -(-((times[0] + span - now) // 1000) // 1000)) if full else None))
+        state.update((times,))
+        state.setTimeoutTimestamp(max(int(ts.value // 1_000_000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["id", "wait"]).astype({"id": "int64", "wait": "Int64"})
+
+    return each.groupBy("of", "key").applyInPandasWithState(judge, "id long, wait long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def longest_waits(waits: DataFrame) -> DataFrame:
+    """id, wait and whether it is refused, of the two rows of each check, which come in one batch."""
+    return waits.groupBy("id").agg(F.max("wait").alias("wait")).withColumn("refused", F.col("wait").isNotNull())
