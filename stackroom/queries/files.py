@@ -16,7 +16,7 @@ from stackroom.operators.search import keyword
 from stackroom.operators.segments import Segments
 from stackroom.plans.query import Bool, Term
 from stackroom.session import shared_folder, table
-from stackroom.sources import ebook, files, office, units
+from stackroom.sources import archive, ebook, files, office, units
 from stackroom.streaming import flows
 
 QUERIES: dict = {}
@@ -164,15 +164,16 @@ def extract_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.split("path", r"\.")[0].cast("long").alias("item_id"), F.split("path", r"\.")[1].alias("ending"), "n_units")
 
 
-@query("SELECT lang, count(*) AS n_files, 0::BIGINT AS n_old FROM (SELECT lang FROM documents WHERE lang IS NOT NULL AND lang <> 'en' GROUP BY 1) GROUP BY 1")
+@query("SELECT lang, count(*) AS n_files, (lang = 'de')::BIGINT AS n_old FROM (SELECT lang FROM documents WHERE lang IS NOT NULL AND lang <> 'en' GROUP BY 1) GROUP BY 1")
 def folder_walk(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts written as one file for each language; the walk leaves out an ignored folder and what isn't a text, and nothing is old enough to go."""
+    """Texts written as one file for each language; the walk leaves out an ignored folder and what isn't a text. Seen eight days from now, those of one language are old enough to go."""
     root = f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents").filter("lang IS NOT NULL").select("lang", F.regexp_replace("text", r"\s+", " ").alias("value"))
     docs.repartition("lang").write.partitionBy("lang").text(root)
     found = files.walk(spark, root, ignore=["lang=en/", "_*", ".*"], include=["txt"]).select("path", "modificationTime")
     lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
-    old = files.older_than(found, 7, F.current_timestamp()).select(lang.alias("lang"), F.lit(1).alias("old"))
+    later = F.when(lang == "de", F.current_timestamp() + F.expr("INTERVAL 8 DAYS")).otherwise(F.current_timestamp())
+    old = files.older_than(found, 7, later).select(lang.alias("lang"), F.lit(1).alias("old"))
     return found.select(lang.alias("lang"), F.lit(0).alias("old")).union(old).groupBy("lang").agg(F.count_if(F.col("old") == 0).alias("n_files"), F.sum("old").alias("n_old"))
 
 
@@ -183,6 +184,21 @@ def refused_archives(spark: SparkSession, sf: str) -> DataFrame:
     return units.refused(bad, office.word, "content", ["path"]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE item_id % 6 WHEN 0 THEN 'not an archive' WHEN 2 THEN 'archive entry too large' WHEN 3 THEN 'archive too large' ELSE 'a path leaves the archive' END AS reason FROM benchmark WHERE item_id % 6 <> 5) GROUP BY 1""")
+def refused_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives with paths out of them, an entry that is compressed too much, or too many entries are refused, each with its reason; a good one is read."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            many = _zip({str(k): "" for k in range(archive.MOST_ENTRIES + 1)}) if (pdf["item_id"] % 6 == 3).any() else b""
+            for item, text in zip(pdf["item_id"], pdf["text"].fillna(""), strict=True):
+                made = [lambda t: b"PK" + t.encode(), lambda t: _zip({"../" + "x": t}), lambda t: _zip({"word/document.xml": " " * (2 << 20)}), lambda t: many, lambda t: _zip({"/etc/x": t}), lambda t: made_word([t])]
+                yield pd.DataFrame({"path": [str(item)], "content": [made[item % 6](text)]})
+
+    made = table(spark, sf, "benchmark").select("item_id", "text").mapInPandas(make, "path string, content binary")
+    return units.refused(made, office.word, "content", ["path"]).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def _stream(spark: SparkSession, rows: DataFrame, parts: int) -> tuple[DataFrame, str]:
     """The rows as a stream of files, a file at a time, and a folder for what comes of it."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
