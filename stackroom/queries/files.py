@@ -177,6 +177,16 @@ def folder_walk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(lang.alias("lang"), F.lit(0).alias("old")).union(old).groupBy("lang").agg(F.count_if(F.col("old") == 0).alias("n_files"), F.sum("old").alias("n_old"))
 
 
+@query("SELECT source, count(DISTINCT lang) AS n_files, sum(strlen(regexp_replace(text, '\\s+', ' ', 'g')) + 1)::BIGINT AS n_bytes FROM documents WHERE lang IS NOT NULL AND lang <> 'en' AND source NOT IN ('src1', 'src3') GROUP BY 1")
+def pruned_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as a folder for each source and language, walked a level at a time: ignored folders, whole sources and a language in each, are never listed."""
+    root = f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").filter("lang IS NOT NULL").select("source", "lang", F.regexp_replace("text", r"\s+", " ").alias("value"))
+    docs.repartition("source", "lang").write.partitionBy("source", "lang").text(root)
+    found = files.walk_pruned(spark, root, ignore=["source=src1/", "/source=src3", "lang=en/", "_*", ".*"], include=["txt"])
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
+
+
 @query("SELECT count(*) AS n, 'not an archive' AS reason FROM benchmark")
 def refused_archives(spark: SparkSession, sf: str) -> DataFrame:
     """Files that only claim to be archives are refused with a reason, and the job goes on."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.operators.catalog import admitted, ignored
+from stackroom.session import cut
 from stackroom.sources.ebook import epub, fb2
 from stackroom.sources.html import html_sections
 from stackroom.sources.office import slides, spreadsheet, word
@@ -40,6 +42,56 @@ def walk(spark: SparkSession, root: str, recursive: bool = True, ignore: list[st
     return files.filter(keep).withColumn("path", below)
 
 
+_ENTRY = "path string, is_dir boolean, length long, modificationTime timestamp"
+
+
+def _filesystem(root: str):
+    """The file system of a root, and the root's path in it; for use within tasks."""
+    import pyarrow.fs as pafs
+
+    uri = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), root)
+
+
+def listed(spark: SparkSession, root: str, recursive: bool = True, ignore: list[str] = (), entered=None) -> DataFrame:
+    """path (below the root), is_dir, length, modificationTime of what no rule ignores, a level of folders at a time: an ignored folder is never entered.
+
+    Each level's folders are listed in parallel. `entered`, an accumulator, counts the folders that are listed.
+    """
+    import pyarrow.fs as pafs
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _filesystem(root)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                if entered is not None:
+                    entered.add(1)
+                own = fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/")))
+                yield pd.DataFrame({"path": [f"{folder}/{x.base_name}".lstrip("/") for x in own], "is_dir": [x.type == pafs.FileType.Directory for x in own], "length": [x.size or 0 for x in own], "modificationTime": pd.to_datetime([x.mtime for x in own], utc=True)})
+
+    level = spark.createDataFrame([("",)], "path string")
+    found = []
+    while True:
+        below = level.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(children, _ENTRY)
+        found.append(cut(below.filter(~ignored(F.col("path"), F.col("is_dir"), list(ignore)))))
+        level = found[-1].filter("is_dir").select("path")
+        if not recursive or not level.take(1):
+            return reduce(DataFrame.unionByName, found)
+
+
+def walk_pruned(spark: SparkSession, root: str, recursive: bool = True, ignore: list[str] = (), include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """As walk(), by listed(): for folders of which much is ignored. A file's content is read in the task that its row is in."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _filesystem(root)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{row.path}") as f:
+                    yield pd.DataFrame({"path": [row.path], "content": [f.read()], "length": [row.length], "modificationTime": [row.modificationTime]})
+
+    found = listed(spark, root, recursive, ignore).filter(~F.col("is_dir") & admitted(F.element_at(F.split("path", "/"), -1), include, exclude))
+    return found.mapInPandas(read, "path string, content binary, length long, modificationTime timestamp")
+
+
 def _detect(head: bytes, name: str) -> str:
     ending = name.rpartition(".")[2].lower() if "." in name else ""
     if head[:4] == b"%PDF":

@@ -334,3 +334,19 @@ def test_stream_deduplication_and_windows(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("once").count() == 2 and [(r["n"], r["total"]) for r in spark.table("windows").collect()] == [(2, 3.0)]
+
+
+def test_ignored_folders_are_never_listed(spark, tmp_path):
+    from stackroom.sources import files
+
+    for folder in ("a/b/c", "a/skip/deep/deeper", "skip/x", "d"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "t.txt").write_text(folder)
+    (tmp_path / "top.md").write_text("top")
+    entered = spark.sparkContext.accumulator(0)
+    found = {r["path"]: r["is_dir"] for r in files.listed(spark, str(tmp_path), ignore=["skip/"], entered=entered).collect()}
+    assert found == {"a": True, "a/b": True, "a/b/c": True, "d": True, "a/b/c/t.txt": False, "d/t.txt": False, "top.md": False}
+    assert entered.value == 5  # the root, a, a/b, a/b/c and d
+    got = {r["path"]: bytes(r["content"]) for r in files.walk_pruned(spark, f"file://{tmp_path}", ignore=["skip/"], include=["txt"]).collect()}
+    assert got == {"a/b/c/t.txt": b"a/b/c", "d/t.txt": b"d"}
+    assert {r["path"] for r in files.walk_pruned(spark, str(tmp_path), recursive=False).collect()} == {"top.md"}
