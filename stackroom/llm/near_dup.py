@@ -21,7 +21,7 @@ common that the pivot lacks, or lacks much together, as this shows:
 So members of a pivot's group are joined on what they have more (its rarest part, long enough to
 hold one of the shared ones) and, where the sizes allow, on what they lack; pairs whose sizes or
 whose Jaccard estimate (register agreement less the agreement expected by chance) are far below the
-threshold go, and the rest are verified on their full sets. No pair that shares a bucket and
+threshold go, as do pairs of which one has so many more edits of a kind than the other that they can't be linked, and the rest are verified on their full sets. No pair that shares a bucket and
 could connect two components is left out; what is joined are edits, not the texts that a group has
 in common. Most of a large group's members are linked with its pivot or with each other, so only what
 is not of a token's most frequent component is paired, with all others: the work grows with a group's size, not its square.
@@ -283,13 +283,15 @@ def _beside_pivots(stars: DataFrame, found: DataFrame, sets: DataFrame, percent:
     needed = F.greatest(F.lit(1), F.ceil(F.when(F.col("kind") == 0, same_more).otherwise(same_less) / 2 - 1e-6))
     w = Window.partitionBy("g", "kind", "x")
     ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "token")), "n": F.count("*").over(w)})
-    ranked = cut(ranked.filter(F.col("r") <= F.col("n") - needed + 1).select(*key, "x", "n_a", "linked", "component", "spare", "far"), parts)
+    ranked = cut(ranked.filter(F.col("r") <= F.col("n") - needed + 1).select(*key, "x", "n_a", "linked", "component", "spare", "far", more.alias("more"), less.alias("less")), parts)
     each = ranked.groupBy(*key, "component").agg(F.count("*").alias("k"))
     main = each.groupBy(*key).agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("several")).filter("several > 1")
-    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "linked", "component", "spare", "far")]
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("x", "n_a", "linked", "component", "spare", "far", "more", "less")]
     n = lambda k: F.col(f"n_a{k}")
     near = lambda j, k: F.col(f"linked{j}") | (F.col(f"spare{k}") >= F.col(f"far{j}"))
     fits = (F.col("component1") != F.col("component2")) & ~(F.col("linked1") & F.col("linked2")) & (100 * F.least(n(1), n(2)) >= percent * F.greatest(n(1), n(2)))
+    apart_ = F.abs(F.col("more1") - F.col("more2")) + F.abs(F.col("less1") - F.col("less2"))  # so much two sets differ at least
+    fits = fits & ((100 + percent) * apart_ <= (100 - percent) * (n(1) + n(2)))
     few = ranked.join(main, key).filter(F.col("component") != F.col("main"))
     pairs = few.select(*key, *side(1)).join(ranked.select(*key, *side(2)), key).filter(fits & ((F.col("kind") == 0) | near(1, 2) & near(2, 1)))
     return pairs.select(F.greatest("x1", "x2").alias("a"), F.least("x1", "x2").alias("b")).distinct()
