@@ -55,7 +55,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most so many bytes of text (one row at least)."""
+    """The same rows in slices of at most so many bytes of text (one row at least). At the end what Arrow's pool keeps goes back, as a worker process lives on for other tasks."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
                 first, held = i, 0
             held += s
         yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
