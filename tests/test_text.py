@@ -117,3 +117,8 @@ def test_page_changes(spark):
     now = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "doc_id int, ordinal int, sha string")
     then = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (1, 5, "z")], "doc_id int, ordinal int, sha string")
     assert tuple(C.page_changes(now, then).first()) == (1, 1, 1, 1, 1)
+
+
+def test_column_letters_count_on_beyond_three(spark):
+    ns = [18278, 18279, 18278 + 676 * 200]
+    assert values(spark, X.column_letter, ns, "int") == ["ZZZ", "[AA", chr(65 + 225) + "ZZ"]
