@@ -5,7 +5,8 @@ with the largest dot product with it, and lists are written as folders, so that
 those it probes and no others. Vectors are compared by dot product, as in `nearest`; the
 quantiser looks at directions only.
 
-A search stays exact where that costs no more: in a scope of max(EXACT, 4 x k) vectors at most. Else the lists
+A search stays exact where that costs no more: in a scope of max(EXACT, 4 x k) vectors at most, or of any size where
+the caller wants that (one scan, k rows a task). Else the lists
 nearest to the query are probed, and more of them, twice as many each time, until k vectors of the scope are found or
 no list is left. How many lists are probed at first is measured when they are written: for a
 bounded sample of vectors, in how many lists, the nearest first, TARGET of their exact neighbours are. Vectors
@@ -99,13 +100,15 @@ def read_lists(spark: SparkSession, path: str, key: str = "vec_id", column: str
     return Lists(spark.read.parquet(f"{path}/vectors"), np.array([r["centroid"] for r in rows]), key, column, spark.read.parquet(f"{path}/probes").first()[0])
 
 
-def approximate(lists: Lists, query: list[float], k: int = PER_BRANCH, probes: int | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """About the top k by (1 + dot) / 2, as `nearest` gives them; exactly those in a small scope."""
+def approximate(lists: Lists, query: list[float], k: int = PER_BRANCH, probes: int | None = None, scope: DataFrame | None = None, exact: int | None = EXACT) -> DataFrame:
+    """About the top k by (1 + dot) / 2, as `nearest` gives them; exactly those in a scope of max(exact, 4 x k) vectors at most, or in any scope if exact is None."""
     rows = lists.vectors.filter(F.size(lists.column) == len(query))
+    if scope is not None and exact is None:
+        return nearest(rows, query, k, lists.key, lists.column, scope)
     if scope is not None:
         scope = cut(scope.select(lists.key).distinct())
         rows = rows.join(scope, lists.key, "left_semi")
-    limit = max(EXACT, 4 * k)
+    limit = max(EXACT if exact is None else exact, 4 * k)
     n = (scope if scope is not None else rows.select(lists.key)).limit(limit + 1).count()
     if n <= limit:
         return nearest(rows, query, k, lists.key, lists.column)

@@ -214,3 +214,19 @@ def test_inverted_lists(spark, tmp_path, clusters):
     assert len(ids(every)) == 10 and "PartitionFilters: [" in every._jdf.queryExecution().toString()
     assert ids(V.approximate(own, q, 10, probes=24)) == ids(S.nearest(v.filter("vec_id < 5000"), q, 10))
     assert len(ids(V.approximate(own, q, 400, probes=1))) == 400  # goes on until there are enough
+
+
+def test_a_scope_of_any_size_is_exact_where_wanted(spark, tmp_path):
+    import numpy as np
+
+    from stackroom.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    points = [(k, rng.normal(size=8).tolist(), k % 2) for k in range(3000)]
+    v = spark.createDataFrame(points, "vec_id long, embedding array<float>, label int")
+    V.write_lists(v, str(tmp_path), lists=24)
+    own, q = V.read_lists(spark, str(tmp_path)), points[7][1]
+    ids = lambda df: [(x["vec_id"], x["score"]) for x in df.collect()]
+    scope = v.filter("label = 1").select("vec_id")
+    assert scope.count() > V.EXACT
+    assert ids(V.approximate(own, q, 10, probes=1, scope=scope, exact=None)) == ids(S.nearest(v, q, 10, scope=scope)) != ids(V.approximate(own, q, 10, probes=1, scope=scope))
