@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUDGET, OVERLAP = 512, 100
@@ -202,3 +203,33 @@ def plan_batches(lengths: list[int], most: int = 8192) -> list[tuple[int, int]]:
             out.append((first, i))
             first, longest = i, n
     return [*out, (first, len(lengths))] if lengths else []
+
+
+def stretches(rows: DataFrame, group: str, key: str, n: str, most: int = 8192) -> DataFrame:
+    """(group, lengths): each group's lengths in the order of the key, cut where a run of plan_batches must begin.
+
+    A passage of more than half the budget shares no run with those before it, so stretches that begin
+    with one are planned by themselves as they are within the whole group. Range partitions are cut by
+    themselves; only what stands before the first and after the last cut of a partition is joined with what its neighbours have there.
+    """
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, at, out = None, (None, None), []
+        certain = first = True
+        for pdf in batches:
+            for g, k, size in zip(pdf[group], pdf[key], pdf[n], strict=True):
+                if own is None or g != at[0] or 2 * size > most:
+                    if own is not None:
+                        out.append((*at, own, not certain))
+                    own, at, certain, first = [], (g, k), not first or 2 * size > most, False
+                own.append(size)
+            yield pd.DataFrame(out, columns=["g", "place", "lengths", "open"])
+            out = []
+        if own is not None:
+            yield pd.DataFrame([(*at, own, True)], columns=["g", "place", "lengths", "open"])
+
+    kinds = dict(rows.dtypes)
+    ordered = rows.select(group, key, F.coalesce(n, F.lit(0)).cast("int").alias(n)).repartitionByRange(group, key).sortWithinPartitions(group, key, n)
+    found = ordered.mapInPandas(pieces, f"g {kinds[group]}, place {kinds[key]}, lengths array<int>, open boolean")
+    joined = found.groupBy("g", F.when(~F.col("open"), F.col("place"))).agg(F.array_sort(F.collect_list(F.struct("place", "lengths"))).alias("x"))
+    return joined.select(F.col("g").alias(group), F.flatten(F.transform("x", lambda x: x["lengths"])).alias("lengths"))

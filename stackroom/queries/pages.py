@@ -15,7 +15,7 @@ from stackroom.operators import chunking, corrections, evidence, geometry, image
 from stackroom.plans.query import Synonyms
 from stackroom.plans.strings import plain_analyzer
 from stackroom.queries.views import DOCS, EXTRACTED, UNITS, docs, extracted, units
-from stackroom.session import table
+from stackroom.session import spread, table
 from stackroom.streaming import flows
 
 QUERIES: dict = {}
@@ -322,15 +322,17 @@ def synonym_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.mapped(_pages(spark, sf).select("item_id", "w"), "w", lambda w: evidence.synonym_block([[w, w.lower() + "\tx"]]), "string", "block").select("item_id", "block")
 
 
-@query("SELECT lang, doc_id // 500 AS lot, TRUE AS within, TRUE AS in_order, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2")
+@query("SELECT lang, TRUE AS within, TRUE AS in_order, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def passage_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages go to a model in runs whose padded size stays within its budget; a longer one goes alone."""
-    lengths = table(spark, sf, "documents").filter("lang IS NOT NULL").groupBy("lang", F.floor(F.col("doc_id") / 500).alias("lot")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.size(X.plain_tokens(F.col("text"))).alias("n")))), lambda x: x["n"]).alias("lengths"))
+    """A language's passages go to a model in runs whose padded size stays within its budget; a longer one goes alone."""
+    d = spread(table(spark, sf, "documents").filter("lang IS NOT NULL").select("lang", "doc_id", "text"))
+    stretches = chunking.stretches(d.select("lang", "doc_id", F.size(X.plain_tokens(F.col("text"))).alias("n")), "lang", "doc_id", "n")
 
     def make(r):
         own = [int(n) for n in r.lengths]
         runs = chunking.plan_batches(own)
         fits = all((b - a) * max(own[a:b]) <= 8192 or b - a == 1 for a, b in runs)
-        return [(r.lang, r.lot, fits, [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]], runs[-1][1])]
+        return [(r.lang, fits, [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]], runs[-1][1])]
 
-    return _each(lengths, "lang string, lot long, within boolean, in_order boolean, n long", make)
+    each = _each(stretches, "lang string, within boolean, in_order boolean, n long", make)
+    return each.groupBy("lang").agg(F.bool_and("within").alias("within"), F.bool_and("in_order").alias("in_order"), F.sum("n").alias("n"))

@@ -350,3 +350,19 @@ def test_ignored_folders_are_never_listed(spark, tmp_path):
     got = {r["path"]: bytes(r["content"]) for r in files.walk_pruned(spark, f"file://{tmp_path}", ignore=["skip/"], include=["txt"]).collect()}
     assert got == {"a/b/c/t.txt": b"a/b/c", "d/t.txt": b"d"}
     assert {r["path"] for r in files.walk_pruned(spark, str(tmp_path), recursive=False).collect()} == {"top.md"}
+
+
+def test_stretches_give_the_runs_of_the_whole_group(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.choice((0, 1, 2, 3, 5, 9)) if g != "c" else 1) for g in "abc" for k in range(300)]
+    rows += [("d", 5, 9), ("d", 5, 2), ("d", 6, None)]
+    data = spark.createDataFrame(rows, "g string, k long, n int").repartition(7)
+    total = {}
+    for r in K.stretches(data, "g", "k", "n", 10).collect():
+        total.setdefault(r["g"], []).append([b - a for a, b in K.plan_batches(r["lengths"], 10)])
+    for g in "abcd":
+        whole = [n or 0 for _, _, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2] or 0))]
+        assert sorted(x for own in total[g] for x in own) == sorted(b - a for a, b in K.plan_batches(whole, 10))
+    assert len(total["a"]) > 10 and len(total["c"]) == 1
