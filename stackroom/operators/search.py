@@ -27,27 +27,35 @@ def build_index(docs: DataFrame, analyze=plain_tokens, id_col: str = "doc_id", t
     return Index(tokens=docs.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col)).alias("tokens")))
 
 
-#: Words of a partition of written postings.
-PARTITION_WORDS = 4_000_000
-
-
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Write documents with their lengths, and the totals; postings, and terms with their frequencies, sorted by term in range partitions (by the number of words, if not said), so that a query's terms read a few row groups."""
+    """Write postings dealt out and sorted by term, so that a query's terms read a few row groups; documents with their lengths, the totals, and terms with their frequencies.
+
+    Texts are analysed once, and a document's postings come from its own row: what is shuffled is each posting once. Unless said
+    otherwise, partitions are of the size that Spark aims at, and a very frequent term goes to several.
+    """
     spark = index.documents.sparkSession
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    totals = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
-    totals.write.mode("overwrite").parquet(f"{path}/totals")
-    if partitions is None:
-        r = spark.read.parquet(f"{path}/totals").first()
-        partitions = max(8, spark.sparkContext.defaultParallelism, round(r["n"] * (r["average"] or 0) / PARTITION_WORDS))
-    by_term = lambda rows, *more: rows.repartitionByRange(partitions, "term").sortWithinPartitions("term", *more)
-    by_term(index.postings(), "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    by_term(statistics(Index(stored=spark.read.parquet(f"{path}/postings")))).write.mode("overwrite").parquet(f"{path}/terms")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+
+    def write(rows: DataFrame, name: str) -> None:
+        dealt = rows.repartition(partitions, "term") if partitions else rows.hint("rebalance", "term")
+        dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/{name}")
+
+    write(index.places(), "postings")
+    read("postings").filter("term is null").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/documents")
+    read("documents").agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.mode("overwrite").parquet(f"{path}/totals")
+    if Index(lengths=read("documents")).repeated:
+        rows = read("postings").filter("term is not null").groupBy("term", "doc_id", "dl")
+        write(rows.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), "merged")
+        delete(spark, f"{path}/postings")
+        write(read("merged"), "postings")
+        delete(spark, f"{path}/merged")
+    terms = statistics(Index(stored=read("postings").filter("term is not null")))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_index(spark, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(stored=read("postings"), lengths=read("documents"), vocabulary=read("terms"), totals=read("totals").first())
+    return Index(stored=read("postings").filter("term is not null"), lengths=read("documents"), vocabulary=read("terms"), totals=read("totals").first())
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, str, Index]] = {}
@@ -71,7 +79,9 @@ def index_of(docs: DataFrame, name: str, analyze=plain_tokens) -> Index:
 
 
 def statistics(index: Index) -> DataFrame:
-    """Document frequency of each term."""
+    """Document frequency of each term, and how often it stands in all."""
+    if index.stored is None and not index.repeated:
+        return index.counts().groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

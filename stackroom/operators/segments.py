@@ -92,7 +92,7 @@ class Segments:
         new = rows.filter("not deleted")
         seq, name = max((s.seq for s in old), default=0) + 1, uuid.uuid4().hex
         words = new.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-        self._write_sorted(Index(tokens=new.select("doc_id", "tokens")).postings(), f"{name}/postings", words, "doc_id")
+        self._write_sorted(Index(tokens=new.select("doc_id", "tokens")).places().filter("term is not null"), f"{name}/postings", words, "doc_id")  # an id has one row
         forward = new.select("doc_id", F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("terms"))
         self._write_forward(forward, name)
         self._rows(rows.select("doc_id")).write.parquet(f"{self.path}/segments/{name}/gone")

@@ -7,10 +7,14 @@ and clauses meet in one aggregation by document, so no clause is joined with ano
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -310,6 +314,24 @@ class Index:
         each = each.filter(F.col("term").isNotNull() if test is None else test)  # outer: else a filter on tokens is put below a repartition
         return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
+    def places(self) -> DataFrame:
+        """The postings of unwritten documents as each row gives them, without a shuffle, and a row without a term for each document.
+
+        Rows of a repeated id aren't put together.
+        """
+        kind = dict(self.tokens.dtypes)["doc_id"]
+        return self.tokens.select("doc_id", "tokens").mapInArrow(_places, f"term string, doc_id {kind}, dl int, tf long, positions array<int>")
+
+    def counts(self) -> DataFrame:
+        """term, df, cf of unwritten documents, in parts: a row for each batch that has the term. Each row is a document of its own."""
+        return self.tokens.select("tokens").mapInArrow(_counts, "term string, df long, cf long")
+
+    @property
+    def repeated(self) -> bool:
+        """Whether an id stands in several rows."""
+        rows = self.lengths if self.lengths is not None else self.tokens
+        return bool(rows.groupBy("doc_id").count().filter("count > 1").take(1))
+
     def terms(self, test: Column) -> DataFrame:
         """doc_id of the documents with a term that passes the test: of a written index the vocabulary is asked first, and only those terms' postings are read."""
         if self.vocabulary is not None:
@@ -332,6 +354,41 @@ class Index:
         return Statistics(row["n"], float(row["average"] or 1.0), {w: row[f"w{k}"] for k, w in enumerate(words)})
 
 
+def _grouped(tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a batch; and sorted by row and word: row, word, place of each token, and where a row's next word begins."""
+    offsets, values = tokens.offsets.to_numpy(), tokens.values
+    values = values.slice(offsets[0], offsets[-1] - offsets[0])
+    coded = values.dictionary_encode()
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], size)
+    word = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if values.null_count:
+        row, place, word = row[word >= 0], place[word >= 0], word[word >= 0]
+    key = row * max(len(coded.dictionary), 1) + word
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return coded.dictionary, row[order], word[order], place[order], np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, dl = b.column("doc_id"), pc.list_value_length(b.column("tokens"))
+        words, row, word, place, first = _grouped(b.column("tokens"))
+        of = np.concatenate([row[first], np.arange(b.num_rows)])
+        ends = np.concatenate([first, np.full(b.num_rows + 1, len(row))]).astype(np.int32)
+        term = pa.concat_arrays([words.take(pa.array(word[first])), pa.nulls(b.num_rows, words.type)])
+        columns = [term, ids.take(pa.array(of)), dl.take(pa.array(of)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "dl", "tf", "positions"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, _, word, _, first = _grouped(b.column("tokens"))
+        n = [np.bincount(x, minlength=len(words)).astype(np.int64) for x in (word[first], word)]
+        yield pa.RecordBatch.from_arrays([words, *map(pa.array, n)], names=["term", "df", "cf"])
+
+
 @dataclass
 class Statistics:
     n_docs: int

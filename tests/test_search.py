@@ -230,3 +230,17 @@ def test_a_scope_of_any_size_is_exact_where_wanted(spark, tmp_path):
     scope = v.filter("label = 1").select("vec_id")
     assert scope.count() > V.EXACT
     assert ids(V.approximate(own, q, 10, probes=1, scope=scope, exact=None)) == ids(S.nearest(v, q, 10, scope=scope)) != ids(V.approximate(own, q, 10, probes=1, scope=scope))
+
+
+def test_postings_of_rows_are_those_of_a_grouping(spark, tmp_path):
+    rows = [(1, "a b a"), (2, ""), (3, None), (4, "b c b b"), (5, "c")]
+    for more, one in (([], True), ([(1, "a b a"), (4, "x b")], False)):  # repeated ids
+        own = S.build_index(spark.createDataFrame(rows + more, "doc_id int, text string").repartition(3))
+        assert own.repeated is not one
+        S.write_index(own, str(tmp_path / "i"))
+        again = S.read_index(spark, str(tmp_path / "i"))
+        plain = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+        names = ["term", "doc_id", "dl", "tf", "positions"]
+        assert plain(again.postings().select(names)) == plain(own.postings().select(names)) != []
+        assert plain(again.documents) == plain(own.documents)
+        assert plain(S.statistics(own)) == plain(S.statistics(again)) == plain(own.postings().groupBy("term").agg(F.count("*"), F.sum("tf")))
