@@ -131,6 +131,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int = PER_BRANCH, key: st
 
 #: Bytes of query vectors and of their best rows that a task of nearest_many holds.
 QUERY_BYTES = 64 << 20
+#: Scores that such a task computes at once.
+CELLS = 1 << 20
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 1024, most_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -138,14 +140,15 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
 
     Queries are streamed to the driver once, in groups of most_bytes at most with their best rows;
     each group is one scan of the vectors, and its result is written before the next group is sent.
-    Each task keeps k rows for each query, so what is shuffled is tasks x queries x k rows.
+    Each task keeps k rows for each query, so what is shuffled is tasks x queries x k rows. A batch
+    is multiplied in parts, so that a task holds CELLS scores at once, however many queries and vectors there are.
     """
     groups, held, size = [], [], 0
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
 
     def ask() -> None:
         sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in held], np.int64), np.array([r["vector"] for r in held], np.float32)))
-        found = vectors.select(key, column).mapInPandas(_best_of(sent, k, key, column, block), f"query_id long, {key} long, score double")
+        found = vectors.select(key, column).mapInPandas(_best_of(sent, k, key, column, block, max(1, CELLS // min(block, len(held)))), f"query_id long, {key} long, score double")
         groups.append(cut(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)))
         sent.destroy()
 
@@ -161,13 +164,11 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return reduce(DataFrame.unionByName, groups) if groups else vectors.limit(0).select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
-def _best_of(sent, k: int, key: str, column: str, block: int):
+def _best_of(sent, k: int, key: str, column: str, block: int, rows: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = sent.value
         best, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[at : at + rows] for b in batches for at in range(0, len(b), rows)):
             own, matrix = pdf[key].to_numpy(), np.stack(pdf[column]).astype(np.float32).T
             parts = []
             for at in range(0, len(ids), block):

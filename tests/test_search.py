@@ -244,3 +244,16 @@ def test_postings_of_rows_are_those_of_a_grouping(spark, tmp_path):
         assert plain(again.postings().select(names)) == plain(own.postings().select(names)) != []
         assert plain(again.documents) == plain(own.documents)
         assert plain(S.statistics(own)) == plain(S.statistics(again)) == plain(own.postings().groupBy("term").agg(F.count("*"), F.sum("tf")))
+
+
+def test_many_queries_in_small_parts(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.integers(-2, 3, 6) / 2).tolist()) for k in range(90)]  # with ties
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    q = spark.createDataFrame(rows[:7], "query_id long, vector array<float>")
+    ask = lambda: sorted(tuple(r) for r in S.nearest_many(v, q, 4).select("query_id", "rank", "vec_id").collect())
+    whole = ask()
+    monkeypatch.setattr(S, "CELLS", 20)
+    assert ask() == whole and len(whole) == 28
