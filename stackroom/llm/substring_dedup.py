@@ -15,8 +15,11 @@ and a minimum beside it. Under finer keys of FEW windows at most all are paired,
 with the smallest document again. Windows that are still outside, and of which all keys on a
 side are large, come last (few texts): with a key for every run of `length` words in them, so that
 texts that share such a run meet the smallest document that has it, whatever the key's size,
-and keys of two functions' minima at a time, for passages with edits. So equal passages are always
-found, and edited ones by chance, which is measured in the README.
+and keys of two functions' minima at a time, for passages with edits. Windows that even then are
+outside are compared exactly (_possible): each is paired with every window of a smaller document
+under its key that could hold a passage with it, however many there are. So equal passages are
+always found; edited ones are where they share a window's minimum and one beside it, and don't meet
+only texts that are inside a passage of the first round (those stand for themselves by its source).
 
 A pair of documents' shared windows are joined as intervals: those on nearly the same diagonal
 whose reaches overlap are one candidate passage. Candidates are verified on their words: the
@@ -301,14 +304,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # what isn't part of a passage yet: all with all under finer keys of few windows, with their leader under larger ones
     each = F.col("n") <= FEW
     finer = cut(_several(_beside(_outside(led.select("key", "doc_id", "f", "c", "reach", "beside"), first_round), length)))
-    many = finer.filter(~each)
-    second_round = cut(_passages(own, _all_pairs(finer.filter(each)).unionByName(_led(many, many)), length, percent))
+    large = finer.filter(~each)
+    second_round = cut(_passages(own, _all_pairs(finer.filter(each)).unionByName(_led(large, large)), length, percent))
     # windows of which all keys on a side are large
     release(docs.sparkSession)
-    many = _outside(many, second_round).groupBy("top", "f", "c", "reach").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter(F.col("n") >= BESIDE).withColumnRenamed("top", "key")
+    many = _outside(large, second_round).groupBy("top", "f", "c", "reach").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter(F.col("n") >= BESIDE).withColumnRenamed("top", "key")
     finest = cut(_several(_runs_of(own, many, length, hashes)))
-    many = finest.filter(~each)
-    passages = first_round.union(second_round).union(_passages(own, _all_pairs(finest.filter(each)).unionByName(_led(many, many)), length, percent))
+    leaders = finest.filter(~each)
+    third_round = cut(_passages(own, _all_pairs(finest.filter(each)).unionByName(_led(leaders, leaders)), length, percent))
+    # what is still outside under a key of more than FEW: with every text that its key allows a passage with
+    release(docs.sparkSession)
+    open_ = cut(_outside(_outside(large, second_round), third_round))
+    passages = first_round.union(second_round).union(third_round).union(_passages(own, _possible(own, large, open_, length, percent), length, percent))
 
     mine = F.col("doc") > F.col("other")
     pick = lambda x, y, name: F.when(mine, F.col(x)).otherwise(F.col(y)).alias(name)
@@ -374,12 +381,12 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 def _beside(rows: DataFrame, length: int) -> DataFrame:
     """Windows under finer keys: one for each side that a window reaches half a passage's width to, and each function of the minima there.
 
-    top tells the key and the side that a row comes from.
+    top tells the key and the side that a row comes from, own the key.
     """
     bits = lambda j, side: F.shiftright("beside", _shifts(j)[side]).bitwiseAND(0xFFFF)
     finer = lambda side: F.array(*[F.struct(F.xxhash64("key", F.lit(side)).alias("top"), F.xxhash64("key", F.lit(side * BESIDE + j), bits(j, side)).alias("key")) for j in range(BESIDE)])
     keys = F.concat(*[F.when(ok, finer(side)).otherwise(F.array().cast("array<struct<top:bigint,key:bigint>>")) for side, ok in enumerate(_reached("reach", length))])
-    return rows.select("doc_id", "f", "c", "reach", F.explode(keys).alias("x")).select("x.key", "doc_id", "f", "c", "reach", "x.top")
+    return rows.select(F.col("key").alias("own"), "doc_id", "f", "c", "reach", F.explode(keys).alias("x")).select("x.key", "doc_id", "f", "c", "reach", "x.top", "own")
 
 
 def _runs_of(docs: DataFrame, many: DataFrame, length: int, hashes: int) -> DataFrame:
@@ -424,6 +431,88 @@ def _runs_of(docs: DataFrame, many: DataFrame, length: int, hashes: int) -> Data
     return rows.mapInArrow(run, "key long, doc_id long, f long, c int, reach int")
 
 
+def _possible(docs: DataFrame, large: DataFrame, open_: DataFrame, length: int, percent: int) -> DataFrame:
+    """Open windows with every window of a smaller document's other text under their keys that a passage with them is possible with.
+
+    A passage begins and ends with shared shingles and has `percent` of its shingles from the other
+    text, so it only counts on shingles that another window under the key has nearby. For each stretch
+    around an open window's minimum that could be a passage by that, the rarer one of its two ends is
+    looked up in all windows under the key, those inside a passage and the leaders as well.
+    """
+    names = ["doc_id", "f", "c", "reach"]
+    window = lambda rows: rows.groupBy("own", "f", "c", "reach").agg(F.min("doc_id").alias("doc_id"))
+    near = stored(_nearby(docs, window(large.join(open_.select("key").distinct(), "key", "left_semi")), length).withColumn("w", F.xxhash64("own", "f", "c")))
+    rows = near.select("w", "doc_id", "f", F.explode(F.array_distinct("nearby")).alias("x"))
+    shared = rows.groupBy("x").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count("*").alias("n")).filter("low <> high").select(apart("x"), "n")
+    asking = near.join(window(open_).select(F.xxhash64("own", "f", "c").alias("w")), "w", "left_semi")
+    counts = asking.select("w", F.explode(F.array_distinct("nearby")).alias("x")).select("w", apart("x")).join(shared, "k").groupBy("w").agg(F.collect_list(apart("k", "x")).alias("xs"), F.collect_list("n").alias("ns"))
+    width = length - WIDTH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_ends(np.array(s, np.int64), at, np.array(x, np.int64), np.array(n, np.int64), width, percent) for s, at, x, n in zip(*(b.column(k).to_pylist() for k in ("nearby", "at", "xs", "ns")), strict=True)]
+            of = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([b.column("w").take(of), b.column("doc_id").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["w", "doc_id", "x"])
+
+    asked = cut(asking.join(counts, "w").select("w", "doc_id", "at", "nearby", "xs", "ns").mapInArrow(run, "w long, doc_id long, x long"))
+    others = rows.select("x", F.col("w").alias("v"), F.col("doc_id").alias("other")).join(asked.select("x").distinct(), "x", "left_semi")
+    pairs = asked.select("w", "doc_id", apart("x")).join(others.select(apart("x"), "v", "other"), "k").filter("doc_id > other").select("w", "v").distinct()
+    theirs = near.select(F.col("w").alias("v"), *(F.col(a).alias(b) for a, b in zip(names, ("other", "of", "oc", "oreach"), strict=True)))
+    return pairs.join(near.select("w", *names), "w").join(theirs, "v").filter("f <> of")
+
+
+def _nearby(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
+    """The windows with the shingles around their minimum, as far as a candidate reaches, hashed with their key, and where the minimum is among them."""
+    reach = length + WIDTH
+    one = around.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("own", "c", "reach")).alias("asked"))
+    asked = one.groupBy("doc_id").agg(F.collect_list(F.struct("f", "asked")).alias("asked"))
+    names = ["own", "doc_id", "f", "c", "reach", "at", "nearby"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            tok = tokenize(b.column("text"), SPACED_LOWER)
+            values, rows = shingles(tok, WIDTH, False)
+            f = _sequence(tok).tolist()
+            out: list[tuple] = []
+            for i, (doc, texts) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("asked").to_pylist(), strict=True)):
+                own = values[rows[i] : rows[i + 1]]
+                for x in (x for t in texts if t["f"] == f[i] for x in t["asked"]):
+                    first = max(x["c"] - reach, 0)
+                    keyed = mix(own[first : x["c"] + reach + 1] ^ np.int64(x["own"]).view(np.uint64)).view(np.int64)
+                    out.append((x["own"], doc, f[i], x["c"], x["reach"], x["c"] - first, keyed))
+                if len(out) > 2000:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(run, "own long, doc_id long, f long, c int, reach int, at int, nearby array<long>").dropDuplicates(["own", "f", "c"])
+
+
+def _ends(shingles: np.ndarray, at: int, known: np.ndarray, counts: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """The rarer end of each stretch around a place that could be a passage, where only known shingles can be shared."""
+    order = np.argsort(known)
+    place = np.minimum(np.searchsorted(known[order], shingles), len(known) - 1)
+    n = np.where(known[order][place] == shingles, counts[order][place], 0)
+    left, right = np.flatnonzero(n[: at + 1]), at + np.flatnonzero(n[at:])
+    if not len(left) or not len(right) or right[-1] - left[0] + 1 < width:
+        return np.zeros(0, np.int64)
+    # where a shingle was last: in a stretch each counts once
+    before = np.full(len(shingles), -1)
+    by = np.argsort(shingles, kind="stable")
+    again = np.flatnonzero(shingles[by][1:] == shingles[by][:-1])
+    before[by[again + 1]] = by[again]
+    fresh = (before[None, :] < left[:, None]) & (np.arange(len(shingles))[None, :] >= left[:, None])
+    every, shared = np.cumsum(fresh, axis=1)[:, right], np.cumsum(fresh & (n > 0)[None, :], axis=1)[:, right]
+    fits = (right[None, :] - left[:, None] + 1 >= width) & (100 * shared >= percent * every)
+    a, b = left[:, None], right[None, :]
+    rarer = np.where((n[a] < n[b]) | (n[a] == n[b]) & (shingles[a] < shingles[b]), a, b)[fits]
+    return np.unique(shingles[rarer])
+
+
 def _runs(values: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of `width` values from each start."""
     power, inverse = _powers(len(values) + 1)

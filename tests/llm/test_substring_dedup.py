@@ -188,3 +188,23 @@ def test_families_of_edited_variants(spark):
     again = [k for k in range(len(rows)) if k % 120 >= 12]
     assert sum(k in found for k in firsts) >= 0.9 * len(firsts) and all(k in found for k in again)
     assert not any(k in found for k in range(len(rows)) if k % 120 in (0, 1))  # the first variant, and the first of those alike
+
+
+def test_edited_pairs_under_keys_of_many_texts(spark):
+    """A line of 46 words is in every text, so that its keys are large; each pair of texts has 64 words around it alike but for one, and no run of 50."""
+    line, rows = prose(84, 46), [(0, " ".join(prose(7000, 60) + prose(84, 46) + prose(7001, 60)))]
+    for k in range(1, 81, 2):
+        before, after = prose(7100 + k, 2), prose(7300 + k, 20)
+        for j in range(2):
+            rows.append((k + j, " ".join(prose(8000 + k + j, 40) + before + line + [f"e{j}x{k}", *after[1:]] + prose(9000 + k + j, 40))))
+    got = {(r["doc_id"], r["source_id"]) for r in S.find_repeats(docs(spark, rows)).collect()}
+    assert got == {(k + 1, k) for k in range(1, 81, 2)}
+
+
+def test_stretches_that_could_be_a_passage():
+    """Without a known shingle at either end, at a passage's distance, nothing is looked up; else the rarer end is."""
+    own = np.arange(100, 220)
+    line = np.arange(140, 182)
+    assert not len(S._ends(own, 60, line, np.full(42, 9), 46, 80))
+    assert S._ends(own, 60, np.append(line, 187), np.append(np.full(42, 9), 2), 46, 80).tolist() == [187]
+    assert not len(S._ends(own, 60, np.append(line, 199), np.append(np.full(42, 9), 2), 46, 80))  # too few between
