@@ -8,6 +8,7 @@ Offsets are code points of the unit's search text.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -131,6 +132,11 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
     else:
         edges = sorted({b.start for b in blocks} | {r[0] for b in blocks for r in b.rows})
         tables = [b for b in blocks if b.kind == "table" and b.rows]
+        # found by bisection: a long table is not gone through again for each of its chunks
+        block_ends = sorted(b.end for b in blocks)
+        rows = [r for b in tables for r in b.rows]
+        row_ends = sorted(r[1] for r in rows)
+        highest = list(itertools.accumulate((r[0] for r in rows), max))  # the first row from a place on is where this reaches it
 
         def header_at(at: int) -> str | None:
             nonlocal dropped
@@ -141,16 +147,20 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
             dropped |= not usable(h)
             return h if usable(h) else None
 
+        def last(places: list[int], floor: int, limit: int) -> int | None:
+            k = bisect.bisect_right(places, limit)
+            return places[k - 1] if k and places[k - 1] > floor else None
+
         def ends(start: int, limit: int, floor: int, body: int) -> int | None:
             worth = lambda e: body // 2 <= unit.count(start, e) <= body
-            block = max((b.end for b in blocks if floor < b.end <= limit), default=None)
+            block = last(block_ends, floor, limit)
             if block is not None and worth(block):
                 return block
-            rows = [r for b in tables for r in b.rows]
-            row = max((r[1] for r in rows if floor < r[1] <= limit), default=None)
+            row = last(row_ends, floor, limit)
             if row is None or worth(row):
                 return row
-            after = next((r for r in rows if r[0] >= row), None)
+            k = bisect.bisect_left(highest, row)
+            after = rows[k] if k < len(rows) else None
             return row if after and OVERHEAD + unit.count(*after) <= OVERHEAD + body else None
 
         # a page's running header and footer are passages of their own

@@ -390,3 +390,22 @@ def test_walked_files_are_written_in_parts(spark, tmp_path):
     assert [tuple(r) for r in files_queries.pruned_walk(spark, str(tmp_path)).select("source", "n_files").collect()] == [("src0", 1)]
     roots = [p for p in set(Path(shared_folder(spark).removeprefix("file:")).glob("*")) - before if p.name.startswith("walk-")]
     assert len(roots) == 2 and all(len(list(p.rglob("*.txt"))) > 2 for p in roots)
+
+
+def test_long_tables_are_chunked_in_proportion():
+    """A table's rows are not gone through again for each chunk: ends are found by as many comparisons as bisections need."""
+
+    class Row(tuple):
+        looks = 0
+
+        def __getitem__(self, k):
+            Row.looks += 1
+            return tuple.__getitem__(self, k)
+
+    body, rows, at = [], [], 0
+    for k in range(2000):
+        body.append(f"{k} w")
+        rows.append(Row((at, at + len(body[-1]))))
+        at += len(body[-1]) + 1
+    found = K.chunk_text("\n".join(body), None, [K.Block(0, at - 1, "table", tuple(rows))], 64, 0)[0]
+    assert len(found) > 60 and Row.looks < 20 * len(rows)
