@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,15 +88,9 @@ def sign_in_waits(events: DataFrame, minutes: int = 15, per_user: int = 10, per_
     keys = F.explode(F.array(F.struct(F.lit("user").alias("of"), F.lower("username").alias("key")), F.struct(F.lit("address").alias("of"), F.col("address").alias("key")))).alias("k")
     each = events.withWatermark("ts", late).select("id", "ts", "kind", keys).select("id", "ts", "kind", "k.of", "k.key")
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    def singly(key: tuple, times: list[int], ids, at, kinds, state: GroupState) -> pd.DataFrame:
         out = []
-        for id_, ts, kind in zip(rows["id"], rows["ts"], rows["kind"], strict=True):
-            now = ts.value // 1000
+        for id_, now, kind in zip(ids, at.tolist(), kinds, strict=True):
             times = [t for t in times if t > now - span]
             if kind == "failure":
                 times.append(now)
@@ -105,8 +100,30 @@ def sign_in_waits(events: DataFrame, minutes: int = 15, per_user: int = 10, per_
                 full = len(times) >= limits[key[0]]
                 out.append((id_, max(1, -(-((times[0] + span - now) // 1000) // 1000)) if full else None))
         state.update((times,))
-        state.setTimeoutTimestamp(max(int(ts.value // 1_000_000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["id", "wait"]).astype({"id": "int64", "wait": "Int64"})
+        state.setTimeoutTimestamp(max(now // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        return pd.DataFrame(out, columns=["id", "wait"]).astype({"id": "int64", "wait": "Int64"})
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        now, kind = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64"), rows["kind"].to_numpy()
+        held, failed, check = list(state.get[0]) if state.exists else [], kind == "failure", kind == "check"
+        times = np.concatenate([np.array(held, np.int64), now[failed]])
+        if (np.diff(times) < 0).any():  # failures that came late stand behind later ones: one at a time
+            yield singly(key, held, rows["id"], now, kind, state)
+            return
+        # of the failures so far, those from `first` on count: in the window, and after the user's last success
+        so_far = len(held) + np.cumsum(failed)
+        cleared = np.maximum.accumulate(np.where((kind == "success") & (key[0] == "user"), so_far, 0))
+        first = np.maximum(np.searchsorted(times, now - span, side="right"), cleared)
+        full = check & (so_far - first >= limits[key[0]])
+        wait = np.zeros(len(rows), np.int64)
+        wait[full] = np.maximum(1, -(-((times[first[full]] + span - now[full]) // 1000) // 1000))
+        state.update((times[first[-1] :].tolist(),))
+        state.setTimeoutTimestamp(max(int(now[-1] // 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"].to_numpy()[check], "wait": pd.array(wait[check], "Int64")}).astype({"id": "int64"}).assign(wait=lambda x: x["wait"].mask(~full[check]))
 
     return each.groupBy("of", "key").applyInPandasWithState(judge, "id long, wait long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
