@@ -16,8 +16,8 @@ with the smallest document again. Windows that are still outside, and of which a
 side are large, come last (few texts): with a key for every run of `length` words in them, so that
 texts that share such a run meet the smallest document that has it, whatever the key's size,
 and keys of two functions' minima at a time, for passages with edits. Windows that even then are
-outside are compared exactly (_possible): each is paired with every window of a smaller document
-under its key that could hold a passage with it, however many there are. So equal passages are
+outside are compared exactly (_possible): each with every window of a smaller document under its
+key, however many there are, block by block, until one has a passage with it. So equal passages are
 always found; edited ones are where they share a window's minimum and one beside it, and don't meet
 only texts that are inside a passage of the first round (those stand for themselves by its source).
 
@@ -68,6 +68,8 @@ BESIDE = 2
 FEW = 8
 #: Stretches that may be asked for by a broadcast (8 bytes each and an id); beyond that, texts are shuffled.
 MOST_SENT = 300_000
+#: Windows of a block; blocks of one key are compared with each other inside tasks.
+BLOCK = 256
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)]
 
 
@@ -254,17 +256,27 @@ def verify(a: np.ndarray, b: np.ndarray, diagonal: int, length: int, percent: in
     Shared shingles are matched to their nearest place on the diagonal; matches stand in stretches,
     which are cut at their widest gap until similar enough or too short.
     """
-    x, y = _grams(a), _grams(b)
+    return _stretches(_grams(a), _grams(b), diagonal, length, percent)
+
+
+def _stretches(x: np.ndarray, y: np.ndarray, diagonal: int, length: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """verify() of shingles x and y."""
     width = length - WIDTH + 1
     order = np.argsort(y, kind="stable")
     lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
     found = np.flatnonzero(hi > lo)
     if len(found) < width * percent // 100 // 2:
         return []
-    place = order[lo[found]]
-    for k in np.flatnonzero(hi[found] - lo[found] > 1).tolist():
-        own = order[lo[found[k]] : hi[found[k]]]
-        place[k] = own[np.argmin(np.abs(own - (found[k] + diagonal)))]
+    first, last = lo[found], hi[found] - 1
+    place = order[first]
+    if (last > first).any():
+        # among equal shingles, which stand in order, the places before and after the diagonal
+        big = len(y) + 1
+        wish = np.clip(found + diagonal, 0, len(y))
+        ranks = np.cumsum(np.append(0, y[order][1:] != y[order][:-1]))
+        after = np.searchsorted(ranks * big + order, ranks[first] * big + wish)
+        before, after = order[np.clip(after - 1, first, last)], order[np.clip(after, first, last)]
+        place = np.where(np.abs(after - (found + diagonal)) < np.abs(before - (found + diagonal)), after, before)
     out = []
     work = [(0, len(found))]
     while work:
@@ -312,7 +324,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     finest = cut(_several(_runs_of(own, many, length, hashes)))
     leaders = finest.filter(~each)
     third_round = cut(_passages(own, _all_pairs(finest.filter(each)).unionByName(_led(leaders, leaders)), length, percent))
-    # what is still outside under a key of more than FEW: with every text that its key allows a passage with
+    # what is still outside under a key of more than FEW: compared with every text under its key
     release(docs.sparkSession)
     open_ = cut(_outside(_outside(large, second_round), third_round))
     passages = first_round.union(second_round).union(third_round).union(_passages(own, _possible(own, large, open_, length, percent), length, percent))
@@ -432,37 +444,157 @@ def _runs_of(docs: DataFrame, many: DataFrame, length: int, hashes: int) -> Data
 
 
 def _possible(docs: DataFrame, large: DataFrame, open_: DataFrame, length: int, percent: int) -> DataFrame:
-    """Open windows with every window of a smaller document's other text under their keys that a passage with them is possible with.
+    """Open windows with a window of a smaller document's other text under their key that a passage around their minimum is shared with, where there is one.
 
     A passage begins and ends with shared shingles and has `percent` of its shingles from the other
-    text, so it only counts on shingles that another window under the key has nearby. For each stretch
-    around an open window's minimum that could be a passage by that, the rarer one of its two ends is
-    looked up in all windows under the key, those inside a passage and the leaders as well.
+    text, so an open window only asks if shingles that another text has under the key allow one. It
+    is compared with every window under its key, those inside a passage and the leaders as well; of
+    those with the same shingles around their minimum, with the smallest document's. Blocks of
+    windows meet, not windows: only what is verified leaves the task.
     """
-    names = ["doc_id", "f", "c", "reach"]
     window = lambda rows: rows.groupBy("own", "f", "c", "reach").agg(F.min("doc_id").alias("doc_id"))
     near = stored(_nearby(docs, window(large.join(open_.select("key").distinct(), "key", "left_semi")), length).withColumn("w", F.xxhash64("own", "f", "c")))
-    rows = near.select("w", "doc_id", "f", F.explode(F.array_distinct("nearby")).alias("x"))
-    shared = rows.groupBy("x").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count("*").alias("n")).filter("low <> high").select(apart("x"), "n")
+    word = F.xxhash64("own", "x").alias("y")
+    rows = near.select("own", "f", F.explode(F.array_distinct("nearby")).alias("x")).select(word, "f")
+    shared = rows.groupBy("y").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high").select(apart("y"))
     asking = near.join(window(open_).select(F.xxhash64("own", "f", "c").alias("w")), "w", "left_semi")
-    counts = asking.select("w", F.explode(F.array_distinct("nearby")).alias("x")).select("w", apart("x")).join(shared, "k").groupBy("w").agg(F.collect_list(apart("k", "x")).alias("xs"), F.collect_list("n").alias("ns"))
+    known = asking.select("w", "own", F.explode(F.array_distinct("nearby")).alias("x")).select("w", "x", word).select("w", "x", apart("y")).join(shared, "k").groupBy("w").agg(F.collect_set("x").alias("xs"))
     width = length - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_ends(np.array(s, np.int64), at, np.array(x, np.int64), np.array(n, np.int64), width, percent) for s, at, x, n in zip(*(b.column(k).to_pylist() for k in ("nearby", "at", "xs", "ns")), strict=True)]
-            of = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([b.column("w").take(of), b.column("doc_id").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["w", "doc_id", "x"])
+            fits = [len(_ends(np.array(s, np.int64), at, np.array(x, np.int64), np.ones(len(x), np.int64), width, percent)) > 0 for s, at, x in zip(*(b.column(k).to_pylist() for k in ("nearby", "at", "xs")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("w").filter(pa.array(fits, pa.bool_()))], names=["w"])
+
+    asked = cut(asking.join(known, "w").select("w", "at", "nearby", "xs").mapInArrow(run, "w long").distinct())
+    askers = asking.join(asked, "w", "left_semi")
+    within = near.join(askers.select("own").distinct(), "own", "left_semi").select("own", "doc_id", "f", "w", F.xxhash64("at", "nearby").alias("alike"))
+    first = within.groupBy("own", "alike").agg(F.min(F.struct("doc_id", "f", "w")).alias("o")).select(F.col("o.w").alias("w"))
+    sides = [_blocks(x).select(apart("own"), F.col("rows").alias(name)) for x, name in ((askers, "mine"), (near.join(first, "w", "left_semi"), "theirs"))]
+    names = ["doc_id", "f", "c", "reach", "other", "of", "oc", "oreach"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                mine, theirs = (_Block(b.column(k).slice(i, 1).flatten()) for k in ("mine", "theirs"))
+                w, v = _witnesses(mine, theirs, length, percent)
+                yield pa.RecordBatch.from_arrays([side.rows.field(k).take(pa.array(at, pa.int64())) for side, at in ((mine, w), (theirs, v)) for k in names[:4]], names=names)
+
+    return sides[0].join(sides[1], "k").select("mine", "theirs").mapInArrow(meet, "doc_id long, f long, c int, reach int, other long, of long, oc int, oreach int")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """own, rows: the windows of each key in blocks of about BLOCK, dealt by what they are."""
+    sizes = rows.groupBy("own").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select(apart("own"), "blocks")
+    columns = ["doc_id", "f", "c", "reach", "at", "nearby"]
+    dealt = rows.select(apart("own"), "w", *columns).join(sizes, "k").select(apart("k", "own"), F.expr("pmod(w, blocks)").alias("block"), *columns)
+    return dealt.groupBy("own", "block").agg(F.collect_set(F.struct(*columns)).alias("rows"))
+
 
-    asked = cut(asking.join(counts, "w").select("w", "doc_id", "at", "nearby", "xs", "ns").mapInArrow(run, "w long, doc_id long, x long"))
-    others = rows.select("x", F.col("w").alias("v"), F.col("doc_id").alias("other")).join(asked.select("x").distinct(), "x", "left_semi")
-    pairs = asked.select("w", "doc_id", apart("x")).join(others.select(apart("x"), "v", "other"), "k").filter("doc_id > other").select("w", "v").distinct()
-    theirs = near.select(F.col("w").alias("v"), *(F.col(a).alias(b) for a, b in zip(names, ("other", "of", "oc", "oreach"), strict=True)))
-    return pairs.join(near.select("w", *names), "w").join(theirs, "v").filter("f <> of")
+class _Block:
+    """A block's windows as arrays; those of one window's shingles are flat[ends[i] : ends[i + 1]]."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.rows = rows
+        self.doc, self.f, self.at = (rows.field(k).to_numpy() for k in ("doc_id", "f", "at"))
+        nearby = rows.field("nearby")
+        self.ends = np.concatenate([[0], np.cumsum(nearby.value_lengths().to_numpy())])
+        self.flat = nearby.flatten().to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+
+def _witnesses(mine: _Block, theirs: _Block, length: int, percent: int) -> tuple[list[int], list[int]]:
+    """Places of windows in mine and of those of smaller documents in theirs that they have a passage with; no more for a window once one holds its minimum."""
+    width = length - WIDTH + 1
+    every, codes = np.unique(mine.flat, return_inverse=True)
+    # where each of our shingles is first in each of their windows, -1 for nowhere; and what stands there more than once
+    at = np.minimum(np.searchsorted(every, theirs.flat), len(every) - 1)
+    ours = every[at] == theirs.flat
+    of = np.repeat(np.arange(len(theirs)), np.diff(theirs.ends))
+    place = np.full((len(theirs), len(every)), -1, np.int16)
+    place[of[ours][::-1], at[ours][::-1]] = (np.arange(len(of)) - theirs.ends[of])[ours][::-1]
+    once = np.array([len(np.unique(theirs.flat[s:e])) == e - s for s, e in zip(theirs.ends[:-1], theirs.ends[1:], strict=True)], bool)
+    w: list[int] = []
+    v: list[int] = []
+    for i in range(len(mine)):
+        own, centre = codes[mine.ends[i] : mine.ends[i + 1]], int(mine.at[i])
+        which = np.flatnonzero((theirs.doc < mine.doc[i]) & (theirs.f != mine.f[i]))
+        if not len(which):
+            continue
+        where = place[which][:, own]
+        has = where >= 0
+        if len(np.unique(own)) == len(own):
+            keep = np.flatnonzero(_fits(has, centre, width, percent))
+            keep = keep[~once[which[keep]] | _close(where[keep], centre, width, percent)]
+        else:
+            keep = np.flatnonzero(_fits_repeated(own, has, centre, width, percent))
+        x = mine.flat[mine.ends[i] : mine.ends[i + 1]]
+        for k in keep[np.argsort(-has[keep].sum(1), kind="stable")].tolist():
+            j = int(which[k])
+            found = _stretches(x, theirs.flat[theirs.ends[j] : theirs.ends[j + 1]], int(theirs.at[j]) - centre, length, percent)
+            if found:
+                w.append(i)
+                v.append(j)
+            if any(s <= centre and centre + WIDTH <= e for s, e, *_ in found):
+                break
+    return w, v
+
+
+def _fits(has: np.ndarray, at: int, width: int, percent: int) -> np.ndarray:
+    """For each row of has (which shingles another window has): whether a stretch around a place, with both its ends, has so many of its shingles from there."""
+    n = has.shape[1]
+    if n < width:
+        return np.zeros(len(has), bool)
+    score = np.zeros((len(has), n + 1), np.int32)
+    np.cumsum(np.where(has, 100 - percent, -percent), axis=1, out=score[:, 1:])
+    best = np.maximum.accumulate(np.where(has, score[:, 1:], -(1 << 30))[:, ::-1], axis=1)[:, ::-1]
+    starts = np.arange(min(at, n - width) + 1)
+    return (has[:, starts] & (best[:, np.maximum(starts + width - 1, at)] >= score[:, starts])).any(1)
+
+
+def _fits_repeated(own: np.ndarray, has: np.ndarray, at: int, width: int, percent: int) -> np.ndarray:
+    """As _fits for shingles of which some are there again: in a stretch each counts once. Rows alike are looked at once."""
+    n = len(own)
+    if n < width:
+        return np.zeros(len(has), bool)
+    order = np.argsort(own, kind="stable")
+    again = np.flatnonzero(own[order][1:] == own[order][:-1])
+    before = np.full(n, -1)
+    before[order[again + 1]] = order[again]
+    starts = np.arange(min(at, n - width) + 1)
+    fresh = (before[None, :] < starts[:, None]) & (np.arange(n)[None, :] >= starts[:, None])
+    wide = np.arange(n)[None, :] >= np.maximum(starts + width - 1, at)[:, None]
+    due = np.where(wide, percent * np.cumsum(fresh, axis=1), 1 << 30)
+    alike, which = np.unique(np.packbits(has, axis=1), axis=0, return_inverse=True)
+    rows = np.unpackbits(alike, axis=1, count=n).astype(bool)
+    some = np.flatnonzero(rows[:, starts].any(1) & rows[:, max(at, width - 1) :].any(1))
+    fits = np.zeros(len(rows), bool)
+    for k in some.tolist():
+        row = rows[k]
+        a, b = np.flatnonzero(row[starts]), np.flatnonzero(row)
+        b = b[b >= at]
+        if b[-1] - a[0] + 1 >= width:
+            fits[k] = (100 * np.cumsum(fresh[a] & row, axis=1, dtype=np.int32)[:, b] >= due[a][:, b]).any()
+    return fits[which.reshape(-1)]
+
+
+def _close(where: np.ndarray, at: int, width: int, percent: int) -> np.ndarray:
+    """As _fits, where no shingle is twice on either side and where says its place on the other: whether the other's stretch isn't too long either."""
+    out = np.zeros(len(where), bool)
+    for k, row in enumerate(where):
+        found = np.flatnonzero(row >= 0)
+        a, b = found[found <= at], found[found >= at]
+        n = np.arange(len(found))
+        both = n[len(found) - len(b) :][None, :] - n[: len(a)][:, None] + 1
+        here, there = b[None, :] - a[:, None] + 1, np.abs(row[b].astype(int)[None, :] - row[a].astype(int)[:, None]) + 1
+        out[k] = ((here >= width) & (100 * both >= percent * (here + np.maximum(there, both) - both))).any()
+    return out
 
 
 def _nearby(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
-    """The windows with the shingles around their minimum, as far as a candidate reaches, hashed with their key, and where the minimum is among them."""
+    """The windows with the shingles around their minimum, as far as a candidate reaches, hashed to 32 bits with their key, and where the minimum is among them."""
     reach = length + WIDTH
     one = around.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("own", "c", "reach")).alias("asked"))
     asked = one.groupBy("doc_id").agg(F.collect_list(F.struct("f", "asked")).alias("asked"))
@@ -478,7 +610,7 @@ def _nearby(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
                 own = values[rows[i] : rows[i + 1]]
                 for x in (x for t in texts if t["f"] == f[i] for x in t["asked"]):
                     first = max(x["c"] - reach, 0)
-                    keyed = mix(own[first : x["c"] + reach + 1] ^ np.int64(x["own"]).view(np.uint64)).view(np.int64)
+                    keyed = (mix(own[first : x["c"] + reach + 1] ^ np.int64(x["own"]).view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     out.append((x["own"], doc, f[i], x["c"], x["reach"], x["c"] - first, keyed))
                 if len(out) > 2000:
                     yield batch(out)
@@ -486,10 +618,10 @@ def _nearby(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
             yield batch(out)
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
 
-    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(run, "own long, doc_id long, f long, c int, reach int, at int, nearby array<long>").dropDuplicates(["own", "f", "c"])
+    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(run, "own long, doc_id long, f long, c int, reach int, at int, nearby array<int>")
 
 
 def _ends(shingles: np.ndarray, at: int, known: np.ndarray, counts: np.ndarray, width: int, percent: int) -> np.ndarray:

@@ -208,3 +208,27 @@ def test_stretches_that_could_be_a_passage():
     assert not len(S._ends(own, 60, line, np.full(42, 9), 46, 80))
     assert S._ends(own, 60, np.append(line, 187), np.append(np.full(42, 9), 2), 46, 80).tolist() == [187]
     assert not len(S._ends(own, 60, np.append(line, 199), np.append(np.full(42, 9), 2), 46, 80))  # too few between
+
+
+def test_the_exact_step_gives_what_is_verified_and_not_every_pair(spark, monkeypatch):
+    """Eighty near copies of a passage under large keys that are hardly passages of each other: the rows don't grow with the square of the group."""
+    rng, rows, made = random.Random(11), [], []
+    line, base = prose(85, 40), prose(86, 60)
+    for k in range(80):
+        around = [w if rng.random() < 0.93 else f"g{k}x{i}" for i, w in enumerate(base)]
+        rows.append((k, " ".join(prose(10_000 + k, 60) + around[:30] + line + around[30:] + prose(11_000 + k, 60))))
+    exact_step = S._possible
+    monkeypatch.setattr(S, "_possible", lambda *a: made.append(exact_step(*a)) or made[-1])
+    found = S.find_repeats(docs(spark, rows)).collect()
+    assert all(r["doc_id"] > r["source_id"] and r["similarity"] >= 0.8 for r in found)
+    assert made[0].count() <= 20 * len(rows)
+
+
+def test_shingles_that_come_again_count_once():
+    rng = np.random.default_rng(5)
+    for t in range(400):
+        n = int(rng.integers(46, 112))
+        at, own = int(rng.integers(0, min(n, 56))), rng.integers(0, rng.choice([5, 20, 60]), n) if t % 2 else rng.permutation(n)
+        has = (rng.random((3, 200)) < rng.choice([0.5, 0.8, 0.9]))[:, own]
+        want = [len(known) > 0 and len(S._ends(own, at, known, np.ones(len(known), int), 46, 80)) > 0 for known in (np.unique(own[x]) for x in has)]
+        assert S._fits_repeated(own, has, at, 46, 80).tolist() == want and (t % 2 or S._fits(has, at, 46, 80).tolist() == want)
