@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.arrow_text import SPACED_LOWER, _powers, mix, shingles, slices, tokenize
 from stackroom.llm.components import apart
-from stackroom.session import cut, release, stored
+from stackroom.session import cut, delete, release, stored
 
 WIDTH = 5
 LENGTH = 50
@@ -122,24 +122,14 @@ def _sequence(tok) -> np.ndarray:
     return np.where(np.diff(tok.rows) > 0, mix(sums[tok.rows[1:]] - sums[tok.rows[:-1]]), np.uint64(0)).view(np.int64)
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """doc_id, f (hash of the word sequence), n_words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            tok = tokenize(b.column("text"), SPACED_LOWER)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_sequence(tok)), pa.array(np.diff(tok.rows))], names=["doc_id", "f", "n_words"])
-
-    return docs.mapInArrow(run, "doc_id long, f long, n_words long")
-
-
 def windows_of(docs: DataFrame, length: int, hashes: int) -> DataFrame:
-    """key (of hash function and hash), doc_id, f, place and beside of each compact window.
+    """key (of hash function and hash), doc_id, f, place, beside and n_words of each compact window.
 
     place: where the window's minimum is, and how far the window reaches to the left and to the right
     of it, and the hash function (_unpacked). beside: the minima of half a passage's width to the
     right and to the left of it, under BESIDE functions each, in 16 bits (meaningless where a
-    window doesn't reach so far).
+    window doesn't reach so far). n_words: of the text, in one of its rows; null in the others. Only
+    texts of `length` words or more have rows.
     """
     width, half = length - WIDTH + 1, _half(length)
 
@@ -151,6 +141,7 @@ def windows_of(docs: DataFrame, length: int, hashes: int) -> DataFrame:
             h = [mix(values ^ _SALTS[k]) for k in range(max(hashes, BESIDE))]
             lows = [_slide(x, half, np.minimum) for x in h[:BESIDE]] if len(values) >= half else []
             parts = []
+            counts = np.diff(tok.rows)
             for k in range(hashes):
                 c, lo, hi = windows(h[k], rows, width)
                 text = np.searchsorted(rows, c, side="right") - 1
@@ -159,11 +150,13 @@ def windows_of(docs: DataFrame, length: int, hashes: int) -> DataFrame:
                 for low in lows:
                     for at in (c + 1, c - half):
                         beside = beside << np.uint64(16) | mix(low[np.clip(at, 0, len(low) - 1)]) >> np.uint64(48)
-                parts.append((mix(h[k][c] + _SALTS[k]).view(np.int64), ids[text], f[text], place, beside.view(np.int64)))
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc_id", "f", "place", "beside"])
+                # under the first function, at a text's first window
+                first = np.diff(text, prepend=-1) > 0 if k == 0 else np.zeros(len(c), bool)
+                parts.append((mix(h[k][c] + _SALTS[k]).view(np.int64), ids[text], f[text], place, beside.view(np.int64), counts[text], ~first))
+            *columns, others = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns[:-1]), pa.array(columns[-1], mask=others)], names=["key", "doc_id", "f", "place", "beside", "n_words"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, f long, place long, beside long")
+    return docs.mapInArrow(run, "key long, doc_id long, f long, place long, beside long, n_words long")
 
 
 def _unpacked(place: str, c: str, reach: str) -> list[Column]:
@@ -250,6 +243,14 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _grams_of(words: pd.Series) -> list[np.ndarray]:
+    """The shingles of each run of words, hashed all at once."""
+    sizes = np.array([len(x) // 4 for x in words], np.int64)
+    ends = np.cumsum(sizes)
+    grams = _grams(np.frombuffer(b"".join(words), np.uint32))
+    return [grams[s : max(e - WIDTH + 1, s)] for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
 def verify(a: np.ndarray, b: np.ndarray, diagonal: int, length: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages of words a and b that are similar enough: (start, end) in a, (start, end) in b, similarity.
 
@@ -269,14 +270,18 @@ def _stretches(x: np.ndarray, y: np.ndarray, diagonal: int, length: int, percent
         return []
     first, last = lo[found], hi[found] - 1
     place = order[first]
+    # y's shingles by number, x's by the same (those that y hasn't by the last), and where x had a shingle before
+    ranks = np.cumsum(np.append(0, y[order][1:] != y[order][:-1]))
+    numbers, codes = np.zeros(len(y), np.int64), np.full(len(x), ranks[-1] + 1)
+    numbers[order], codes[found] = ranks, ranks[first]
+    before = _before(x)
     if (last > first).any():
         # among equal shingles, which stand in order, the places before and after the diagonal
         big = len(y) + 1
         wish = np.clip(found + diagonal, 0, len(y))
-        ranks = np.cumsum(np.append(0, y[order][1:] != y[order][:-1]))
         after = np.searchsorted(ranks * big + order, ranks[first] * big + wish)
-        before, after = order[np.clip(after - 1, first, last)], order[np.clip(after, first, last)]
-        place = np.where(np.abs(after - (found + diagonal)) < np.abs(before - (found + diagonal)), after, before)
+        nearer, after = order[np.clip(after - 1, first, last)], order[np.clip(after, first, last)]
+        place = np.where(np.abs(after - (found + diagonal)) < np.abs(nearer - (found + diagonal)), after, nearer)
     out = []
     work = [(0, len(found))]
     while work:
@@ -286,12 +291,15 @@ def _stretches(x: np.ndarray, y: np.ndarray, diagonal: int, length: int, percent
             continue
         gaps = np.maximum(np.diff(p), np.abs(np.diff(q)))
         q1, q2 = int(q.min()), int(q.max())
-        mine, other = np.unique(x[p[0] : p[-1] + 1]), np.unique(y[q1 : q2 + 1])
-        both = len(np.intersect1d(mine, other, assume_unique=True))
-        similar = 100 * both >= percent * (len(mine) + len(other) - both)
+        there = np.zeros(ranks[-1] + 2, bool)
+        there[numbers[q1 : q2 + 1]] = True
+        fresh = before[p[0] : p[-1] + 1] < p[0]
+        both = int(np.count_nonzero(fresh & there[codes[p[0] : p[-1] + 1]]))
+        either = int(np.count_nonzero(fresh)) + int(np.count_nonzero(there)) - both
+        similar = 100 * both >= percent * either
         if similar and (not len(gaps) or gaps.max() <= width):
             if min(p[-1] - p[0], q2 - q1) + WIDTH >= length:
-                out.append((int(p[0]), int(p[-1]) + WIDTH, q1, q2 + WIDTH, both / (len(mine) + len(other) - both)))
+                out.append((int(p[0]), int(p[-1]) + WIDTH, q1, q2 + WIDTH, both / either))
             continue
         if len(gaps) and gaps.max() > 1:
             k = s + int(gaps.argmax()) + 1
@@ -299,18 +307,30 @@ def _stretches(x: np.ndarray, y: np.ndarray, diagonal: int, length: int, percent
     return sorted(out)
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """Where each value was last before; -1 for nowhere."""
+    by = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[by][1:] == x[by][:-1])
+    before = np.full(len(x), -1)
+    before[by[again + 1]] = by[again]
+    return before
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, percent: int = PERCENT, hashes: int = HASHES) -> DataFrame:
     """A row for each repeated passage: where it stands in a document, and where in one with a smaller id.
 
     Copies of a whole text are rows as well, from the first word to the last.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    texts = cut(texts_of(own).filter(F.col("n_words") >= length))
+    rows = stored(windows_of(own, length, hashes))
+    texts = cut(rows.filter("n_words is not null").select("doc_id", "f", "n_words"))
     first = texts.groupBy("f", "n_words").agg(F.min("doc_id").alias("source_id"))
     copies = texts.select("doc_id", "n_words", apart("f")).join(first.select(apart("f"), "n_words", "source_id"), ["k", "n_words"]).filter("doc_id <> source_id").distinct()
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.col("n_words").cast("int").alias("source_end"), F.lit(1.0).alias("similarity"))
 
-    led = stored(_first_led(windows_of(own, length, hashes), length))
+    led = stored(_first_led(rows.drop("n_words"), length))
+    for folder in {x.rpartition("/")[0] for x in rows.inputFiles()}:  # all that is read of it is written
+        delete(docs.sparkSession, folder)
     first_round = cut(_passages(own, led.filter("near"), length, percent))
     release(docs.sparkSession)
     # what isn't part of a passage yet: all with all under finer keys of few windows, with their leader under larger ones
@@ -359,7 +379,8 @@ def _first_led(rows: DataFrame, length: int) -> DataFrame:
     """
     first = lambda c: F.min_by(c, "doc_id")
     keys = rows.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.min("doc_id").alias("other"), first("f").alias("of"), first("place").alias("oplace"), first("beside").alias("obeside"))
-    keys = keys.filter("low <> high").select(apart("key"), "other", "of", "oplace", "obeside")
+    keys = stored(keys.filter("low <> high").select(apart("key"), "other", "of", "oplace", "obeside"))
+    release(rows.sparkSession)
     led = rows.select(apart("key"), "doc_id", "f", "place", "beside").join(keys, "k").filter("f <> of")
     led = led.select(apart("k", "key"), "doc_id", "f", *_unpacked("place", "c", "reach"), "beside", "other", "of", *_unpacked("oplace", "oc", "oreach"), F.col("beside").bitwiseXOR(F.col("obeside")).alias("differ"))
     near = [F.shiftright("differ", s).bitwiseAND(0xFFFF).eqNullSafe(0) & a & b for j in range(BESIDE) for s, a, b in zip(_shifts(j), _reached("reach", length), _reached("oreach", length), strict=True)]
@@ -463,7 +484,15 @@ def _possible(docs: DataFrame, large: DataFrame, open_: DataFrame, length: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fits = [len(_ends(np.array(s, np.int64), at, np.array(x, np.int64), np.ones(len(x), np.int64), width, percent)) > 0 for s, at, x in zip(*(b.column(k).to_pylist() for k in ("nearby", "at", "xs")), strict=True)]
+            fits = []
+            (ends, nearby), (knows, xs) = ((x.offsets.to_numpy().tolist(), x.values.to_numpy()) for x in (b.column("nearby"), b.column("xs")))
+            for i, at in enumerate(b.column("at").to_pylist()):
+                own, known = nearby[ends[i] : ends[i + 1]], np.sort(xs[knows[i] : knows[i + 1]])
+                # a run of shared ones is enough; else any stretch
+                other = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] != own)
+                k = int(np.searchsorted(other, at))
+                low, high = int(other[k - 1]) if k else -1, int(other[k]) if k < len(other) else len(own)
+                fits.append(high > at and high - low > width or len(_ends(own, at, known, np.ones(len(known), np.int64), width, percent)) > 0)
             yield pa.RecordBatch.from_arrays([b.column("w").filter(pa.array(fits, pa.bool_()))], names=["w"])
 
     asked = cut(asking.join(known, "w").select("w", "at", "nearby", "xs").mapInArrow(run, "w long").distinct())
@@ -509,22 +538,37 @@ def _witnesses(mine: _Block, theirs: _Block, length: int, percent: int) -> tuple
     """Places of windows in mine and of those of smaller documents in theirs that they have a passage with; no more for a window once one holds its minimum."""
     width = length - WIDTH + 1
     every, codes = np.unique(mine.flat, return_inverse=True)
-    # where each of our shingles is first in each of their windows, -1 for nowhere; and what stands there more than once
     at = np.minimum(np.searchsorted(every, theirs.flat), len(every) - 1)
     ours = every[at] == theirs.flat
-    of = np.repeat(np.arange(len(theirs)), np.diff(theirs.ends))
-    place = np.full((len(theirs), len(every)), -1, np.int16)
-    place[of[ours][::-1], at[ours][::-1]] = (np.arange(len(of)) - theirs.ends[of])[ours][::-1]
-    once = np.array([len(np.unique(theirs.flat[s:e])) == e - s for s, e in zip(theirs.ends[:-1], theirs.ends[1:], strict=True)], bool)
+    # a passage spans `width` shingles of theirs as well, from a shared one to a shared one
+    spans = np.flatnonzero(_span(ours, theirs.ends) >= width)
+    sizes = np.diff(theirs.ends)[spans]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.repeat(theirs.ends[spans] - ends[:-1], sizes) + np.arange(ends[-1])
+    at, ours, of, doc, f = at[flat], ours[flat], np.repeat(np.arange(len(spans)), sizes), theirs.doc[spans], theirs.f[spans]
+    code = np.where(ours, at, len(every))
+    # where each of our shingles is first in each of their windows, -1 for nowhere; and what stands there more than once
+    place = np.full((len(spans), len(every)), -1, np.int16)
+    place[of[ours][::-1], at[ours][::-1]] = (np.arange(len(of)) - ends[of])[ours][::-1]
+    once = np.array([len(np.unique(theirs.flat[theirs.ends[j] : theirs.ends[j + 1]])) == n for j, n in zip(spans.tolist(), sizes.tolist(), strict=True)], bool)
     w: list[int] = []
     v: list[int] = []
     for i in range(len(mine)):
         own, centre = codes[mine.ends[i] : mine.ends[i + 1]], int(mine.at[i])
-        which = np.flatnonzero((theirs.doc < mine.doc[i]) & (theirs.f != mine.f[i]))
+        which = np.flatnonzero((doc < mine.doc[i]) & (f != mine.f[i]))
+        if len(which):
+            among = np.zeros(len(every) + 1, bool)
+            among[own] = True
+            which = which[_span(among[code], ends)[which] >= width]
         if not len(which):
             continue
         where = place[which][:, own]
         has = where >= 0
+        first, last = has.argmax(1), len(own) - 1 - has[:, ::-1].argmax(1)
+        some = (first <= centre) & (last >= centre) & (last - first + 1 >= width)
+        which, where, has = which[some], where[some], has[some]
+        if not len(which):
+            continue
         if len(np.unique(own)) == len(own):
             keep = np.flatnonzero(_fits(has, centre, width, percent))
             keep = keep[~once[which[keep]] | _close(where[keep], centre, width, percent)]
@@ -532,7 +576,7 @@ def _witnesses(mine: _Block, theirs: _Block, length: int, percent: int) -> tuple
             keep = np.flatnonzero(_fits_repeated(own, has, centre, width, percent))
         x = mine.flat[mine.ends[i] : mine.ends[i + 1]]
         for k in keep[np.argsort(-has[keep].sum(1), kind="stable")].tolist():
-            j = int(which[k])
+            j = int(spans[which[k]])
             found = _stretches(x, theirs.flat[theirs.ends[j] : theirs.ends[j + 1]], int(theirs.at[j]) - centre, length, percent)
             if found:
                 w.append(i)
@@ -542,6 +586,15 @@ def _witnesses(mine: _Block, theirs: _Block, length: int, percent: int) -> tuple
     return w, v
 
 
+def _span(shared: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each window shared[ends[i] : ends[i + 1]], which has a shingle at least: how many there are from the first shared one to the last."""
+    if len(ends) < 2:
+        return np.zeros(0, np.int64)
+    place = np.arange(len(shared))
+    last = np.maximum.reduceat(np.where(shared, place, -1), ends[:-1])
+    return np.where(last < 0, 0, last - np.minimum.reduceat(np.where(shared, place, len(shared)), ends[:-1]) + 1)
+
+
 def _fits(has: np.ndarray, at: int, width: int, percent: int) -> np.ndarray:
     """For each row of has (which shingles another window has): whether a stretch around a place, with both its ends, has so many of its shingles from there."""
     n = has.shape[1]
@@ -668,8 +721,9 @@ def _passages(docs: DataFrame, led: DataFrame, length: int, percent: int) -> Dat
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, f, other, of, a1, b1, d, x, y in zip(*(pdf[c] for c in ("doc", "f", "other", "of", "a1", "b1", "d", "words", "other_words")), strict=True):
-                for s, e, os_, oe, sim in verify(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), d - b1 + a1, length, percent):
+            x, y = (_grams_of(pdf[c]) for c in ("words", "other_words"))
+            for i, (doc, f, other, of, a1, b1, d) in enumerate(zip(*(pdf[c].tolist() for c in ("doc", "f", "other", "of", "a1", "b1", "d")), strict=True)):
+                for s, e, os_, oe, sim in _stretches(x[i], y[i], d - b1 + a1, length, percent):
                     out.append((doc, f, s + a1, e + a1, other, of, os_ + b1, oe + b1, sim))
             yield pd.DataFrame(out, columns=names)
 

@@ -232,3 +232,36 @@ def test_shingles_that_come_again_count_once():
         has = (rng.random((3, 200)) < rng.choice([0.5, 0.8, 0.9]))[:, own]
         want = [len(known) > 0 and len(S._ends(own, at, known, np.ones(len(known), int), 46, 80)) > 0 for known in (np.unique(own[x]) for x in has)]
         assert S._fits_repeated(own, has, at, 46, 80).tolist() == want and (t % 2 or S._fits(has, at, 46, 80).tolist() == want)
+
+
+def test_windows_with_too_little_of_a_word_said_again_and_again_are_not_verified(monkeypatch):
+    """A passage needs its width on both sides: windows with a long run of one shingle meet those with short runs of it, which none is."""
+    import pyarrow as pa
+
+    def block(rows):
+        return S._Block(pa.array([{"doc_id": d, "f": d, "c": at, "reach": 0, "at": at, "nearby": x} for d, at, x in rows]))
+
+    long = block([(100 + k, 30, [*range(1000 + 20 * k, 1010 + 20 * k), *[7] * 86]) for k in range(30)])
+    short = [(k, 20, [*range(5000 + 100 * k, 5010 + 100 * k), *[7] * 39, *range(5010 + 100 * k, 5060 + 100 * k)]) for k in range(30)]
+    asked, stretches = [], S._stretches
+    monkeypatch.setattr(S, "_stretches", lambda *a: asked.append(a) or stretches(*a))
+    assert S._witnesses(long, block(short), 50, 80) == ([], []) and not asked
+    w, v = S._witnesses(long, block([*short, (50, 20, [*range(10), *[7] * 60])]), 50, 80)
+    assert w == list(range(30)) and v == [30] * 30 and len(asked) == 30
+
+
+def test_stretches_against_sets():
+    """Each stretch's similarity is that of its sets of shingles."""
+    rng = np.random.default_rng(6)
+    for t in range(300):
+        a = rng.integers(0, (3, 20, 5000)[t % 3], 150)
+        b = np.where(rng.random(150) < 0.02, 9999, a)[t % 40 :]
+        for s, e, os_, oe, sim in S._stretches(a, b, -(t % 40), 50, 80):
+            x, y = set(a[s : e - 4].tolist()), set(b[os_ : oe - 4].tolist())
+            assert sim == len(x & y) / len(x | y) >= 0.8 and min(e - s, oe - os_) >= 50
+
+
+def test_a_texts_words_come_with_one_of_its_windows(spark):
+    rows = [(1, " ".join(prose(1, 49))), (2, " ".join(prose(2, 50))), (3, " ".join(prose(3, 400))), (4, "of " * 70), (5, None), (3, " ".join(prose(4, 60)))]
+    got = S.windows_of(docs(spark, rows).select("doc_id", "text"), 50, 3).filter("n_words is not null").select("doc_id", "n_words").collect()
+    assert sorted(map(tuple, got)) == [(2, 50), (3, 60), (3, 400), (4, 70)]
