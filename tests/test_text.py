@@ -128,3 +128,20 @@ def test_given_scores_weigh_as_computed_ones(spark):
     d = spark.createDataFrame([(1, "good plain words here"), (1, "x1 y2 §§§§"), (2, "  "), (2, None)], "k int, text string")
     ask = lambda score: sorted(tuple(r) for r in d.withColumn("own", X.quality_score(F.col("text"))).groupBy("k").agg(X.mean_quality(F.col("text"), score)).collect())
     assert ask(F.col("own")) == ask(None)
+
+
+def test_a_documents_units_are_added_in_their_order(spark, tmp_path):
+    """The mean of these is exactly half a tenth; by the order of their sum it is 36.9 or 37.0."""
+    import itertools
+
+    import duckdb
+
+    from stackroom.queries import text as Q
+
+    lines = ["to licence days licence was to a in read", "read days licence #1 4a in on a of", "days Uppsala 4a xyz a in in days", "a read of seven on"]
+    texts = ["\n".join(p) for p in itertools.permutations(lines)] * 20 + [None, "", " \n", "\n".join(lines) + "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in Q.document_quality_weighted(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(Q.ORACLE["document_quality_weighted"]).fetchall()) and {s for _, s in got} == {36.9, 37.0, None}
