@@ -8,16 +8,21 @@ Offsets are code points of the unit's search text.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackroom.operators import structure
+
 BUDGET, OVERLAP = 512, 100
 PREFIX, SPECIAL = 2, 1
 OVERHEAD = PREFIX + SPECIAL
@@ -25,6 +30,8 @@ OVERHEAD = PREFIX + SPECIAL
 Spans = list[tuple[int, int]]
 Tokenizer = Callable[[str], Spans]
 _TOKEN = re.compile(r"\S+")
+#: Which code points are white space; the last one stands for all beyond.
+_SPACE = np.array([*(chr(c).isspace() for c in range(0x3001)), False])
 #: A structured page's running parts, as they are called here.
 _PAGE_PARTS = {"page_header": "header", "page_footer": "footer"}
 
@@ -34,9 +41,16 @@ def whitespace_tokens(text: str) -> Spans:
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
+def _places(text: str) -> tuple[list[int], list[int]]:
+    """Where the tokens of whitespace_tokens begin and end, found for a long text at once."""
+    space = _SPACE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(_SPACE) - 1)]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True)).tolist()
+    return edges[::2], edges[1::2]
+
+
 def is_searchable(text: str) -> bool:
     """A letter or digit is there, and the text isn't the lone artefact of a doubled encoding."""
-    return any(c.isalpha() or c.isdecimal() for c in text) and "".join(text.split()) != "Â"
+    return any(c.isalpha() or c.isdecimal() for c in text) and text.strip() != "Â"
 
 
 @dataclass(frozen=True)
@@ -63,8 +77,11 @@ class _Text:
 
     def __init__(self, text: str, tokenize: Tokenizer):
         self.text = text
-        spans = tokenize(text)
-        self.begin, self.end = [a for a, _ in spans], [b for _, b in spans]
+        if tokenize is whitespace_tokens:
+            self.begin, self.end = _places(text)
+        else:
+            spans = tokenize(text)
+            self.begin, self.end = [a for a, _ in spans], [b for _, b in spans]
 
     def count(self, a: int, b: int) -> int:
         """Tokens that reach into [a, b)."""
@@ -95,7 +112,7 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
     if not is_searchable(text):
         return [], False
     unit = _Text(text, tokenize)
-    size = lambda h: len(tokenize(h)) if h else 0
+    size = functools.cache(lambda h: len(tokenize(h)) if h else 0)
     usable = lambda h: h is not None and size(h) <= budget - OVERHEAD - 1
     dropped = False
     found: list[tuple[str, int, int, int]] = []
@@ -112,13 +129,13 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
             else:
                 end = ends(start, limit, floor, body) if blocks is not None else None
                 if end is None:
-                    brk = text.rfind("\n", 0, limit)
+                    brk = text.rfind("\n", floor + 1, limit)
                     end = brk if brk > floor and body // 2 <= unit.count(start, brk) <= body else limit
             found.append(((own or "") + text[start:end], start, end, OVERHEAD + size(own) + unit.count(start, end)))
             if end >= to:
                 return
             reached, before = end, start
-            starts = unit.starts(start, end)
+            starts = unit.starts(start, end) if overlap else []
             start = end if not overlap or len(starts) + size(own) <= overlap or len(starts) < overlap else max(before + 1, starts[-overlap])
             if blocks is not None and start < end:
                 at = bisect.bisect_right(edges, start) - 1
@@ -130,7 +147,7 @@ def chunk_text(text: str, header: str | None = None, blocks: list[Block] | None
         dropped = header is not None and repeated is None
         walk(0, len(text), lambda _: repeated, lambda *_: None)
     else:
-        edges = sorted({b.start for b in blocks} | {r[0] for b in blocks for r in b.rows})
+        edges = sorted({b.start for b in blocks} | {r[0] for b in blocks for r in b.rows}) if overlap else []  # asked for only where a chunk begins before the last one's end
         tables = [b for b in blocks if b.kind == "table" and b.rows]
         # found by bisection: a long table is not gone through again for each of its chunks
         block_ends = sorted(b.end for b in blocks)
@@ -179,29 +196,72 @@ def chunk_units(units: DataFrame, keys: list[str], text_col: str = "search_text"
     blocks_col: an array of (kind, start, end, rows) with ranges in the text; chunks end at blocks and rows where
     they can, and a chunk that begins within a table has the table's first row before it.
     """
+    def given(batch: pa.RecordBatch) -> Iterator[tuple]:
+        headed = batch.column(table_col).to_pylist() if table_col else itertools.repeat(False)
+        blocks = _blocks(batch.column(blocks_col)) if blocks_col else itertools.repeat(None)
+        for text, table, own in zip(batch.column(text_col).to_pylist(), headed, blocks):
+            first = text.find("\n") if table and text else -1
+            yield text, text[: first + 1] if first > 0 else None, own
+
+    columns = dict.fromkeys([*keys, text_col, *([table_col] if table_col else []), *([blocks_col] if blocks_col else [])])
+    return _chunked(units.select(*columns), keys, given, budget, overlap, tokenize)
+
+
+def chunk_pages(pages: DataFrame, keys: list[str], content: str = "markdown", budget: int = BUDGET, overlap: int = OVERLAP, tokenize: Tokenizer = whitespace_tokens) -> DataFrame:
+    """The chunks of pages in Markdown, as chunk_units() gives them of structured() pages with rows: in one step, so that no blocks go from one worker to another."""
+
+    def given(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for markdown in batch.column(content).to_pylist():
+            text, blocks = structure.place(structure.read_markdown(markdown or ""))
+            yield text, None, [Block(b.start, b.end, _PAGE_PARTS.get(b.kind, b.kind), tuple(zip(*(x.tolist() for x in structure.row_ranges(b)), strict=True))) for b in blocks]
+
+    return _chunked(pages.select(*dict.fromkeys([*keys, content])), keys, given, budget, overlap, tokenize)
+
+
+def _chunked(rows: DataFrame, keys: list[str], given: Callable[[pa.RecordBatch], Iterator[tuple]], budget: int, overlap: int, tokenize: Tokenizer) -> DataFrame:
+    """The chunks of each row's (text, header, blocks); a null text has none."""
     schema = T.StructType([
-        *(units.schema[k] for k in keys), T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType()), T.StructField("token_count", T.IntegerType()),
+        *(rows.schema[k] for k in keys), T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType()), T.StructField("token_count", T.IntegerType()),
     ])
+    fields = [("ordinal", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for row in pdf.itertuples(index=False):
-                text = getattr(row, text_col)
+    def made(batch: pa.RecordBatch, of: list[int], out: list[Chunk]) -> pa.RecordBatch:
+        own = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array([getattr(c, f) for c in out], kind) for f, kind in fields)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for k, (text, header, blocks) in enumerate(given(batch)):
                 if text is None:
                     continue
-                first = text.find("\n")
-                header = text[: first + 1] if table_col and getattr(row, table_col) and first > 0 else None
-                given = getattr(row, blocks_col) if blocks_col else None
-                blocks = None if given is None else [Block(b["start"], b["end"], _PAGE_PARTS.get(b["kind"], b["kind"]), tuple((r["start"], r["end"]) for r in (b["rows"] if b["rows"] is not None else ()))) for b in given]
-                own = [getattr(row, k) for k in keys]
-                out += [(*own, c.ordinal, c.text, c.start, c.end, c.tokens) for c in chunk_text(text, header, blocks, budget, overlap, tokenize)[0]]
+                found = chunk_text(text, header, blocks, budget, overlap, tokenize)[0]
+                of += [k] * len(found)
+                out += found
                 if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=schema.names)
-                    out = []
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return units.select(*dict.fromkeys([*keys, text_col, *([table_col] if table_col else []), *([blocks_col] if blocks_col else [])])).mapInPandas(run, schema)
+                    yield made(batch, of, out)
+                    of, out = [], []
+            yield made(batch, of, out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(column: pa.ListArray) -> Iterator[list[Block] | None]:
+    """Of each row the blocks, one page after the other; null ones are None."""
+    names = {f.name: k for k, f in enumerate(column.type.value_type)}
+    for own in column:
+        if not own.is_valid:
+            yield None
+            continue
+        own = own.values
+        kinds, starts, ends = (own.field(names[f]).to_pylist() for f in ("kind", "start", "end"))
+        rows = [()] * len(own)
+        for k, r in enumerate(own.field(names["rows"])):
+            if r.is_valid and len(r):
+                v = r.values
+                place = {f.name: i for i, f in enumerate(v.type)}
+                rows[k] = tuple(zip(v.field(place["start"]).to_pylist(), v.field(place["end"]).to_pylist(), strict=True))
+        yield [Block(a, b, _PAGE_PARTS.get(kind, kind), r) for kind, a, b, r in zip(kinds, starts, ends, rows, strict=True)]
 
 
 def plan_batches(lengths: list[int], most: int = 8192) -> list[tuple[int, int]]:

@@ -299,11 +299,10 @@ def chunk_structured(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
     row = F.transform(words, lambda w, k: F.concat(F.lit("| "), k + 1, F.lit(" | "), w, F.lit(" |")))
     page = F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n\n| place | word |\n| --- | --- |\n"), F.array_join(row, "\n"))
-    pages = structure.structured(spread(table(spark, sf, "documents").select("doc_id", "text")).filter(F.size(words) > 0).select("doc_id", page.alias("markdown")), keys=("doc_id",), rows=True)
-    found = chunking.chunk_units(pages, ["doc_id"], "search_text", blocks_col="blocks", budget=64, overlap=0)
-    rows = F.filter(F.split("text", "\n"), lambda r: r.rlike(r"^\d+\t[A-Za-z]+$"))
+    pages = spread(table(spark, sf, "documents").select("doc_id", "text")).filter(F.col("text").rlike("[A-Za-z]")).select("doc_id", page.alias("markdown"))
+    found = chunking.chunk_pages(pages, ["doc_id"], budget=64, overlap=0)
     head = F.when(F.col("chunk") == 0, F.col("text").startswith("Page ")).otherwise(F.col("text").startswith("place\tword\n"))
-    n = F.size(rows).cast("long")
+    n = F.regexp_count("text", F.lit(r"(?md)^\d+\t[A-Za-z]+$")).cast("long")
     return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(n).alias("n_rows"), F.max(n).alias("most_rows"), F.min(head).alias("headed"))
 
 

@@ -23,6 +23,8 @@ Extractor = Callable[..., Iterator[Unit]]
 
 def search_form(text: str) -> str:
     """The same as functions.text.normalize, for extractors that run in Python."""
+    if text.isascii() and text.isprintable():
+        return text
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     return "".join(c for c in unicodedata.normalize("NFC", text) if c in "\n\t" or unicodedata.category(c) != "Cc")
 

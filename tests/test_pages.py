@@ -157,3 +157,38 @@ def test_alignment_job(spark):
 
     df = spark.createDataFrame([(1, "one two", [("one", [0.0, 0.0, 1.0, 1.0])]), (2, None, None)], "page_id int, text string, words array<struct<text:string,box:array<double>>>")
     assert [(r["page_id"], r["kind"], r["right"]) for r in G.align_pages(df).collect()] == [(1, "exact", 1.0), (1, "none", None)]
+
+
+def test_plain_tables_are_read_at_once_and_as_others():
+    """Lines of plain cells give the rows that they give cell by cell, and their ranges are known without making a cell."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        lines = ["".join(rng.choice(["|", " ", "a", "b1", "  ", "|", "-", "||"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))]
+        lines = [x if "|" in x else x + "|" for x in lines]
+        assert S._plain_rows(lines) == tuple(tuple((c, k == 0) for c in S._cells(x)) for k, x in enumerate(lines)), lines
+    assert S._plain_rows(["a | *b*"]) is None and S._plain_rows(["a \\| b |"]) is None and S._plain_rows(["é|"]) is None and S._plain_rows(["a\tb|"]) is None
+    text, (block,) = S.place(S.read_markdown("| a | b |\n|-|-|\n" + "| 1 | |\n" * 3))
+    assert isinstance(block.rows, S.PlacedRows) and [text[a:b] for a, b in zip(*block.rows.ranges(), strict=True)] == ["a\tb", "1\t", "1\t", "1\t"]
+    assert [[(text[c.start : c.end], c.header) for c in r] for r in block.rows][:2] == [[("a", True), ("b", True)], [("1", False), ("", False)]]
+
+
+def test_pages_are_chunked_in_one_step_as_in_two(spark):
+    from stackroom.operators import chunking as C
+
+    rng = random.Random(4)
+    table = lambda mark: "| a | b |\n|-|-|\n" + "".join(f"| {k} | {rng.choice(['x', 'yy zz', mark])} |\n" for k in range(rng.randrange(40)))
+    pages = ["\n\n".join(rng.choice(["# one", "some words in a row " * rng.randrange(9), table("w"), table("*é*"), "<!-- page-header -->\nrunning\n<!-- /page-header -->"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    d = spark.createDataFrame([*enumerate(pages), (100, None), (101, "")], "k int, markdown string")
+    for overlap in (0, 5):
+        two = C.chunk_units(S.structured(d, keys=("k",), rows=True), ["k"], blocks_col="blocks", budget=24, overlap=overlap)
+        one = C.chunk_pages(d, ["k"], budget=24, overlap=overlap)
+        assert one.count() > 60 and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_words_are_placed_at_once_as_one_by_one():
+    from stackroom.operators import chunking as C
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "é", "\U0001f600", " ", "\n", " ", "　", "\x1c", "​", " "]) for _ in range(rng.randrange(12)))
+        assert list(zip(*C._places(text), strict=True)) == C.whitespace_tokens(text), ascii(text)
