@@ -143,17 +143,24 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     Each task keeps k rows for each query, so what is shuffled is tasks x queries x k rows. A batch
     is multiplied in parts, so that a task holds CELLS scores at once, however many queries and vectors there are.
     """
+    return best_many(vectors, queries.select("query_id", "vector"), k, key, column, block, most_bytes)
+
+
+def best_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: str, block: int = 1024, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """nearest_many() where queries may have a third column, `lists`: a bit for each list whose vectors the query meets; vectors then have their `list`."""
     groups, held, size = [], [], 0
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    listed = "lists" in queries.columns
 
     def ask() -> None:
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in held], np.int64), np.array([r["vector"] for r in held], np.float32)))
-        found = vectors.select(key, column).mapInPandas(_best_of(sent, k, key, column, block, max(1, CELLS // min(block, len(held)))), f"query_id long, {key} long, score double")
+        bits = np.frombuffer(b"".join(r["lists"] for r in held), np.uint8).reshape(len(held), -1) if listed else None
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in held], np.int64), np.array([r["vector"] for r in held], np.float32), bits))
+        found = vectors.select(key, column, *(["list"] if listed else [])).mapInPandas(_best_of(sent, k, key, column, block, max(1, CELLS // min(block, len(held)))), f"query_id long, {key} long, score double")
         groups.append(cut(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)))
         sent.destroy()
 
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        own = 4 * len(r["vector"]) + 16 * k
+    for r in queries.toLocalIterator():
+        own = 4 * len(r["vector"]) + 16 * k + (len(r["lists"]) if listed else 0)
         if held and size + own > most_bytes:
             ask()
             held, size = [], 0
@@ -164,23 +171,53 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return reduce(DataFrame.unionByName, groups) if groups else vectors.limit(0).select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
+class _Best:
+    """The best k rows of each query so far, by score and then by key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.seen = k, np.zeros(queries, np.int64)
+        self.scores, self.keys = np.full((queries, k), -np.inf, np.float32), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, asked: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """Rows by their scores for some queries: only those that reach a query's worst row so far are sorted."""
+        k, n = self.k, scores.shape[1]
+        self.seen[asked] += n
+        worst = self.scores[asked, -1]
+        fit = scores >= worst[:, None]
+        if n > k and np.count_nonzero(fit) > 4 * k * len(asked):
+            fit = scores >= np.maximum(worst, np.partition(scores, n - k, axis=1)[:, n - k])[:, None]
+        row, col = np.nonzero(fit)
+        touched = np.unique(row)
+        own = asked[touched]
+        of = np.concatenate([np.repeat(np.arange(len(own)), k), np.searchsorted(touched, row)])
+        s = np.concatenate([self.scores[own].ravel(), scores[row, col]])
+        names = np.concatenate([self.keys[own].ravel(), keys[col]])
+        order = np.lexsort((names, -s, of))
+        first = np.searchsorted(of[order], np.arange(len(own)))
+        kept = order[np.arange(len(order)) - first[of[order]] < k]
+        self.scores[own], self.keys[own] = s[kept].reshape(-1, k), names[kept].reshape(-1, k)
+
+
 def _best_of(sent, k: int, key: str, column: str, block: int, rows: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        best, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for pdf in (b.iloc[at : at + rows] for b in batches for at in range(0, len(b), rows)):
-            own, matrix = pdf[key].to_numpy(), np.stack(pdf[column]).astype(np.float32).T
-            parts = []
-            for at in range(0, len(ids), block):
-                here = slice(at, at + block)
-                s = q[here] @ matrix
-                scores = np.concatenate([best[here], s], axis=1)
-                keys = np.concatenate([names[here], np.broadcast_to(own, s.shape)], axis=1)
-                order = np.lexsort((keys, -scores), axis=1)[:, :k]
-                parts.append((np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)))
-            best, names = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if best.size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), key: names.ravel(), "score": best.ravel().astype(float)})
+        ids, q, bits = sent.value
+        best, all_of_them = _Best(len(ids), k), np.arange(len(ids))
+        for b in batches:
+            if not len(b):
+                continue
+            # the queries that meet a list are those with its bit
+            for at_list, pdf in [(None, b)] if bits is None else b.groupby("list"):
+                asked = all_of_them if bits is None else np.flatnonzero(bits[:, at_list >> 3] >> (7 - (at_list & 7)) & 1)
+                keys, matrix = pdf[key].to_numpy(), np.stack(pdf[column]).astype(np.float32)
+                for first in range(0, len(keys), rows):
+                    part, own = matrix[first : first + rows].T, keys[first : first + rows]
+                    blank = np.isnan(part).any()
+                    for at in range(0, len(asked), block):
+                        s = q[asked[at : at + block]] @ part
+                        best.add(asked[at : at + block], np.where(np.isnan(s), np.float32(-np.inf), s) if blank else s, own)
+        has = np.arange(k) < best.seen[:, None]
+        if has.any():
+            yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], has.shape)[has], key: best.keys[has], "score": best.scores[has].astype(float)})
 
     return search
 

@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.operators.search import PER_BRANCH, dot, nearest, nearest_many
+from stackroom.operators.search import PER_BRANCH, best_many, dot, nearest, nearest_many
 from stackroom.session import cut
 
 #: Scopes up to this many vectors (or four times the limit) are searched exactly.
@@ -119,6 +119,11 @@ def approximate(lists: Lists, query: list[float], k: int = PER_BRANCH, probes: i
     return nearest(rows.filter(F.col("list").isin(order[:probed])), query, k, lists.key, lists.column)
 
 
+def _nearest_lists(vectors: pd.Series, centroids: np.ndarray) -> np.ndarray:
+    """All lists of each vector, the nearest first."""
+    return np.argsort(-(np.stack(vectors).astype(float) @ centroids.T), axis=1, kind="stable")
+
+
 def _probed(lists: Lists, queries: DataFrame, probes: int) -> DataFrame:
     """query_id, vector, list, place: each query with its nearest lists, counted from 1."""
     sent = queries.sparkSession.sparkContext.broadcast(lists.centroids)  # MOST_LISTS at most
@@ -126,8 +131,7 @@ def _probed(lists: Lists, queries: DataFrame, probes: int) -> DataFrame:
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                far = -(np.stack(pdf["vector"]).astype(float) @ sent.value.T)
-                pdf["lists"] = list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32))
+                pdf["lists"] = list(_nearest_lists(pdf["vector"], sent.value)[:, :probes].astype(np.int32))
                 yield pdf
 
     schema = T.StructType([queries.schema["query_id"], queries.schema["vector"], T.StructField("lists", T.ArrayType(T.IntegerType()))])
@@ -138,13 +142,24 @@ def _probed(lists: Lists, queries: DataFrame, probes: int) -> DataFrame:
 def approximate_many(lists: Lists, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """query_id, key, score, rank: about the top k of each of many queries (query_id, vector).
 
-    A query meets the vectors of its lists by a join on the list; partial ranks within each task keep what is
-    shuffled at k rows for each query and task.
+    Ranks are by the dot product and then by key, as in nearest_many(). Queries go to the lists, as there, with
+    a bit for each list that they probe: a list's vectors are multiplied with its queries, and no pair becomes a row.
     """
-    met = _probed(lists, queries, probes or lists.probes).join(lists.vectors, "list").filter(F.size("vector") == F.size(lists.column))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), lists.key)
-    scored = met.select("query_id", lists.key, F.round((1 + dot(F.col("vector"), F.col(lists.column))) / 2, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    n, first = len(lists.centroids), probes or lists.probes
+    sent = queries.sparkSession.sparkContext.broadcast(lists.centroids)  # MOST_LISTS at most
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                own = pdf.iloc[at : at + 256]
+                probed = np.zeros((len(own), n), bool)
+                np.put_along_axis(probed, _nearest_lists(own["vector"], sent.value)[:, :first], True, 1)
+                yield own.assign(lists=[x.tobytes() for x in np.packbits(probed, axis=1)])
+
+    schema = T.StructType([queries.schema["query_id"], queries.schema["vector"], T.StructField("lists", T.BinaryType())])
+    asked = queries.select("query_id", "vector").filter(F.size("vector") == lists.centroids.shape[1]).mapInPandas(probe, schema)
+    found = best_many(lists.listed, asked, k, lists.key, lists.column)
+    return found.select("query_id", lists.key, F.round((1 + F.col("score")) / 2, 6).alias("score"), "rank")
 
 
 def recall(lists: Lists, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:

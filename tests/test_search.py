@@ -271,3 +271,47 @@ def test_only_likely_pairs_of_word_sets_are_verified(spark, monkeypatch):
     assert ask() == want
     monkeypatch.setattr(neardup, "MOST_FREQUENT", 3)  # any order of words gives the same pairs
     assert ask() == want
+
+
+def test_queries_meet_their_lists_without_pairs_as_rows(spark, tmp_path):
+    """The approximate search of many queries gives the best of the lists that each probes, by dot product and key, and joins nothing."""
+    import numpy as np
+
+    from stackroom.operators import vectors as V
+
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(600, 8)).astype(np.float32)
+    points[300:] = points[:300]  # ties
+    v = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] + [(600, [1.0] * 5), (601, None)], "vec_id long, embedding array<float>")
+    V.write_lists(v, str(tmp_path), lists=11)
+    own = V.read_lists(spark, str(tmp_path))
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    place = {r["vec_id"]: r["list"] for r in own.vectors.collect()}
+    for probes in (1, 4, 11):
+        found = V.approximate_many(own, queries, 7, probes)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in range(0, 600, 50):
+            lists = set(own.order(points[q])[:probes])
+            dots = points @ points[q]
+            want = sorted((k for k in range(600) if place[k] in lists), key=lambda k: (-dots[k], k))[:7]
+            assert len(got[q]) == len(want) and np.allclose(dots[got[q]], dots[want], atol=1e-5)
+
+
+def test_the_best_rows_are_kept_whatever_the_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 6, (5, 400)).astype(np.float32)  # many ties
+    keys = rng.permutation(400)
+    for size in (1, 3, 50, 400):
+        best = S._Best(5, 9)
+        for at in range(0, 400, size):
+            best.add(np.array([0, 1, 2, 3, 4]), scores[:, at : at + size], keys[at : at + size])
+        for q in range(5):
+            assert best.keys[q].tolist() == keys[np.lexsort((keys, -scores[q]))[:9]].tolist()
+    few = S._Best(2, 3)
+    few.add(np.array([1]), np.full((1, 2), -np.inf, np.float32), np.array([4, 3]))
+    assert few.seen.tolist() == [0, 2] and few.keys[1][:2].tolist() == [3, 4]
